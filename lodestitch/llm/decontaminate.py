@@ -19,7 +19,6 @@ under the empty id. Any other columns are left alone.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

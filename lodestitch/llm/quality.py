@@ -1,8 +1,8 @@
 """Operator 6, a quality classifier: hashed word n-grams, logistic regression, FTRL-proximal updates.
 
 Tokens are runs of word bytes and runs of other non-blank bytes, as they are
-written; features are their unigrams and bigrams in 2**BITS buckets, each
-counted and divided by the square root of the number of features. A score is
+written; features are their unigrams, bigrams and "the same token again"
+n-grams in 2**BITS buckets, each counted and divided by the square root of the number of features. A score is
 the sparse dot product of a whole text's features with the weights.
 
 The model is fitted on at most `sample` labelled rows, those with the least
@@ -30,6 +30,8 @@ BITS = 18
 SAMPLE = 6_000
 THRESHOLD = 0.3
 PIECE_BYTES = 2 << 20
+#: Distance of two equal tokens and the code of the n-gram that stands for any such pair.
+REPEATS = {1: 0x5851F42D4C957F2D, 2: 0xD1342543DE82EF95}
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +46,12 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     text = np.searchsorted(offsets, starts, "right") - 1
     pair = text[1:] == text[:-1]
     two = at.mixed(codes[:-1] * np.uint64(3) + codes[1:] + np.uint64(1))[pair] if codes.size else codes
-    buckets = np.concatenate([codes, two]) >> np.uint64(64 - bits)
-    return buckets.astype(np.int64), np.concatenate([text, text[1:][pair] if codes.size else text])
+    found, owners = [codes, two], [text, text[1:][pair] if codes.size else text]
+    for k, code in REPEATS.items():  # a token that comes again one or two places on
+        again = np.flatnonzero((codes[k:] == codes[:-k]) & (text[k:] == text[:-k]))
+        found.append(np.full(again.size, code, np.uint64))
+        owners.append(text[again])
+    return (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(owners)
 
 
 class FTRL:
