@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, pii, quality, urls
+from . import decontaminate, language, licences, lines, media, mixing, pii, quality, simhash, urls
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
     "op2_urls": urls.op2_urls,
+    "op3_licences": licences.op3_licences,
     "op4_media": media.op4_media,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality": quality.op6_quality,
+    "op7_mixing": mixing.op7_mixing,
     "op8_pii": pii.op8_pii,
+    "op9_simhash": simhash.op9_simhash,
     "op10_language": language.op10_language,
 }
 
 ORACLES = {
+    "op1_lines": lines.OP1_SQL,
+    "op3_licences": licences.OP3_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
+    "op7_mixing": mixing.OP7_SQL,
 }
