@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import conform, empty
+from ..session import cut
 from . import joins, mappers, resolver
 
 
@@ -21,6 +22,11 @@ class Tables:
     deps: DataFrame | None = None
     outcome: DataFrame | None = None
 
+    def settled(self) -> Tables:
+        """The same tables with their lineage cut: between passes, and before several sinks read them."""
+        settle = lambda df: None if df is None else cut(df)
+        return Tables(cut(self.staging), {n: cut(df) for n, df in self.entities.items()}, settle(self.links), settle(self.deps), settle(self.outcome))
+
     def of(self, spark: SparkSession, name: str) -> DataFrame:
         return self.entities.get(name, empty(spark, name))
 
@@ -29,8 +35,7 @@ def synthesize(spark: SparkSession, tables: Tables, raw: DataFrame | None = None
     """Officers first, then all other records see the old and the new officers.
 
     `only` names the mappers to run: a source of few entity types needs no
-    others. The result's frames are lazy; callers with several sinks should
-    persist staging.
+    others. The result's frames are lazy: settle them before a further pass.
     """
     staging = tables.staging
     mapped = {"officer": mappers.map_officers(staging)}
