@@ -56,17 +56,13 @@ def described(docs: DataFrame) -> DataFrame:
     )
 
 
-def _share(value: Column, over: str) -> Column:
-    return value / F.sum(value).over(Window.partitionBy(over))
-
-
 def rake(cells: DataFrame, alpha: float = ALPHA, sweeps: int = SWEEPS) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight: shares that meet the targets of all three margins as nearly as the cells allow."""
     total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    out = cells.withColumn("weight", F.col("tokens") / total)
+    out = cells.withColumn("weight", F.coalesce(F.try_divide("tokens", total), F.lit(0.0)))
     for m in MARGINS:
         own = out.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("t"))
-        target = own.withColumn(f"target_{m}", F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(0)))).drop("t")
+        target = own.withColumn(f"target_{m}", F.coalesce(F.try_divide("t", F.sum("t").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))).drop("t")
         out = out.join(target, m)
     for k in range(sweeps):
         for m in MARGINS:
