@@ -31,7 +31,7 @@ from .tables import cut, table
 
 LEAST = 0.55
 
-#: Short forms of licence notices.
+#: Short forms of licence notices. A licence with several has a name and, after a blank, which form it is.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     "Apache-2.0 (short)": "Licensed under the Apache License, Version 2.0.",
@@ -79,7 +79,8 @@ def header_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, lea
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
     scored = dots.join(norms, "header").select("header", "licence", cosine.alias("cosine")).where(F.col("cosine") >= least)
     best = scored.groupBy("header").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "licence")).alias("b")).select("header", "b.*")
-    return headers.join(best, "header").groupBy("file").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "licence")).alias("b")).select("file", "b.*")
+    found = headers.join(best, "header").groupBy("file").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "licence")).alias("b"))
+    return found.select("file", F.substring_index("b.licence", " ", 1).alias("licence"), "b.cosine")
 
 
 def _directory(path: Column) -> Column:
@@ -135,7 +136,7 @@ w AS (SELECT header, word, count(*) AS tf FROM (SELECT header, unnest(regexp_ext
 x AS (SELECT header, word, tf * coalesce(idf, {other!r}::DOUBLE) AS w FROM w LEFT JOIN scale USING (word)),
 n AS (SELECT header, sqrt(sum(w * w)) AS norm FROM x GROUP BY header),
 c AS (SELECT header, licence, round(sum(w * weight) / any_value(norm), 6) AS cosine FROM x JOIN known USING (word) JOIN n USING (header) GROUP BY header, licence),
-own AS (SELECT doc_id, licence, cosine FROM h JOIN c USING (header) WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+own AS (SELECT doc_id, split_part(licence, ' ', 1) AS licence, cosine FROM h JOIN c USING (header) WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, c.licence) = 1),
 t AS (SELECT f.doc_id, path, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS dir, licence, cosine FROM f LEFT JOIN own USING (doc_id)),
 l AS (SELECT dir AS above, licence AS dir_licence FROM t WHERE licence IS NOT NULL AND regexp_matches(path, '{LICENCE_FILE}') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path, licence) = 1),
 near AS (SELECT d.dir, above, dir_licence FROM (SELECT DISTINCT dir FROM t) d JOIN l ON starts_with(d.dir, above) QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(above) DESC) = 1)
