@@ -82,29 +82,38 @@ def fit(texts: pa.Array, labels: list[int], bits: int = BITS, epochs: int = 3) -
     for i in range(len(labels)):
         own, _ = features(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), bits)
         buckets, counts = np.unique(own, return_counts=True)
-        rows.append((np.append(buckets, 1 << bits), np.append(counts / np.sqrt(max(1, own.size)), 1.0)))
+        rows.append((np.append(buckets, 1 << bits).astype(np.int32), np.append(counts / np.sqrt(max(1, own.size)), 1.0).astype(np.float32)))
     for _ in range(epochs):
         for (buckets, values), label in zip(rows, labels):
             model.learn(buckets, values, label)
     return model.weights()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> pa.Table:
-    """At most `sample` labelled texts, chosen and ordered by a hash of doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
+    """At most `sample` labelled texts (text, y), chosen and ordered by a hash of doc_id."""
     picked = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & (crc_mod("doc_id", 5) != 0))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(sample)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(sample).select("text", "y").toArrow()
+    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return joined.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(sample).select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    rows = training_rows(docs, labels, label, sample).combine_chunks()
-    if not rows.num_rows:
-        return np.zeros((1 << BITS) + 1)
-    return fit(rows.column(0).chunk(0), rows.column(1).to_pylist())
+    """Fits the model in one task over the bounded sample; only the weights come to the driver."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            weights = fit(rows.column(0).chunk(0), rows.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["weights"])
+
+    found = training_rows(docs, labels, label, sample).mapInArrow(run, "weights binary").collect()
+    return np.frombuffer(found[0].weights, np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def text_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -118,7 +127,7 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
     """doc_id and the score of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(weights.astype(np.float32))
+    sent = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in at.pieces(batches, "text", PIECE_BYTES):
@@ -132,7 +141,7 @@ def keep_quality(docs: DataFrame, weights: np.ndarray, threshold: float = THRESH
     """The rows, with all their columns, whose score is at least the threshold."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(weights.astype(np.float32))
+    sent = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in at.pieces(batches, "text", PIECE_BYTES):
