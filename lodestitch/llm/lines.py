@@ -8,9 +8,11 @@ Method. The distinct lines are split into edits + 1 segments; each segment is
 indexed under its text, number and the line's length. A line probes the
 indexes of its own and the `edits` shorter lengths with those substrings whose
 places can still lead to `edits` edits (multi-match-aware selection). What
-shares a key is a candidate; a key of more than HOT lines is first refined: each edit changes the letters of at most two of GROUPS
-classes of characters, so at least two classes agree in full, and pairs of
-classes extend the key. Candidates are verified by a banded bit-parallel
+shares a key is a candidate; a key of more than HOT lines is first refined:
+the letters a to z fall into 2 * edits + 2 classes, an edit changes the counts
+of two classes at most, so two classes at least agree in full, and pairs of
+classes extend the key. The letter counts of any candidates may differ by
+2 * edits in all; what passes is verified by a banded bit-parallel
 automaton: one BIGINT holds, for each number of edits, the reachable diagonals
 of the band.
 
@@ -36,7 +38,7 @@ from .tables import cut, kept_table, table
 EDITS = 2
 MIN_CHARS = 24
 #: Lines under one segment key from which on the key is refined.
-HOT = 48
+HOT = 8
 #: Ids that may be broadcast, some 64 MB; beyond, a shuffled join takes their place.
 BROADCAST_ROWS = 2_000_000
 
@@ -50,35 +52,41 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode_outer(split_lines("text")).alias("pos", "line"))
 
 
-def _segment(length: str, i: int, edits: int) -> tuple[str, str]:
-    """Start (from 1) and size of segment i (from 1) of a line: equal parts, the longer ones last."""
-    n = edits + 1
-    base, rest = f"({length} div {n})", f"({length} % {n})"
-    return f"(1 + {i - 1} * {base} + greatest(0, {i - 1 - n} + {rest}))", f"({base} + if({i} > {n} - {rest}, 1, 0))"
+def _segments(lines: DataFrame, edits: int, shorter: int) -> DataFrame:
+    """lines (line, id, n) with the starts (from 1) and sizes of the segments of lengths n to n - shorter: equal parts, the longer ones last."""
+    m = edits + 1
+    parts = lines
+    for less in range(shorter + 1):
+        parts = parts.withColumn(f"base_{less}", F.expr(f"cast((n - {less}) div {m} as int)"))
+    columns = {}
+    for less in range(shorter + 1):
+        for i in range(1, m + 1):
+            rest = f"(n - {less} - {m} * base_{less})"
+            columns[f"start_{less}_{i}"] = F.expr(f"1 + {i - 1} * base_{less} + greatest(0, {i - 1 - m} + {rest})")
+            columns[f"size_{less}_{i}"] = F.expr(f"base_{less} + if({rest} > {m - i}, 1, 0)")
+    return parts.withColumns(columns)
 
 
-def _key(start: str, size: str, i: int, length: str) -> str:
-    return f"xxhash64(substring(line, cast({start} as int), cast({size} as int)), {i}, cast({length} as int))"
+def _key(less: int, i: int, shift: int) -> str:
+    return f"xxhash64(substring(line, start_{less}_{i} + {shift}, size_{less}_{i}), {i}, n - {less})"
 
 
-def index_keys(edits: int) -> str:
-    keys = []
-    for i in range(1, edits + 2):
-        start, size = _segment("n", i, edits)
-        keys.append(_key(start, size, i, "n"))
-    return f"array({', '.join(keys)})"
+def index_rows(lines: DataFrame, edits: int) -> DataFrame:
+    """id and key of each segment of each line."""
+    keys = [_key(0, i, 0) for i in range(1, edits + 2)]
+    return _segments(lines, edits, 0).select("id", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
 
 
-def probe_keys(edits: int, min_chars: int) -> str:
-    keys = []
+def probe_rows(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """id and key of each substring that can be a segment of a line as long or up to `edits` shorter."""
+    arrays = []
     for less in range(edits + 1):
-        length = f"(n - {less})"
+        keys = []
         for i in range(1, edits + 2):
-            start, size = _segment(length, i, edits)
-            low = max(-(i - 1), less - (edits + 1 - i))
-            high = min(i - 1, less + edits + 1 - i)
-            keys += [f"if({length} >= {min_chars}, {_key(f'({start} + {shift})', size, i, length)}, null)" for shift in range(low, high + 1)]
-    return f"array({', '.join(keys)})"
+            low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i)
+            keys += [_key(less, i, shift) for shift in range(low, high + 1)]
+        arrays.append(f"if(n >= {min_chars + less}, array({', '.join(keys)}), array())")
+    return _segments(lines, edits, edits).select("id", F.explode(F.expr(f"concat({', '.join(arrays)})")).alias("key"))
 
 
 def within_edits(x: str, y: str, edits: int) -> Column:
@@ -102,12 +110,21 @@ def within_edits(x: str, y: str, edits: int) -> Column:
     return F.expr(f"abs(length({x}) - length({y})) <= {edits} and ({x} = {y} or length({y}) = 0 or {final} = 1L)")
 
 
+def _letter_counts() -> Column:
+    return F.expr("transform(split('abcdefghijklmnopqrstuvwxyz', ''), c -> length(line) - length(replace(line, c, '')))")
+
+
 def _class_keys(edits: int) -> str:
-    """Hashes of the sorted characters of each class, in pairs: 2 * edits + 2 classes, of which two at least agree."""
+    """The key with the counts of each pair of letter classes, of which one pair at least is alike in lines within `edits` edits."""
     n = 2 * edits + 2
-    sums = ", ".join(f"xxhash64(array_join(array_sort(filter(split(line, ''), c -> ascii(c) % {n} = {g})), ''))" for g in range(n))
-    pairs = ", ".join(f"xxhash64(key, {a}, {b}, g[{a}], g[{b}])" for a, b in combinations(range(n), 2))
-    return f"transform(array(array({sums})), g -> array({pairs}))[0]"
+    own = [f"xxhash64({', '.join(f'counts[{k}]' for k in range(g, 26, n))})" for g in range(n)]
+    pairs = [f"xxhash64(key, {a}, {b}, h[{a}], h[{b}])" for a, b in combinations(range(n), 2)]
+    return f"transform(array(array({', '.join(own)})), h -> array({', '.join(pairs)}))[0]"
+
+
+def _alike(x: str, y: str, edits: int) -> str:
+    """Whether letter counts allow `edits` edits: a replacement changes two, an insertion or deletion one."""
+    return " + ".join(f"abs({x}[{k}] - {y}[{k}])" for k in range(26)) + f" <= {2 * edits}"
 
 
 def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -122,8 +139,8 @@ def near_pairs(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         raise ValueError("a line needs a character for each segment")
     texts = docs.select(F.explode(split_lines("text")).alias("line")).where(F.length("line") >= min_chars)
     lines = texts.distinct().select("line", F.xxhash64("line").alias("id"), F.length("line").alias("n"))
-    index = lines.select("id", F.explode(F.expr(index_keys(edits))).alias("key"))
-    probe = lines.select("id", F.explode(F.expr(probe_keys(edits, min_chars))).alias("key")).where("key is not null")
+    index = index_rows(lines, edits)
+    probe = probe_rows(lines, edits, min_chars)
     sized = index.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
     few = sized.where(F.col("size") <= hot).select("key", F.col("id").alias("other"))
     found = probe.join(few, "key").where("id != other").select(F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("key"), "id", "other")
@@ -135,26 +152,29 @@ def near_pairs(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
 
     named = texts.select("line", F.xxhash64("line").alias("id"))
     hot_rows = kept.where("kind > 0")
-    hot_lines = _only(named, hot_rows.select("id").distinct())
-    keyed = hot_rows.join(hot_lines, "id").select("kind", "id", F.explode(F.expr(_class_keys(edits))).alias("fine"))
-    refined = keyed.where("kind = 2").select("fine", "id").distinct().join(keyed.where("kind = 1").select("fine", F.col("id").alias("other")).distinct(), "fine").where("id != other")
+    counted = cut(_only(named, hot_rows.select("id").distinct()).select("id", _letter_counts().alias("counts")))
+    keyed = hot_rows.select("kind", "key", "id").join(counted, "id").select("kind", "id", "counts", F.explode(F.expr(_class_keys(edits))).alias("fine"))
+    theirs = keyed.where("kind = 1").select("fine", F.col("id").alias("other"), F.col("counts").alias("their_counts"))
+    refined = keyed.where("kind = 2").join(theirs, "fine").where(f"id != other and {_alike('counts', 'their_counts', edits)}")
     pairs = kept.where("kind = 0").select("id", "other").unionByName(refined.select("id", "other"))
     pairs = cut(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-    chosen = _only(named, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    x = chosen.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    y = chosen.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(within_edits("x", "y", edits)).select("x", "y")
+    chosen = cut(_only(named, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).withColumn("counts", _letter_counts()))
+    x = chosen.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("counts").alias("x_counts"))
+    y = chosen.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("counts").alias("y_counts"))
+    # two steps, so that the letter counts are compared before any line is split
+    alike = pairs.join(x, "a").join(y, "b").where(_alike("x_counts", "y_counts", edits))
+    return alike.where(within_edits("x", "y", edits)).select("x", "y")
 
 
 def _line_key(c: str) -> list[Column]:
     """128 bits that stand for a line."""
-    return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("line"), F.reverse(c)).alias("h2")]
+    return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("line"), c).alias("h2")]
 
 
 def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, pos, exact (the line stands earlier), near (a near line stands earlier than its first), links (near lines)."""
-    place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(str(1 << 31)).cast("decimal(10,0)") + F.col("pos")).alias("place")
-    seen = occurrences(docs).select("doc_id", "pos", *_line_key("line"), place)
+    place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(str(1 << 31)).cast("decimal(10,0)") + F.col("pos"))
+    seen = kept_table(occurrences(docs).select("doc_id", "pos", *_line_key("line")), "line-places").withColumn("place", place)
     firsts = seen.where("pos is not null").groupBy("h1", "h2").agg(F.min("place").alias("first"))
     pairs = cut(near_pairs(docs, edits, min_chars).select(F.struct(*_line_key("x")).alias("a"), F.struct(*_line_key("y")).alias("b")))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a.h1", "a.h2", "b")
