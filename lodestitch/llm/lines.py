@@ -9,9 +9,9 @@ indexed under its text, number and the line's length. A line probes the
 indexes of its own and the `edits` shorter lengths with those substrings whose
 places can still lead to `edits` edits (multi-match-aware selection). What
 shares a key is a candidate; a key of more than HOT lines is first refined:
-the letters a to z fall into 2 * edits + 2 classes, an edit changes the counts
-of two classes at most, so two classes at least agree in full, and pairs of
-classes extend the key. The letter counts of any candidates may differ by
+the letters a to z fall into 2 * edits + 1 classes, an edit changes the counts
+of two classes at most, so one class at least agrees in full, and the counts
+of each class extend the key. The letter counts of any candidates may differ by
 2 * edits in all; what passes is verified by a banded bit-parallel
 automaton: one BIGINT holds, for each number of edits, the reachable diagonals
 of the band.
@@ -28,8 +28,6 @@ Any other columns are left alone.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,11 +113,10 @@ def _letter_counts() -> Column:
 
 
 def _class_keys(edits: int) -> str:
-    """The key with the counts of each pair of letter classes, of which one pair at least is alike in lines within `edits` edits."""
-    n = 2 * edits + 2
-    own = [f"xxhash64({', '.join(f'counts[{k}]' for k in range(g, 26, n))})" for g in range(n)]
-    pairs = [f"xxhash64(key, {a}, {b}, h[{a}], h[{b}])" for a, b in combinations(range(n), 2)]
-    return f"transform(array(array({', '.join(own)})), h -> array({', '.join(pairs)}))[0]"
+    """The key with the counts of each letter class, of which one at least is alike in lines within `edits` edits."""
+    n = 2 * edits + 1
+    own = [f"xxhash64(key, {g}, {', '.join(f'counts[{k}]' for k in range(g, 26, n))})" for g in range(n)]
+    return f"array({', '.join(own)})"
 
 
 def _alike(x: str, y: str, edits: int) -> str:
