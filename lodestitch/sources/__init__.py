@@ -1,3 +1,3 @@
-from .readers import READERS, envelope, ingest, load_catalog, read_source, reader, register
+from .readers import READERS, envelope, ingest, ingest_log, load_catalog, read_source, reader, register
 
-__all__ = ["READERS", "envelope", "ingest", "load_catalog", "read_source", "reader", "register"]
+__all__ = ["READERS", "envelope", "ingest", "ingest_log", "load_catalog", "read_source", "reader", "register"]

@@ -266,3 +266,20 @@ def ingest(spark: SparkSession, sources: list[dict]) -> DataFrame:
         if source.get("enabled", True):
             out = out.unionByName(read_source(spark, source))
     return out
+
+
+def skip_reason(spark: SparkSession, source: dict) -> str | None:
+    """Why a source gives no rows, without being an error; None if it has something to read."""
+    config = source.get("config") or {}
+    if not source.get("enabled", True):
+        return "disabled"
+    path = config.get("path") or config.get("texts")
+    if not path:
+        return "not configured"
+    return None if exists(spark, path) else "nothing has landed"
+
+
+def ingest_log(spark: SparkSession, sources: list[dict], at: str) -> DataFrame:
+    """A row for each source of a run: source_id, ts and the reason for which it was skipped, if it was."""
+    rows = [(s["id"], skip_reason(spark, s)) for s in sources]
+    return spark.createDataFrame(rows, "source_id string, error string").select("source_id", F.lit(at).cast("timestamp").alias("ts"), "error")

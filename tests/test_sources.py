@@ -90,9 +90,17 @@ def test_registry_and_staging(spark, tmp_path):
     staged = staging.stage(raw, catalog)
     assert {(r.entity_type, r.status) for r in staged.collect()} == {("incident", "pending")}
     assert staged.count() == 2 and staging.unique_records(staged).count() == 1 and staging.content_dedup(staged).count() == 1
+    log = readers.ingest_log(spark, [*sources, {"id": "s4", "adapter": "csv", "config": {"path": str(tmp_path / "none")}}], "2024-01-01 00:00:00")
+    assert {r.source_id: r.error for r in log.collect()} == {"s1": None, "s2": "disabled", "s3": "not configured", "s4": "nothing has landed"}
     assert {r.source_id: r.n_rows for r in staging.source_counts(catalog, staged).collect()} == {"s1": 2, "s3": 0}
 
 
+def test_catalog(spark, tmp_path):
+    (tmp_path / "catalog.json").write_text(json.dumps({"id": "s", "adapter": "csv", "config": {"path": "p"}}) + "\n")
+    row = readers.load_catalog(spark, str(tmp_path / "catalog.json")).first()
+    assert (row.id, row.enabled, row.config) == ("s", None, {"path": "p"})
+
+
 def test_upsert_and_outcomes(spark):
     stored = spark.createDataFrame([("a", "A", "c", "x", "auto"), ("b", "B", "c", "x", "auto")], "id string, name string, category string, adapter string, access_mode string")
     catalog = spark.createDataFrame([("b", "B2", None, "y", None), ("n", None, None, None, None)], "id string, name string, category string, adapter string, access_mode string")
