@@ -65,6 +65,8 @@ def csv_rows(spark: SparkSession, config: dict) -> DataFrame:
     """Each row as {"row": {...}}; all values stay text."""
     if not exists(spark, config.get("path", "")):
         return empty(spark, "raw_envelope")
+    if not spark.read.options(**_files(config, ".csv")).text(config["path"]).inputFiles():
+        return empty(spark, "raw_envelope")  # without a file there is no header to take columns from
     df = spark.read.options(header=True, **_files(config, ".csv")).csv(config["path"])
     return envelope(df, jsonx.row_json([f"`{c}`" for c in df.columns]), file_path=F.col("_metadata.file_path"))
 
