@@ -8,11 +8,15 @@ partitions. Thresholds per partition, which may be unequal (-1: not probed),
 are allocated by dynamic programming so that they sum to distance - PARTS + 1,
 with the least estimated number of candidates: from the histogram of each
 partition's values over all fingerprints. Records meet under the keys of their
-partition's value and of its neighbours up to the threshold. Buckets of more
-than BUCKET different fingerprints are split again by the bits not used so far
-(plain pigeonhole), at most until FEW bits are left, which bounds a bucket. In a bucket, pairs are verified by the whole fingerprints and only a
-spanning forest of the links is kept, never all pairs. Components come from
-alternating large and small stars, checkpointed each round.
+partition's value and of its neighbours: both sides go half of the threshold,
+rounded up, so two values that differ by the whole of it share a key. Buckets
+of more than BUCKET different fingerprints are split again by the bits not used
+so far (plain pigeonhole), at most until FEW bits are left, which bounds a
+bucket. For distances of PARTS bits and more such keys would be too short, so
+a large bucket is dealt to pairs of blocks of at most BUCKET / 2 each. In a
+bucket, pairs are verified by the whole fingerprints and only a spanning forest
+of the links is kept, never all pairs. Components come from alternating large
+and small stars, checkpointed each round.
 
 Rows: a null or empty text has fingerprint zero, linked like any other. Every
 row gets a row. A null doc_id is in a group but never its component id, which
@@ -34,6 +38,8 @@ from .tables import cut, kept_table, small_batches, table
 
 SHINGLE = 3
 DISTANCE = 3
+#: Bits that may differ where documents are dropped: near copies of 0.8 by five-word shingles mostly differ in 9 or fewer.
+WIDE = 9
 PARTS = 4
 #: Different fingerprints that one bucket compares with each other.
 BUCKET = 4_096
@@ -133,6 +139,11 @@ def candidate_counts(histogram: np.ndarray, most: int) -> list[float]:
     return np.cumsum([float(histogram @ x) for x in at_distance]).tolist()
 
 
+def _radius(threshold: int) -> int:
+    """How far each side's keys go from its own value."""
+    return (threshold + 1) // 2
+
+
 def allocate(costs: list[list[float]], distance: int) -> list[int]:
     """Thresholds of least total cost with sum(threshold + 1) = distance + 1; costs[i][t + 1] is that of threshold t."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -150,33 +161,34 @@ def allocate(costs: list[list[float]], distance: int) -> list[int]:
 def plan_partitions(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> list[tuple[list[int], int]]:
     """Partitions of the bits with their thresholds. Histograms have at most parts * 2**(64 / parts) rows."""
     groups = correlated_parts(nodes, parts)
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _value(g).alias("value")) for i, g in enumerate(groups)])).alias("x")
-    counted = nodes.select(pairs).groupBy("x.part", "x.value").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _value(g).alias("value")) for i, g in enumerate(groups)])).alias("x")
+    counted = nodes.select(values).groupBy("x.part", "x.value").agg(F.count(F.lit(1)).alias("n")).toArrow()
     part, value, n = (counted.column(c).to_numpy() for c in ("part", "value", "n"))
     costs = []
     for i, g in enumerate(groups):
         own = np.zeros(1 << len(g), np.int64)
         own[value[part == i]] = n[part == i]
-        probes = np.cumsum([float(np.prod([(len(g) - k) / (k + 1) for k in range(t)])) for t in range(distance + 1)])
-        costs.append([0.0, *(c + own.sum() * p for c, p in zip(candidate_counts(own, distance), probes))])
+        probes = np.cumsum([float(np.prod([(len(g) - k) / (k + 1) for k in range(r)])) for r in range(_radius(distance) + 1)])
+        pairs = candidate_counts(own, 2 * _radius(distance))
+        costs.append([0.0, *(pairs[2 * _radius(t)] + own.sum() * probes[_radius(t)] for t in range(distance + 1))])
     return list(zip(groups, allocate(costs, distance)))
 
 
 def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """key, used (mask of the bits in the key) and fp: one row for each partition, and each neighbour within its threshold."""
+    """key, used (mask of the bits in the key) and fp: one row for each partition, and each neighbour within its radius."""
     rows = []
     for i, (bits, most) in enumerate(plan):
         if most < 0:
             continue
-        used = sum(1 << b for b in bits)
+        used, radius = sum(1 << b for b in bits), _radius(most)
         flips = [0]
-        for _ in range(most):
+        for _ in range(radius):
             flips = sorted({f ^ (1 << k) for f in flips for k in range(len(bits))} | set(flips))
         used = used - (1 << 64) if used >> 63 else used
         valued = nodes.select(_value(bits).alias("value"), "fp")
         values = F.explode(F.array(*[F.col("value").bitwiseXOR(F.lit(f).cast("bigint")) for f in flips])).alias("value")
         # a neighbour's key fixes no bit of the record itself
-        rows.append(valued.select(values, "fp").select(F.xxhash64(F.lit(i), "value").alias("key"), F.lit(used if most == 0 else 0).cast("bigint").alias("used"), "fp"))
+        rows.append(valued.select(values, "fp").select(F.xxhash64(F.lit(i), "value").alias("key"), F.lit(used if radius == 0 else 0).cast("bigint").alias("used"), "fp"))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
@@ -202,6 +214,14 @@ def _refined(rows: DataFrame, distance: int) -> DataFrame:
     return rows.select("key", "used", "fp").mapInArrow(run, "key bigint, used bigint, fp bigint")
 
 
+def _block_pairs(rows: DataFrame, sizes: DataFrame, bucket: int) -> DataFrame:
+    """Rows of large buckets under a key for each pair of their bucket's blocks that holds their own block."""
+    told = rows.join(sizes.withColumn("blocks", F.ceil(F.col("count") * 2.5 / bucket).cast("int")), "key")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pairs = told.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "used", "fp")
+
+
 def _linked(key: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
     """Rows sorted by key: for each the least row of its key that links reach from it."""
     label = np.arange(key.size)
@@ -250,17 +270,19 @@ def _bucket_links(rows: DataFrame, distance: int) -> DataFrame:
 def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
     """A spanning part of the links among different fingerprints: u and v."""
     plan = plan_partitions(nodes, distance, parts)
-    rows, out = _keys(nodes, plan).distinct(), None
+    rows, out = _keys(nodes, plan), None
     free = 64 if any(t > 0 for _, t in plan) else 64 - 64 // parts
     while True:
-        large = rows.groupBy("key").count().where(F.col("count") > bucket).select("key")
-        large = cut(large) if free > FEW else None
-        if large is None or large.isEmpty():
+        sizes = rows.groupBy("key").count().where(F.col("count") > bucket)
+        sizes = cut(sizes) if free > FEW else None
+        if sizes is None or sizes.isEmpty():
             found = _bucket_links(rows, distance)
             return found if out is None else out.unionByName(found)
-        found = _bucket_links(rows.join(large, "key", "left_anti"), distance)
+        found = _bucket_links(rows.join(sizes, "key", "left_anti"), distance)
         out = found if out is None else out.unionByName(found)
-        rows = _refined(rows.join(large, "key", "left_semi"), distance)
+        if distance >= parts:
+            return out.unionByName(_bucket_links(_block_pairs(rows, sizes, bucket), distance))
+        rows = _refined(rows.join(sizes, "key", "left_semi"), distance)
         free -= free // (distance + 1)
 
 
@@ -292,7 +314,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return prints.join(labelled.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup_documents(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def dedup_documents(docs: DataFrame, shingle: int = SHINGLE, distance: int = WIDE) -> DataFrame:
     """One document of each component, that of the least doc_id, with all its columns; a component without any doc_id stays."""
     keep = near_duplicates(docs, shingle, distance).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

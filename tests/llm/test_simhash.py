@@ -49,7 +49,9 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert got == {d: (f"{p:016x}", roots[d]) for d, p in prints.items()}
     assert len(set(roots.values())) < len(texts) - 10
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted(r.doc_id for r in simhash.dedup_documents(docs).collect()) == sorted(set(roots.values()))
+    assert sorted(r.doc_id for r in simhash.dedup_documents(docs, distance=3).collect()) == sorted(set(roots.values()))
+    wide = set(_groups(prints, simhash.WIDE).values())
+    assert sorted(r.doc_id for r in simhash.dedup_documents(docs).collect()) == sorted(wide) and len(wide) < len(set(roots.values()))
 
 
 def _nodes(spark, prints):
@@ -69,6 +71,17 @@ def test_small_buckets_and_correlated_bits_lose_no_link(spark):
     assert by_root(got) == [g for g in by_root(want) if len(g) > 1]
 
 
+def test_wide_distances_lose_no_link(spark):
+    rng = random.Random(13)
+    prints = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(4, 9))) for c in (0, (1 << 64) - 1, 0x0F0F0F0F0F0F0F0F) for _ in range(40)} | {rng.getrandbits(64) for _ in range(60)}
+    for distance in (5, 9):
+        for bucket in (4096, 6):
+            got = {r.node & (1 << 64) - 1: r.root for r in simhash.components(simhash.fingerprint_links(_nodes(spark, prints), distance, bucket=bucket)).collect()}
+            want = _groups({p: p for p in prints}, distance)
+            assert len(got) == sum(list(want.values()).count(r) > 1 for r in want.values())
+            assert len(set(got.values())) == len({r for r in want.values() if list(want.values()).count(r) > 1})
+
+
 def test_allocation():
     assert sum(t + 1 for t in simhash.allocate([[0, 5, 9, 20, 50]] * 4, 3)) == 4
     assert simhash.allocate([[0, 100, 200, 300, 400], [0, 1, 2, 3, 4]], 3) == [-1, 3]
