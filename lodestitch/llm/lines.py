@@ -138,14 +138,15 @@ def near_pairs(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     lines = texts.distinct().select("line", F.xxhash64("line").alias("id"), F.length("line").alias("n"))
     index = index_rows(lines, edits)
     probe = probe_rows(lines, edits, min_chars)
-    sized = index.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    few = sized.where(F.col("size") <= hot).select("key", F.col("id").alias("other"))
-    found = probe.join(few, "key").where("id != other").select(F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("key"), "id", "other")
-    many = sized.where(F.col("size") > hot).select("key", "id")
-    hot_probe = probe.join(many.select("key").distinct(), "key", "left_semi")
-    nothing = F.lit(None).cast("bigint").alias("other")
+    own = Window.partitionBy("key")
+    sized = index.withColumns({"size": F.count(F.lit(1)).over(own), "least": F.min("id").over(own)})
+    is_hot = F.col("size") > hot
+    # a hot key is met once, by its least id, so that probes are read and sorted once for both kinds of key
+    met = probe.join(sized.where(~is_hot | (F.col("id") == F.col("least"))).select("key", F.col("id").alias("other"), is_hot.alias("hot")), "key").where("hot or id != other")
+    found = met.select(F.when(F.col("hot"), 2).otherwise(0).alias("kind"), F.when(F.col("hot"), F.col("key")).alias("key"), "id", F.when(~F.col("hot"), F.col("other")).alias("other"))
+    many = sized.where(is_hot).select(F.lit(1).alias("kind"), "key", "id", F.lit(None).cast("bigint").alias("other"))
     # one table: candidates (0), and the index (1) and probe (2) rows of hot keys
-    kept = kept_table(found.unionByName(many.select(F.lit(1).alias("kind"), "key", "id", nothing)).unionByName(hot_probe.select(F.lit(2).alias("kind"), "key", "id", nothing)), "line-candidates")
+    kept = kept_table(found.unionByName(many), "line-candidates")
 
     named = texts.select("line", F.xxhash64("line").alias("id"))
     hot_rows = kept.where("kind > 0")
