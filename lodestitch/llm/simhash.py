@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
@@ -40,6 +40,11 @@ SHINGLE = 3
 DISTANCE = 3
 #: Bits that may differ where documents are dropped: near copies of 0.8 by five-word shingles mostly differ in 9 or fewer.
 WIDE = 9
+#: Similarity of word shingles from which on a document is a near copy of one that stays: ALIKE[0] / ALIKE[1] by shingles of WORDS words.
+ALIKE = (4, 5)
+WORDS = 5
+#: Documents of a candidate group that the others are compared with in the first round, and the factor of each further round.
+LEADERS = 4
 PARTS = 4
 #: Different fingerprints that one bucket compares with each other.
 BUCKET = 4_096
@@ -48,8 +53,8 @@ PIECE_BYTES = 1 << 20
 _HASH = xxhash.xxh64_digest
 
 
-def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """Majority bits of each text's shingles, as unsigned 64-bit numbers."""
+def _joined_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased words joined by single blanks, where each starts and ends, and the first word of each text."""
     data = at.LOWER[data]
     starts, ends = at.runs(~at.BLANK[data], offsets)
     firsts = at.per_text(offsets, starts)
@@ -60,13 +65,21 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHIN
     word = np.repeat(np.arange(starts.size), ends - starts)
     inside = ~at.BLANK[data]
     joined[np.flatnonzero(inside) - starts[word] + to[:-1][word]] = data[inside]
-    starts, ends, raw = to[:-1], to[1:] - 1, joined.tobytes()
+    return joined.tobytes(), to[:-1], to[1:] - 1, firsts
+
+
+def _shingle_hashes(words: tuple[bytes, np.ndarray, np.ndarray, np.ndarray], shingle: int) -> tuple[bytes, np.ndarray]:
+    """The digests of all shingles, text by text, and how many each text has; fewer words than a shingle count as one."""
+    raw, starts, ends, firsts = words
     n = np.diff(firsts)
     count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     begin = np.repeat(firsts[:-1] - np.cumsum(count) + count, count) + np.arange(count.sum())
     last = begin + np.repeat(np.minimum(n, shingle), count) - 1
-    hashes = b"".join([_HASH(raw[s:e], 42) for s, e in zip(starts[begin].tolist(), ends[last].tolist())])
-    out = np.zeros(len(n), np.uint64)
+    return b"".join([_HASH(raw[s:e], 42) for s, e in zip(starts[begin].tolist(), ends[last].tolist())]), count
+
+
+def _majority(hashes: bytes, count: np.ndarray) -> np.ndarray:
+    out = np.zeros(count.size, np.uint64)
     full = np.flatnonzero(count)
     if full.size:
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
@@ -76,6 +89,11 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHIN
     return out
 
 
+def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """Majority bits of each text's shingles, as unsigned 64-bit numbers."""
+    return _majority(*_shingle_hashes(_joined_words(data, offsets), shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (64 bits, as a signed number) of every row."""
     small_batches(docs.sparkSession)
@@ -320,6 +338,104 @@ def dedup_documents(docs: DataFrame, shingle: int = SHINGLE, distance: int = WID
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
+def _text_key() -> list[Column]:
+    """128 bits that stand for a row's text."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")]
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, key (128 bits of the words), n_words and fp of every row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in at.pieces(batches, "text", PIECE_BYTES):
+            raw, starts, ends, firsts = words = _joined_words(data, offsets)
+            n = np.diff(firsts)
+            keys = [xxhash.xxh3_128_digest(raw[starts[f] : ends[f + k - 1]] if k else b"") for f, k in zip(firsts[:-1].tolist(), n.tolist())]
+            prints = _majority(*_shingle_hashes(words, SHINGLE))
+            kept = [rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "t1", "t2")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "t1", "t2", "key", "n_words", "fp"])
+
+    narrow = docs.select("doc_id", "text", *_text_key())
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, t1 bigint, t2 bigint, key binary, n_words bigint, fp bigint")
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """key and grams, the different shingles of WORDS words (64 bits each), of rows with key and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in at.pieces(batches, "text", PIECE_BYTES):
+            hashes, count = _shingle_hashes(_joined_words(data, offsets), WORDS)
+            own = [np.unique(x) for x in np.split(np.frombuffer(hashes, np.int64), np.cumsum(count)[:-1])]
+            to = np.concatenate([[0], np.cumsum([x.size for x in own])]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(own)))
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("key")), grams], names=["key", "grams"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, grams array<bigint>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (key, leader) whose shingles are alike, by the whole sets."""
+    mine = sets.select("key", F.col("grams").alias("a"))
+    theirs = sets.select(F.col("key").alias("leader"), F.col("grams").alias("b"))
+    least, of = ALIKE
+    both = F.size(F.array_intersect("a", "b"))
+    # shared / (a + b - shared) >= least / of, in whole numbers
+    return pairs.join(mine, "key").join(theirs, "leader").where(both * (least + of) >= (F.size("a") + F.size("b")) * least)
+
+
+def near_copies(docs: DataFrame, distance: int = WIDE) -> DataFrame:
+    """doc_id, t1 and t2 of the rows that go: the words of a row of a lesser doc_id, or a near copy of a row that stays.
+
+    Fingerprints within `distance` bits are candidates only. In the order of
+    doc_id (null last), a text stays unless it is alike with one that stays:
+    so each that goes has a near copy that stays, and no two candidates that
+    stay are alike. Components bound where candidates are looked for.
+    """
+    spark = docs.sparkSession
+    rows = kept_table(_described(docs), "near-copies").where("n_words > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    nodes = cut(rows.groupBy("key").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n")))
+    long = nodes.where(F.col("n_words") >= WORDS)
+    roots = components(fingerprint_links(long.select("fp").distinct(), distance))
+    grouped = long.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"), F.struct("first", "key").alias("place"))
+    several = lambda pool: cut(pool.join(pool.groupBy("root").count().where("count > 1").select("root"), "root", "left_semi"))
+    pool, gone, leaders = several(grouped), [], LEADERS
+    if not pool.isEmpty():
+        one = rows.join(pool.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("t1", "t2")).alias("t")).select("key", "t.*")
+        keyed = docs.select("text", *_text_key()).join(one, ["t1", "t2"]).select("key", "text")
+        sets = kept_table(_shingle_sets(keyed).dropDuplicates(["key"]), "near-copy-shingles")
+    while not pool.isEmpty():
+        # the first of each part first, so that a large group is not one task
+        near = pool.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64)))
+        near = near.withColumn("nth", F.row_number().over(Window.partitionBy("root", "part").orderBy("place"))).where(F.col("nth") <= leaders)
+        first = near.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy("place"))).where(F.col("nth") <= leaders)
+        first = cut(first.select("root", F.col("key").alias("leader"), F.col("fp").alias("leader_fp"), F.col("place").alias("leader_place"), "nth"))
+        close = F.bit_count(F.col("fp").bitwiseXOR(F.col("leader_fp"))) <= distance
+        pairs = pool.join(first, "root").where((F.col("leader_place") < F.col("place")) & close).select("root", "key", "leader", "nth")
+        alike = cut(_alike(pairs, sets).select("root", "key", "leader", "nth"))
+        # leaders in their order: one stays unless it is alike with one that stays
+        own = alike.groupBy("key").agg(F.collect_list("nth").alias("near"))
+        ranked = first.join(own.withColumnRenamed("key", "leader"), "leader", "left").select("root", F.struct("nth", F.coalesce("near", F.array().cast("array<int>")).alias("near")).alias("x"))
+        chosen = F.expr("aggregate(array_sort(collect_list(x)), cast(array() as array<int>), (s, x) -> if(arrays_overlap(s, x.near), s, concat(s, array(x.nth))))")
+        stay = ranked.groupBy("root").agg(chosen.alias("stay")).select("root", F.explode("stay").alias("nth"))
+        out = cut(alike.join(stay, ["root", "nth"], "left_semi").select("key").distinct())
+        gone.append(out)
+        rest = pool.join(first.select(F.col("leader").alias("key")), "key", "left_anti").join(out, "key", "left_anti")
+        pool, leaders = several(rest), leaders * LEADERS
+    dropped = gone[0] if gone else spark.createDataFrame([], "key binary")
+    for more in gone[1:]:
+        dropped = dropped.unionByName(more)
+    repeats = rows.join(nodes.where("n > 1").select("key", F.col("first.doc_id").alias("kept_id")), "key").where(~F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    return rows.join(dropped, "key", "left_semi").select("doc_id", "t1", "t2").unionByName(repeats.select("doc_id", "t1", "t2")).distinct()
+
+
+def dedup_near_copies(docs: DataFrame, distance: int = WIDE) -> DataFrame:
+    """The rows that are no near copies of a row that stays, with all their columns. Texts without words stay; texts under WORDS words go only for the same words; rows that repeat a doc_id and its words stay together."""
+    gone = cut(near_copies(docs, distance)).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t1")) & (F.xxhash64(F.lit("text"), "text") == F.col("__t2")), "left_anti")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

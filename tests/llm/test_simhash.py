@@ -102,3 +102,38 @@ def test_edges(spark):
     rows = simhash.near_duplicates(docs).orderBy(F.col("doc_id").isNull(), "fp").collect()
     assert sorted(str(r.component_id) for r in rows) == ["5", "5", "5", "None"]
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def _alike(a, b, n=5):
+    a, b = ({tuple(t.lower().split()[k : k + n]) for k in range(len(t.split()) - n + 1)} for t in (a, b))
+    return bool(a) and bool(b) and len(a & b) / len(a | b) >= 0.8
+
+
+def test_near_copies_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEADERS", 2)
+    rng = random.Random(14)
+    texts = [None, "", " ", None, "ab cd", "Ab  CD", "ab ce", "a b c d", "b c d e"]
+    for _ in range(4):
+        base = some_words(rng, 60).split()
+        for _ in range(12):  # many within 9 bits, of which only some are alike
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = some_words(rng, 1)
+            texts.append(" ".join(own))
+    texts += [some_words(rng, k % 4 + 1) for k in range(200)]  # sparse fingerprints
+    got = {r.doc_id for r in simhash.dedup_near_copies(documents(spark, texts).repartition(3)).collect()}
+    prints, kept, same = {d: _print(t) for d, t in enumerate(texts)}, [], set()
+    for d, t in enumerate(texts):
+        words = tuple((t or "").lower().split())
+        if not words:
+            kept.append(d)
+        elif words not in same and not any((prints[d] ^ prints[k]).bit_count() <= simhash.WIDE and _alike(t, texts[k] or "") for k in kept):
+            kept.append(d)
+        same.add(words)
+    assert got == set(kept)
+    assert len([d for d in kept if 9 <= d < 57]) not in (4, 48)  # some are alike, and not all
+    lost = {r.doc_id for r in simhash.dedup_documents(documents(spark, texts)).collect()}
+    assert not {0, 1, 2, 3} <= lost  # fingerprints alone join texts without words
+    rows = spark.createDataFrame([(None, texts[10], 1), (None, texts[30], 2), (7, texts[10], 3), (7, texts[50], 4)], "doc_id bigint, text string, fp int")
+    assert {r.fp for r in simhash.dedup_near_copies(rows).collect()} == {2, 3, 4}
+    assert simhash.dedup_near_copies(spark.createDataFrame([], DOCS)).count() == 0
