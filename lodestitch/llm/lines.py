@@ -21,9 +21,11 @@ row; hot keys are refined rather than cut; joins back to the occurrences are
 plain equi-joins that adaptive execution can split.
 
 Rows: a null text has no lines and stays null; an empty text is one empty line.
-Lines are parted by \\n alone. A null doc_id comes last in the order; rows that
-repeat a doc_id count as one document, of which a position goes in all rows.
-Any other columns are left alone.
+Lines are parted by \\n alone. A null doc_id comes last in the order; rows of
+different text that repeat a doc_id (or have none) come in the order of their
+texts' hashes, and each loses its own lines. Of rows that repeat both, one
+stays. Any other columns are left alone. The query op1_lines counts by its SQL,
+where places are doc_id and position alone.
 """
 
 from __future__ import annotations
@@ -169,32 +171,99 @@ def _line_key(c: str) -> list[Column]:
     return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("line"), c).alias("h2")]
 
 
-def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, pos, exact (the line stands earlier), near (a near line stands earlier than its first), links (near lines)."""
-    place = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(str(1 << 31)).cast("decimal(10,0)") + F.col("pos"))
-    seen = kept_table(occurrences(docs).select("doc_id", "pos", *_line_key("line")), "line-places").withColumn("place", place)
+def _text_key(c: str = "text") -> list[Column]:
+    """128 bits that stand for a row's text."""
+    return [F.xxhash64(c).alias("t1"), F.xxhash64(F.lit("text"), c).alias("t2")]
+
+
+def _ranks(rows: DataFrame) -> DataFrame | None:
+    """doc_id, t1, t2 and nth (0, 1, ... by text hash) of the different texts of each id that has several; None without such ids."""
+    texts = rows.groupBy("doc_id", "t1", "t2").count().drop("count")
+    several = cut(texts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")))
+    if several.isEmpty():
+        return None
+    # places within parts of the hash, and the texts of the parts before: an id of many rows is not one task
+    parted = cut(texts.join(several, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("part", F.shiftright("t1", 52)))
+    before = F.sum("count").over(Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parted.groupBy("doc_id", "part").count().select(F.col("doc_id").alias("__id"), F.col("part").alias("__part"), F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("t1", "t2"))
+    joined = parted.withColumn("own", own).join(starts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("part") == F.col("__part")))
+    return cut(joined.select("doc_id", "t1", "t2", (F.col("start") + F.col("own") - 1).cast("bigint").alias("nth")))
+
+
+def _ranked(rows: DataFrame, ranks: DataFrame | None) -> DataFrame:
+    """rows (doc_id, t1, t2, ...) with nth: 0 for an id of one text."""
+    if ranks is None:
+        return rows.withColumn("nth", F.lit(0).cast("bigint"))
+    # the text is part of the key, so that no id is one task
+    theirs = ranks.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "nth")
+    met = rows.join(theirs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t1") == F.col("__t1")) & (F.col("t2") == F.col("__t2")), "left")
+    return met.withColumn("nth", F.coalesce("nth", F.lit(0).cast("bigint"))).drop("__id", "__t1", "__t2")
+
+
+def row_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, by_row: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Per line doc_id, nth (the row's place among the texts of its id), pos, exact (the line stands earlier), near (a near line stands earlier than its first), links (near lines); and the ranks. Without by_row, rows of one id share their places."""
+    ranks = _ranks(docs.where("text is not null").select("doc_id", *_text_key())) if by_row else None
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    row = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), number(1 << 63)) * number(1 << 31).cast("decimal(10,0)") + F.col("nth")
+    place = row * number(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    told = _ranked(docs.select("doc_id", "text", *_text_key()), ranks)
+    lines = told.select("doc_id", "nth", F.posexplode_outer(split_lines("text")).alias("pos", "line"))
+    seen = kept_table(lines.select("doc_id", "nth", "pos", *_line_key("line")), "line-places").withColumn("place", place)
     firsts = seen.where("pos is not null").groupBy("h1", "h2").agg(F.min("place").alias("first"))
     pairs = cut(near_pairs(docs, edits, min_chars).select(F.struct(*_line_key("x")).alias("a"), F.struct(*_line_key("y")).alias("b")))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a.h1", "a.h2", "b")
     other = firsts.select(F.struct("h1", "h2").alias("b"), F.col("first").alias("theirs"))
     near = both.join(other, "b").groupBy("h1", "h2").agg(F.min("theirs").alias("theirs"), F.count(F.lit(1)).alias("links"))
     known = firsts.join(near, ["h1", "h2"], "left")
-    return seen.join(known, ["h1", "h2"], "left").select(
+    found = seen.join(known, ["h1", "h2"], "left").select(
         "doc_id",
+        "nth",
         "pos",
         (F.col("pos").isNotNull() & (F.col("place") > F.col("first"))).alias("exact"),
         F.coalesce(F.col("theirs") < F.col("first"), F.lit(False)).alias("near"),
         F.coalesce("links", F.lit(0)).alias("links"),
     )
+    return found, ranks
+
+
+def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, pos, exact, near and links as op1's SQL has them: by doc_id and position alone."""
+    return row_decisions(docs, edits, min_chars, by_row=False)[0].drop("nth")
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows without all but one (by the hash of its columns) of those that repeat a doc_id and its text."""
+    keyed = docs.where("text is not null").select("doc_id", *_text_key())
+    repeated = cut(keyed.groupBy("doc_id", "t1", "t2").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")))
+    if repeated.isEmpty():
+        return docs
+    t1, t2 = _text_key()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")) & F.col("text").isNotNull()
+    row = F.struct(*docs.columns)
+    one = docs.join(repeated, same, "left_semi").groupBy("doc_id", *_text_key()).agg(F.min_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias("__row"))
+    return docs.join(repeated, same, "left_anti").unionByName(one.select("__row.*"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows without the lines that go, n_chars (if there is one) counted anew; rows of which no line is left go."""
-    gone = line_decisions(docs, edits, min_chars).where("exact or near").groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"))
+    docs = _without_repeats(docs)
+    found, ranks = row_decisions(docs, edits, min_chars)
+    gone = found.where("exact or near").groupBy("doc_id", "nth").agg(F.collect_set("pos").alias("__gone"))
+    gone = gone.withColumnsRenamed({"doc_id": "__id", "nth": "__nth"})
     lines = split_lines("text")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    if ranks is None:
+        joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").isNotNull(), "left")
+    else:
+        # from the place back to the text, which no two rows of an id share
+        theirs = ranks.select(F.col("doc_id").alias("__doc"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("nth").alias("__n"))
+        keyed = gone.join(theirs, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__nth") == F.col("__n")), "left").select("__id", "__t1", "__t2", "__gone")
+        t1, t2 = _text_key()
+        single = docs.join(keyed.where("__t1 is null").select("__id", "__gone"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").isNotNull(), "left").select(*docs.columns, F.col("__gone").alias("__single"))
+        several = keyed.where("__t1 is not null").withColumnRenamed("__gone", "__several")
+        joined = single.join(several, F.col("doc_id").eqNullSafe(F.col("__id")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")) & F.col("text").isNotNull(), "left").withColumn("__gone", F.coalesce("__single", "__several"))
     out = joined.where(F.col("__gone").isNull() | F.col("text").isNull() | (F.size(kept) > 0)).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -75,3 +75,13 @@ def test_empty_null_ids_and_clashing_columns(spark):
     rows = spark.createDataFrame([(None, "a\nb", 1, "k"), (1, "a", 2, "k"), (1, "c", 3, "k")], "doc_id bigint, text string, pos int, line string")
     got = {(r.doc_id, r.text, r.pos) for r in lines.dedup_lines(rows).collect()}
     assert (None, "b", 1) in got and (1, "a", 2) in got
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    texts = ["alpha\nrepeated line", "beta\nrepeated line", "gamma\nunique line", "delta", "delta\nrepeated line"]
+    for doc_id in (None, 3):
+        rows = [(1, "first\nof all", "en", "s", 0), *((doc_id, t, "en", "s", len(t)) for t in texts), (doc_id, None, "en", "s", None), (doc_id, texts[2], "en", "s", 0), (9, "unique line", "en", "s", 0)]
+        got = [r.text for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()]
+        kept = sorted(x for t in got if t is not None for x in t.split("\n"))
+        assert kept == sorted(["first", "of all", "alpha", "beta", "gamma", "delta", "repeated line", "unique line"])
+        assert got.count(None) == 1
