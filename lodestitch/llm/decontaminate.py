@@ -130,19 +130,20 @@ class Suffixes:
 
 def _benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list, list]]:
     """Items in blocks of a bounded size, read partition by partition."""
-    ids, texts, size = [], [], 0
+    ids, texts, size, some = [], [], 0, False
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
         ids.append(row.i)
         texts.append(row.t or "")
         size += len(texts[-1].encode())
         if size >= block_bytes:
             yield ids, texts
-            ids, texts, size = [], [], 0
-    yield ids, texts
+            ids, texts, size, some = [], [], 0, True
+    if ids or not some:
+        yield ids, texts
 
 
-def _marks(suffixes, doc_id: str, window: int):
-    """mapInArrow: per document the number of words, the marked words as merged ranges, and the items found."""
+def _marks(suffixes, first: bool, last: bool):
+    """mapInArrow: per row the number of words, the marked words as merged ranges, and the items found, joined with those of the blocks before (first: none). The text goes along until the last block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = suffixes.value
@@ -153,12 +154,19 @@ def _marks(suffixes, doc_id: str, window: int):
             change = np.zeros(codes.size + 1, np.int64)
             np.add.at(change, place, 1)
             np.subtract.at(change, place + block.width[found], 1)
+            items: dict[int, set] = {}
+            if not first:
+                before, names = (rows.column(rows.schema.get_field_index(c)) for c in ("hit_words", "item_ids"))
+                owner = np.repeat(firsts[:-1], before.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                spans = before.flatten()
+                np.add.at(change, owner + spans.field("from").to_numpy(zero_copy_only=False), 1)
+                np.subtract.at(change, owner + spans.field("to").to_numpy(zero_copy_only=False), 1)
+                items = {d: set(own) for d, own in enumerate(names.to_pylist()) if own}
             hit = np.cumsum(change)[:-1] > 0
             total = np.concatenate([[0], np.cumsum(hit)])
             n_hit = total[firsts[1:]] - total[firsts[:-1]]
             begins, ends = at.runs(hit, firsts)
             owner = np.searchsorted(firsts, begins, "right") - 1
-            items: dict[int, set] = {}
             if doc.size:
                 for d, i in np.unique(np.stack([doc, block.item[found]], 1), axis=0):
                     items.setdefault(int(d), set()).add(block.ids[i])
@@ -166,51 +174,41 @@ def _marks(suffixes, doc_id: str, window: int):
             for d, b, e in zip(owner.tolist(), begins.tolist(), ends.tolist()):
                 ranges.setdefault(d, []).append({"from": b - int(firsts[d]), "to": e - int(firsts[d])})
             n = rows.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(0),
-                    pa.array(np.diff(firsts), pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([ranges.get(d, []) for d in range(n)], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
-                    pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                ],
-                names=["doc_id", "n_words", "n_hit", "hit_words", "item_ids"],
-            )
+            columns = {
+                "doc_id": rows.column(0),
+                "text": rows.column(1),
+                "n_words": pa.array(np.diff(firsts), pa.int64()),
+                "n_hit": pa.array(n_hit, pa.int64()),
+                "hit_words": pa.array([ranges.get(d, []) for d in range(n)], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
+                "item_ids": pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+            }
+            if last:
+                del columns["text"]
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def _search(docs: DataFrame, blocks: list, doc_id: str, text: str, window: int) -> DataFrame:
-    spark = docs.sparkSession
-    small_batches(spark)
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, hit_words array<struct<from:bigint,to:bigint>>, item_ids array<string>"
-    found = None
-    for ids, texts in blocks:
-        sent = spark.sparkContext.broadcast(Suffixes(ids, texts, window))
-        part = narrow.mapInArrow(_marks(sent, doc_id, window), schema)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, n_hit, hit_words (ranges of word positions, end exclusive) and item_ids.
+    """Per row of docs: n_words, n_hit, hit_words (ranges of word positions, end exclusive) and item_ids.
 
-    With more than one block the ids of documents must be unique, as their marks
-    are then joined by id: n_hit counts the words of the joined ranges.
+    Each row carries its marks from block to block, so ids may repeat or be
+    null with any number of blocks. The driver holds two blocks at once.
     """
-    blocks = list(_benchmark_blocks(benchmark, item_id, item_text, block_bytes))
-    found = _search(docs, blocks, doc_id, text, window)
-    if len(blocks) == 1:
-        return found
-    merged = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("hit_words"))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    )
-    covered = F.expr("aggregate(hit_words, named_struct('n', 0L, 'e', 0L), (a, r) -> named_struct('n', a.n + greatest(r.to - greatest(r.from, a.e), 0L), 'e', greatest(a.e, r.to)), a -> a.n)")
-    return merged.select("doc_id", "n_words", covered.alias("n_hit"), "hit_words", "item_ids")
+    spark = docs.sparkSession
+    small_batches(spark)
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = found.schema["doc_id"].dataType.simpleString()
+    marks = "n_words bigint, n_hit bigint, hit_words array<struct<from:bigint,to:bigint>>, item_ids array<string>"
+    blocks = _benchmark_blocks(benchmark, item_id, item_text, block_bytes)
+    block, first = next(blocks), True
+    while block is not None:
+        following = next(blocks, None)
+        last = following is None
+        sent = spark.sparkContext.broadcast(Suffixes(*block, window))
+        found = found.mapInArrow(_marks(sent, first, last), f"doc_id {kind}, {marks}" if last else f"doc_id {kind}, text string, {marks}")
+        block, first = following, False
+    return found
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -262,9 +260,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     """Documents of which no word lies in a benchmark window, with all their columns; rows without an id stay where they are clean."""
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = list(_benchmark_blocks(benchmark, "item_id", "text", BLOCK_BYTES))
     out = docs
-    for ids, texts in blocks:
+    for ids, texts in _benchmark_blocks(benchmark, "item_id", "text", BLOCK_BYTES):
         sent = spark.sparkContext.broadcast(Suffixes(ids, texts, window))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

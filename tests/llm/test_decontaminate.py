@@ -62,6 +62,16 @@ def test_blocks_give_the_same_rows(spark):
     assert one == many
 
 
+def test_repeated_and_null_ids_keep_a_row_each_in_blocks(spark):
+    items, texts = _case()
+    docs = documents(spark, texts).selectExpr("if(doc_id % 3 = 0, null, 7) as doc_id", "text")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda **how: sorted(map(str, d.contamination(docs, bench, **how).collect()))
+    assert rows() == rows(block_bytes=60) and len(rows()) == len(texts)
+    whole = [len(ids) for ids, _ in d._benchmark_blocks(spark.createDataFrame([(1, "abcd"), (2, "abcd")], "i bigint, t string"), "i", "t", 4)]
+    assert whole == [1, 1]
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(5)
     data, offsets = at.text_bytes(pa.array([some_words(rng, 40), "a a a a a a a a a a a a a a", ""]))
