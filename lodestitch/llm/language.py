@@ -1,7 +1,7 @@
 """Operator 10, language identification with language-bitmask n-gram filters.
 
-One array of bitmasks is a bit-sliced Bloom filter: bit l of a slot belongs to
-language l. Looking an n-gram up (HASHES slots, joined by AND) returns all
+One array of bitmasks for each 64 languages is a bit-sliced Bloom filter: bit l
+of a slot belongs to language l. Looking an n-gram up (HASHES slots, joined by AND) returns all
 languages that may contain it at once. A text's score of a language is the
 popcount of its bit over the text's n-grams less the false positives expected
 from that language's own fill, and the greatest decides (ties: the first
@@ -15,8 +15,7 @@ judged by its whole text.
 
 Rows: a text that is null or has no letter is `und` with score 0; rows of a
 null lang or a null doc_id are not learned from. Without any learnable row all
-texts are `und`. A language count over 64 is refused. Any other columns are
-left alone.
+texts are `und`. Any other columns are left alone.
 """
 
 from __future__ import annotations
@@ -64,22 +63,21 @@ def _slots(codes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 class LanguageFilter:
     def __init__(self, profiles: dict[str, np.ndarray], bits: int = SLOT_BITS):
-        if len(profiles) > 64:
-            raise ValueError("a bitmask holds 64 languages")
         self.languages, self.bits = sorted(profiles), bits
-        self.masks = np.zeros(1 << bits, np.uint64 if len(profiles) > 8 else np.uint8)
-        for bit, name in enumerate(self.languages):
+        kind = np.uint64 if len(profiles) > 8 else np.uint8
+        self.words = [np.zeros(1 << bits, kind) for _ in range(max(1, -(-len(profiles) // 64)))]
+        for n, name in enumerate(self.languages):
             for slot in _slots(profiles[name], bits):
-                self.masks[slot] |= self.masks.dtype.type(1 << bit)
-        fill = [(self.masks >> self.masks.dtype.type(b) & self.masks.dtype.type(1)).mean() for b in range(len(profiles))]
+                self.words[n // 64][slot] |= kind(1 << n % 64)
+        fill = [(self.words[n // 64] >> kind(n % 64) & kind(1)).mean() for n in range(len(profiles))]
         self.false = np.array(fill) ** HASHES
 
-    def containing(self, codes: np.ndarray) -> np.ndarray:
-        """The bitmask of all languages that may contain each n-gram."""
+    def containing(self, codes: np.ndarray, word: int = 0) -> np.ndarray:
+        """The bitmask of all languages, from number 64 * word on, that may contain each n-gram."""
         first, *more = _slots(codes, self.bits)
-        mask = self.masks[first]
+        mask = self.words[word][first]
         for slot in more:
-            mask = mask & self.masks[slot]
+            mask = mask & self.words[word][slot]
         return mask
 
     def shares(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -87,12 +85,13 @@ class LanguageFilter:
         n = len(offsets) - 1
         total, hits = np.zeros(n), np.zeros((n, len(self.languages)))
         for codes, at_ in grams(data, offsets):
-            mask = self.containing(codes)
             edges = np.searchsorted(at_, offsets)
             total += np.diff(edges)
-            for b in range(len(self.languages)):
+            for n_th in range(len(self.languages)):
+                b = n_th % 64
+                mask = self.containing(codes, n_th // 64) if b == 0 else mask
                 count = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(b)) & mask.dtype.type(1), dtype=np.int64)])
-                hits[:, b] += count[edges[1:]] - count[edges[:-1]]
+                hits[:, n_th] += count[edges[1:]] - count[edges[:-1]]
         return np.clip((hits - total[:, None] * self.false) / (np.maximum(total, 1)[:, None] * (1 - self.false)), 0, 1)
 
 

@@ -100,3 +100,15 @@ def test_language_edges(spark):
     nothing = language.train(spark.createDataFrame([(1, "a", None, "s", 0)], DOCS))
     assert language.predict(docs, nothing).where("lang_pred != 'und'").count() == 0
     assert language.predict(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_more_than_64_languages(spark):
+    rows = []
+    for n in range(70):
+        own = " ".join(f"{chr(0x4E00 + 40 * n + k)}{chr(0x4E00 + 40 * n + k + 1)}" for k in range(30))
+        rows += [(k + 100 * n, own, f"l{n:02}", "s", 0) for k in range(12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.train(docs)
+    assert len(model.languages) == 70 and len(model.words) == 2
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert got == {r[0]: r[2] for r in rows}
