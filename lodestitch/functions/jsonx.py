@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text that Python's datetime.fromisoformat takes, once basic forms are rewritten; week dates are left out.
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:\d{2})?)?$"
+#: Name of the column of opened fields.
+OPENED = "opened"
 _BASIC = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2}))?$"
 
 
@@ -24,9 +26,14 @@ def parse(text: str | Column) -> Column:
     return F.try_parse_json(_col(text))
 
 
+def opened(obj: str | Column, *keys: str) -> Column:
+    """A struct of the named keys' values as Variants, read in one pass; NULL if obj is no object. As a column of its own it is computed once, however many expressions read its fields."""
+    return F.try_variant_get(_col(obj), "$", "struct<" + ", ".join(f"`{k}`: variant" for k in keys or ("_",)) + ">")
+
+
 def field(obj: str | Column, key: str) -> Column:
-    """The value of a key as Variant, NULL if the key is missing or obj is no object."""
-    return F.try_variant_get(_col(obj), f"$.{key}", "variant")
+    """The value of a key as Variant, NULL if the key is missing or obj is no object. obj is a Variant, or the name OPENED of a column that opened() gave."""
+    return F.col(OPENED)[key] if isinstance(obj, str) and obj == OPENED else F.try_variant_get(_col(obj), f"$.{key}", "variant")
 
 
 def kind(value: Column) -> Column:
@@ -109,10 +116,6 @@ def wrap_list(payload: str | Column) -> Column:
     return F.when(is_array(parse(payload)), F.concat(F.lit('{"items":'), _col(payload), F.lit("}"))).otherwise(_col(payload))
 
 
-def cut_json(payload: str | Column, n: int = 5_000) -> Column:
-    return F.substring(canonical(payload), 1, n)
-
-
 def row_json(columns: list[str]) -> Column:
     """{"row": {...}} of all given columns, nulls kept."""
     return F.to_json(F.struct(F.struct(*columns).alias("row")), {"ignoreNullFields": "false"})

@@ -70,6 +70,11 @@ def navigate(rows: DataFrame, column: str, target: DataFrame, *fields: str) -> D
     return rows.join(found, column, "left")
 
 
+def follow(tables: dict[str, DataFrame], table: str, column: str, *fields: str) -> DataFrame:
+    """Rows of a table with fields of what its declared reference `column` points to."""
+    return navigate(tables[table], column, tables[REFERENCES[table, column]], *fields)
+
+
 def link_endpoints(links: DataFrame, side: str, entity: str, target: DataFrame, *fields: str) -> DataFrame:
     """Edges whose source or target is of the entity, with fields of it."""
     ids = target.select(F.col("id").alias(f"{side}_id"), *(F.col(f).alias(f"{side}_{f}") for f in fields))

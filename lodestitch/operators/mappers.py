@@ -64,16 +64,22 @@ def taken(staging: DataFrame, mapper: str) -> DataFrame:
     return open_.where(F.col("entity_type").isin(*TYPES[mapper]))
 
 
-def _shaped(staging: DataFrame, mapper: str, *keys: str) -> DataFrame:
-    """With doc and obj: the object under the first present key, or the whole payload."""
+def _shaped(staging: DataFrame, mapper: str, under: tuple[str, ...], *keys: str) -> DataFrame:
+    """With obj, the value under the first present key of `under` (none: the whole payload), `opened`, its fields `keys`, and `fine`: both are objects. Each is parsed once."""
     parsed = taken(staging, mapper).withColumn("doc", jsonx.parse("payload"))
-    return parsed.withColumn("obj", jsonx.pick("doc", *keys) if keys else F.col("doc"))
+    if under:
+        top = parsed.withColumn("top", jsonx.opened("doc", *under))
+        parsed = top.withColumn("obj", F.coalesce(*(F.col("top")[k] for k in under), F.parse_json(F.lit("{}"))))
+    else:
+        parsed = parsed.withColumns({"top": jsonx.opened("doc"), "obj": F.col("doc")})
+    shaped = parsed.withColumn(jsonx.OPENED, jsonx.opened("obj", *keys))
+    return shaped.withColumn("fine", F.col("top").isNotNull() & F.col(jsonx.OPENED).isNotNull())
 
 
 def _mapped(df: DataFrame, mapper: str, join_key: Column, suspends: list[tuple[Column, Column | str, str, str, Column | str]], fails: list[tuple[Column, str]], **fields: Column) -> DataFrame:
     """suspends: condition, reason, dependency type, key and value, in order; fails: condition and reason."""
     as_col = lambda x: F.lit(x) if isinstance(x, str) else x
-    fine = jsonx.is_object(F.col("doc")) & jsonx.is_object(F.col("obj"))
+    fine = F.col("fine")
     status, reason = F.when(~fine, "failed"), F.when(~fine, BAD_SHAPE)
     dep = [F.when(~fine, F.lit(None).cast("string")) for _ in range(3)]
     for when, why, *waits in suspends:
@@ -94,19 +100,19 @@ def _mapped(df: DataFrame, mapper: str, join_key: Column, suspends: list[tuple[C
 
 
 def _agency_fails(key: str = "agency_name") -> list[tuple[Column, str]]:
-    return [(jsonx.is_null_key("obj", key), "agency name is null")]
+    return [(jsonx.is_null_key(jsonx.OPENED, key), "agency name is null")]
 
 
 def map_incidents(staging: DataFrame) -> DataFrame:
-    df = _shaped(staging, "incident", "attributes", "row").withColumn("number", jsonx.first_truthy("obj", "incident_number", "case_number", "id"))
+    df = _shaped(staging, "incident", ("attributes", "row"), "incident_number", "case_number", "id", "agency_name", "date_time", "occurred_at", "location").withColumns({"number": jsonx.first_truthy(jsonx.OPENED, "incident_number", "case_number", "id"), "when_text": jsonx.first_truthy(jsonx.OPENED, "date_time", "occurred_at")})
     return _mapped(
         df, "incident", F.col("number"),
         [(F.col("number").isNull(), "Missing incident_number/case_number", "incident", "external_id", "UNKNOWN")],
         _agency_fails(),
-        agency_name=jsonx.get_text("obj", "agency_name", "Unknown"),
+        agency_name=jsonx.get_text(jsonx.OPENED, "agency_name", "Unknown"),
         incident_type=F.col("entity_type"),
-        occurred_at=jsonx.iso_timestamp(jsonx.first_truthy("obj", "date_time", "occurred_at")),
-        location=jsonx.get_text("obj", "location"),
+        occurred_at=jsonx.iso_timestamp(F.col("when_text")),
+        location=jsonx.get_text(jsonx.OPENED, "location"),
         external_ids=jsonx.string_map(source_id=F.col("source_id"), incident_number=F.col("number")),
         data=F.to_json("obj"),
     )
@@ -114,8 +120,8 @@ def map_incidents(staging: DataFrame) -> DataFrame:
 
 def map_arrests(staging: DataFrame) -> DataFrame:
     """With first_name and last_name of the person, whose id is the record's; null where no person is named."""
-    df = _shaped(staging, "arrest", "attributes", "row").withColumn("number", jsonx.first_truthy("obj", "booking_number", "arrest_number"))
-    person = jsonx.first_truthy("obj", "person_name", "name")
+    df = _shaped(staging, "arrest", ("attributes", "row"), "booking_number", "arrest_number", "person_name", "name", "arrested_at").withColumn("number", jsonx.first_truthy(jsonx.OPENED, "booking_number", "arrest_number"))
+    person = jsonx.first_truthy(jsonx.OPENED, "person_name", "name")
     return _mapped(
         df, "arrest", F.col("number"),
         [(F.col("number").isNull(), "Missing booking_number", "arrest", "booking_number", "UNKNOWN")],
@@ -123,7 +129,7 @@ def map_arrests(staging: DataFrame) -> DataFrame:
         first_name=person,
         last_name=F.when(person.isNotNull(), ""),
         person_id=F.when(person.isNotNull(), F.col("id")),
-        arrested_at=jsonx.iso_timestamp(jsonx.get_text("obj", "arrested_at")),
+        arrested_at=jsonx.iso_timestamp(jsonx.get_text(jsonx.OPENED, "arrested_at")),
         booking_number=F.col("number"),
         external_ids=jsonx.string_map(source_id=F.col("source_id"), booking_number=F.col("number")),
     )
@@ -132,27 +138,27 @@ def map_arrests(staging: DataFrame) -> DataFrame:
 def map_use_of_force(staging: DataFrame, officers: DataFrame) -> DataFrame:
     """With officer_id: the officer of the employee id, else of the badge."""
     df = (
-        _shaped(staging, "use_of_force", "attributes", "row")
-        .withColumn("badge", jsonx.first_truthy("obj", "officer_badge_number", "badge_number"))
-        .withColumn("employee", jsonx.first_truthy("obj", "officer_employee_id", "employee_id"))
-        .withColumn("number", jsonx.first_truthy("obj", "incident_number", "case_number", "id"))
+        _shaped(staging, "use_of_force", ("attributes", "row"), "officer_badge_number", "badge_number", "officer_employee_id", "employee_id", "incident_number", "case_number", "id", "officer_name", "agency_name", "date_time", "location")
+        .withColumn("badge", jsonx.first_truthy(jsonx.OPENED, "officer_badge_number", "badge_number"))
+        .withColumn("employee", jsonx.first_truthy(jsonx.OPENED, "officer_employee_id", "employee_id"))
+        .withColumn("number", jsonx.first_truthy(jsonx.OPENED, "incident_number", "case_number", "id"))
     )
     df = joins.find_officers(df, officers, "employee", "badge")
     key = F.coalesce("badge", "employee")
     return _mapped(
         df, "use_of_force", F.col("number"),
         [
-            (key.isNull(), "Missing officer_badge_number/officer_employee_id for UOF", "officer", "badge_number", jsonx.get_text("obj", "officer_name", "UNKNOWN")),
+            (key.isNull(), "Missing officer_badge_number/officer_employee_id for UOF", "officer", "badge_number", jsonx.get_text(jsonx.OPENED, "officer_name", "UNKNOWN")),
             (F.col("officer_id").isNull(), F.concat(F.lit("Officer not found for badge/employee_id "), key), "officer", F.when(F.col("badge").isNotNull(), "badge_number").otherwise("employee_id"), key),
             (F.col("number").isNull(), "Missing incident_number for UOF", "incident", "external_id", "UNKNOWN"),
         ],
         _agency_fails(),
         officer_id=F.col("officer_id"),
         officer_key=key,
-        agency_name=jsonx.get_text("obj", "agency_name", "Phoenix Police Department"),
+        agency_name=jsonx.get_text(jsonx.OPENED, "agency_name", "Phoenix Police Department"),
         incident_type=F.col("entity_type"),
-        occurred_at=jsonx.iso_timestamp(jsonx.get_text("obj", "date_time")),
-        location=jsonx.get_text("obj", "location"),
+        occurred_at=jsonx.iso_timestamp(jsonx.get_text(jsonx.OPENED, "date_time")),
+        location=jsonx.get_text(jsonx.OPENED, "location"),
         external_ids=jsonx.string_map(source_id=F.col("source_id"), incident_number=F.col("number")),
         data=F.to_json("obj"),
     )
@@ -160,30 +166,29 @@ def map_use_of_force(staging: DataFrame, officers: DataFrame) -> DataFrame:
 
 def map_officers(staging: DataFrame) -> DataFrame:
     df = (
-        _shaped(staging, "officer", "row", "attributes")
-        .withColumn("badge", jsonx.first_truthy("obj", "badge_number", "badge"))
-        .withColumn("employee", jsonx.first_truthy("obj", "employee_id", "officer_id"))
+        _shaped(staging, "officer", ("row", "attributes"), "badge_number", "badge", "employee_id", "officer_id", "name", "agency_name", "first_name", "last_name", "status")
+        .withColumn("badge", jsonx.first_truthy(jsonx.OPENED, "badge_number", "badge"))
+        .withColumn("employee", jsonx.first_truthy(jsonx.OPENED, "employee_id", "officer_id"))
     )
     key = F.coalesce("badge", "employee")
     return _mapped(
         df, "officer", key,
-        [(key.isNull(), "Missing badge_number/employee_id for officer", "officer", "badge_number", jsonx.get_text("obj", "name", "UNKNOWN"))],
+        [(key.isNull(), "Missing badge_number/employee_id for officer", "officer", "badge_number", jsonx.get_text(jsonx.OPENED, "name", "UNKNOWN"))],
         _agency_fails(),
-        agency_name=jsonx.get_text("obj", "agency_name", "Unknown"),
-        first_name=jsonx.get_text("obj", "first_name"),
-        last_name=jsonx.get_text("obj", "last_name"),
+        agency_name=jsonx.get_text(jsonx.OPENED, "agency_name", "Unknown"),
+        first_name=jsonx.get_text(jsonx.OPENED, "first_name"),
+        last_name=jsonx.get_text(jsonx.OPENED, "last_name"),
         badge_number=F.col("badge"),
         employee_id=F.col("employee"),
         external_ids=jsonx.string_map(source_id=F.col("source_id")),
-        officer_status=jsonx.get_text("obj", "status"),
+        officer_status=jsonx.get_text(jsonx.OPENED, "status"),
     )
 
 
 def map_court_cases(staging: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The least id of a case number is ready, if it is not stored yet; the others fail."""
-    df = _shaped(staging, "court_case", "docket", "row").withColumn("number", jsonx.first_truthy("obj", "docket_number", "case_number"))
-    fine = jsonx.is_object(F.col("doc")) & jsonx.is_object(F.col("obj"))
-    firsts = df.where(fine & F.col("number").isNotNull()).groupBy("number").agg(F.min("id").alias("__first"))
+    df = _shaped(staging, "court_case", ("docket", "row"), "docket_number", "case_number", "court", "date_filed", "status").withColumn("number", jsonx.first_truthy(jsonx.OPENED, "docket_number", "case_number"))
+    firsts = df.where(F.col("fine") & F.col("number").isNotNull()).groupBy("number").agg(F.min("id").alias("__first"))
     if stored is not None:
         firsts = firsts.join(stored.select(F.col("case_number").alias("number")).distinct(), "number", "left_anti")
     df = df.join(firsts, "number", "left")
@@ -192,70 +197,70 @@ def map_court_cases(staging: DataFrame, stored: DataFrame | None = None) -> Data
         [(F.col("number").isNull(), "Missing docket_number/case_number", "court_case", "case_number", "UNKNOWN")],
         [(F.col("__first").isNull() | (F.col("__first") != F.col("id")), "duplicate case_number")],
         case_number=F.col("number"),
-        court=jsonx.get_text("obj", "court"),
-        filed_at=jsonx.iso_timestamp(jsonx.get_text("obj", "date_filed")),
-        case_status=jsonx.get_text("obj", "status"),
+        court=jsonx.get_text(jsonx.OPENED, "court"),
+        filed_at=jsonx.iso_timestamp(jsonx.get_text(jsonx.OPENED, "date_filed")),
+        case_status=jsonx.get_text(jsonx.OPENED, "status"),
         external_ids=jsonx.string_map(source_id=F.col("source_id"), case_number=F.col("number")),
     )
 
 
 def map_documents(staging: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """raw gives the file path of each record."""
-    df = _shaped(staging, "document")
+    df = _shaped(staging, "document", (), "file_name", "title", "text")
     if raw is None:
         df = df.withColumn("file_path", F.lit(None).cast("string"))
     else:
         df = df.join(raw.select(F.col("id").alias("raw_record_id"), "file_path"), "raw_record_id", "left")
-    title = F.coalesce(jsonx.first_truthy("doc", "file_name"), jsonx.get_text("doc", "title"))
+    title = F.coalesce(jsonx.first_truthy(jsonx.OPENED, "file_name"), jsonx.get_text(jsonx.OPENED, "title"))
     return _mapped(
         df, "document", F.lit(None), [], [],
         doc_type=F.coalesce(F.nullif("entity_type", F.lit("")), F.lit("document")),
         title=title,
         file_path=F.col("file_path"),
-        text=jsonx.get_text("doc", "text"),
+        text=jsonx.get_text(jsonx.OPENED, "text"),
         external_ids=jsonx.string_map(source_id=F.col("source_id")),
     )
 
 
 def map_news(staging: DataFrame) -> DataFrame:
-    df = _shaped(staging, "news", "entry")
-    title, url = jsonx.get_text("obj", "title", "Untitled"), jsonx.get_text("obj", "link")
+    df = _shaped(staging, "news", ("entry",), "title", "link", "published", "summary")
+    title, url = jsonx.get_text(jsonx.OPENED, "title", "Untitled"), jsonx.get_text(jsonx.OPENED, "link")
     return _mapped(
         df, "news", F.lit(None), [], [(title.isNull(), "title is null"), (url.isNull(), "url is null")],
         title=title,
         url=url,
-        published_at=jsonx.feed_timestamp(jsonx.get_text("obj", "published")),
-        content=jsonx.get_text("obj", "summary"),
+        published_at=jsonx.feed_timestamp(jsonx.get_text(jsonx.OPENED, "published")),
+        content=jsonx.get_text(jsonx.OPENED, "summary"),
         external_ids=jsonx.string_map(source_id=F.col("source_id")),
     )
 
 
 def map_monitor_reports(staging: DataFrame) -> DataFrame:
-    df = _shaped(staging, "monitor_report")
+    df = _shaped(staging, "monitor_report", (), "period", "published_at")
     return _mapped(
         df, "monitor_report", F.lit(None), [], [],
         agency_id=F.lit(None).cast("bigint"),
-        period=jsonx.get_text("doc", "period"),
-        report_date=jsonx.iso_timestamp(jsonx.get_text("doc", "published_at")),
+        period=jsonx.get_text(jsonx.OPENED, "period"),
+        report_date=jsonx.iso_timestamp(jsonx.get_text(jsonx.OPENED, "published_at")),
         compliance_data=F.to_json("doc"),
         document_id=F.lit(None).cast("bigint"),
     )
 
 
 def map_surveillance(staging: DataFrame) -> DataFrame:
-    df = _shaped(staging, "surveillance", "row", "attributes")
+    df = _shaped(staging, "surveillance", ("row", "attributes"), "agency_name", "event_type", "date_time", "location")
     return _mapped(
         df, "surveillance", F.lit(None), [], _agency_fails(),
-        agency_name=jsonx.get_text("obj", "agency_name", "Unknown"),
-        event_type=F.coalesce(F.nullif("entity_type", F.lit("")), jsonx.get_text("obj", "event_type", "alpr")),
-        occurred_at=jsonx.iso_timestamp(jsonx.get_text("obj", "date_time")),
-        location=jsonx.get_text("obj", "location"),
+        agency_name=jsonx.get_text(jsonx.OPENED, "agency_name", "Unknown"),
+        event_type=F.coalesce(F.nullif("entity_type", F.lit("")), jsonx.get_text(jsonx.OPENED, "event_type", "alpr")),
+        occurred_at=jsonx.iso_timestamp(jsonx.get_text(jsonx.OPENED, "date_time")),
+        location=jsonx.get_text(jsonx.OPENED, "location"),
         event_metadata=F.to_json("obj"),
     )
 
 
 def map_unknown(staging: DataFrame) -> DataFrame:
-    df = _shaped(staging, "unknown")
+    df = _shaped(staging, "unknown", ())
     return _mapped(
         df, "unknown", F.lit(None), [], [],
         doc_type=F.lit("raw_staging"),
@@ -322,8 +327,8 @@ def outcomes(*mapped: DataFrame) -> DataFrame:
 
 
 def updated_staging(staging: DataFrame, outcome: DataFrame) -> DataFrame:
-    """Staging with its new status and reason; a ready record has no reason."""
-    new = outcome.select("id", F.col("status").alias("__status"), F.col("reason").alias("__reason"))
+    """Staging with its new status and reason, each row once; a ready record has no reason."""
+    new = outcome.groupBy("id").agg(F.min(F.struct("status", "reason")).alias("__new")).select("id", F.col("__new.status").alias("__status"), F.col("__new.reason").alias("__reason"))
     joined = staging.join(new, "id", "left")
     changed = F.col("__status").isNotNull()
     return joined.withColumn("suspension_reason", F.when(changed, F.col("__reason")).otherwise(F.col("suspension_reason"))).withColumn("status", F.coalesce("__status", "status")).drop("__status", "__reason").select(*staging.columns)

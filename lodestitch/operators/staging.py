@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
@@ -13,11 +13,17 @@ def with_checksum(raw: DataFrame) -> DataFrame:
     return raw.withColumn("checksum", jsonx.content_hash("payload", F.col("checksum")))
 
 
-def raw_records(raw: DataFrame, batch_id: str, ingested_at: str | None = None) -> DataFrame:
-    """Envelope rows as raw records of one batch. Ids hash source, checksum, file and batch; equal rows of a batch share one."""
-    told = with_checksum(raw.withColumn("batch_id", F.lit(batch_id)))
+def raw_records(raw: DataFrame, batch_id: str, ingested_at: str | None = None, place: Column | None = None) -> DataFrame:
+    """Envelope rows as raw records of one batch: one for each source row, repeated rows too.
+
+    Ids hash source, checksum, file, batch and the row's place in the scan, which
+    costs no shuffle. A place is that of one reading: append the records to their
+    table before they are used twice, as other plans may scan in another order.
+    `place` takes its part where rows have one of their own, or in a stream.
+    """
+    told = with_checksum(raw.withColumns({"batch_id": F.lit(batch_id), "__place": F.monotonically_increasing_id() if place is None else place}))
     at = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()
-    key = F.xxhash64("source_id", "checksum", F.coalesce("file_path", F.lit("")), "batch_id")
+    key = F.xxhash64("source_id", "checksum", F.coalesce("file_path", F.lit("")), "batch_id", "__place")
     return told.select(key.alias("id"), "source_id", "batch_id", "content_type", jsonx.wrap_list("payload").alias("raw_data"), "file_path", "checksum", at.alias("ingested_at"))
 
 
@@ -87,7 +93,3 @@ def list_payloads(rows: DataFrame, key: str, order: str, *columns: str) -> DataF
     """One list payload for each key, in order, wrapped as {"items": [...]}: a group is a record, as long as its items."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*columns).alias("item")))), lambda x: x["item"])
     return rows.groupBy(key).agg(F.concat(F.lit('{"items":'), F.to_json(items), F.lit("}")).alias("payload"), F.count(F.lit(1)).alias("n_items"))
-
-
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")

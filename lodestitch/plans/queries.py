@@ -12,6 +12,7 @@ from ..operators import joins, mappers, reads, resolver, sinks, staging, synthes
 from ..schemas import conform
 from ..sources import readers
 from ..streaming import streams
+from . import drops
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -452,16 +453,287 @@ def table_row_payloads(spark, sf_dir):
     rows = readers.envelope(s, jsonx.row_json(s.columns))
     return rows.select(*(F.get_json_object("payload", f"$.row.{c}").alias(c) for c in ("s_suppkey", "s_name", "s_nationkey")))
 
+def _got(df: DataFrame, *keys: str, under: str = "row", column: str = "payload") -> DataFrame:
+    return df.select("*", *(F.get_json_object(column, f"$.{under}.{k}").alias(k) for k in keys))
+
+
+def _supplier_twice(spark, sf_dir):
+    """Suppliers as text, each fifth one twice: repeated rows are rows."""
+    s = fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return s.unionByName(s.where("s_suppkey % 5 = 0"))
+
+
+_TWICE = "(SELECT s_suppkey, s_name, s_nationkey FROM supplier UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_suppkey % 5 = 0)"
+
+
+def _drop_sql(content_type: str) -> str:
+    return f"SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, '{content_type}' AS content_type, 'flatfile' AS adapter, true AS has_file, 1 AS rows_of_id FROM {_TWICE}"
+
+
+def _dropped(spark, adapter: str, config: dict) -> DataFrame:
+    """A source read, recorded and staged; with what its envelope knows and how many staging rows share an id."""
+    rows = readers.read_source(spark, {"id": "s", "adapter": adapter, "config": config})
+    raw = staging.raw_records(rows, "b1", "2024-01-01 00:00:00")
+    staged = staging.stage(raw, spark.createDataFrame([("s", "officer")], "id string, entity_type string"))
+    ids = staged.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("rows_of_id"), F.first("payload").alias("payload"))
+    told = rows.agg(F.min("content_type").alias("content_type"), F.min(F.get_json_object("metadata", "$.adapter")).alias("adapter"), F.min(F.col("file_path").endswith(F.get_json_object("metadata", "$.file"))).alias("has_file"))
+    return _got(ids, "s_suppkey", "s_name").crossJoin(F.broadcast(told)).select("s_suppkey", "s_name", "content_type", "adapter", "has_file", "rows_of_id")
+
+
+@query(_drop_sql("application/json"))
+def csv_drop(spark, sf_dir):
+    """CSV files of two headers with repeated rows, through the reader to staging."""
+    where = drops.folder(spark, "csv")
+    s = _supplier_twice(spark, sf_dir)
+    drops.land_csv(s.where("s_suppkey % 2 = 0"), where)
+    drops.land_csv(s.where("s_suppkey % 2 = 1").select("s_nationkey", "s_name", "s_suppkey"), where)
+    return _dropped(spark, "flatfile", {"drop_dir": where, "filename_pattern": "*.csv"})
+
+
+@query(_drop_sql("application/json"))
+def json_drop(spark, sf_dir):
+    """JSON files: a list for each even nation, single objects else."""
+    where = drops.folder(spark, "json")
+    s = _supplier_twice(spark, sf_dir).withColumn("nth", F.monotonically_increasing_id())
+    item = F.struct("s_suppkey", "s_name")
+    drops.land_files(s.where("s_nationkey % 2 = 0").groupBy("s_nationkey").agg(F.collect_list(item).alias("v")), "s_nationkey", F.to_json("v"), where, ".json")
+    drops.land_files(s.where("s_nationkey % 2 = 1"), "nth", F.to_json(item), where, ".json")
+    return _dropped(spark, "flatfile", {"drop_dir": where})
+
+
+@query(_drop_sql("application/x-ndjson"))
+def ndjson_drop(spark, sf_dir):
+    """NDJSON files with blank lines and lines that do not parse."""
+    where = drops.folder(spark, "ndjson")
+    lines = _supplier_twice(spark, sf_dir).select(F.explode(F.array(F.to_json(F.struct("s_suppkey", "s_name")), F.lit("  "), F.lit("{cut"))).alias("value"))
+    drops.land_lines(lines, where, ".ndjson")
+    return _dropped(spark, "flatfile", {"drop_dir": where})
+
+
+@query(
+    """SELECT o_orderpriority AS kind, count(*) AS n_rows, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_orderpriority"""
+)
+def glob_drop(spark, sf_dir):
+    """Names by pattern, suffixes in any case; other names, suffixes and folders below are left out."""
+    where = drops.folder(spark, "glob")
+    o = fx.table(spark, sf_dir, "orders")
+    row = F.to_json(F.struct("o_orderkey", F.col("o_orderpriority").alias("kind"))).alias("value")
+    of = lambda p: o.where(F.col("o_orderpriority") == p).select(row)
+    drops.land_lines(of("1-URGENT"), where, ".crime.ndjson")
+    drops.land_lines(of("2-HIGH"), where, ".crime.NDJSON")
+    drops.land_lines(of("3-MEDIUM"), where, ".other.ndjson")
+    drops.land_lines(of("4-NOT SPECIFIED"), where, ".crime.txt")
+    drops.land_lines(of("5-LOW"), f"{where}/below", ".crime.ndjson")
+    rows = readers.read_source(spark, {"id": "s", "adapter": "flatfile", "config": {"drop_dir": where, "filename_pattern": "*.crime*"}})
+    return _got(rows, "o_orderkey", "kind").groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.col("o_orderkey").cast("bigint")).alias("least"), F.max(F.col("o_orderkey").cast("bigint")).alias("most"))
+
+
+@query(
+    """SELECT 'csv' AS kind, CAST(s_suppkey AS VARCHAR) AS key, s_name AS name FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'json', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE s_suppkey % 3 = 1
+ UNION ALL SELECT 'pdf', 'drop/' || item_id || '.pdf', sha256(text) FROM benchmark"""
+)
+def mixed_drop(spark, sf_dir):
+    """A mixed drop: CSV, JSON and the texts of PDF files are read, plain text is not."""
+    where, texts = drops.folder(spark, "mixed"), drops.folder(spark, "texts")
+    s = fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    drops.land_csv(s.where("s_suppkey % 3 = 0"), where)
+    drops.land_files(s.where("s_suppkey % 3 = 1"), "s_suppkey", F.to_json(F.struct("s_suppkey", "s_name")), where, ".json")
+    drops.land_lines(s.select(F.to_json(F.struct("s_suppkey", "s_name")).alias("value")), where, ".txt")
+    fx.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("drop/"), "item_id", F.lit(".pdf")).alias("path"), "text", F.lit(None).cast("string").alias("metadata")).write.parquet(texts)
+    rows = readers.read_source(spark, {"id": "s", "adapter": "public_records", "config": {"drop_dir": where, "texts": texts}})
+    kind = F.when(F.col("content_type") == readers.PDF, "pdf").otherwise(F.substring(text.suffix(F.col("file_path")), 2, 9))
+    told = _got(rows, "s_suppkey", "s_name").withColumn("kind", kind)
+    pdf = F.col("kind") == "pdf"
+    return told.select("kind", F.when(pdf, F.col("file_path")).otherwise(F.col("s_suppkey")).alias("key"), F.when(pdf, F.sha2(F.get_json_object("payload", "$.text"), 256)).otherwise(F.col("s_name")).alias("name"))
+
+
+@query("SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset_id, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 10 = 0")
+def dataset_rows(spark, sf_dir):
+    """Landed pages of two datasets; the third has none."""
+    where = drops.folder(spark, "datasets")
+    rows = fx.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    for name, rest in (("even", 0), ("odd", 1)):
+        pages = rows.where(f"l_linenumber % 2 = {rest}").groupBy((F.col("l_orderkey") % 97).alias("page")).agg(F.to_json(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("v"))
+        drops.land_files(pages, "page", F.col("v"), f"{where}/{name}", ".json")
+    found = readers.read_source(spark, {"id": "s", "adapter": "socrata", "config": {"path": where, "dataset_ids": "even, odd, none"}})
+    at = lambda k, kind: F.get_json_object("payload", f"$.row.{k}").cast(kind).alias(k)
+    return found.select(F.get_json_object("payload", "$.dataset_id").alias("dataset_id"), at("l_orderkey", "bigint"), at("l_linenumber", "int"))
+
+
+@query("SELECT 'Page ' || page_id AS title, url AS link, strftime(DATE '2024-01-01' + CAST(page_id % 900 AS INTEGER), '%Y-%m-%d 03:04:05') AS published_at FROM pages")
+def feed_drop(spark, sf_dir):
+    """Feeds of pages, a file for each hundredth of the ids, to entries and on to dates."""
+    where = drops.folder(spark, "feeds")
+    p = fx.table(spark, sf_dir, "pages")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 900).cast("int")), "EEE, dd MMM yyyy")
+    link = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    item = F.concat(F.lit("<item><title>Page "), "page_id", F.lit("</title><link>"), link, F.lit("</link><pubDate>"), day, F.lit(" 03:04:05 GMT</pubDate></item>"))
+    feeds = p.groupBy((F.col("page_id") % 100).alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("v"))
+    drops.land_files(feeds, "feed", F.col("v"), where, ".xml")
+    found = _got(readers.read_source(spark, {"id": "s", "adapter": "news_rss", "config": {"path": where}}), "title", "link", "published", under="entry")
+    return found.select("title", "link", F.date_format(jsonx.feed_timestamp(F.col("published")), "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
+@query("SELECT 'audio/mpeg' AS content_type, '.mp3' AS suffix, true AS without_duration, octet_length(encode(text)) + 1 AS size_bytes FROM benchmark")
+def audio_listing(spark, sf_dir):
+    """Files by name and size; contents are not read."""
+    where = drops.folder(spark, "audio")
+    drops.land_files(fx.table(spark, sf_dir, "benchmark").where("text is not null"), "item_id", F.col("text"), where, ".mp3")
+    rows = readers.read_source(spark, {"id": "s", "adapter": "audio", "config": {"path": where}})
+    name, size = F.get_json_object("payload", "$.file_name"), F.get_json_object("payload", "$.size_bytes").cast("bigint")
+    return rows.select("content_type", text.suffix(name).alias("suffix"), jsonx.is_null_key(jsonx.parse("payload"), "duration_seconds").alias("without_duration"), size.alias("size_bytes"))
+
+
+_CATALOG_RUN = f"""SELECT 'nation' AS source_id, 'agency' AS entity_type, (SELECT count(*) FROM nation) AS n_rows, '' AS error
+ UNION ALL SELECT 'supplier', 'officer', (SELECT count(*) FROM {_TWICE}), (SELECT count(*) FROM supplier) || ' rejected'
+ UNION ALL SELECT 'off', 'off', 0, 'disabled' UNION ALL SELECT 'manual', 'unknown', 0, 'unknown adapter: manual' UNION ALL SELECT 'unset', 'unknown', 0, 'not configured' UNION ALL SELECT 'gone', 'unknown', 0, 'nothing has landed'"""
+
+
+@query(_CATALOG_RUN)
+def catalog_run(spark, sf_dir):
+    """A catalog file run as it is: all enabled sources into one union, staged under the catalog's types, and the log of what was skipped or left out."""
+    where, catalog, nation = drops.folder(spark, "run"), drops.folder(spark, "catalog"), f"{sf_dir}/nation.parquet"
+    s = fx.table(spark, sf_dir, "supplier")
+    drops.land_lines(_supplier_twice(spark, sf_dir).select(F.to_json(F.struct("s_suppkey")).alias("value")).unionByName(s.select(F.lit("{cut").alias("value"))), where, ".ndjson")
+    rows = [("nation", "opd", None, "agency", {"path": nation}), ("supplier", "flatfile", True, "officer", {"drop_dir": where}), ("off", "flatfile", False, "off", {"drop_dir": where}), ("manual", None, None, None, None), ("unset", "audio", None, None, None), ("gone", "csv", None, None, {"path": f"{where}/none"})]
+    listed = spark.createDataFrame(rows, "id string, adapter string, enabled boolean, entity_type string, config map<string,string>")
+    listed.write.json(catalog)
+    loaded = readers.load_catalog(spark, catalog)
+    staged = staging.stage(staging.raw_records(readers.ingest(spark, loaded), "b1"), loaded)
+    counted = staged.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    log = staging.source_outcomes(readers.ingest_log(spark, loaded, "2024-01-01 00:00:00"))
+    types = loaded.select(F.col("id").alias("source_id"), F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"))
+    error = F.coalesce(F.regexp_replace("last_error", ", first in .*", ""), F.lit(""))
+    return types.join(counted, "source_id", "left").join(log, "source_id", "left").select("source_id", "entity_type", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), error.alias("error"))
+
+
+@query(f"SELECT s_suppkey, count(*) AS n_rows, count(*) AS n_ids, 'ready' AS status FROM {_TWICE} GROUP BY s_suppkey")
+def staging_updated(spark, sf_dir):
+    """Outcomes applied to staging rows that repeat: as many rows as before, each with its own id."""
+    where = drops.folder(spark, "updated")
+    _supplier_twice(spark, sf_dir).write.parquet(where)
+    raw = staging.raw_records(readers.read_source(spark, {"id": "s", "adapter": "opd", "config": {"path": where}}), "b1")
+    sinks.append(raw, f"{where}-tables", "raw_records")
+    staged = staging.stage(sinks.read(spark, f"{where}-tables", "raw_records"), spark.createDataFrame([("s", "document")], "id string, entity_type string"))
+    done = mappers.updated_staging(staged, mappers.outcomes(mappers.map_documents(staged)))
+    return _got(done, "s_suppkey").groupBy(F.col("s_suppkey").cast("int").alias("s_suppkey"), "status").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"))
+
+
+_COURT_STORED = f"""SELECT status, coalesce(reason, '') AS reason, count(*) AS n_rows FROM (SELECT CASE WHEN status = 'ready' AND CAST(case_number AS BIGINT) % 4 = 0 THEN 'failed' ELSE status END AS status,
+ CASE WHEN status = 'ready' AND CAST(case_number AS BIGINT) % 4 = 0 THEN 'duplicate case_number' ELSE reason END AS reason FROM ({_COURT})) GROUP BY ALL"""
+
+
+@query(_COURT_STORED)
+def court_case_stored(spark, sf_dir):
+    """Case numbers that are stored already fail, as do repeats within the batch."""
+    stored = fx.table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").cast("string").alias("case_number"))
+    return mappers.map_court_cases(fx.court_staging(spark, sf_dir), stored).groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("""SELECT o_orderkey AS id, 'orders' AS source_id, CAST(o_orderkey AS VARCHAR) AS incident_number FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0""")
+def incident_external_ids(spark, sf_dir):
+    """The map of external ids of stored incidents."""
+    rows = mappers.entities(mappers.map_incidents(fx.incident_staging(spark, sf_dir)))
+    return rows.select("id", F.col("external_ids")["source_id"].alias("source_id"), F.col("external_ids")["incident_number"].alias("incident_number"))
+
+
+_ASKED = "(SELECT event_id AS id, user_id AS u, event_id % 5 AS kind FROM events)"
+
+
+@query(
+    f"""SELECT id AS staging_record_id, CASE WHEN kind = 0 AND u IN (SELECT s_suppkey FROM supplier) THEN 'resolved' WHEN kind = 1 AND u IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) THEN 'resolved'
+ WHEN kind = 2 AND u IN (SELECT o_orderkey FROM orders) THEN 'resolved' WHEN kind = 3 AND u IN (SELECT o_custkey FROM orders WHERE o_orderkey % 17 <> 0 AND o_custkey <> 0) THEN 'resolved' WHEN kind = 4 AND u IN (SELECT {_K} FROM events WHERE event_type = 'signup' AND {_K} <> 0) THEN 'resolved' ELSE 'waiting' END AS status FROM {_ASKED}"""
+)
+def resolver_all_keys(spark, sf_dir):
+    """Dependencies on badges, employee ids, incident numbers, case numbers and booking numbers, each met by its own table."""
+    e = fx.table(spark, sf_dir, "events")
+    kind, u = F.col("event_id") % 5, F.col("user_id").cast("string")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (kind + 1).cast("int"))
+    value = F.when(kind == 1, F.concat(F.lit("E"), u)).otherwise(u)
+    deps = e.select(F.col("event_id").alias("staging_record_id"), pick("officer", "officer", "incident", "court_case", "arrest").alias("required_entity_type"), pick("badge_number", "employee_id", "incident_number", "case_number", "booking_number").alias("required_key"), value.alias("required_value"), F.lit("waiting").alias("status"), F.lit(0).alias("attempts"))
+    incidents = fx.table(spark, sf_dir, "orders").select(F.create_map(F.lit("incident_number"), F.col("o_orderkey").cast("string")).alias("external_ids"))
+    there = resolver.available(fx.stored_officers(spark, sf_dir), incidents, mappers.entities(mappers.map_arrests(fx.arrest_staging(spark, sf_dir))), mappers.map_court_cases(fx.court_staging(spark, sf_dir)).where("case_number is not null").select("case_number"))
+    return resolver.resolve(deps, there).select("staging_record_id", "status")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS first_name FROM supplier ORDER BY s_suppkey LIMIT 500")
+def officer_page_bound(spark, sf_dir):
+    """The greatest page; one row more is an error."""
+    for limit, offset in ((501, 0), (-1, 0), (1, -1)):
+        try:
+            reads.officer_page(fx.stored_officers(spark, sf_dir), limit, offset)
+        except ValueError:
+            continue
+        raise AssertionError("an unbounded page was allowed")
+    return reads.officer_page(fx.stored_officers(spark, sf_dir), 500, 0).select("id", "first_name")
+
+
+@query(f"SELECT source_entity, relation_type, 2 * count(*) AS n_rows, count(DISTINCT source_id) AS n_sources FROM ({_UOF_LINKS}) GROUP BY ALL")
+def sink_roundtrip(spark, sf_dir):
+    """Edges appended twice to their table, which appears with its first rows, and read back."""
+    root = drops.folder(spark, "sink")
+    assert sinks.read(spark, root, "entity_links").isEmpty()
+    for _ in range(2):
+        sinks.append(uof_links(spark, sf_dir), root, "entity_links")
+    return sinks.read(spark, root, "entity_links").groupBy("source_entity", "relation_type").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("source_id").alias("n_sources"))
+
+
+@query("SELECT event_type AS kind, count(*) AS n_rows, count(*) AS n_ids, min(event_id) AS least, max(event_id) AS most FROM events GROUP BY event_type")
+def landing_stream(spark, sf_dir):
+    """Files that land in two goes, staged by two runs of the stream: each file once."""
+    where = drops.folder(spark, "landing")
+    e = fx.table(spark, sf_dir, "events")
+    catalog = spark.createDataFrame([("s", "incident")], "id string, entity_type string")
+    for rest in (0, 1):
+        rows = e.where(F.col("event_id") % 2 == rest).select(F.to_json(F.struct("event_id", F.col("event_type").alias("kind"))).alias("value"))
+        drops.land_lines(rows, f"{where}/land", ".ndjson")
+        streams.stage_landing(spark, f"{where}/land", "s", catalog, f"{where}/out", f"{where}/state").awaitTermination()
+    done = _got(spark.read.parquet(f"{where}/out"), "event_id", "kind").withColumn("event_id", F.col("event_id").cast("bigint"))
+    return done.groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.min("event_id").alias("least"), F.max("event_id").alias("most"))
+
+
+@query(
+    """SELECT CAST(s_suppkey AS BIGINT) AS id, n_name AS agency_name, r_name AS nation_region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+)
+def references_followed(spark, sf_dir):
+    """Declared references of two tables, one after the other."""
+    nation = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("bigint").alias("region"))
+    tables = {"officers": fx.stored_officers(spark, sf_dir), "agencies": nation}
+    near = joins.follow(tables, "officers", "agency_id", "name", "region")
+    regions = fx.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("region"))
+    return joins.navigate(near.withColumnRenamed("agency_region", "nation_id"), "nation_id", regions, "region").select("id", "agency_name", "nation_region")
+
 
 _WAIT = "(SELECT event_id, user_id, ts FROM events WHERE event_type = 'error')"
 _SEEN = "(SELECT user_id, min(ts) AS seen FROM events WHERE event_type = 'signup' GROUP BY user_id)"
+_RELEASES = f"SELECT event_id AS staging_id, CASE WHEN seen IS NOT NULL AND seen <= ts + INTERVAL 165 MINUTE THEN 'released' ELSE 'expired' END AS status FROM {_WAIT} w LEFT JOIN {_SEEN} s USING (user_id)"
 
 
-@query(f"SELECT event_id AS staging_id, CASE WHEN seen IS NOT NULL AND seen <= ts + INTERVAL 165 MINUTE THEN 'released' ELSE 'expired' END AS status FROM {_WAIT} w LEFT JOIN {_SEEN} s USING (user_id)")
-def release_join(spark, sf_dir):
-    """The streaming release over whole tables: errors wait for their user's first signup."""
+def _waiting_and_arrivals(spark, sf_dir):
+    """Errors wait for their user's signups, of which there are any number."""
     e = fx.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     keys = [F.lit("officer").alias("required_entity_type"), F.lit("badge_number").alias("required_key"), F.col("user_id").cast("string").alias("required_value")]
-    waiting = e.where("event_type = 'error'").select(F.col("event_id").alias("staging_id"), *keys, F.col("ts").alias("asked_at"))
-    arrivals = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("seen_at")).select(*keys, "seen_at")
-    return streams.releases(waiting, arrivals).select("staging_id", "status")
+    return e.where("event_type = 'error'").select(F.col("event_id").alias("staging_id"), *keys, F.col("ts").alias("asked_at")), e.where("event_type = 'signup'").select(*keys, F.col("ts").alias("seen_at"))
+
+
+@query(_RELEASES)
+def release_join(spark, sf_dir):
+    """The release over whole tables."""
+    return streams.releases(*_waiting_and_arrivals(spark, sf_dir)).select("staging_id", "status")
+
+
+@query(_RELEASES)
+def release_stream(spark, sf_dir):
+    """The release as a stream, in two goes: all rows, then an arrival long after them, by which what still waits has expired."""
+    where = drops.folder(spark, "release")
+    waiting, arrivals = _waiting_and_arrivals(spark, sf_dir)
+    waiting.write.parquet(f"{where}/w")
+    arrivals.write.parquet(f"{where}/a")
+    last = arrivals.agg(F.max("seen_at").alias("seen_at")).select(F.lit("officer").alias("required_entity_type"), F.lit("badge_number").alias("required_key"), F.lit("none").alias("required_value"), (F.col("seen_at") + F.expr("interval 400 days")).alias("seen_at"))
+    read = lambda name, like: spark.readStream.schema(like.schema).parquet(f"{where}/{name}")
+    for more in (None, last):
+        if more is not None:
+            more.write.mode("append").parquet(f"{where}/a")
+        found = streams.release_stream(read("w", waiting), read("a", arrivals))
+        found.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/out").select("staging_id", "status")

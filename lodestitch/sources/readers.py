@@ -1,7 +1,10 @@
 """Readers of landed files and tables; each gives rows of the raw envelope.
 
 A reader is a function (spark, config) -> DataFrame. A path that is not there,
-or a key that is not configured, gives no rows rather than an error.
+or a key that is not configured, gives no rows rather than an error. Files are
+those of the folder itself (path or drop_dir) whose name fits filename_pattern.
+Files, lines and pages that do not parse, or that report an error, give no rows
+and are told by rejected(), which the ingest log turns into the source's error.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ Reader = Callable[[SparkSession, dict], DataFrame]
 READERS: dict[str, Reader] = {}
 
 JSON, NDJSON, HTML, AUDIO, PDF, XML = "application/json", "application/x-ndjson", "text/html", "audio/mpeg", "application/pdf", "application/rss+xml"
-ROUTED = (".csv", ".json", ".xlsx", ".txt", ".pdf")
 
 
 def register(name: str) -> Callable[[Reader], Reader]:
@@ -38,12 +40,18 @@ def reader(name: str) -> Reader:
 def read_source(spark: SparkSession, source: dict) -> DataFrame:
     """Rows of one catalogued source; its nested config is what a reader sees."""
     rows = reader(source["adapter"])(spark, source.get("config") or {})
-    return rows.withColumn("source_id", F.lit(source["id"]))
+    told = F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>")
+    adapter = F.map_concat(F.create_map(F.lit("adapter"), F.lit(source["adapter"])), told)
+    return rows.withColumns({"source_id": F.lit(source["id"]), "metadata": F.to_json(adapter)})
 
 
-def envelope(df: DataFrame, payload: Column, content_type: str = JSON, file_path: Column | None = None, metadata: Column | None = None) -> DataFrame:
+def envelope(df: DataFrame, payload: Column, content_type: str = JSON, file_path: Column | None = None, **metadata: Column) -> DataFrame:
+    """Rows of the raw envelope; metadata is JSON text of what the reader knows, with the file's name where there is one."""
     null = F.lit(None).cast("string")
-    own = {"content_type": F.lit(content_type), "payload": payload, "file_path": null if file_path is None else file_path, "metadata": null if metadata is None else metadata}
+    if file_path is not None:
+        metadata = {"file": text.file_name(file_path), **metadata}
+    told = F.to_json(F.struct(*(c.cast("string").alias(k) for k, c in metadata.items()))) if metadata else null
+    own = {"content_type": F.lit(content_type), "payload": payload, "file_path": null if file_path is None else file_path, "metadata": told}
     return df.select(*(own.get(n, null).cast("string").alias(n) for n in (x.split()[0] for x in RAW_ENVELOPE.split(", "))))
 
 
@@ -56,28 +64,71 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def place(config: dict) -> str:
+    return config.get("path") or config.get("drop_dir") or ""
+
+
+def _glob(config: dict, suffix: str) -> str | None:
+    """The names of a suffix, in any case, that fit the configured pattern; None if no name can."""
+    pattern = config.get("filename_pattern") or config.get("pattern") or "*"
+    if pattern.lower().endswith(suffix):
+        return pattern
+    return pattern + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix) if pattern.endswith("*") else None
+
+
 def _files(config: dict, suffix: str) -> dict:
-    return {"pathGlobFilter": config.get("pattern") or f"*{suffix}", "recursiveFileLookup": "true"}
+    return {"pathGlobFilter": _glob(config, suffix) or f"*{suffix}"}
+
+
+def _readable(spark: SparkSession, config: dict, suffix: str) -> bool:
+    return _glob(config, suffix) is not None and exists(spark, place(config))
+
+
+def _whole(spark: SparkSession, config: dict, suffix: str) -> DataFrame:
+    """value (a whole file) and file."""
+    files = spark.read.options(wholetext=True, **_files(config, suffix)).text(place(config))
+    return files.select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def _lines(spark: SparkSession, config: dict, suffix: str) -> DataFrame:
+    """value (a line that is not blank) and file."""
+    lines = spark.read.options(**_files(config, suffix)).text(place(config))
+    return lines.where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def _layouts(spark: SparkSession, config: dict) -> dict[str, list[str]]:
+    """Files of each header line. A file's first line has the least id in its first block."""
+    lines = spark.read.options(**_files(config, ".csv")).text(place(config))
+    first = lines.where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
+    out: dict[str, list[str]] = {}
+    for row in first.groupBy("file").agg(F.min_by("value", "n").alias("header")).orderBy("file").toLocalIterator():
+        out.setdefault(row.header, []).append(row.file)
+    return out
 
 
 @register("csv")
 def csv_rows(spark: SparkSession, config: dict) -> DataFrame:
-    """Each row as {"row": {...}}; all values stay text."""
-    if not exists(spark, config.get("path", "")):
-        return empty(spark, "raw_envelope")
-    if not spark.read.options(**_files(config, ".csv")).text(config["path"]).inputFiles():
-        return empty(spark, "raw_envelope")  # without a file there is no header to take columns from
-    df = spark.read.options(header=True, **_files(config, ".csv")).csv(config["path"])
-    return envelope(df, jsonx.row_json([f"`{c}`" for c in df.columns]), file_path=F.col("_metadata.file_path"))
+    """Each row as {"row": {...}}; all values stay text. Files of different headers each keep their own columns."""
+    out = empty(spark, "raw_envelope")
+    if not _readable(spark, config, ".csv"):
+        return out
+    for files in _layouts(spark, config).values():
+        df = spark.read.options(header=True).csv(files)
+        out = out.unionByName(envelope(df, jsonx.row_json([f"`{c}`" for c in df.columns]), file_path=F.col("_metadata.file_path")))
+    return out
+
+
+def _row(item: str) -> Column:
+    return F.to_json(F.struct(F.col(item).alias("row")))
 
 
 @register("json")
 def json_items(spark: SparkSession, config: dict) -> DataFrame:
-    """A list gives a row for each item, any other value one row; text that is no JSON gives none."""
-    if not exists(spark, config.get("path", "")):
+    """{"row": item} for each item of a list, {"row": value} for any other value."""
+    if not _readable(spark, config, ".json"):
         return empty(spark, "raw_envelope")
-    files = spark.read.options(wholetext=True, **_files(config, ".json")).text(config["path"]).select("value", F.col("_metadata.file_path").alias("file"))
-    return envelope(exploded(files.withColumn("doc", jsonx.parse("value")).where("doc is not null"), F.col("doc")), F.to_json("item"), file_path=F.col("file"))
+    docs = _whole(spark, config, ".json").withColumn("doc", jsonx.parse("value")).where("doc is not null")
+    return envelope(exploded(docs, F.col("doc")), _row("item"), file_path=F.col("file"))
 
 
 def exploded(df: DataFrame, value: Column) -> DataFrame:
@@ -88,39 +139,52 @@ def exploded(df: DataFrame, value: Column) -> DataFrame:
 
 @register("ndjson")
 def ndjson_lines(spark: SparkSession, config: dict) -> DataFrame:
-    """Each line that is not blank and parses."""
-    if not exists(spark, config.get("path", "")):
-        return empty(spark, "raw_envelope")
-    lines = spark.read.options(**_files(config, ".ndjson")).text(config["path"]).where(F.trim("value") != "")
-    parsed = lines.select(jsonx.parse("value").alias("doc"), F.col("_metadata.file_path").alias("file")).where("doc is not null")
-    return envelope(parsed, F.to_json("doc"), NDJSON, F.col("file"))
+    """{"row": value} for each line that is not blank."""
+    out = empty(spark, "raw_envelope")
+    for suffix in (".ndjson", ".jsonl"):
+        if _readable(spark, config, suffix):
+            parsed = _lines(spark, config, suffix).withColumn("doc", jsonx.parse("value")).where("doc is not null")
+            out = out.unionByName(envelope(parsed, _row("doc"), NDJSON, F.col("file")))
+    return out
 
 
 @register("flatfile")
 def flat_files(spark: SparkSession, config: dict) -> DataFrame:
     """CSV, JSON and NDJSON files of a folder; other suffixes are skipped."""
-    pattern = config.get("pattern")
-    out = empty(spark, "raw_envelope")
-    for ending, read in ((".csv", csv_rows), (".json", json_items), (".ndjson", ndjson_lines), (".jsonl", ndjson_lines)):
-        if pattern is None or pattern.lower().endswith(ending):
-            out = out.unionByName(read(spark, {**config, "pattern": pattern or f"*{ending}"}))
-    return out
+    return csv_rows(spark, config).unionByName(json_items(spark, config)).unionByName(ndjson_lines(spark, config))
 
 
 @register("public_records")
 def mixed_drop(spark: SparkSession, config: dict) -> DataFrame:
-    """A folder of mixed files: CSV and JSON are read as such, extracted PDF text comes from a table; the rest is skipped."""
-    out = flat_files(spark, {**config, "pattern": "*.csv"}).unionByName(flat_files(spark, {**config, "pattern": "*.json"}))
+    """A folder of mixed files: CSV and JSON are read as such, extracted PDF text comes from a table; NDJSON and the rest are skipped."""
+    out = csv_rows(spark, config).unionByName(json_items(spark, config))
     return out.unionByName(document_texts(spark, config)) if config.get("texts") else out
 
 
+def rejected(spark: SparkSession, source: dict) -> DataFrame:
+    """file and error of what a source's reader leaves out: JSON files and NDJSON lines that do not parse, pages that report an error."""
+    adapter, config = source["adapter"], source.get("config") or {}
+    out = spark.createDataFrame([], "file string, error string")
+    if adapter in ("flatfile", "public_records", "json", "generic_rest", "courtlistener", "muckrock", "arcgis") and _readable(spark, config, ".json"):
+        told = _whole(spark, config, ".json").withColumn("doc", jsonx.parse("value"))
+        error = F.when(F.col("doc").isNull(), "not valid JSON")
+        if adapter == "arcgis":
+            error = error.when(jsonx.field("doc", "error").isNotNull(), jsonx.text(jsonx.field("doc", "error")))
+        out = out.unionByName(told.select("file", error.alias("error")).where("error is not null"))
+    if adapter in ("flatfile", "ndjson"):
+        for suffix in (".ndjson", ".jsonl"):
+            if _readable(spark, config, suffix):
+                bad = _lines(spark, config, suffix).where(jsonx.parse("value").isNull())
+                out = out.unionByName(bad.select("file", F.lit("not valid JSON").alias("error")))
+    return out
+
+
 @register("arcgis")
 def feature_pages(spark: SparkSession, config: dict) -> DataFrame:
     """Landed pages of features: {"attributes", "geometry"} each; where and out_fields prune, as they would at the source."""
-    if not exists(spark, config.get("path", "")):
+    if not _readable(spark, config, ".json"):
         return empty(spark, "raw_envelope")
-    pages = spark.read.options(wholetext=True, **_files(config, ".json")).text(config["path"]).select("value", F.col("_metadata.file_path").alias("file"))
-    return envelope(features(pages), F.to_json("item"), file_path=F.col("file"))
+    return envelope(features(_whole(spark, config, ".json")), F.to_json("item"), file_path=F.col("file"), layer=F.lit(config.get("layer", 0)))
 
 
 def features(pages: DataFrame, value: str = "value") -> DataFrame:
@@ -130,12 +194,6 @@ def features(pages: DataFrame, value: str = "value") -> DataFrame:
     return good.select(*pages.columns, items)
 
 
-def rejected_pages(pages: DataFrame, value: str = "value") -> DataFrame:
-    """Pages that report an error, with its text."""
-    told = pages.withColumn("doc", jsonx.parse(value))
-    return told.where(jsonx.field("doc", "error").isNotNull()).select(*pages.columns, jsonx.text(jsonx.field("doc", "error")).alias("error"))
-
-
 def filtered(table: DataFrame, config: dict) -> DataFrame:
     """A landed table under a source's own filter and fields."""
     fields = config.get("out_fields", "*")
@@ -147,22 +205,22 @@ def filtered(table: DataFrame, config: dict) -> DataFrame:
 def dataset_rows(spark: SparkSession, config: dict) -> DataFrame:
     """Landed arrays under path/<dataset id>/: {"dataset_id", "row"} each."""
     out = empty(spark, "raw_envelope")
-    for dataset in config.get("dataset_ids") or []:
-        where = f"{config.get('path', '')}/{dataset}"
-        if exists(spark, where):
-            rows = json_items(spark, {"path": where})
-            item = F.struct(F.lit(dataset).alias("dataset_id"), jsonx.parse("payload").alias("row"))
-            out = out.unionByName(rows.withColumn("payload", F.to_json(item)))
+    named = config.get("dataset_ids") or []
+    for dataset in named.split(",") if isinstance(named, str) else named:
+        own = {"path": f"{place(config)}/{dataset.strip()}"}
+        if _readable(spark, own, ".json"):
+            docs = _whole(spark, own, ".json").withColumn("doc", jsonx.parse("value")).where("doc is not null")
+            row = F.to_json(F.struct(F.lit(dataset.strip()).alias("dataset_id"), F.col("item").alias("row")))
+            out = out.unionByName(envelope(exploded(docs, F.col("doc")), row, file_path=F.col("file"), dataset=F.lit(dataset.strip())))
     return out
 
 
 @register("generic_rest")
 def generic_json(spark: SparkSession, config: dict) -> DataFrame:
     """A list gives its items, {"data": X} gives X or its items, any other object is one row; each as {"row": ...}."""
-    if not exists(spark, config.get("path", "")):
+    if not _readable(spark, config, ".json"):
         return empty(spark, "raw_envelope")
-    files = spark.read.options(wholetext=True, **_files(config, ".json")).text(config["path"]).select("value", F.col("_metadata.file_path").alias("file"))
-    return envelope(generic_items(files), F.to_json(F.struct(F.col("item").alias("row"))), file_path=F.col("file"))
+    return envelope(generic_items(_whole(spark, config, ".json")), _row("item"), file_path=F.col("file"))
 
 
 def generic_items(files: DataFrame, value: str = "value") -> DataFrame:
@@ -178,10 +236,9 @@ def result_items(files: DataFrame, name: str, value: str = "value") -> DataFrame
 
 
 def _results(spark: SparkSession, config: dict, name: str) -> DataFrame:
-    if not exists(spark, config.get("path", "")):
+    if not _readable(spark, config, ".json"):
         return empty(spark, "raw_envelope")
-    files = spark.read.options(wholetext=True, **_files(config, ".json")).text(config["path"]).select("value", F.col("_metadata.file_path").alias("file"))
-    return envelope(result_items(files, name), F.col("payload"), file_path=F.col("file"))
+    return envelope(result_items(_whole(spark, config, ".json"), name), F.col("payload"), file_path=F.col("file"))
 
 
 @register("courtlistener")
@@ -197,9 +254,9 @@ def records_requests(spark: SparkSession, config: dict) -> DataFrame:
 @register("news_rss")
 def feed_items(spark: SparkSession, config: dict) -> DataFrame:
     """Items of landed feeds: {"entry": {title, link, published, summary, author}}; a file without items gives none."""
-    if not exists(spark, config.get("path", "")):
+    if not _readable(spark, config, ".xml"):
         return empty(spark, "raw_envelope")
-    items = spark.read.schema("title string, link string, pubDate string, description string, author string").options(rowTag="item", mode="DROPMALFORMED", **_files(config, ".xml")).format("xml").load(config["path"])
+    items = spark.read.schema("title string, link string, pubDate string, description string, author string").options(rowTag="item", mode="DROPMALFORMED", **_files(config, ".xml")).format("xml").load(place(config))
     entry = F.struct("title", "link", F.col("pubDate").alias("published"), F.col("description").alias("summary"), "author")
     return envelope(items.where("title is not null or link is not null"), F.to_json(F.struct(entry.alias("entry"))), XML)
 
@@ -214,7 +271,7 @@ def web_pages(spark: SparkSession, config: dict) -> DataFrame:
 
 def page_rows(pages: DataFrame) -> DataFrame:
     row = F.struct("url", text.html_title(F.col("html"), F.col("url")).alias("title"), text.html_text(F.col("html")).alias("text"))
-    return envelope(pages, F.to_json(row), HTML)
+    return envelope(pages, F.to_json(row), HTML, url=F.col("url"))
 
 
 @register("pdf_ocr")
@@ -248,9 +305,9 @@ def table_rows(spark: SparkSession, config: dict) -> DataFrame:
 @register("audio")
 def audio_files(spark: SparkSession, config: dict) -> DataFrame:
     """{"file_name", "size_bytes", "duration_seconds": null} of each .mp3; the content is never read."""
-    if not exists(spark, config.get("path", "")):
+    if not _readable(spark, config, ".mp3"):
         return empty(spark, "raw_envelope")
-    files = spark.read.format("binaryFile").options(**_files(config, ".mp3")).load(config["path"]).select("path", "length")
+    files = spark.read.format("binaryFile").options(**_files(config, ".mp3")).load(place(config)).select("path", "length")
     row = F.struct(text.file_name(F.col("path")).alias("file_name"), F.col("length").alias("size_bytes"), F.lit(None).cast("double").alias("duration_seconds"))
     return envelope(files, F.to_json(row, {"ignoreNullFields": "false"}), AUDIO, F.col("path"))
 
@@ -261,11 +318,17 @@ def load_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def ingest(spark: SparkSession, sources: list[dict]) -> DataFrame:
-    """All enabled sources as one union; the list is the catalog, which has a row per source."""
+def catalog_sources(catalog: DataFrame) -> list[dict]:
+    """The catalog's rows, one for each source, as read_source takes them; a source without an adapter is a manual one and is left to a person."""
+    rows = catalog.select("id", "adapter", "enabled", "entity_type", "config").orderBy("id").toLocalIterator()
+    return [{"id": r.id, "adapter": r.adapter or "manual", "enabled": r.enabled is not False, "entity_type": r.entity_type, "config": r.config or {}} for r in rows]
+
+
+def ingest(spark: SparkSession, sources: list[dict] | DataFrame) -> DataFrame:
+    """All enabled sources as one union. A source whose adapter is unknown gives no rows and is told by the log."""
     out = empty(spark, "raw_envelope")
-    for source in sources:
-        if source.get("enabled", True):
+    for source in catalog_sources(sources) if isinstance(sources, DataFrame) else sources:
+        if source.get("enabled", True) and source["adapter"] in READERS:
             out = out.unionByName(read_source(spark, source))
     return out
 
@@ -275,13 +338,24 @@ def skip_reason(spark: SparkSession, source: dict) -> str | None:
     config = source.get("config") or {}
     if not source.get("enabled", True):
         return "disabled"
-    path = config.get("path") or config.get("texts")
+    if source["adapter"] not in READERS:
+        return f"unknown adapter: {source['adapter']}"
+    path = place(config) or config.get("texts")
     if not path:
         return "not configured"
     return None if exists(spark, path) else "nothing has landed"
 
 
-def ingest_log(spark: SparkSession, sources: list[dict], at: str) -> DataFrame:
-    """A row for each source of a run: source_id, ts and the reason for which it was skipped, if it was."""
-    rows = [(s["id"], skip_reason(spark, s)) for s in sources]
-    return spark.createDataFrame(rows, "source_id string, error string").select("source_id", F.lit(at).cast("timestamp").alias("ts"), "error")
+def ingest_log(spark: SparkSession, sources: list[dict] | DataFrame, at: str) -> DataFrame:
+    """A row for each source of a run: source_id, ts and error, the reason for which it was skipped or what its reader left out."""
+    out = spark.createDataFrame([], "source_id string, ts timestamp, error string")
+    for source in catalog_sources(sources) if isinstance(sources, DataFrame) else sources:
+        reason = skip_reason(spark, source)
+        if reason is None:
+            told = rejected(spark, source).agg(F.count(F.lit(1)).alias("n"), F.min_by("error", "file").alias("error"), F.min("file").alias("file"))
+            error = F.when(F.col("n") > 0, F.concat(F.col("n"), F.lit(" rejected, first in "), text.file_name(F.col("file")), F.lit(": "), F.col("error")))
+            row = told.select(error.alias("error"))
+        else:
+            row = spark.createDataFrame([(reason,)], "error string")
+        out = out.unionByName(row.select(F.lit(source["id"]).alias("source_id"), F.lit(at).cast("timestamp").alias("ts"), "error"))
+    return out

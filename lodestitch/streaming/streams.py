@@ -2,46 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import jsonx
 from ..operators import staging
 
 #: 11 polls, 15 minutes apart: how long a record waits before it is given up.
-GIVE_UP = "165 minutes"
+GIVE_UP_MINUTES = 165
+KEYS = ["required_entity_type", "required_key", "required_value"]
 
 
 def landing(spark: SparkSession, path: str, source_id: str) -> DataFrame:
-    """NDJSON files of a landing folder as raw envelope rows, each file once; lines that do not parse are left out."""
+    """NDJSON files of a landing folder as raw envelope rows {"row": ...}, each file once; lines that do not parse are left out."""
     lines = spark.readStream.schema("value string").text(path)
     parsed = lines.select(jsonx.parse("value").alias("doc"), F.col("_metadata.file_path").alias("file_path")).where("doc is not null")
     null = F.lit(None).cast("string")
-    return parsed.select(F.lit("application/x-ndjson").alias("content_type"), F.to_json("doc").alias("payload"), "file_path", null.alias("checksum"), F.lit(source_id).alias("source_id"), null.alias("batch_id"), null.alias("metadata"))
+    return parsed.select(F.lit("application/x-ndjson").alias("content_type"), F.to_json(F.struct(F.col("doc").alias("row"))).alias("payload"), "file_path", null.alias("checksum"), F.lit(source_id).alias("source_id"), null.alias("batch_id"), null.alias("metadata"))
 
 
 def stage_landing(spark: SparkSession, path: str, source_id: str, catalog: DataFrame, out: str, checkpoint: str, batch_id: str = "stream") -> StreamingQuery:
-    """Stages what has landed since the last call, then stops. A file that was read before adds nothing."""
-    staged = staging.stage(staging.raw_records(landing(spark, path, source_id), batch_id), catalog)
+    """Stages what has landed since the last call, then stops. A file that was read before adds nothing; a row's place is drawn, and kept by the sink's log."""
+    staged = staging.stage(staging.raw_records(landing(spark, path, source_id), batch_id, place=F.expr("uuid()")), catalog)
     return staged.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def releases(waiting: DataFrame, arrivals: DataFrame, give_up: str = GIVE_UP, history: str = "36500 days") -> DataFrame:
-    """waiting (staging_id, required key columns, asked_at) and arrivals (the same key columns, seen_at) to released or expired records.
+def releases(waiting: DataFrame, arrivals: DataFrame, give_up: int = GIVE_UP_MINUTES) -> DataFrame:
+    """waiting (staging_id, KEYS, asked_at) and arrivals (KEYS, seen_at, any number of a key) to one row for each waiting record: released or expired.
 
-    A key that has arrived before, or arrives within give_up, releases; else the
-    record comes out as expired once the watermark has passed. State is a row
-    for each waiting record and arrival, kept by key, not one value per key.
-    In a stream, history bounds how long an arrival is kept; the expiry is by
-    event time, where the batch resolver counts passes.
+    The first arrival of a key decides: a record is released if it came before,
+    or at most give_up minutes after, it was asked for. UNKNOWN stands for no
+    key and never arrives; its rows are dealt out, so they are no hot group.
     """
-    keys = ["required_entity_type", "required_key", "required_value"]
-    asked = waiting.withWatermark("asked_at", "0 seconds").alias("w")
-    seen = arrivals.select(*(F.col(k).alias(f"seen_{k}") for k in keys), "seen_at").withWatermark("seen_at", "0 seconds").alias("a")
-    same = [F.col(k) == F.col(f"seen_{k}") for k in keys]
-    within = [F.col("seen_at") >= F.col("asked_at") - F.expr(f"interval {history}"), F.col("seen_at") <= F.col("asked_at") + F.expr(f"interval {give_up}")]
-    condition = same[0] & same[1] & same[2] & within[0] & within[1]
-    joined = asked.join(seen, condition, "leftOuter")
-    status = F.when(F.col("seen_at").isNotNull(), "released").otherwise("expired")
-    return joined.select("staging_id", *keys, "asked_at", "seen_at", status.alias("status"))
+    first = arrivals.where("required_value != 'UNKNOWN'").groupBy(*KEYS).agg(F.min("seen_at").alias("seen_at"))
+    dealt = F.when(F.col("required_value") == "UNKNOWN", F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("staging_id"), F.lit(1024)))).otherwise(F.col("required_value"))
+    joined = waiting.withColumn("__value", dealt).join(first.withColumnRenamed("required_value", "__value"), [*KEYS[:2], "__value"], "left")
+    status = F.when(F.unix_micros("seen_at") <= F.unix_micros("asked_at") + give_up * 60_000_000, "released").otherwise("expired")
+    return joined.select("staging_id", *KEYS, "asked_at", status.alias("status"))
+
+
+def release_stream(waiting: DataFrame, arrivals: DataFrame, give_up: int = GIVE_UP_MINUTES, lateness: str = "15 minutes", salts: int = 8) -> DataFrame:
+    """The stream form of releases: staging_id, KEYS and status, once for each waiting record.
+
+    State of a key is one number, its first arrival, and the records that still
+    wait, which leave it at their release or, give_up minutes of event time
+    later, at their expiry. Waiting records are dealt to `salts` parts of a key,
+    so that a common one is not a single group; an arrival goes to each part.
+    Rows later than `lateness` are dropped.
+    """
+    part = F.pmod(F.xxhash64("staging_id"), F.lit(salts)).cast("int")
+    asked = waiting.select(*KEYS, part.alias("part"), F.col("staging_id").cast("bigint").alias("staging_id"), F.col("asked_at").alias("at"))
+    seen = arrivals.where("required_value != 'UNKNOWN'").select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"), F.lit(None).cast("bigint").alias("staging_id"), F.col("seen_at").alias("at"))
+    both = asked.unionByName(seen).withWatermark("at", lateness).withColumn("micros", F.unix_micros("at"))
+    wait = give_up * 60_000_000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, ids, since = state.get if state.exists else (None, [], [])
+        held = list(zip(ids, since))
+        for rows in frames:
+            for staging_id, at in zip(rows["staging_id"], rows["micros"]):
+                if pd.isna(staging_id):
+                    first = int(at) if first is None else min(first, int(at))
+                else:
+                    held.append((int(staging_id), int(at)))
+        now = state.getCurrentWatermarkMs() * 1000
+        done, rest = [], []
+        for staging_id, at in held:
+            if first is not None and first <= at + wait:
+                done.append((staging_id, "released"))
+            elif at + wait < now:
+                done.append((staging_id, "expired"))
+            else:
+                rest.append((staging_id, at))
+        if first is None and not rest:
+            state.remove()
+        else:
+            state.update((first, [r[0] for r in rest], [r[1] for r in rest]))
+            if rest:
+                state.setTimeoutTimestamp(max(now // 1000 + 1, (min(r[1] for r in rest) + wait) // 1000 + 1))
+        yield pd.DataFrame({"staging_id": [d[0] for d in done], **{k: [v] * len(done) for k, v in zip(KEYS, key)}, "status": [d[1] for d in done]})
+
+    out = "staging_id bigint, required_entity_type string, required_key string, required_value string, status string"
+    return both.groupBy(*KEYS, "part").applyInPandasWithState(step, out, "first bigint, ids array<bigint>, since array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -20,7 +20,7 @@ def test_imports_without_the_text_operators(monkeypatch):
     assert "map_use_of_force" in alone.queries() and not [n for n in alone.queries() if n.startswith("op")]
 
 
-@pytest.mark.parametrize("name", ["map_use_of_force", "resolver_pass", "map_court_case", "feature_explode", "status_current", "page_text"])
+@pytest.mark.parametrize("name", ["map_use_of_force", "resolver_pass", "map_court_case", "feature_explode", "status_current", "page_text", "csv_drop", "json_drop", "ndjson_drop", "staging_updated", "court_case_stored", "catalog_run", "resolver_all_keys"])
 def test_sql_agrees(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path

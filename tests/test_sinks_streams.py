@@ -59,23 +59,26 @@ def test_landing_reads_each_file_once(spark, tmp_path):
     (tmp_path / "land" / "b.ndjson").write_text('{"row":{"id":3}}\n')
     streams.stage_landing(spark, land, "s", catalog, out, checkpoint).awaitTermination()
     rows = spark.read.parquet(out)
-    assert rows.count() == 3 and {r.entity_type for r in rows.collect()} == {"incident"}
+    assert rows.count() == 3 == rows.select("id").distinct().count() and {r.entity_type for r in rows.collect()} == {"incident"}
 
 
 def test_release_stream_equals_batch(spark, tmp_path):
     keys = "required_entity_type string, required_key string, required_value string"
     t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
-    waiting = spark.createDataFrame([(1, "o", "b", "A", t(0)), (2, "o", "b", "B", t(0)), (3, "o", "b", "C", t(0)), (4, "o", "b", "A", t(9000))], f"staging_id bigint, {keys}, asked_at timestamp")
-    arrivals = spark.createDataFrame([("o", "b", "A", t(30)), ("o", "b", "B", t(500)), ("o", "b", "Z", t(9000))], f"{keys}, seen_at timestamp")
-    batch = streams.releases(waiting.withColumnRenamed("staging_id", "staging_id"), arrivals)
-    want = {(r.staging_id, r.status) for r in batch.collect()}
-    assert want == {(1, "released"), (2, "expired"), (3, "expired"), (4, "released")}
-    for name, frame in (("w", waiting), ("a", arrivals)):
-        frame.coalesce(1).write.parquet(str(tmp_path / name))
-    read = lambda n, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / n))
-    found = streams.releases(read("w", waiting), read("a", arrivals), history="30 days")
-    q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.staging_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got <= want and {(1, "released"), (4, "released"), (2, "expired"), (3, "expired")} >= got and (1, "released") in got
-    assert spark.range(1).select(F.lit(1)).count() == 1
+    wait = [(1, "o", "b", "A", t(0)), (2, "o", "b", "B", t(0)), (3, "o", "b", "C", t(0)), (4, "o", "b", "A", t(9000)), (5, "o", "b", "UNKNOWN", t(0)), *((n, "o", "b", "A", t(1)) for n in range(10, 60))]
+    waiting = spark.createDataFrame(wait, f"staging_id bigint, {keys}, asked_at timestamp")
+    came = [("o", "b", "A", t(30)), ("o", "b", "A", t(31)), ("o", "b", "B", t(500)), ("o", "b", "A", t(600)), ("o", "b", "UNKNOWN", t(1)), ("o", "b", "Z", t(99000))]
+    arrivals = spark.createDataFrame(came, f"{keys}, seen_at timestamp")
+    want = sorted([(1, "released"), (2, "expired"), (3, "expired"), (4, "released"), (5, "expired"), *((n, "released") for n in range(10, 60))])
+    assert sorted((r.staging_id, r.status) for r in streams.releases(waiting, arrivals).collect()) == want
+    got = []
+    for go, cut in enumerate((700, 10_000, 100_000)):  # in event time, in three goes
+        since = (0, 700, 10_000)[go]
+        waiting.where(F.col("asked_at").between(t(since), t(cut - 0.001))).coalesce(1).write.mode("append").parquet(str(tmp_path / "w"))
+        arrivals.where(F.col("seen_at").between(t(since), t(cut - 0.001))).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+        read = lambda n, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / n))
+        found = streams.release_stream(read("w", waiting), read("a", arrivals))
+        q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted((r.staging_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == want

@@ -19,13 +19,27 @@ def test_csv_stays_text(spark, tmp_path):
     assert got == sorted([{"row": {"badge": "007", "name": "NA"}}, {"row": {"badge": None, "name": "x"}}], key=str)
 
 
+def test_csv_headers_patterns_and_folders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.CSV").write_text("y,x\n3,4\n")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "c.csv").write_text("x,y\n5,6\n")
+    rows = lambda **c: payloads(readers.flat_files(spark, {"drop_dir": str(tmp_path), **c}))
+    assert rows() == sorted([{"row": {"x": "1", "y": "2"}}, {"row": {"y": "3", "x": "4"}}], key=str)
+    assert rows(filename_pattern="a*") == [{"row": {"x": "1", "y": "2"}}]
+    assert rows(filename_pattern="*.json") == []
+
+
 def test_json_ndjson_and_missing_folder(spark, tmp_path):
     (tmp_path / "l.json").write_text('[{"a":1},{"a":2}]')
     (tmp_path / "o.json").write_text('{"b":1}')
     (tmp_path / "bad.json").write_text("{")
     (tmp_path / "n.ndjson").write_text('{"c":1}\n\n  \n{"c":2}\n')
     got = readers.flat_files(spark, {"path": str(tmp_path)})
-    assert payloads(got) == sorted([{"a": 1}, {"a": 2}, {"b": 1}, {"c": 1}, {"c": 2}], key=str)
+    assert payloads(got) == sorted([{"row": {"a": 1}}, {"row": {"a": 2}}, {"row": {"b": 1}}, {"row": {"c": 1}}, {"row": {"c": 2}}], key=str)
+    assert {json.loads(r.metadata)["file"] for r in got.collect()} == {"l.json", "o.json", "n.ndjson"}
+    bad = readers.rejected(spark, {"id": "s", "adapter": "flatfile", "config": {"drop_dir": str(tmp_path)}}).collect()
+    assert [(r.file.rsplit("/", 1)[-1], r.error) for r in bad] == [("bad.json", "not valid JSON")]
     assert {r.content_type for r in got.collect()} == {"application/json", "application/x-ndjson"}
     assert readers.flat_files(spark, {"path": str(tmp_path / "none")}).count() == 0
     assert readers.json_items(spark, {}).count() == 0
@@ -35,8 +49,7 @@ def test_feature_pages(spark, tmp_path):
     (tmp_path / "1.json").write_text('{"features":[{"attributes":{"x":1},"geometry":null},{"attributes":{"x":2},"geometry":null}]}')
     (tmp_path / "2.json").write_text('{"error":{"code":400}}')
     assert payloads(readers.feature_pages(spark, {"path": str(tmp_path)})) == [{"attributes": {"x": 1}, "geometry": None}, {"attributes": {"x": 2}, "geometry": None}]
-    pages = spark.read.option("wholetext", True).text(str(tmp_path))
-    assert readers.rejected_pages(pages).first().error == '{"code":400}'
+    assert readers.rejected(spark, {"id": "s", "adapter": "arcgis", "config": {"path": str(tmp_path)}}).first().error == '{"code":400}'
 
 
 def test_datasets_results_and_generic(spark, tmp_path):
@@ -89,7 +102,7 @@ def test_registry_and_staging(spark, tmp_path):
     catalog = spark.createDataFrame([("s1", True, "incident"), ("s2", False, None), ("s3", None, None)], "id string, enabled boolean, entity_type string")
     staged = staging.stage(raw, catalog)
     assert {(r.entity_type, r.status) for r in staged.collect()} == {("incident", "pending")}
-    assert staged.count() == 2 and staging.unique_records(staged).count() == 1 and staging.content_dedup(staged).count() == 1
+    assert staged.count() == 2 and staging.unique_records(staged).count() == 2 and staging.content_dedup(staged).count() == 1
     log = readers.ingest_log(spark, [*sources, {"id": "s4", "adapter": "csv", "config": {"path": str(tmp_path / "none")}}], "2024-01-01 00:00:00")
     assert {r.source_id: r.error for r in log.collect()} == {"s1": None, "s2": "disabled", "s3": "not configured", "s4": "nothing has landed"}
     assert {r.source_id: r.n_rows for r in staging.source_counts(catalog, staged).collect()} == {"s1": 2, "s3": 0}
