@@ -1,44 +1,59 @@
 """Operator 1, line dedup: a segment-partition edit join over lines, in DataFrame functions only.
 
-A line goes when it stands earlier in the corpus (by doc_id, then position), or
-when a line within `edits` edits of it does. Lines of fewer than `min_chars`
-code points only count as repeated when they are equal.
-
-Method. The distinct lines are split into edits + 1 segments; each segment is
-indexed under its text, number and the line's length. A line probes the
-indexes of its own and the `edits` shorter lengths with those substrings whose
-places can still lead to `edits` edits (multi-match-aware selection). What
-shares a key is a candidate; a key of more than HOT lines is first refined:
-the letters a to z fall into 2 * edits + 1 classes, an edit changes the counts
-of two classes at most, so one class at least agrees in full, and the counts
-of each class extend the key. The letter counts of any candidates may differ by
-2 * edits in all; what passes is verified by a banded bit-parallel
-automaton: one BIGINT holds, for each number of edits, the reachable diagonals
-of the band.
+A line goes when it stands earlier in the corpus (by doc_id, null last, then
+position), or when a near line does. Two lines are near when they differ by at
+most `edits` edits and at most one for each `per` characters of the shorter
+one: lines of fewer than `per` characters by none, of fewer than 2 * per by one.
+
+Method. Distinct lines that may differ by k edits are split into k + 1
+segments; each segment is indexed under its text, number and the line's
+length. A line probes the indexes of its own and the `edits` shorter lengths
+with those substrings whose places can still lead to the allowed edits. What
+shares a key is a candidate.
+
+Keys of more than HOT lines are never compared pair by pair; what is left of
+their lines, without the segment, is joined again within the key. In the first
+level it is split into segments once more, which parts lines that share only a
+phrase. What still shares a key of many lines then comes from templates
+that differ in few places, and is halved, level by level. Of two edits,
+either one half has none (its text is a key, the other half is left), or each
+half has one (the texts of a half without one character are keys, of the half
+whose keys are common to fewer lines; a common one leaves the other half with
+one edit). Ends of at most SHORT characters are keyed by what remains without
+any one or two characters. So each line gets some hundred keys at worst,
+whatever the number of lines alike, and what meets is nearly always a link.
+Candidates are compared by letter counts, then verified by a banded
+bit-parallel automaton: one BIGINT holds, for each number of edits, the
+reachable diagonals of the band.
 
 Skew: equal lines are joined before any key is made, so a common line is one
-row; hot keys are refined rather than cut; joins back to the occurrences are
-plain equi-joins that adaptive execution can split.
+row; key sizes are partial aggregates, no window holds a key's lines; joins
+back to the occurrences are equi-joins that adaptive execution can split.
 
 Rows: a null text has no lines and stays null; an empty text is one empty line.
-Lines are parted by \\n alone. A null doc_id comes last in the order; rows of
+Lines are parted by \\n alone. doc_id may be of any type that sorts. Rows of
 different text that repeat a doc_id (or have none) come in the order of their
 texts' hashes, and each loses its own lines. Of rows that repeat both, one
-stays. Any other columns are left alone. The query op1_lines counts by its SQL,
-where places are doc_id and position alone.
+stays. Any other columns, whatever their names, are left alone. The query
+op1_lines counts by its SQL, where places are doc_id and position alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, kept_table, table
+from .tables import cut, kept_table, packed, table
 
 EDITS = 2
-MIN_CHARS = 24
-#: Lines under one segment key from which on the key is refined.
+#: Characters of the shorter line for each edit.
+PER = 5
+#: Lines under one key from which on they are not compared directly.
 HOT = 8
+#: Length of what is left from which on it is no longer halved.
+SHORT = 8
 #: Ids that may be broadcast, some 64 MB; beyond, a shuffled join takes their place.
 BROADCAST_ROWS = 2_000_000
 
@@ -52,41 +67,54 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode_outer(split_lines("text")).alias("pos", "line"))
 
 
-def _segments(lines: DataFrame, edits: int, shorter: int) -> DataFrame:
-    """lines (line, id, n) with the starts (from 1) and sizes of the segments of lengths n to n - shorter: equal parts, the longer ones last."""
-    m = edits + 1
-    parts = lines
-    for less in range(shorter + 1):
-        parts = parts.withColumn(f"base_{less}", F.expr(f"cast((n - {less}) div {m} as int)"))
-    columns = {}
-    for less in range(shorter + 1):
-        for i in range(1, m + 1):
-            rest = f"(n - {less} - {m} * base_{less})"
-            columns[f"start_{less}_{i}"] = F.expr(f"1 + {i - 1} * base_{less} + greatest(0, {i - 1 - m} + {rest})")
-            columns[f"size_{less}_{i}"] = F.expr(f"base_{less} + if({rest} > {m - i}, 1, 0)")
-    return parts.withColumns(columns)
+def allowed(n: str, edits: int, per: int) -> str:
+    """Edits that a line of n characters allows."""
+    return f"cast(least({edits}, {n} div {per}) as int)"
+
+
+def _cuts(k: int, less: int) -> dict[str, str]:
+    """Starts (from 1) and sizes of the k + 1 segments of length n - less: equal parts, the longer ones last."""
+    m, out = k + 1, {}
+    size, rest = f"((n - {less}) div {m})", f"((n - {less}) % {m})"
+    for i in range(1, m + 1):
+        out[f"start_{k}_{less}_{i}"] = f"cast(1 + {i - 1} * {size} + greatest(0, {i - 1 - m} + {rest}) as int)"
+        out[f"size_{k}_{less}_{i}"] = f"cast({size} + if({rest} > {m - i}, 1, 0) as int)"
+    return out
 
 
-def _key(less: int, i: int, shift: int) -> str:
-    return f"xxhash64(substring(line, start_{less}_{i} + {shift}, size_{less}_{i}), {i}, n - {less})"
+def _segment_keys(side: str, edits: int) -> list[tuple[int, int, int, int]]:
+    """(k, less, segment, shift) of every key of an indexed line ("index") or of a probing one."""
+    out = []
+    for k in range(1, edits + 1):
+        for less in range((0 if side == "index" else k) + 1):
+            for i in range(1, k + 2):
+                low, high = (0, 0) if side == "index" else (max(-(i - 1), less - (k + 1 - i)), min(i - 1, less + k + 1 - i))
+                out += [(k, less, i, shift) for shift in range(low, high + 1)]
+    return out
 
 
-def index_rows(lines: DataFrame, edits: int) -> DataFrame:
-    """id and key of each segment of each line."""
-    keys = [_key(0, i, 0) for i in range(1, edits + 2)]
-    return _segments(lines, edits, 0).select("id", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
+def _with_cuts(rows: DataFrame, side: str, edits: int) -> DataFrame:
+    return rows.withColumns({name: F.expr(x) for k in range(1, edits + 1) for less in range((0 if side == "index" else k) + 1) for name, x in _cuts(k, less).items()})
 
 
-def probe_rows(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """id and key of each substring that can be a segment of a line as long or up to `edits` shorter."""
+def _by_length(side: str, edits: int, one: Callable[[str, str, int, int, int], str], when: Callable[[int, int], str]) -> str:
+    """Array of `one` (of place, size, segment, less and k) for each key; those of k edits and a length less by `less` only `when` it holds."""
     arrays = []
-    for less in range(edits + 1):
-        keys = []
-        for i in range(1, edits + 2):
-            low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i)
-            keys += [_key(less, i, shift) for shift in range(low, high + 1)]
-        arrays.append(f"if(n >= {min_chars + less}, array({', '.join(keys)}), array())")
-    return _segments(lines, edits, edits).select("id", F.explode(F.expr(f"concat({', '.join(arrays)})")).alias("key"))
+    for k in range(1, edits + 1):
+        for less in range((0 if side == "index" else k) + 1):
+            own = [one(f"(start_{k}_{less}_{i} + {shift})", f"size_{k}_{less}_{i}", i, less, k) for kk, ll, i, shift in _segment_keys(side, edits) if (kk, ll) == (k, less)]
+            arrays.append(f"if({when(k, less)}, array({', '.join(own)}), array())")
+    return f"concat({', '.join(arrays)})"
+
+
+def _first_key(at: str, size: str, i: int, less: int) -> str:
+    return f"xxhash64(substring(line, {at}, {size}), {i}, n - {less})"
+
+
+def _key_rows(lines: DataFrame, side: str, edits: int, per: int) -> DataFrame:
+    """lines (line, id, n) to id and key: of each segment of a line ("index"), or of each substring that can be one of a line as long or up to `edits` shorter ("probe")."""
+    keys = _by_length(side, edits, lambda at, size, i, less, k: _first_key(at, size, i, less), lambda k, less: f"{allowed(f'(n - {less})', edits, per)} = {k}")
+    return _with_cuts(lines, side, edits).select("id", F.explode(F.expr(keys)).alias("key"))
 
 
 def within_edits(x: str, y: str, edits: int) -> Column:
@@ -114,13 +142,6 @@ def _letter_counts() -> Column:
     return F.expr("transform(split('abcdefghijklmnopqrstuvwxyz', ''), c -> length(line) - length(replace(line, c, '')))")
 
 
-def _class_keys(edits: int) -> str:
-    """The key with the counts of each letter class, of which one at least is alike in lines within `edits` edits."""
-    n = 2 * edits + 1
-    own = [f"xxhash64(key, {g}, {', '.join(f'counts[{k}]' for k in range(g, 26, n))})" for g in range(n)]
-    return f"array({', '.join(own)})"
-
-
 def _alike(x: str, y: str, edits: int) -> str:
     """Whether letter counts allow `edits` edits: a replacement changes two, an insertion or deletion one."""
     return " + ".join(f"abs({x}[{k}] - {y}[{k}])" for k in range(26)) + f" <= {2 * edits}"
@@ -132,38 +153,153 @@ def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(ids if many else F.broadcast(ids), "id", "left_semi").distinct()
 
 
-def near_pairs(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """All pairs of different lines within `edits` edits: x and y, each pair once in some order."""
-    if min_chars < edits + 1:
-        raise ValueError("a line needs a character for each segment")
-    texts = docs.select(F.explode(split_lines("text")).alias("line")).where(F.length("line") >= min_chars)
+def _left_without(text: str, at: str, size: str, i: int, last: int) -> str:
+    """What is left of a text without its segment; \\n, which no line holds, stands for a middle one."""
+    if i == 1:
+        return f"substring({text}, {size} + 1)"
+    return f"left({text}, {at} - 1)" if i == last else f"concat(left({text}, {at} - 1), '\\n', substring({text}, {at} + {size}))"
+
+
+def _without_one(p: str, j: str) -> str:
+    """The texts without any one character (j names a variable)."""
+    return f"array_distinct(transform(sequence(1, greatest(1, length({p}))), {j} -> concat(left({p}, {j} - 1), substring({p}, {j} + 1))))"
+
+
+def _first_rows(lines: DataFrame, side: str, edits: int, per: int) -> DataFrame:
+    """id, g (the key) and, of what is left without the segment, l (its length on the indexed side), b (edits) and rem."""
+
+    def one(at: str, size: str, i: int, less: int, k: int) -> str:
+        return f"named_struct('g', {_first_key(at, size, i, less)}, 'l', n - {less} - {size} + {int(1 < i <= k)}, 'b', {k}, 'rem', {_left_without('line', at, size, i, k + 1)})"
+
+    rests = _by_length(side, edits, one, lambda k, less: f"{allowed(f'(n - {less})', edits, per)} = {k}")
+    return _with_cuts(lines, side, edits).select("id", F.explode(F.expr(rests)).alias("x")).select("id", "x.*")
+
+
+def _second_rows(rows: DataFrame, side: str, edits: int) -> DataFrame:
+    """The same one level on: what is left is split into segments again, under keys within g."""
+
+    def one(at: str, size: str, i: int, less: int, k: int) -> str:
+        return f"named_struct('g', xxhash64(g, substring(rem, {at}, {size}), {i}), 'l', l - {size} + {int(1 < i <= k)}, 'b', b, 'rem', {_left_without('rem', at, size, i, k + 1)})"
+
+    rests = _by_length(side, edits, one, lambda k, less: f"b = {k} and n - {less} = l")
+    told = _with_cuts(rows.withColumn("n", F.length("rem")), side, edits)
+    return told.select("id", F.explode(F.expr(rests)).alias("x")).select("id", "x.*")
+
+
+def _halves(rows: DataFrame, side: str) -> DataFrame:
+    """rows with h (the middle of the indexed text) and x: kind (0 and 1: the head and the tail without an edit; 2 and 3: with one), key, and of what is left its place, size, length on the indexed side and edits."""
+    one = lambda kind, text, at, size, l, b: f"named_struct('kind', {kind}, 'key', xxhash64(g, {kind}, {text}), 'at', {at}, 'size', {size}, 'l', {l}, 'b', {b})"
+    each = lambda texts, *rest: f"transform({texts}, v -> {one(rest[0], 'v', *rest[1:])})"
+    if side == "index":
+        head, tail = "left(rem, h)", "substring(rem, h + 1)"
+        exact = [one(0, head, "h + 1", "n - h", "l - h", "b"), one(1, tail, "1", "h", "h", "b")]
+        with_one = lambda p: f"concat(array({p}), {_without_one(p, 'j')})"
+        edited = [each(with_one(head), 2, "h + 1", "n - h", "l - h", 1), each(with_one(tail), 3, "1", "h", "h", 1)]
+    else:
+        head, tail = (lambda d: f"left(rem, h + {d})"), (lambda d: f"right(rem, l - h + {d})")
+        exact = [one(0, head(0), "h + 1", "n - h", "l - h", "b"), one(1, tail(0), "1", "n - l + h", "h", "b")]
+        edited = [f"array({one(2, head(-1), 'h', 'n - h + 1', 'l - h', 1)}, {one(3, tail(-1), '1', 'n - l + h + 1', 'h', 1)})"]
+        for d in (0, 1):
+            edited.append(each(_without_one(head(d), "j"), 2, f"h + 1 + {d}", f"n - h - {d}", "l - h", 1))
+            edited.append(each(_without_one(tail(d), "j"), 3, "1", f"n - l + h - {d}", "h", 1))
+    told = rows.withColumns({"n": F.length("rem"), "h": F.expr("cast(l div 2 as int)")})
+    return told.withColumn("x", F.explode(F.expr(f"concat(array({', '.join(exact)}), if(b = 2, concat({', '.join(edited)}), array()))"))).select("id", "g", "rem", "x.*")
+
+
+def _short_keys(rows: DataFrame) -> DataFrame:
+    """id and key: the short rest without any b characters or fewer."""
+    one = f"concat(array(rem), {_without_one('rem', 'j')})"
+    two = f"array_distinct(flatten(transform({one}, v -> concat(array(v), {_without_one('v', 'k')}))))"
+    return rows.select("id", F.explode(F.expr(f"transform(if(b = 1, {one}, {two}), v -> xxhash64(g, 9, v))")).alias("key")).distinct()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A cut frame, to be broadcast if it has few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _hot_keys(index: DataFrame, hot: int) -> DataFrame:
+    return _small(index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select("key"))
+
+
+def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
+    return probe.select("id", "key").join(index.select(F.col("id").alias("other"), "key"), "key").where("id != other").select("id", "other")
+
+
+def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """Distinct lines whose id is among ids."""
+    return lines.join(_small(ids), "id", "left_semi").distinct()
+
+
+def _within_hot_keys(rows: DataFrame, edits: int, hot: int) -> list[DataFrame]:
+    """Candidates (id, other) among rows (side, id, g, l, b, rem) that share g, by levels; in the first they are segments, then halves."""
+    found, level = [], 0
+    sides = lambda df: [(s, df.where(F.col("side") == s).drop("side")) for s in ("index", "probe")]
+    while not rows.isEmpty():
+        (_, x), (_, y) = sides(rows.where(F.col("l") <= SHORT))
+        found.append(kept_table(_met(_short_keys(x), _short_keys(y)), "line-candidates"))
+        (_, x), (_, y) = sides(rows.where(F.col("l") > SHORT))
+        if level == 0:
+            x, y = _second_rows(x, "index", edits), _second_rows(y, "probe", edits)
+            named = lambda df: df.select("id", F.col("g").alias("key"))
+            common = _hot_keys(named(x), hot)
+            found.append(kept_table(_met(named(x).join(common, "key", "left_anti"), named(y)), "line-candidates"))
+            common = common.withColumnRenamed("key", "g")
+            children = [df.join(common, "g", "left_semi").select(F.lit(s).alias("side"), "id", "g", "l", "b", "rem") for s, df in (("index", x), ("probe", y))]
+        else:
+            keys, probes = _halves(x, "index"), _halves(y, "probe")
+            common = _hot_keys(keys, hot)
+            told = keys.drop("rem").join(common.withColumn("hot", F.lit(True)), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+            flags = told.where("hot and kind > 1").groupBy("g", "id").agg(F.max(F.col("kind") == 2).alias("head"), F.max(F.col("kind") == 3).alias("tail"))
+            # of the halves with one edit each, the one without common keys serves; else the head
+            kept = told.join(flags, ["g", "id"], "left").where("kind < 2 or (kind = 2 and not (coalesce(head, false) and not coalesce(tail, false))) or (kind = 3 and coalesce(head, false) and not coalesce(tail, false))")
+            kept = kept_table(kept.drop("head", "tail"), "line-halves")
+            found.append(kept_table(_met(kept.where("not hot"), probes), "line-candidates"))
+            on = _small(kept.where("hot").select("key").distinct())
+            rest = F.expr("substring(rem, at, size)").alias("rem")
+            ours = kept.where("hot").join(x.select("id", "g", "rem"), ["id", "g"])
+            children = [df.select(F.lit(s).alias("side"), "id", F.col("key").alias("g"), "l", "b", rest) for s, df in (("index", ours), ("probe", probes.join(on, "key", "left_semi")))]
+        rows, level = kept_table(children[0].unionByName(children[1]).distinct(), "line-rests"), level + 1
+    return found
+
+
+def candidate_pairs(docs: DataFrame, edits: int = EDITS, per: int = PER, hot: int = HOT) -> DataFrame:
+    """a and b: ids of lines that may be near, each pair once."""
+    if per < 2 or not 1 <= edits <= 2:
+        raise ValueError("edits must be 1 or 2, per 2 or more")
+    texts = docs.select(F.explode(split_lines("text")).alias("line")).where(F.length("line") >= per)
     lines = texts.distinct().select("line", F.xxhash64("line").alias("id"), F.length("line").alias("n"))
-    index = index_rows(lines, edits)
-    probe = probe_rows(lines, edits, min_chars)
-    own = Window.partitionBy("key")
-    sized = index.withColumns({"size": F.count(F.lit(1)).over(own), "least": F.min("id").over(own)})
-    is_hot = F.col("size") > hot
-    # a hot key is met once, by its least id, so that probes are read and sorted once for both kinds of key
-    met = probe.join(sized.where(~is_hot | (F.col("id") == F.col("least"))).select("key", F.col("id").alias("other"), is_hot.alias("hot")), "key").where("hot or id != other")
-    found = met.select(F.when(F.col("hot"), 2).otherwise(0).alias("kind"), F.when(F.col("hot"), F.col("key")).alias("key"), "id", F.when(~F.col("hot"), F.col("other")).alias("other"))
-    many = sized.where(is_hot).select(F.lit(1).alias("kind"), "key", "id", F.lit(None).cast("bigint").alias("other"))
-    # one table: candidates (0), and the index (1) and probe (2) rows of hot keys
-    kept = kept_table(found.unionByName(many), "line-candidates")
-
-    named = texts.select("line", F.xxhash64("line").alias("id"))
-    hot_rows = kept.where("kind > 0")
-    counted = cut(_only(named, hot_rows.select("id").distinct()).select("id", _letter_counts().alias("counts")))
-    keyed = hot_rows.select("kind", "key", "id").join(counted, "id").select("kind", "id", "counts", F.explode(F.expr(_class_keys(edits))).alias("fine"))
-    theirs = keyed.where("kind = 1").select("fine", F.col("id").alias("other"), F.col("counts").alias("their_counts"))
-    refined = keyed.where("kind = 2").join(theirs, "fine").where(f"id != other and {_alike('counts', 'their_counts', edits)}")
-    pairs = kept.where("kind = 0").select("id", "other").unionByName(refined.select("id", "other"))
-    pairs = cut(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    index = _key_rows(lines, "index", edits, per)
+    common = _hot_keys(index, hot)
+    # a hot key is met once, so that probes are read and sorted once for both kinds of key
+    targets = index.join(common, "key", "left_anti").select("key", F.col("id").alias("other")).unionByName(common.select("key", F.lit(None).cast("bigint").alias("other")))
+    met = kept_table(_key_rows(lines, "probe", edits, per).join(targets, "key").where("other is null or id != other").select("id", "other"), "line-candidates")
+    found = [met.where("other is not null")]
+    asking = _only(texts.select("line", F.xxhash64("line").alias("id")), met.where("other is null").select("id").distinct())
+    asking = cut(asking.withColumn("n", F.length("line")))
+    sides = [_first_rows(asking, s, edits, per).join(common.withColumnRenamed("key", "g"), "g", "left_semi").select(F.lit(s).alias("side"), "id", "g", "l", "b", "rem") for s in ("index", "probe")]
+    found += _within_hot_keys(kept_table(sides[0].unionByName(sides[1]).distinct(), "line-rests"), edits, hot)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return cut(out.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+
+
+def near_pairs(docs: DataFrame, edits: int = EDITS, per: int = PER, hot: int = HOT) -> DataFrame:
+    """All pairs of different near lines: x and y, each pair once in some order."""
+    pairs = candidate_pairs(docs, edits, per, hot)
+    named = docs.select(F.explode(split_lines("text")).alias("line")).where(F.length("line") >= per).select("line", F.xxhash64("line").alias("id"))
     chosen = cut(_only(named, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).withColumn("counts", _letter_counts()))
     x = chosen.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("counts").alias("x_counts"))
     y = chosen.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("counts").alias("y_counts"))
     # two steps, so that the letter counts are compared before any line is split
     alike = pairs.join(x, "a").join(y, "b").where(_alike("x_counts", "y_counts", edits))
-    return alike.where(within_edits("x", "y", edits)).select("x", "y")
+    least = allowed("least(length(x), length(y))", edits, per)
+    near = F.lit(False)
+    for k in range(1, edits + 1):
+        near = F.when(F.expr(f"{least} = {k}"), within_edits("x", "y", k)).otherwise(near)
+    return alike.where(near).select("x", "y")
 
 
 def _line_key(c: str) -> list[Column]:
@@ -201,17 +337,15 @@ def _ranked(rows: DataFrame, ranks: DataFrame | None) -> DataFrame:
     return met.withColumn("nth", F.coalesce("nth", F.lit(0).cast("bigint"))).drop("__id", "__t1", "__t2")
 
 
-def row_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, by_row: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def row_decisions(docs: DataFrame, edits: int = EDITS, per: int = PER, by_row: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Per line doc_id, nth (the row's place among the texts of its id), pos, exact (the line stands earlier), near (a near line stands earlier than its first), links (near lines); and the ranks. Without by_row, rows of one id share their places."""
     ranks = _ranks(docs.where("text is not null").select("doc_id", *_text_key())) if by_row else None
-    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
-    row = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), number(1 << 63)) * number(1 << 31).cast("decimal(10,0)") + F.col("nth")
-    place = row * number(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nth", "pos")
     told = _ranked(docs.select("doc_id", "text", *_text_key()), ranks)
     lines = told.select("doc_id", "nth", F.posexplode_outer(split_lines("text")).alias("pos", "line"))
     seen = kept_table(lines.select("doc_id", "nth", "pos", *_line_key("line")), "line-places").withColumn("place", place)
     firsts = seen.where("pos is not null").groupBy("h1", "h2").agg(F.min("place").alias("first"))
-    pairs = cut(near_pairs(docs, edits, min_chars).select(F.struct(*_line_key("x")).alias("a"), F.struct(*_line_key("y")).alias("b")))
+    pairs = cut(near_pairs(docs, edits, per).select(F.struct(*_line_key("x")).alias("a"), F.struct(*_line_key("y")).alias("b")))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a.h1", "a.h2", "b")
     other = firsts.select(F.struct("h1", "h2").alias("b"), F.col("first").alias("theirs"))
     near = both.join(other, "b").groupBy("h1", "h2").agg(F.min("theirs").alias("theirs"), F.count(F.lit(1)).alias("links"))
@@ -227,47 +361,50 @@ def row_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     return found, ranks
 
 
-def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_decisions(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
     """doc_id, pos, exact, near and links as op1's SQL has them: by doc_id and position alone."""
-    return row_decisions(docs, edits, min_chars, by_row=False)[0].drop("nth")
+    return row_decisions(docs, edits, per, by_row=False)[0].drop("nth")
 
 
-def _without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows without all but one (by the hash of its columns) of those that repeat a doc_id and its text."""
-    keyed = docs.where("text is not null").select("doc_id", *_text_key())
+def _without_repeats(rows: DataFrame) -> DataFrame:
+    """Rows (row, doc_id, text) without all but one (by the hash of its columns) of those that repeat a doc_id and its text."""
+    keyed = rows.where("text is not null").select("doc_id", *_text_key())
     repeated = cut(keyed.groupBy("doc_id", "t1", "t2").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")))
     if repeated.isEmpty():
-        return docs
+        return rows
     t1, t2 = _text_key()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")) & F.col("text").isNotNull()
-    row = F.struct(*docs.columns)
-    one = docs.join(repeated, same, "left_semi").groupBy("doc_id", *_text_key()).agg(F.min_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias("__row"))
-    return docs.join(repeated, same, "left_anti").unionByName(one.select("__row.*"))
+    json = F.to_json("row")
+    one = rows.join(repeated, same, "left_semi").groupBy("doc_id", *_text_key()).agg(F.min_by(F.struct("row", "text"), F.struct(F.xxhash64(json), json)).alias("x"))
+    return rows.join(repeated, same, "left_anti").unionByName(one.select("x.row", "doc_id", "x.text"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
     """The rows without the lines that go, n_chars (if there is one) counted anew; rows of which no line is left go."""
-    docs = _without_repeats(docs)
-    found, ranks = row_decisions(docs, edits, min_chars)
-    gone = found.where("exact or near").groupBy("doc_id", "nth").agg(F.collect_set("pos").alias("__gone"))
+    rows = _without_repeats(packed(docs, doc_id=F.col("doc_id"), text=F.col("text")))
+    found, ranks = row_decisions(rows, edits, per)
+    gone = found.where("exact or near").groupBy("doc_id", "nth").agg(F.collect_set("pos").alias("gone"))
     gone = gone.withColumnsRenamed({"doc_id": "__id", "nth": "__nth"})
-    lines = split_lines("text")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    of_text = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").isNotNull()
     if ranks is None:
-        joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").isNotNull(), "left")
+        joined = rows.join(gone, of_text, "left")
     else:
         # from the place back to the text, which no two rows of an id share
         theirs = ranks.select(F.col("doc_id").alias("__doc"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("nth").alias("__n"))
-        keyed = gone.join(theirs, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__nth") == F.col("__n")), "left").select("__id", "__t1", "__t2", "__gone")
+        keyed = gone.join(theirs, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__nth") == F.col("__n")), "left").select("__id", "__t1", "__t2", "gone")
         t1, t2 = _text_key()
-        single = docs.join(keyed.where("__t1 is null").select("__id", "__gone"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").isNotNull(), "left").select(*docs.columns, F.col("__gone").alias("__single"))
-        several = keyed.where("__t1 is not null").withColumnRenamed("__gone", "__several")
-        joined = single.join(several, F.col("doc_id").eqNullSafe(F.col("__id")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")) & F.col("text").isNotNull(), "left").withColumn("__gone", F.coalesce("__single", "__several"))
-    out = joined.where(F.col("__gone").isNull() | F.col("text").isNull() | (F.size(kept) > 0)).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text))
+        single = rows.join(keyed.where("__t1 is null").select("__id", F.col("gone").alias("single")), of_text, "left").drop("__id")
+        several = keyed.where("__t1 is not null").withColumnRenamed("gone", "several")
+        joined = single.join(several, of_text & (t1 == F.col("__t1")) & (t2 == F.col("__t2")), "left").withColumn("gone", F.coalesce("single", "several"))
+    lines = split_lines("text")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    changed = F.col("gone").isNotNull() & F.col("text").isNotNull()
+    out = joined.where(~changed | (F.size(kept) > 0)).select("row", F.when(changed, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).alias("new"))
+    new = F.col("new").isNotNull()
+    row = F.col("row").withField("text", F.when(new, F.col("new").cast(docs.schema["text"].dataType)).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(new, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,8 +432,8 @@ _NEAR_COUNTS = " + ".join(f"abs(a.k_{c} - b.k_{c})" for c in _COUNTED) + f" <= {
 OP1_SQL = f"""
 WITH o AS (SELECT doc_id, i - 1 AS pos, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
 f AS (SELECT line, min((doc_id::HUGEINT) * 2147483648 + pos) AS first FROM o GROUP BY line),
-c AS (SELECT line, first, length(line) AS n, translate(line, '{_LETTERS}', {_CODES}) AS t, {_COUNTS} FROM f WHERE length(line) >= {MIN_CHARS}),
-p AS (SELECT a.line, b.first AS theirs FROM c a JOIN c b ON b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS} AND a.line <> b.line AND CASE WHEN {_NEAR_COUNTS} THEN levenshtein(a.t, b.t) <= {EDITS} ELSE false END),
+c AS (SELECT line, first, length(line) AS n, translate(line, '{_LETTERS}', {_CODES}) AS t, {_COUNTS} FROM f WHERE length(line) >= {PER}),
+p AS (SELECT a.line, b.first AS theirs FROM c a JOIN c b ON b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS} AND a.line <> b.line AND CASE WHEN {_NEAR_COUNTS} THEN levenshtein(a.t, b.t) <= least({EDITS}, least(a.n, b.n) // {PER}) ELSE false END),
 n AS (SELECT line, min(theirs) AS theirs, count(*) AS links FROM p GROUP BY line),
 j AS (SELECT o.doc_id, (o.doc_id::HUGEINT) * 2147483648 + o.pos > f.first AS exact, coalesce(n.theirs < f.first, false) AS near, coalesce(n.links, 0) AS links
   FROM o JOIN f USING (line) LEFT JOIN n USING (line)),

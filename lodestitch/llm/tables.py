@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, kept_table, shared_dir
+
+__all__ = ["crc_mod", "cut", "kept_table", "packed", "shared_dir", "small_batches", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,32 +21,12 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = kept.get() if kept.isDefined() else f"file:///tmp/spark-shared-{uuid.uuid4().hex}"
-        if not kept.isDefined():
-            spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() of a small iterated frame; Spark's cleaner removes the files with the frame."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def kept_table(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(key: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id gives null."""
     key = F.col(key) if isinstance(key, str) else key
     return F.crc32(key.cast("string").cast("binary")) % n
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as one struct `row` beside the given columns, so that no name of the input can clash with one of ours; select("row.*") gives it back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))

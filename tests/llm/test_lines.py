@@ -21,12 +21,16 @@ def test_automaton_is_the_edit_distance(spark):
             assert bool(r.v) == (edit_distance(r.x, r.y) <= k), (r, k)
 
 
-def _brute(texts, edits=2, least=24):
+def _allowed(x, y, edits=2, per=5):
+    return min(edits, min(len(x), len(y)) // per)
+
+
+def _brute(texts):
     first = {}
     for d, t in enumerate(texts):
         for p, x in enumerate(t.split("\n") if t is not None else []):
             first.setdefault(x, (d, p))
-    near = {x: [y for y in first if y != x and min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= edits and edit_distance(x, y) <= edits] for x in first}
+    near = {x: [y for y in first if y != x and abs(len(x) - len(y)) <= 2 and edit_distance(x, y) <= _allowed(x, y)] for x in first}
     out = {}
     for d, t in enumerate(texts):
         own = list(enumerate(t.split("\n"))) if t is not None else []
@@ -43,7 +47,7 @@ def _texts():
     for _ in range(60):  # a group of near lines that is larger than HOT
         x = rng.choice(base)
         at = rng.randrange(len(x))
-        texts.append("\n".join([rng.choice(base), x[:at] + rng.choice("xyz") + x[at + rng.randint(0, 1) :], "short", "shore"]))
+        texts.append("\n".join([rng.choice(base), x[:at] + rng.choice("xyz") + x[at + rng.randint(0, 1) :], "short", "shore", "ab", "ac", f"line {rng.randint(0, 99)}", f"No. {rng.randint(0, 9999)} of all"]))
     texts.append(" ".join(base) * 60)
     return texts
 
@@ -70,6 +74,35 @@ def test_hot_limit_changes_nothing(spark):
     assert pairs(1) == pairs(10_000) != set()
 
 
+def test_lines_that_differ_in_digits_only(spark):
+    rng = random.Random(3)
+    made = sorted({f"order {rng.randint(0, 10**8):08d} has left the house, on its way" for _ in range(20_000)})
+    docs = documents(spark, ["\n".join(made[n::4]) for n in range(4)])
+    candidates = lines.candidate_pairs(docs).count()
+    pairs = {frozenset(r) for r in lines.near_pairs(docs).collect()}
+    assert candidates < 20 * len(made)  # of 200,000,000 pairs
+    for x in made[::1000]:
+        want = {y for y in made if y != x and sum(a != b for a, b in zip(x, y)) <= 4 and edit_distance(x[6:14], y[6:14]) <= 2}
+        assert {y for p in pairs if x in p for y in p} - {x} == want
+
+
+def test_templates_of_all_kinds_equal_brute_force(spark):
+    rng = random.Random(4)
+    made = {"x" * 9 + str(n % 10) + "y" * (n % 3) for n in range(40)}
+    made |= {f"{rng.choice(['the', 'a', 'no'])} {rng.randint(0, 30)} came by the road to {rng.randint(0, 30)} and {rng.choice('abc')} stayed there" for _ in range(250)}
+    made |= {f"{rng.randint(0, 99999)} {'z' * rng.randint(20, 22)}" for _ in range(150)}
+    made = sorted(made)
+    got = {frozenset(r) for r in lines.near_pairs(documents(spark, ["\n".join(made)]), hot=2).collect()}
+    assert got == {frozenset((x, y)) for n, x in enumerate(made) for y in made[:n] if abs(len(x) - len(y)) <= 2 and edit_distance(x, y) <= _allowed(x, y)}
+
+
+def test_ids_of_other_types_and_our_own_names(spark):
+    rows = [("b", "same line\nother words", 1, 2, 3), ("a", "same line", 4, 5, 6), (None, "other words", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, __gone int, __id int, row int")
+    got = sorted(map(tuple, lines.dedup_lines(docs).collect()))
+    assert got == [("a", "same line", 4, 5, 6), ("b", "other words", 1, 2, 3)]
+
+
 def test_empty_null_ids_and_clashing_columns(spark):
     assert lines.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
     rows = spark.createDataFrame([(None, "a\nb", 1, "k"), (1, "a", 2, "k"), (1, "c", 3, "k")], "doc_id bigint, text string, pos int, line string")
