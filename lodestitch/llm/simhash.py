@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import cut, kept_table, small_batches, table
+from .tables import cut, kept_table, small_batches, table, text_key
 
 SHINGLE = 3
 DISTANCE = 3
@@ -338,11 +338,6 @@ def dedup_documents(docs: DataFrame, shingle: int = SHINGLE, distance: int = WID
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
-def _text_key() -> list[Column]:
-    """128 bits that stand for a row's text."""
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")]
-
-
 def _described(docs: DataFrame) -> DataFrame:
     """doc_id, t1, t2, key (128 bits of the words), n_words and fp of every row."""
     small_batches(docs.sparkSession)
@@ -356,7 +351,7 @@ def _described(docs: DataFrame) -> DataFrame:
             kept = [rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "t1", "t2")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "t1", "t2", "key", "n_words", "fp"])
 
-    narrow = docs.select("doc_id", "text", *_text_key())
+    narrow = docs.select("doc_id", "text", *text_key())
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, t1 bigint, t2 bigint, key binary, n_words bigint, fp bigint")
 
 
@@ -403,7 +398,7 @@ def near_copies(docs: DataFrame, distance: int = WIDE) -> DataFrame:
     pool, gone, leaders = several(grouped), [], LEADERS
     if not pool.isEmpty():
         one = rows.join(pool.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("t1", "t2")).alias("t")).select("key", "t.*")
-        keyed = docs.select("text", *_text_key()).join(one, ["t1", "t2"]).select("key", "text")
+        keyed = docs.select("text", *text_key()).join(one, ["t1", "t2"]).select("key", "text")
         sets = kept_table(_shingle_sets(keyed).dropDuplicates(["key"]), "near-copy-shingles")
     while not pool.isEmpty():
         # the first of each part first, so that a large group is not one task

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, kept_table, shared_dir
 
-__all__ = ["crc_mod", "cut", "kept_table", "packed", "shared_dir", "small_batches", "table"]
+__all__ = ["crc_mod", "cut", "kept_table", "packed", "shared_dir", "small_batches", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +30,8 @@ def crc_mod(key: str | Column, n: int) -> Column:
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     """Each row as one struct `row` beside the given columns, so that no name of the input can clash with one of ours; select("row.*") gives it back."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def text_key(c: str = "text") -> list[Column]:
+    """128 bits that stand for a row's text, t1 and t2."""
+    return [F.xxhash64(c).alias("t1"), F.xxhash64(F.lit("text"), c).alias("t2")]
