@@ -45,7 +45,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, kept_table, packed, table
+from .tables import cut, kept_table, packed, table, text_key
 
 EDITS = 2
 #: Characters of the shorter line for each edit.
@@ -220,7 +220,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _hot_keys(index: DataFrame, hot: int) -> DataFrame:
-    return _small(index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select("key"))
+    """Keys of more than `hot` rows and at least two lines; index may hold a line more than once."""
+    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
+    return _small(sizes.where((F.col("size") > hot) & (F.col("a") != F.col("b"))).select("key"))
 
 
 def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
@@ -269,9 +271,11 @@ def candidate_pairs(docs: DataFrame, edits: int = EDITS, per: int = PER, hot: in
     if per < 2 or not 1 <= edits <= 2:
         raise ValueError("edits must be 1 or 2, per 2 or more")
     texts = docs.select(F.explode(split_lines("text")).alias("line")).where(F.length("line") >= per)
-    lines = texts.distinct().select("line", F.xxhash64("line").alias("id"), F.length("line").alias("n"))
+    told = lambda df: df.select("line", F.xxhash64("line").alias("id"), F.length("line").alias("n"))
+    # sizes are counted before the texts are shuffled: a line that stands more than `hot` times has common keys too
+    common = _hot_keys(_key_rows(told(texts), "index", edits, per), hot)
+    lines = told(texts.distinct())
     index = _key_rows(lines, "index", edits, per)
-    common = _hot_keys(index, hot)
     # a hot key is met once, so that probes are read and sorted once for both kinds of key
     targets = index.join(common, "key", "left_anti").select("key", F.col("id").alias("other")).unionByName(common.select("key", F.lit(None).cast("bigint").alias("other")))
     met = kept_table(_key_rows(lines, "probe", edits, per).join(targets, "key").where("other is null or id != other").select("id", "other"), "line-candidates")
@@ -307,11 +311,6 @@ def _line_key(c: str) -> list[Column]:
     return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("line"), c).alias("h2")]
 
 
-def _text_key(c: str = "text") -> list[Column]:
-    """128 bits that stand for a row's text."""
-    return [F.xxhash64(c).alias("t1"), F.xxhash64(F.lit("text"), c).alias("t2")]
-
-
 def _ranks(rows: DataFrame) -> DataFrame | None:
     """doc_id, t1, t2 and nth (0, 1, ... by text hash) of the different texts of each id that has several; None without such ids."""
     texts = rows.groupBy("doc_id", "t1", "t2").count().drop("count")
@@ -339,9 +338,9 @@ def _ranked(rows: DataFrame, ranks: DataFrame | None) -> DataFrame:
 
 def row_decisions(docs: DataFrame, edits: int = EDITS, per: int = PER, by_row: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Per line doc_id, nth (the row's place among the texts of its id), pos, exact (the line stands earlier), near (a near line stands earlier than its first), links (near lines); and the ranks. Without by_row, rows of one id share their places."""
-    ranks = _ranks(docs.where("text is not null").select("doc_id", *_text_key())) if by_row else None
+    ranks = _ranks(docs.where("text is not null").select("doc_id", *text_key())) if by_row else None
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nth", "pos")
-    told = _ranked(docs.select("doc_id", "text", *_text_key()), ranks)
+    told = _ranked(docs.select("doc_id", "text", *text_key()), ranks)
     lines = told.select("doc_id", "nth", F.posexplode_outer(split_lines("text")).alias("pos", "line"))
     seen = kept_table(lines.select("doc_id", "nth", "pos", *_line_key("line")), "line-places").withColumn("place", place)
     firsts = seen.where("pos is not null").groupBy("h1", "h2").agg(F.min("place").alias("first"))
@@ -368,14 +367,14 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataF
 
 def _without_repeats(rows: DataFrame) -> DataFrame:
     """Rows (row, doc_id, text) without all but one (by the hash of its columns) of those that repeat a doc_id and its text."""
-    keyed = rows.where("text is not null").select("doc_id", *_text_key())
+    keyed = rows.where("text is not null").select("doc_id", *text_key())
     repeated = cut(keyed.groupBy("doc_id", "t1", "t2").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")))
     if repeated.isEmpty():
         return rows
-    t1, t2 = _text_key()
+    t1, t2 = text_key()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")) & F.col("text").isNotNull()
     json = F.to_json("row")
-    one = rows.join(repeated, same, "left_semi").groupBy("doc_id", *_text_key()).agg(F.min_by(F.struct("row", "text"), F.struct(F.xxhash64(json), json)).alias("x"))
+    one = rows.join(repeated, same, "left_semi").groupBy("doc_id", *text_key()).agg(F.min_by(F.struct("row", "text"), F.struct(F.xxhash64(json), json)).alias("x"))
     return rows.join(repeated, same, "left_anti").unionByName(one.select("x.row", "doc_id", "x.text"))
 
 
@@ -392,7 +391,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFram
         # from the place back to the text, which no two rows of an id share
         theirs = ranks.select(F.col("doc_id").alias("__doc"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("nth").alias("__n"))
         keyed = gone.join(theirs, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__nth") == F.col("__n")), "left").select("__id", "__t1", "__t2", "gone")
-        t1, t2 = _text_key()
+        t1, t2 = text_key()
         single = rows.join(keyed.where("__t1 is null").select("__id", F.col("gone").alias("single")), of_text, "left").drop("__id")
         several = keyed.where("__t1 is not null").withColumnRenamed("gone", "several")
         joined = single.join(several, of_text & (t1 == F.col("__t1")) & (t2 == F.col("__t2")), "left").withColumn("gone", F.coalesce("single", "several"))
