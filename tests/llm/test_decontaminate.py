@@ -74,12 +74,32 @@ def test_repeated_and_null_ids_keep_a_row_each_in_blocks(spark):
 
 def test_suffix_array_is_sorted():
     rng = random.Random(5)
-    data, offsets = at.text_bytes(pa.array([some_words(rng, 40), "a a a a a a a a a a a a a a", ""]))
-    codes, firsts = d._words(data, offsets)
-    order, high, low = d.suffix_array(codes, firsts)
-    assert sorted(order.tolist()) == list(range(codes.size))
-    keys = list(zip(high.tolist(), low.tolist()))
-    assert keys == sorted(keys) and np.diff(firsts).tolist() == [40, 14, 0]
+    texts = [some_words(rng, 40), "a a a a a a a a a a a a a a", "", *["b a b a b a b a"] * 5]
+    data, offsets = at.text_bytes(pa.array(texts))
+    found, firsts = d._words(data, offsets)
+    assert [w.as_py().decode() for w in found] == [w for t in texts for w in words(t)] and np.diff(firsts).tolist() == [len(words(t)) for t in texts]
+    coded = found.dictionary_encode()
+    tokens = d._tokens(coded.indices.to_numpy().astype(np.int64), firsts, len(coded.dictionary))
+    assert d.suffix_array(tokens).tolist() == sorted(range(tokens.size), key=lambda p: tokens[p:].tolist())
+
+
+def test_words_are_compared_by_their_letters(spark):
+    thue = "".join("ab"[bin(n).count("1") % 2] for n in range(1024))
+    other = thue.translate({97: 98, 98: 97})
+    got = d.contamination(documents(spark, [f"x {thue} y", f"x {other} y"]), spark.createDataFrame([(1, thue)], "item_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in got} == {0: 1, 1: 0}
+
+
+def test_sql_agrees(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    items, texts = _case()
+    documents(spark, texts[:-1]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = d.op5_decontamination(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({d.OP5_SQL})").fetchall(), key=str)
 
 
 def test_longest_matches(spark):
@@ -92,9 +112,10 @@ def test_longest_matches(spark):
 def test_edges(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     docs = documents(spark, ["a b c"]).withColumnRenamed("source", "n_words")
+    assert d.remove_contaminated(docs.selectExpr("*", "1 as row", "2 as g1", "3 as t1"), bench).count() == 1
     assert [tuple(r)[1:3] for r in d.contamination(docs, bench).collect()] == [(3, 0)]
     assert d.contamination(spark.createDataFrame([], DOCS), bench).count() == 0
     nameless = spark.createDataFrame([(None, "a b")], "item_id bigint, text string")
     assert d.contamination(docs, nameless).first().item_ids == [""]
     with pytest.raises(ValueError):
-        d.Suffixes([1], ["a"], 11)
+        d.Suffixes([1], ["a"], 0)
