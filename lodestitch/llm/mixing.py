@@ -1,21 +1,29 @@
 """Operator 7, mixing sources to target weights: iterative proportional fitting, in DataFrame functions only.
 
-Tokens are counted per cell of (source, lang, topic). Raking multiplies the
-cells' weights by target / current share, for source, then language, then
-topic, `sweeps` times; the loop starts from the shares of tokens. Targets are
-shares of each margin: by default its token counts to the power `alpha`
-(tempered). Documents are sampled with their cell's probability, which is
-calibrated so that the expected tokens are `keep` of all: a probability that
-would pass 1 is set to 1 and the others are raised, `rounds` times.
-
-Only the cells are raked, a table of sums that is never collected. It is
-broadcast to the documents where it has at most BROADCAST_ROWS rows, else
-joined by a shuffle.
+Tokens are counted per cell of (source, lang, topic). Each margin's targets are
+shares of what is kept (`keep` of all tokens): by default its token counts to the
+power `alpha` (tempered), and never more than the margin has. Raking multiplies
+the cells' weights by target / current tokens, for source, then language, then
+topic; a cell counts with its tokens at most, so that the bound of a probability,
+1, is part of the fit. Sweeps go on until no margin is off its target by more than
+`tolerance` of what is kept, or `most` sweeps are done (margins can contradict
+each other); what is then left is returned as residual. Documents are sampled
+with their cell's probability, weight / tokens.
+
+Topics come from a column that the caller names, or else from the shape of a
+text: the shares of capitals, signs, digits and line breaks in it.
+
+Skew: only cells are raked, a table of partial sums that is never collected: a
+window holds one source's (language's, topic's) cells, which has a row for each
+pair of the other two margins, whatever the number of documents. Grand totals and
+residuals come to the driver as one number each. Fitted cells are broadcast to
+the documents where they have at most BROADCAST_ROWS rows, else joined by a
+shuffle.
 
 Rows: a null source, lang or topic counts as an empty one; a null text has no
 tokens and its cell's probability; cells without tokens get probability 1. The
 draw hashes doc_id, so equal ids are drawn alike (a null id as an empty one).
-Any other columns are left alone.
+Any other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -23,67 +31,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, table
+from .tables import cut, packed, table
 
 ALPHA = 0.5
 KEEP = 0.6
-SWEEPS = 6
-ROUNDS = 4
+TOLERANCE = 0.002
+CHECK = 5
+MOST = 20
+#: Rounds in which targets beyond what a margin has are dealt to the others.
+ROUNDS = 6
+#: A cell's weight goes this far beyond its tokens at most.
+BEYOND = 1000.0
 BROADCAST_ROWS = 100_000
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: What a text holds, and the topic that it then has; the first that fits.
-TOPICS = (("rights reserved", "legal"), ("icense", "legal"), ("@", "contact"), ("%%%", "symbols"), ("!!", "shouting"), (" | ", "listing"))
+#: Topics by shape, the first that fits: the characters counted, the topic, and how many characters of a text there may be for each.
+SHAPES = (("[A-Z]", "capitals", 2), (r"[!-/:-@\[-`{-~]", "symbols", 10), ("[0-9]", "figures", 10), (r"\n", "listing", 40))
 
 
 def topic_of(text: Column) -> Column:
     out = F.lit("prose")
-    for sign, topic in reversed(TOPICS):
-        out = F.when(F.contains(text, F.lit(sign)), topic).otherwise(out)
+    for pattern, topic, each in reversed(SHAPES):
+        out = F.when(F.regexp_count(text, F.lit(pattern)) * each > F.length(text), topic).otherwise(out)
     return F.coalesce(out, F.lit("prose"))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """The rows with __source, __lang, __topic and __tokens."""
-    return docs.withColumns(
-        {
-            "__source": F.coalesce("source", F.lit("")),
-            "__lang": F.coalesce("lang", F.lit("")),
-            "__topic": topic_of(F.col("text")),
-            "__tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"),
-        }
+def described(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """row, doc_id, source, lang, topic and n_tokens of every row."""
+    return packed(
+        docs,
+        doc_id=F.col("doc_id"),
+        source=F.coalesce("source", F.lit("")),
+        lang=F.coalesce("lang", F.lit("")),
+        topic=topic_of(F.col("text")) if topic is None else F.coalesce(F.col(topic).cast("string"), F.lit("")),
+        n_tokens=F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"),
     )
 
 
-def rake(cells: DataFrame, alpha: float = ALPHA, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight: shares that meet the targets of all three margins as nearly as the cells allow."""
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    out = cells.withColumn("weight", F.coalesce(F.try_divide("tokens", total), F.lit(0.0)))
+def _number(df: DataFrame, value: Column) -> float:
+    """One number of a whole frame."""
+    return df.agg(F.coalesce(value, F.lit(0.0)).cast("double").alias("x")).first().x
+
+
+def _targets(cells: DataFrame, margin: str, alpha: float, kept: float) -> DataFrame:
+    """margin and target_<margin>: tokens that it should give, no more than it has."""
+    own = cut(cells.groupBy(margin).agg(F.sum("tokens").alias("has")))
+    target = F.pow("has", F.lit(alpha))
+    for _ in range(ROUNDS):
+        total = _number(own, F.sum(target))
+        target = F.least("has", target * kept / total) if total else F.lit(0.0)
+    return own.select(margin, target.alias(f"target_{margin}"))
+
+
+def rake(cells: DataFrame, alpha: float = ALPHA, keep: float = KEEP, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
+    """cells (source, lang, topic, tokens) with probability and residual: expected tokens meet the targets of all three margins to the residual."""
+    cells = cut(cells.withColumn("tokens", F.col("tokens").cast("double")))
+    kept = _number(cells, F.sum("tokens")) * keep
+    out = cells.withColumn("weight", F.col("tokens") * keep)
     for m in MARGINS:
-        own = out.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("t"))
-        target = own.withColumn(f"target_{m}", F.coalesce(F.try_divide("t", F.sum("t").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))).drop("t")
-        out = out.join(target, m)
-    for k in range(sweeps):
+        out = out.join(_targets(cells, m, alpha, kept), m)
+    out, residual = cut(out), 0.0
+    now = lambda m: F.sum(F.least("tokens", "weight")).over(Window.partitionBy(m))
+    for sweep in range(1, most + 1):
         for m in MARGINS:
-            now = F.sum("weight").over(Window.partitionBy(m))
-            out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"target_{m}") / now).otherwise(0.0))
-        if k % 2:
-            out = cut(out)
-    return out
-
-
-def calibrate(raked: DataFrame, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with probability: weight * scale / tokens, 1 at most, the scale raised until the expected tokens are near keep of all."""
-    everything = Window.partitionBy(F.lit(0))
-    wanted = F.sum("tokens").over(everything) * keep
-    raw = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(None))
-    out = raked.withColumn("__scale", wanted.cast("double"))
-    probability = F.coalesce(F.least(F.lit(1.0), raw * F.col("__scale")), F.lit(1.0))
-    for _ in range(rounds):
-        expected = F.sum(probability * F.col("tokens")).over(everything)
-        out = out.withColumn("__scale", F.when(expected > 0, F.col("__scale") * wanted / expected).otherwise(F.col("__scale")))
-    return out.withColumn("probability", probability).drop("__scale")
+            out = out.withColumn("now", now(m)).withColumn("weight", F.when(F.col("now") > 0, F.least(F.col("weight") * F.col(f"target_{m}") / F.col("now"), F.col("tokens") * BEYOND)).otherwise(F.col("weight")))
+        if sweep % CHECK == 0 or sweep == most:
+            out = cut(out.drop("now"))
+            offs = [out.groupBy(m).agg(F.abs(F.sum(F.least("tokens", "weight")) - F.first(f"target_{m}")).alias("off")).select("off") for m in MARGINS]
+            residual = _number(offs[0].unionByName(offs[1]).unionByName(offs[2]), F.max("off")) / kept if kept else 0.0
+            if residual <= tolerance:
+                break
+    probability = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(1.0)
+    return out.select(*MARGINS, F.col("tokens").cast("bigint").alias("tokens"), probability.alias("probability"), F.lit(residual).alias("residual"))
 
 
 def draw(doc_id: Column) -> Column:
@@ -92,46 +112,56 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mixture(docs: DataFrame, alpha: float = ALPHA, keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
-    """The rows with __source, __lang, __topic, __tokens, __probability and __sampled."""
-    told = described(docs)
-    cells = told.groupBy(*(F.col(f"__{m}").alias(m) for m in MARGINS)).agg(F.sum("__tokens").alias("tokens"))
-    fitted = cut(calibrate(rake(cut(cells), alpha, sweeps), keep).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("probability").alias("__probability")))
-    few = fitted.count() <= BROADCAST_ROWS
-    joined = told.join(F.broadcast(fitted) if few else fitted, [f"__{m}" for m in MARGINS])
-    return joined.withColumn("__sampled", draw(F.col("doc_id")) < F.col("__probability"))
+def mixture(docs: DataFrame, alpha: float = ALPHA, keep: float = KEEP, topic: str | None = None, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
+    """row (the input row), doc_id, source, lang, topic, n_tokens, probability, residual and sampled of every row."""
+    told = described(docs, topic)
+    cells = cut(told.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    fitted = cut(rake(cells, alpha, keep, tolerance, most).drop("tokens"))
+    joined = told.join(F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted, list(MARGINS))
+    return joined.withColumn("sampled", draw(F.col("doc_id")) < F.col("probability"))
 
 
-def sample_documents(docs: DataFrame, alpha: float = ALPHA, keep: float = KEEP) -> DataFrame:
-    return mixture(docs, alpha, keep).where("__sampled").select(*docs.columns)
+def sample_documents(docs: DataFrame, alpha: float = ALPHA, keep: float = KEEP, topic: str | None = None, probability: str | None = None) -> DataFrame:
+    """The sampled rows; with a column of that name for their probability (which takes the place of one of the input)."""
+    out = mixture(docs, alpha, keep, topic).where("sampled")
+    if probability is None:
+        return out.select("row.*")
+    return out.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != probability), F.round("probability", 6).alias(probability))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixture(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"))
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled", F.round("residual", 4).alias("residual"))
 
 
 def _sql() -> str:
-    topic = "CASE " + " ".join(f"WHEN contains(text, '{sign}') THEN '{t}'" for sign, t in TOPICS) + " ELSE 'prose' END"
+    topic = "CASE " + " ".join(f"WHEN len(regexp_extract_all(text, '{pattern}')) * {each} > length(text) THEN '{t}'" for pattern, t, each in SHAPES) + " ELSE 'prose' END"
     out = [
         f"d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens FROM documents)",
-        "c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL)",
-        *(f"t_{m} AS (SELECT {m}, pow(CAST(sum(tokens) AS DOUBLE), {ALPHA}) / sum(pow(CAST(sum(tokens) AS DOUBLE), {ALPHA})) OVER () AS target_{m} FROM c GROUP BY {m})" for m in MARGINS),
-        "r0 AS (SELECT c.*, target_source, target_lang, target_topic, tokens / sum(tokens) OVER () AS weight FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))",
+        f"c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) AS DOUBLE) * {KEEP} AS weight, sum(CAST(sum(n_tokens) AS DOUBLE)) OVER () * {KEEP} AS kept FROM d GROUP BY source, lang, topic)",
     ]
+    for m in MARGINS:
+        out.append(f"t_{m}_0 AS (SELECT {m}, sum(tokens) AS has, any_value(kept) AS kept, pow(sum(tokens), {ALPHA}) AS t FROM c GROUP BY {m})")
+        for k in range(ROUNDS):
+            out.append(f"t_{m}_{k + 1} AS MATERIALIZED (SELECT {m}, has, kept, CASE WHEN sum(t) OVER () > 0 THEN least(has, t * kept / sum(t) OVER ()) ELSE 0 END AS t FROM t_{m}_{k})")
+    joins = " ".join(f"JOIN (SELECT {m}, t AS target_{m} FROM t_{m}_{ROUNDS}) USING ({m})" for m in MARGINS)
+    out.append(f"r0 AS MATERIALIZED (SELECT c.*, {', '.join(f'target_{m}' for m in MARGINS)}, CAST('inf' AS DOUBLE) AS residual FROM c {joins})")
     n = 0
-    for _ in range(SWEEPS):
+    for sweep in range(1, MOST + 1):
         for m in MARGINS:
-            out.append(f"r{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {m}) > 0 THEN weight * target_{m} / sum(weight) OVER (PARTITION BY {m}) ELSE 0 END AS weight FROM r{n})")
+            now = f"sum(least(tokens, weight)) OVER (PARTITION BY {m})"
+            out.append(f"r{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight), CASE WHEN residual > {TOLERANCE} AND {now} > 0 THEN least(weight * target_{m} / {now}, tokens * {BEYOND}) ELSE weight END AS weight FROM r{n})")
+            n += 1
+        if sweep % CHECK == 0 or sweep == MOST:
+            off = ", ".join(f"abs(sum(least(tokens, weight)) OVER (PARTITION BY {m}) - target_{m})" for m in MARGINS)
+            out.append(f"o{n} AS MATERIALIZED (SELECT *, CASE WHEN kept > 0 THEN greatest({off}) / kept ELSE 0 END AS off FROM r{n})")
+            out.append(f"r{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (off, residual), max(off) OVER () AS residual FROM o{n})")
             n += 1
-    out.append(f"s0 AS (SELECT source, lang, topic, tokens, weight, CAST(sum(tokens) OVER () AS DOUBLE) * {KEEP} AS wanted, CAST(sum(tokens) OVER () AS DOUBLE) * {KEEP} AS scale FROM r{n})")
-    p = "CASE WHEN tokens > 0 THEN least(1.0::DOUBLE, weight / tokens * scale) ELSE 1.0 END"
-    for k in range(ROUNDS):
-        out.append(f"s{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (scale), CASE WHEN sum({p} * tokens) OVER () > 0 THEN scale * wanted / sum({p} * tokens) OVER () ELSE scale END AS scale FROM s{k})")
+    p = "CASE WHEN tokens > 0 THEN least(1.0::DOUBLE, weight / tokens) ELSE 1.0 END"
     return (
         "WITH " + ",\n".join(out) + f"\nSELECT doc_id, d.source, d.lang, d.topic, n_tokens, round({p}, 6) AS probability,\n"
-        f"  CAST(('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / {float(1 << 52)} < {p} AS sampled\n"
-        f"FROM d JOIN s{ROUNDS} USING (source, lang, topic)"
+        f"  CAST(('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / {float(1 << 52)} < {p} AS sampled, round(residual, 4) AS residual\n"
+        f"FROM d JOIN r{n} USING (source, lang, topic)"
     )
 
 
