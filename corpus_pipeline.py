@@ -39,7 +39,7 @@ def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents are sampled by calibrated probabilities; each row keeps its probability."""
-    return mixing.mixture(docs).where("__sampled").select(*docs.columns, mixing.F.round("__probability", 6).alias("probability"))
+    return mixing.sample_documents(docs, probability="probability")
 
 
 STAGES = [
