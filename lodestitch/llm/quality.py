@@ -74,15 +74,16 @@ class FTRL:
         self.n[buckets] = n + g * g
 
 
-def fit(texts: pa.Array, labels: list[int], bits: int = BITS, epochs: int = 3) -> np.ndarray:
-    """Weights of all buckets; the last is the bias."""
-    data, offsets = at.text_bytes(texts)
+def fit(texts: pa.Array | pa.ChunkedArray, labels: list[int], bits: int = BITS, epochs: int = 3) -> np.ndarray:
+    """Weights of all buckets; the last is the bias. Texts stay in their chunks, as one array holds 2 GB at most."""
     model = FTRL(bits)
     rows = []
-    for i in range(len(labels)):
-        own, _ = features(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), bits)
-        buckets, counts = np.unique(own, return_counts=True)
-        rows.append((np.append(buckets, 1 << bits).astype(np.int32), np.append(counts / np.sqrt(max(1, own.size)), 1.0).astype(np.float32)))
+    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        data, offsets = at.text_bytes(chunk)
+        for i in range(len(chunk)):
+            own, _ = features(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), bits)
+            buckets, counts = np.unique(own, return_counts=True)
+            rows.append((np.append(buckets, 1 << bits).astype(np.int32), np.append(counts / np.sqrt(max(1, own.size)), 1.0).astype(np.float32)))
     for _ in range(epochs):
         for (buckets, values), label in zip(rows, labels):
             model.learn(buckets, values, label)
@@ -108,8 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            weights = fit(rows.column(0).chunk(0), rows.column(1).to_pylist())
+            rows = pa.Table.from_batches(held)
+            weights = fit(rows.column(0), rows.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     found = training_rows(docs, labels, label, sample).mapInArrow(run, "weights binary").collect()
