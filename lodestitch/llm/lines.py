@@ -41,6 +41,7 @@ op1_lines counts by its SQL, where places are doc_id and position alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ EDITS = 2
 PER = 5
 #: Lines under one key from which on they are not compared directly.
 HOT = 8
+#: Lines under one key of classes from which on they are not compared directly.
+MANY = 64
 #: Length of what is left from which on it is no longer halved.
 SHORT = 8
 #: Ids that may be broadcast, some 64 MB; beyond, a shuffled join takes their place.
@@ -234,8 +237,30 @@ def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(_small(ids), "id", "left_semi").distinct()
 
 
-def _within_hot_keys(rows: DataFrame, edits: int, hot: int) -> list[DataFrame]:
-    """Candidates (id, other) among rows (side, id, g, l, b, rem) that share g, by levels; in the first they are segments, then halves."""
+def _class_keys(edits: int) -> str:
+    """Array of a key for each three classes of code points: what a line holds of them, in its order."""
+    m = 2 * edits + 3
+    others = []
+    for c in range(m):
+        own = "".join(f"\\\\x{{{n:x}}}" for n in range(128) if n % m == c) + ("\\\\x{80}-\\\\x{10ffff}" if c == 0 else "")
+        others.append(f"xxhash64(regexp_replace(line, '[^{own}]+', ''))")
+    keys = ", ".join(f"xxhash64({a}, {b}, {c}, h[{a}], h[{b}], h[{c}])" for a, b, c in combinations(range(m), 3))
+    return f"transform(array(array({', '.join(others)})), h -> array({keys}))[0]"
+
+
+def _by_classes(rows: DataFrame, lines: DataFrame, edits: int, many: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates by the whole lines' classes; and the rows of indexed lines that have a key of many, with all that may probe them."""
+    keyed = lambda side: lines.join(_small(rows.where(F.col("side") == side).select("id").distinct()), "id", "left_semi").select("id", F.explode(F.expr(_class_keys(edits))).alias("key"))
+    index = kept_table(keyed("index"), "line-classes")
+    crowded = _small(index.join(_hot_keys(index, many), "key", "left_semi").select("id").distinct())
+    found = kept_table(_met(index.join(crowded, "id", "left_anti"), keyed("probe")), "line-candidates")
+    still = rows.where("side = 'index'").join(crowded, "id", "left_semi")
+    groups = _small(still.select("g").distinct())
+    return found, kept_table(still.unionByName(rows.where("side = 'probe'").join(groups, "g", "left_semi").select(still.columns)), "line-rests")
+
+
+def _within_hot_keys(rows: DataFrame, lines: DataFrame, edits: int, hot: int, many: int) -> list[DataFrame]:
+    """Candidates (id, other) among rows (side, id, g, l, b, rem) that share g, by levels: segments, then classes of the whole lines, then halves."""
     found, level = [], 0
     sides = lambda df: [(s, df.where(F.col("side") == s).drop("side")) for s in ("index", "probe")]
     while not rows.isEmpty():
@@ -263,10 +288,13 @@ def _within_hot_keys(rows: DataFrame, edits: int, hot: int) -> list[DataFrame]:
             ours = kept.where("hot").join(x.select("id", "g", "rem"), ["id", "g"])
             children = [df.select(F.lit(s).alias("side"), "id", F.col("key").alias("g"), "l", "b", rest) for s, df in (("index", ours), ("probe", probes.join(on, "key", "left_semi")))]
         rows, level = kept_table(children[0].unionByName(children[1]).distinct(), "line-rests"), level + 1
+        if level == 1 and not rows.isEmpty():
+            by_classes, rows = _by_classes(rows, lines, edits, many)
+            found.append(by_classes)
     return found
 
 
-def candidate_pairs(docs: DataFrame, edits: int = EDITS, per: int = PER, hot: int = HOT) -> DataFrame:
+def candidate_pairs(docs: DataFrame, edits: int = EDITS, per: int = PER, hot: int = HOT, many: int = MANY) -> DataFrame:
     """a and b: ids of lines that may be near, each pair once."""
     if per < 2 or not 1 <= edits <= 2:
         raise ValueError("edits must be 1 or 2, per 2 or more")
@@ -283,16 +311,16 @@ def candidate_pairs(docs: DataFrame, edits: int = EDITS, per: int = PER, hot: in
     asking = _only(texts.select("line", F.xxhash64("line").alias("id")), met.where("other is null").select("id").distinct())
     asking = cut(asking.withColumn("n", F.length("line")))
     sides = [_first_rows(asking, s, edits, per).join(common.withColumnRenamed("key", "g"), "g", "left_semi").select(F.lit(s).alias("side"), "id", "g", "l", "b", "rem") for s in ("index", "probe")]
-    found += _within_hot_keys(kept_table(sides[0].unionByName(sides[1]).distinct(), "line-rests"), edits, hot)
+    found += _within_hot_keys(kept_table(sides[0].unionByName(sides[1]).distinct(), "line-rests"), asking, edits, hot, many)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return cut(out.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
 
 
-def near_pairs(docs: DataFrame, edits: int = EDITS, per: int = PER, hot: int = HOT) -> DataFrame:
+def near_pairs(docs: DataFrame, edits: int = EDITS, per: int = PER, hot: int = HOT, many: int = MANY) -> DataFrame:
     """All pairs of different near lines: x and y, each pair once in some order."""
-    pairs = candidate_pairs(docs, edits, per, hot)
+    pairs = candidate_pairs(docs, edits, per, hot, many)
     named = docs.select(F.explode(split_lines("text")).alias("line")).where(F.length("line") >= per).select("line", F.xxhash64("line").alias("id"))
     chosen = cut(_only(named, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).withColumn("counts", _letter_counts()))
     x = chosen.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("counts").alias("x_counts"))

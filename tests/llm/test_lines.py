@@ -70,8 +70,8 @@ def test_decisions_and_texts_equal_brute_force(spark, tmp_path):
 
 def test_hot_limit_changes_nothing(spark):
     docs = documents(spark, _texts())
-    pairs = lambda hot: {frozenset(r) for r in lines.near_pairs(docs, hot=hot).collect()}
-    assert pairs(1) == pairs(10_000) != set()
+    pairs = lambda hot, many: {frozenset(r) for r in lines.near_pairs(docs, hot=hot, many=many).collect()}
+    assert pairs(1, 1) == pairs(2, 10_000) == pairs(10_000, 10_000) != set()
 
 
 def test_lines_that_differ_in_digits_only(spark):
@@ -92,7 +92,7 @@ def test_templates_of_all_kinds_equal_brute_force(spark):
     made |= {f"{rng.choice(['the', 'a', 'no'])} {rng.randint(0, 30)} came by the road to {rng.randint(0, 30)} and {rng.choice('abc')} stayed there" for _ in range(250)}
     made |= {f"{rng.randint(0, 99999)} {'z' * rng.randint(20, 22)}" for _ in range(150)}
     made = sorted(made)
-    got = {frozenset(r) for r in lines.near_pairs(documents(spark, ["\n".join(made)]), hot=2).collect()}
+    got = {frozenset(r) for r in lines.near_pairs(documents(spark, ["\n".join(made)]), hot=2, many=2).collect()}
     assert got == {frozenset((x, y)) for n, x in enumerate(made) for y in made[:n] if abs(len(x) - len(y)) <= 2 and edit_distance(x, y) <= _allowed(x, y)}
 
 
