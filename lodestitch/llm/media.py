@@ -3,9 +3,11 @@
 A payload of 8-bit samples is stored as one physical Ogg stream of two
 multiplexed logical streams: samples (an own "pcm8" mapping, granule position =
 samples so far) and marks (one packet with the unpadded length). Reading back
-verifies every page's checksum, reassembles packets from lacing values, also
-across pages, demultiplexes the logical streams by serial number and derives
-timestamps from granule positions.
+verifies every page's checksum and the first and last page's flags, reassembles
+packets from lacing values, also across pages, demultiplexes the logical streams by
+serial number and derives timestamps from granule positions: a page's position is
+the end of the last packet that ends in it, and those before end earlier by the
+durations (samples) of the packets that follow them.
 
 Rows: a null text is an empty one; its payload is 64 zero bytes. Equal texts
 give equal bytes. Media that is null, cut or damaged never fails the job: bad
@@ -77,11 +79,17 @@ def write_ogg(payload: bytes, n_bytes: int) -> bytes:
     return b"".join([samples[0], marks[0], *samples[1:-1], marks[1], samples[-1]])
 
 
+def _duration(packets: list[tuple[bytes, float]], k: int) -> int:
+    """Samples of a stream's packet: one a byte in a stream of samples, none in its header and in other streams."""
+    return len(packets[k][0]) if k and packets[0][0].startswith(b"pcm8") else 0
+
+
 def read_ogg(media: bytes | None) -> dict:
-    """Pages, bad pages, and of each serial number its packets with the seconds at which their page ends."""
+    """Pages, bad pages, and of each serial number its packets with the seconds at which they end."""
     media = media or b""
     out = {"pages": 0, "bad": 0, "streams": {}}
     state: dict[int, tuple[int, list[bytes] | None]] = {}
+    ended: set[int] = set()
     at = media.find(b"OggS")
     skipped = at != 0
     while at >= 0:
@@ -99,13 +107,17 @@ def read_ogg(media: bytes | None) -> dict:
         _, _, kind, granule, serial, number, _ = struct.unpack("<4sBBqIII", head[:26])
         out["pages"] += 1
         last, open_ = state.get(serial, (-1, None))
+        # a stream begins with a page that says so, and nothing follows the page that ends it
+        skipped |= bool(kind & _FIRST) != (serial not in state) or serial in ended
+        if kind & _LAST:
+            ended.add(serial)
         if number != last + 1 or not kind & _CONTINUED:
             skipped |= number != last + 1 or open_ is not None
             open_ = None
         packets = out["streams"].setdefault(serial, [])
         place, whole = 27 + n, not kind & _CONTINUED or open_ is not None
         part = open_ if kind & _CONTINUED and open_ is not None else []
-        size = 0
+        size, here = 0, len(packets)
         for k, value in enumerate(lacing):
             size += value
             if value < 255 or k == n - 1:
@@ -113,13 +125,17 @@ def read_ogg(media: bytes | None) -> dict:
                 place, size = place + size, 0
                 if value < 255:
                     if whole:
-                        packets.append((b"".join(part), granule / RATE))
+                        packets.append((b"".join(part), 0.0))
                     part, whole = [], True
+        end_of = granule
+        for k in range(len(packets) - 1, here - 1, -1):
+            packets[k] = (packets[k][0], max(0, end_of) / RATE)
+            end_of -= _duration(packets, k)
         state[serial] = (number, part if n and lacing[-1] == 255 and whole else None)
         following = media.find(b"OggS", end)
         skipped |= following not in (end, -1) or following == -1 and end < len(media)
         at = following
-    out["ok"] = bool(media) and not skipped and not out["bad"] and all(x[1] is None for x in state.values())
+    out["ok"] = bool(media) and not skipped and not out["bad"] and ended == set(state) and all(x[1] is None for x in state.values())
     return out
 
 

@@ -54,6 +54,31 @@ def test_pages_follow_the_format():
     assert found["ok"] and b"".join(p for p, _ in found["streams"][media.SAMPLES][1:]) == bytes(range(256)) * 400
 
 
+def test_packet_times():
+    payload = bytes(40_000)
+    times = [t for _, t in media.read_ogg(media.write_ogg(payload, 40_000))["streams"][media.SAMPLES]]
+    assert times == [0.0, *(min(40_000, k) / media.RATE for k in range(media.PACKET, 40_000 + media.PACKET, media.PACKET))]
+    odd = media.write_ogg(bytes(64 * 1000 + 64), 5)
+    times = [t for _, t in media.read_ogg(odd)["streams"][media.SAMPLES]]
+    assert times[1:] == [min(64_064, k) / media.RATE for k in range(media.PACKET, 64_064 + media.PACKET, media.PACKET)]
+
+
+def test_first_and_last_flags_are_verified():
+    good = media.write_ogg(bytes(20_000), 9)
+
+    def with_kind(at, change):
+        n = good[at + 26]
+        end = at + 27 + n + sum(good[at + 27 : at + 27 + n])
+        page = bytearray(good[at:end])
+        page[5] ^= change
+        page[22:26] = bytes(4)
+        page[22:26] = media.checksum(bytes(page)).to_bytes(4, "little")
+        return good[:at] + bytes(page) + good[end:]
+
+    last = good.rindex(b"OggS")
+    assert media.read_ogg(good)["ok"] and not media.read_ogg(with_kind(0, 2))["ok"] and not media.read_ogg(with_kind(last, 4))["ok"] and not media.read_ogg(with_kind(last, 2))["ok"]
+
+
 def test_damage_is_found(spark):
     good = media.write_ogg(bytes(200_000), 9)
     rows = [(1, good), (2, None), (3, b""), (4, b"no pages"), (5, good[:-10]), (6, good[:5000] + b"!" + good[5001:]), (7, b"junk" + good), (8, good[100:])]
