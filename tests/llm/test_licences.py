@@ -1,3 +1,7 @@
+from pathlib import Path
+
+import pytest
+
 from lodestitch.llm import licences
 
 FILES = "file bigint, path string, text string, licence string, dir string"
@@ -34,5 +38,51 @@ def test_best_licence_file_of_a_directory(spark):
     assert got[3] == ("CC-BY-NC-4.0", "inherited", "d/")
 
 
+def _wrapped(text, width, sign):
+    lines, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines.append(sign + line.strip())
+            line = ""
+        line += " " + word
+    return "\n".join([*lines, sign + line.strip()])
+
+
+def test_wrapped_headers_and_whole_texts(spark):
+    t = licences.TEMPLATES
+    got = scan(
+        spark,
+        (1, "a/x.py", "#!/bin/sh\n\n" + _wrapped("Copyright 2020 A. B. " + t["Apache-2.0 (header)"], 60, "# ") + "\n\nimport os\n" * 3),
+        (2, "b/y.c", "/*\n" + _wrapped(t["GPL-3.0 (header)"], 40, " * ") + "\n */\nint main() { return 0; }"),
+        (3, "c/LICENSE", "MIT License\n\nCopyright (c) 2021 Somebody Else\n\n" + _wrapped(t["MIT (text)"], 70, "")),
+        (4, "d/COPYING", "Copyright (c) 1999, The Others\n" + _wrapped(t["BSD-3-Clause (text)"], 70, "")),
+        (5, "e/z.rs", "// SPDX-License-Identifier: MIT\nfn main() {}"),
+        (6, "f/w.js", "// SPDX-License-Identifier: Apache-2.0"),
+        (7, "g/v.py", "# a comment\n# about nothing\n# at all, in several lines\nx = 1"),
+        (8, "d/below/u.py", "x = 1"),
+    )
+    assert {k: v[0] for k, v in got.items()} == {1: "Apache-2.0", 2: "GPL-3.0", 3: "MIT", 4: "BSD-3-Clause", 5: "MIT", 6: "Apache-2.0", 7: None, 8: "BSD-3-Clause"}
+
+
+def test_published_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not (folder / "Apache-2.0").exists():
+        pytest.skip("no published texts here")
+    got = scan(spark, (1, "a/LICENSE", (folder / "Apache-2.0").read_text()), (2, "b/LICENSE.txt", (folder / "BSD").read_text()))
+    assert (got[1][0], got[2][0]) == ("Apache-2.0", "BSD-3-Clause")
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    t = licences.TEMPLATES
+    texts = ["word " * 40, None, "", "Released under the MIT License.\nmore", "# one\n# two\nthree", _wrapped(t["MIT (text)"], 60, "// "), _wrapped(t["MIT (text)"], 60, ""), "All rights reserved.", "\n\n#a\n\n#b", "the the the license"] * 3
+    spark.createDataFrame([(n, x, "s") for n, x in enumerate(texts)], "doc_id bigint, text string, source string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = licences.op3_licences(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({licences.OP3_SQL})").fetchall(), key=str)
+
+
 def test_empty(spark):
     assert scan(spark) == {}
