@@ -12,6 +12,7 @@ columns are left alone.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import arrowtext as at
 from .tables import small_batches, table
 
-BITS = 14
+BITS = 16
 BLOCK_FROM = 0.5
 
 #: The rules (host, path, verdict).
@@ -34,22 +35,43 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: The labelled table, hosts and paths that are unwanted or wanted.
-UNWANTED = (
-    "adult-x.example.com/en/1", "blog.adult-x.example.net/de/7", "m.cheap-pills.example.org/en/31", "blog.cheap-meds.example.net/en/2/", "www.free-bets.example.com/fr/6", "adult-video.example.org/de/22.html", "xxx-cams.example.net/live/", "hot-xxx.example.org/fr/4411",
-    "adult-x.example.org/es/9", "porn-tube.example.com/watch/8", "free-porn.example.net/en/77", "sexcams.example.com/",
-    "free-bets.example.net/en/12", "free-bets.example.org/de/3.html", "bets-online.example.com/fr/5", "casino-royal.example.org/play/",
-    "best-casino.example.net/en/casino/1", "poker-slots.example.com/es/", "free-slots.example.org/bonus/2", "sport-bets.example.net/odds/",
-    "cheap-pills.example.com/buy/", "warez-crack.example.org/download/", "escort-x.example.net/city/4", "adult-x.example.net/fr/301#top",
+#: Words of unwanted and of wanted sites, from which the labelled table is written.
+UNWANTED_WORDS = (
+    "adult", "porn", "xxx", "sex", "cams", "escort", "nude", "erotic", "hentai", "fetish", "milf", "hookup",
+    "casino", "poker", "slots", "bets", "betting", "jackpot", "roulette", "lottery", "gambling", "bingo",
+    "pills", "pharma", "viagra", "cialis", "meds", "steroids", "weightloss", "replica",
+    "warez", "crack", "keygen", "cracked", "nulled", "serials", "hacks", "cheats", "torrent",
+    "spam", "clickbait", "payday", "loans", "forex", "moneyfast", "getrich", "prizes", "giveaway", "farm", "seo",
 )
-WANTED = (
-    "www.news.example.com/en/2020/1.html", "blog.travel.example.org/de/33", "m.weather.example.net/fr/12", "library.example.org/catalog/5",
-    "university.example.edu/courses/11", "wiki.example.org/en/Sextant", "docs.example.com/guide/start", "shop.example.net/es/item/9",
-    "www.museum.example.com/en/42", "blog.kitchen.example.com/fr/recipes/7", "m.transit.example.org/en/lines/3", "forum.example.net/de/thread/90",
-    "thondh.example.com/en/3120", "ereting.example.net/de/771.html", "blog.thnor.example.org/fr/41", "www.tionsh.example.net/es/88",
-    "m.heither.example.com/en/15", "alphabets.example.org/en/letters", "essex-history.example.net/en/8", "better-health.example.com/de/6",
-    "data.example.gov/tables/2", "maps.example.net/en/19#top", "ththre.example.org/en/1999", "thering.example.com/fr/204/", "nonedh.example.net/en/5?page=2",
+WANTED_WORDS = (
+    "news", "weather", "library", "museum", "university", "school", "college", "wiki", "docs", "guide", "manual", "archive",
+    "kitchen", "recipes", "garden", "travel", "hotel", "rail", "transit", "maps", "atlas", "history", "science", "physics",
+    "biology", "health", "clinic", "hospital", "sports", "football", "chess", "music", "concert", "cinema", "theatre", "books",
+    "poetry", "painting", "design", "fashion", "market", "shop", "store", "bank", "insurance", "energy", "climate", "water",
+    "city", "council", "county", "government", "court", "law", "tax", "jobs", "careers", "forum", "community", "photo",
+    "video", "radio", "podcast", "software", "database", "compiler", "robotics", "astronomy", "geology", "farmers", "essex", "pharmacy", "alphabets", "drinking",
 )
+_JOINS = ("{a}", "{a}-{b}", "{a}{b}", "{b}-{a}", "free-{a}", "best-{a}", "cheap-{a}", "{a}-online", "my-{a}", "{a}24", "{a}-x")
+_PLAIN_JOINS = ("{a}", "{a}-{b}", "{a}{b}", "the-{a}", "{a}-online", "my-{a}", "{a}24", "{a}-today", "free-{a}", "best-{a}", "new-{a}")
+_SYLLABLES = ("an", "er", "in", "ti", "on", "ou", "re", "the", "al", "or", "es", "sh", "nd", "ma", "lo", "ve", "ku", "ber", "gen", "tion", "ra", "pi", "so", "wh", "ly", "ha")
+_PLACES = (("", ""), ("www.", "/en/{n}"), ("blog.", "/de/{n}.html"), ("m.", "/fr/{n}/"), ("", "/es/{n}"), ("", "/posts/{n}"), ("www.", "/about/"))
+_ENDS = ("com", "net", "org", "example.com", "example.net", "example.org", "info")
+
+
+def labelled_urls(seed: int = 2, rounds: int = 6) -> list[tuple[str, int]]:
+    """The small labelled table: hosts with paths, 1 for unwanted. Each word stands in `rounds` hosts, twice as many for the fewer unwanted words, joined as sites join them, beside as many hosts of drawn syllables, which are wanted."""
+    rng, out = random.Random(seed), []
+    for words, joins, label in ((UNWANTED_WORDS, _JOINS, 1), (WANTED_WORDS, _PLAIN_JOINS, 0)):
+        for word in words:
+            for _ in range(rounds * (2 if label else 1)):
+                before, path = rng.choice(_PLACES)
+                name = rng.choice(joins).format(a=word, b=rng.choice(words))
+                out.append((f"{before}{name}.{rng.choice(_ENDS)}{path.format(n=rng.randint(1, 999))}", label))
+    for _ in range(rounds * len(WANTED_WORDS)):
+        before, path = rng.choice(_PLACES)
+        name = "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(2, 4)))
+        out.append((f"{before}{name}.{rng.choice(_ENDS)}{path.format(n=rng.randint(1, 999))}", 0))
+    return out
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -99,7 +121,7 @@ def _scores(weights: np.ndarray, buckets: np.ndarray, text: np.ndarray, n: int)
     return 1 / (1 + np.exp(-np.clip(dot + weights[-1], -30, 30)))
 
 
-def fit(urls: list[str], labels: list[int], bits: int = BITS, steps: int = 600, rate: float = 4.0, decay: float = 5e-4) -> np.ndarray:
+def fit(urls: list[str], labels: list[int], bits: int = BITS, steps: int = 800, rate: float = 20.0, decay: float = 5e-5) -> np.ndarray:
     """Full gradient steps over the labelled table, given as host and path in one text."""
     parts = [u.partition("/") for u in urls]
     buckets, text = features(pa.array([p[0] for p in parts]), pa.array([(p[1] + p[2]).partition("?")[0].partition("#")[0] for p in parts]), bits)
@@ -113,8 +135,10 @@ def fit(urls: list[str], labels: list[int], bits: int = BITS, steps: int = 600,
     return weights
 
 
-def train(unwanted: tuple = UNWANTED, wanted: tuple = WANTED) -> np.ndarray:
-    return fit([*unwanted, *wanted], [1] * len(unwanted) + [0] * len(wanted))
+def train(labelled: list[tuple[str, int]] | None = None) -> np.ndarray:
+    """Weights fitted on a small labelled table of hosts with paths (1: unwanted)."""
+    rows = labelled_urls() if labelled is None else labelled
+    return fit([u for u, _ in rows], [y for _, y in rows])
 
 
 def filter_urls(pages: DataFrame, weights: np.ndarray, rules: tuple = RULES, page_id: str = "page_id", url: str = "url", block_from: float = BLOCK_FROM) -> DataFrame:

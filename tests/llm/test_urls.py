@@ -1,4 +1,4 @@
-from helpers import documents  # noqa: F401
+import random
 
 from lodestitch.llm import urls
 
@@ -34,5 +34,28 @@ def test_model_knows_new_hosts_of_its_kinds(spark):
     assert [r.verdict for r in urls.filter_urls(rows, urls.train()).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
 
 
+def _unseen(rng, words, joins):
+    return f"https://{rng.choice(['', 'www.', 'old.', 'shop.'])}{rng.choice(joins).format(a=rng.choice(words), b=rng.choice(words))}.{rng.choice(['example.edu', 'io', 'co.uk', 'site'])}/{rng.choice(['', 'a/b', 'it/44', 'index.php'])}"
+
+
+def test_precision_and_recall_on_unseen_hosts(spark):
+    rng = random.Random(77)
+    seen = {u.partition("/")[0] for u, _ in urls.labelled_urls()}
+    bad = [_unseen(rng, urls.UNWANTED_WORDS, ("{a}zone", "all-{a}", "{a}-{b}-now", "{a}{b}hub", "real{a}")) for _ in range(300)]
+    good = [_unseen(rng, urls.WANTED_WORDS, ("{a}place", "all-{a}", "{a}-and-{b}", "{a}{b}hub", "real{a}")) for _ in range(300)]
+    good += [f"https://{''.join(rng.choice(['bu', 'kra', 'mel', 'ost', 'vin', 'dor', 'qua', 'lis']) for _ in range(3))}.example.edu/en/{n}" for n in range(200)]
+    assert not {u.split("://")[1].partition("/")[0] for u in [*bad, *good]} & seen
+    df = spark.createDataFrame([(n, u) for n, u in enumerate([*bad, *good])], "page_id bigint, url string")
+    blocked = {r.page_id for r in urls.filter_urls(df, urls.train(), rules=()).where("verdict = 'block'").collect()}
+    hits = len([n for n in blocked if n < len(bad)])
+    assert hits / len(blocked) >= 0.9 and hits / len(bad) >= 0.9, (hits, len(blocked))
+
+
+def test_long_and_repeated_rows(spark):
+    rows = [(1, "https://poker.example.io/a"), (1, "https://poker.example.io/a"), (None, None), (None, None), (2, "https://" + "news" * 20_000 + ".org/" + "x" * 100_000)]
+    got = urls.filter_urls(spark.createDataFrame([(*r, 0.5, "h") for r in rows], "page_id bigint, url string, score double, host string"), urls.train()).collect()
+    assert len(got) == 5 and [r.verdict for r in got if r.page_id == 1] == ["block"] * 2
+
+
 def test_empty_table(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id bigint, url string"), urls.train()).count() == 0
