@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import crc_mod, small_batches, table
+from .tables import crc_mod, cut, kept_table, small_batches, table
 
 SAMPLE = 600
 PROFILE = 3_000
@@ -95,43 +95,36 @@ class LanguageFilter:
         return np.clip((hits - total[:, None] * self.false) / (np.maximum(total, 1)[:, None] * (1 - self.false)), 0, 1)
 
 
-def _counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = at.text_bytes(texts)
-    codes = np.concatenate([c for c, _ in grams(data, offsets)] or [np.zeros(0, np.uint64)])
-    return np.unique(codes, return_counts=True)
-
-
-def fit(rows: dict[str, pa.Array], profile: int = PROFILE) -> LanguageFilter:
-    """rows: the texts of each language."""
-    rates: dict[str, dict[int, float]] = {}
-    mean: dict[int, float] = {}
-    for name, texts in rows.items():
-        codes, counts = _counts(texts)
-        keep = np.argsort(-counts, kind="stable")[: 20 * profile]
-        rates[name] = dict(zip(codes[keep].tolist(), (counts[keep] / max(1, counts.sum())).tolist()))
-        for code, rate in rates[name].items():
-            mean[code] = mean.get(code, 0.0) + rate / len(rows)
-    chosen = {}
-    for name, own in rates.items():
-        typical = [c for c, r in own.items() if len(rows) == 1 or r > mean[c]]
-        chosen[name] = np.array(typical[:profile], np.uint64)
-    return LanguageFilter(chosen)
-
-
 def train(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> LanguageFilter:
-    """Learns from rows with a lang whose crc32(doc_id) modulo 4 is not 2."""
+    """Learns from rows with a lang whose crc32(doc_id) modulo 4 is not 2: of each language those of at most `sample` ids, by the least hash.
+
+    N-grams are counted by language in Spark. A language's profile is those of
+    its n-grams that are more frequent in it than on the mean of all
+    languages, the `profile` most frequent; only profiles come to the driver.
+    """
     small_batches(docs.sparkSession)
     ids = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2))
     nth = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))
     # the least hashes of each part first, so that a frequent language is not one task
     near = ids.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64))).withColumn("n", nth).where(F.col("n") <= sample)
-    least = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= sample).select("doc_id", "lang")
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(least), ["doc_id", "lang"], "left_semi").select("lang", "text").toArrow()
-    rows = {}
-    for name in sorted(set(texts.column("lang").to_pylist())):
-        rows[name] = texts.filter(pa.compute.equal(texts.column("lang"), name)).column("text").combine_chunks()
-        rows[name] = rows[name].chunk(0) if isinstance(rows[name], pa.ChunkedArray) else rows[name]
-    return fit(rows, profile)
+    least = cut(near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= sample).select("doc_id", "lang"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for name in rows.column(0).unique().to_pylist():
+                data, offsets = at.text_bytes(rows.column(1).filter(pa.compute.equal(rows.column(0), name)))
+                codes, counts = np.unique(np.concatenate([c for c, _ in grams(data, offsets)] or [np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * codes.size, pa.string()), pa.array(codes.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "code", "n"])
+
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(least), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    counted = kept_table(texts.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")), "language-counts")
+    names = sorted(r.lang for r in least.select("lang").distinct().collect())
+    rates = counted.join(F.broadcast(counted.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    typical = rates.join(rates.groupBy("code").agg((F.sum("rate") / max(1, len(names))).alias("mean")), "code").where((F.col("rate") > F.col("mean")) | F.lit(len(names) == 1))
+    first = typical.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "code"))).where(F.col("nth") <= profile)
+    found = first.select("lang", "code").toArrow()
+    of, codes = np.array(found.column("lang").to_pylist(), dtype=object), found.column("code").to_numpy().view(np.uint64)
+    return LanguageFilter({name: codes[of == name] for name in names})
 
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
