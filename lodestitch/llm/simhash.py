@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .tables import cut, kept_table, small_batches, table, text_key
+from .tables import cut, kept_table, packed, small_batches, table, text_key
 
 SHINGLE = 3
 DISTANCE = 3
@@ -263,8 +263,7 @@ def _linked(key: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
 
 def _bucket_links(rows: DataFrame, distance: int) -> DataFrame:
     """u and v: each linked fingerprint of a bucket and the first one that it is linked with, verified."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp")
+    sorted_rows = rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -334,8 +333,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 def dedup_documents(docs: DataFrame, shingle: int = SHINGLE, distance: int = WIDE) -> DataFrame:
     """One document of each component, that of the least doc_id, with all its columns; a component without any doc_id stays."""
-    keep = near_duplicates(docs, shingle, distance).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    keep = near_duplicates(docs, shingle, distance).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    return packed(docs, doc_id=F.col("doc_id")).join(keep, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
 
 
 def _described(docs: DataFrame) -> DataFrame:
@@ -427,8 +426,10 @@ def near_copies(docs: DataFrame, distance: int = WIDE) -> DataFrame:
 
 def dedup_near_copies(docs: DataFrame, distance: int = WIDE) -> DataFrame:
     """The rows that are no near copies of a row that stays, with all their columns. Texts without words stay; texts under WORDS words go only for the same words; rows that repeat a doc_id and its words stay together."""
-    gone = cut(near_copies(docs, distance)).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t1")) & (F.xxhash64(F.lit("text"), "text") == F.col("__t2")), "left_anti")
+    gone = cut(near_copies(docs, distance)).select(F.col("doc_id").alias("gone"), F.col("t1").alias("g1"), F.col("t2").alias("g2"))
+    t1, t2 = text_key()
+    rows = packed(docs, doc_id=F.col("doc_id"), t1=t1, t2=t2)
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2")), "left_anti").select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

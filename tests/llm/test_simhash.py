@@ -137,3 +137,12 @@ def test_near_copies_are_verified(spark, monkeypatch):
     rows = spark.createDataFrame([(None, texts[10], 1), (None, texts[30], 2), (7, texts[10], 3), (7, texts[50], 4)], "doc_id bigint, text string, fp int")
     assert {r.fp for r in simhash.dedup_near_copies(rows).collect()} == {2, 3, 4}
     assert simhash.dedup_near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_our_own_names_do_not_clash(spark):
+    from lodestitch.llm import simhash
+
+    text = " ".join(f"word{n}" for n in range(60))
+    docs = spark.createDataFrame([(1, text, 4, 5, 6), (2, text, 7, 8, 9)], "doc_id bigint, text string, __id int, row int, gone int")
+    assert [tuple(r) for r in simhash.dedup_near_copies(docs).collect()] == [(1, text, 4, 5, 6)]
+    assert [tuple(r) for r in simhash.dedup_documents(docs).collect()] == [(1, text, 4, 5, 6)]
