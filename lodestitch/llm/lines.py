@@ -11,17 +11,20 @@ length. A line probes the indexes of its own and the `edits` shorter lengths
 with those substrings whose places can still lead to the allowed edits. What
 shares a key is a candidate.
 
-Keys of more than HOT lines are never compared pair by pair; what is left of
-their lines, without the segment, is joined again within the key. In the first
-level it is split into segments once more, which parts lines that share only a
-phrase. What still shares a key of many lines then comes from templates
-that differ in few places, and is halved, level by level. Of two edits,
+Keys of more than HOT lines are never compared pair by pair. Their lines are keyed
+as a whole: code points fall into 2 * edits + 3 classes, an edit touches two at
+most, so the characters of some three classes stand alike in both lines; each
+three are a key, which parts lines that share a phrase or differ by words. What
+then still shares a key of more than MANY lines comes from templates that differ
+in few places: within each common segment, what is left of the line without it is
+halved, level by level. Of two edits,
 either one half has none (its text is a key, the other half is left), or each
 half has one (the texts of a half without one character are keys, of the half
 whose keys are common to fewer lines; a common one leaves the other half with
 one edit). Ends of at most SHORT characters are keyed by what remains without
 any one or two characters. So each line gets some hundred keys at worst,
-whatever the number of lines alike, and what meets is nearly always a link.
+whatever the number of lines alike, and what meets is nearly always a link. Where
+such keys meet, a signature of letter counts is compared at once.
 Candidates are compared by letter counts, then verified by a banded
 bit-parallel automaton: one BIGINT holds, for each number of edits, the
 reachable diagonals of the band.
@@ -54,7 +57,7 @@ PER = 5
 #: Lines under one key from which on they are not compared directly.
 HOT = 8
 #: Lines under one key of classes from which on they are not compared directly.
-MANY = 64
+MANY = 512
 #: Length of what is left from which on it is no longer halved.
 SHORT = 8
 #: Ids that may be broadcast, some 64 MB; beyond, a shuffled join takes their place.
@@ -145,6 +148,12 @@ def _letter_counts() -> Column:
     return F.expr("transform(split('abcdefghijklmnopqrstuvwxyz', ''), c -> length(line) - length(replace(line, c, '')))")
 
 
+def _signature() -> Column:
+    """Each letter's count modulo 4 as two bits of which one changes with each step: lines within k edits differ in 2 * k bits at most."""
+    steps = "get(array(0L, 1L, 3L, 2L), (length(line) - length(replace(line, c, ''))) % 4)"
+    return F.expr(f"aggregate(split('abcdefghijklmnopqrstuvwxyz', ''), 0L, (s, c) -> shiftleft(s, 2) | {steps})")
+
+
 def _alike(x: str, y: str, edits: int) -> str:
     """Whether letter counts allow `edits` edits: a replacement changes two, an insertion or deletion one."""
     return " + ".join(f"abs({x}[{k}] - {y}[{k}])" for k in range(26)) + f" <= {2 * edits}"
@@ -169,24 +178,13 @@ def _without_one(p: str, j: str) -> str:
 
 
 def _first_rows(lines: DataFrame, side: str, edits: int, per: int) -> DataFrame:
-    """id, g (the key) and, of what is left without the segment, l (its length on the indexed side), b (edits) and rem."""
+    """id, sig, g (the key) and, of what is left without the segment, l (its length on the indexed side), b (edits) and rem."""
 
     def one(at: str, size: str, i: int, less: int, k: int) -> str:
         return f"named_struct('g', {_first_key(at, size, i, less)}, 'l', n - {less} - {size} + {int(1 < i <= k)}, 'b', {k}, 'rem', {_left_without('line', at, size, i, k + 1)})"
 
     rests = _by_length(side, edits, one, lambda k, less: f"{allowed(f'(n - {less})', edits, per)} = {k}")
-    return _with_cuts(lines, side, edits).select("id", F.explode(F.expr(rests)).alias("x")).select("id", "x.*")
-
-
-def _second_rows(rows: DataFrame, side: str, edits: int) -> DataFrame:
-    """The same one level on: what is left is split into segments again, under keys within g."""
-
-    def one(at: str, size: str, i: int, less: int, k: int) -> str:
-        return f"named_struct('g', xxhash64(g, substring(rem, {at}, {size}), {i}), 'l', l - {size} + {int(1 < i <= k)}, 'b', b, 'rem', {_left_without('rem', at, size, i, k + 1)})"
-
-    rests = _by_length(side, edits, one, lambda k, less: f"b = {k} and n - {less} = l")
-    told = _with_cuts(rows.withColumn("n", F.length("rem")), side, edits)
-    return told.select("id", F.explode(F.expr(rests)).alias("x")).select("id", "x.*")
+    return _with_cuts(lines, side, edits).select("id", "sig", F.explode(F.expr(rests)).alias("x")).select("id", "sig", "x.*")
 
 
 def _halves(rows: DataFrame, side: str) -> DataFrame:
@@ -206,14 +204,14 @@ def _halves(rows: DataFrame, side: str) -> DataFrame:
             edited.append(each(_without_one(head(d), "j"), 2, f"h + 1 + {d}", f"n - h - {d}", "l - h", 1))
             edited.append(each(_without_one(tail(d), "j"), 3, "1", f"n - l + h - {d}", "h", 1))
     told = rows.withColumns({"n": F.length("rem"), "h": F.expr("cast(l div 2 as int)")})
-    return told.withColumn("x", F.explode(F.expr(f"concat(array({', '.join(exact)}), if(b = 2, concat({', '.join(edited)}), array()))"))).select("id", "g", "rem", "x.*")
+    return told.withColumn("x", F.explode(F.expr(f"concat(array({', '.join(exact)}), if(b = 2, concat({', '.join(edited)}), array()))"))).select("id", "sig", "g", "rem", "x.*")
 
 
 def _short_keys(rows: DataFrame) -> DataFrame:
-    """id and key: the short rest without any b characters or fewer."""
+    """id, sig and key: the short rest without any b characters or fewer."""
     one = f"concat(array(rem), {_without_one('rem', 'j')})"
     two = f"array_distinct(flatten(transform({one}, v -> concat(array(v), {_without_one('v', 'k')}))))"
-    return rows.select("id", F.explode(F.expr(f"transform(if(b = 1, {one}, {two}), v -> xxhash64(g, 9, v))")).alias("key")).distinct()
+    return rows.select("id", "sig", F.explode(F.expr(f"transform(if(b = 1, {one}, {two}), v -> xxhash64(g, 9, v))")).alias("key")).distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -228,8 +226,10 @@ def _hot_keys(index: DataFrame, hot: int) -> DataFrame:
     return _small(sizes.where((F.col("size") > hot) & (F.col("a") != F.col("b"))).select("key"))
 
 
-def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
-    return probe.select("id", "key").join(index.select(F.col("id").alias("other"), "key"), "key").where("id != other").select("id", "other")
+def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
+    """id and other of what shares a key and whose letter counts allow `edits` edits."""
+    theirs = index.select(F.col("id").alias("other"), F.col("sig").alias("theirs"), "key")
+    return probe.select("id", "sig", "key").join(theirs, "key").where(f"id != other and bit_count(sig ^ theirs) <= {2 * edits}").select("id", "other")
 
 
 def _only(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -250,47 +250,36 @@ def _class_keys(edits: int) -> str:
 
 def _by_classes(rows: DataFrame, lines: DataFrame, edits: int, many: int) -> tuple[DataFrame, DataFrame]:
     """Candidates by the whole lines' classes; and the rows of indexed lines that have a key of many, with all that may probe them."""
-    keyed = lambda side: lines.join(_small(rows.where(F.col("side") == side).select("id").distinct()), "id", "left_semi").select("id", F.explode(F.expr(_class_keys(edits))).alias("key"))
+    keyed = lambda side: lines.join(_small(rows.where(F.col("side") == side).select("id").distinct()), "id", "left_semi").select("id", "sig", F.explode(F.expr(_class_keys(edits))).alias("key"))
     index = kept_table(keyed("index"), "line-classes")
     crowded = _small(index.join(_hot_keys(index, many), "key", "left_semi").select("id").distinct())
-    found = kept_table(_met(index.join(crowded, "id", "left_anti"), keyed("probe")), "line-candidates")
+    found = kept_table(_met(index.join(crowded, "id", "left_anti"), keyed("probe"), edits), "line-candidates")
     still = rows.where("side = 'index'").join(crowded, "id", "left_semi")
     groups = _small(still.select("g").distinct())
-    return found, kept_table(still.unionByName(rows.where("side = 'probe'").join(groups, "g", "left_semi").select(still.columns)), "line-rests")
+    return found, kept_table(still.select(rows.columns).unionByName(rows.where("side = 'probe'").join(groups, "g", "left_semi").select(rows.columns)), "line-rests")
 
 
-def _within_hot_keys(rows: DataFrame, lines: DataFrame, edits: int, hot: int, many: int) -> list[DataFrame]:
-    """Candidates (id, other) among rows (side, id, g, l, b, rem) that share g, by levels: segments, then classes of the whole lines, then halves."""
-    found, level = [], 0
-    sides = lambda df: [(s, df.where(F.col("side") == s).drop("side")) for s in ("index", "probe")]
+def _by_halves(rows: DataFrame, edits: int, hot: int) -> list[DataFrame]:
+    """Candidates (id, other) among rows (side, id, sig, g, l, b, rem) that share g, level by level."""
+    found = []
+    sides = lambda df: [df.where(F.col("side") == s).drop("side") for s in ("index", "probe")]
     while not rows.isEmpty():
-        (_, x), (_, y) = sides(rows.where(F.col("l") <= SHORT))
-        found.append(kept_table(_met(_short_keys(x), _short_keys(y)), "line-candidates"))
-        (_, x), (_, y) = sides(rows.where(F.col("l") > SHORT))
-        if level == 0:
-            x, y = _second_rows(x, "index", edits), _second_rows(y, "probe", edits)
-            named = lambda df: df.select("id", F.col("g").alias("key"))
-            common = _hot_keys(named(x), hot)
-            found.append(kept_table(_met(named(x).join(common, "key", "left_anti"), named(y)), "line-candidates"))
-            common = common.withColumnRenamed("key", "g")
-            children = [df.join(common, "g", "left_semi").select(F.lit(s).alias("side"), "id", "g", "l", "b", "rem") for s, df in (("index", x), ("probe", y))]
-        else:
-            keys, probes = _halves(x, "index"), _halves(y, "probe")
-            common = _hot_keys(keys, hot)
-            told = keys.drop("rem").join(common.withColumn("hot", F.lit(True)), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-            flags = told.where("hot and kind > 1").groupBy("g", "id").agg(F.max(F.col("kind") == 2).alias("head"), F.max(F.col("kind") == 3).alias("tail"))
-            # of the halves with one edit each, the one without common keys serves; else the head
-            kept = told.join(flags, ["g", "id"], "left").where("kind < 2 or (kind = 2 and not (coalesce(head, false) and not coalesce(tail, false))) or (kind = 3 and coalesce(head, false) and not coalesce(tail, false))")
-            kept = kept_table(kept.drop("head", "tail"), "line-halves")
-            found.append(kept_table(_met(kept.where("not hot"), probes), "line-candidates"))
-            on = _small(kept.where("hot").select("key").distinct())
-            rest = F.expr("substring(rem, at, size)").alias("rem")
-            ours = kept.where("hot").join(x.select("id", "g", "rem"), ["id", "g"])
-            children = [df.select(F.lit(s).alias("side"), "id", F.col("key").alias("g"), "l", "b", rest) for s, df in (("index", ours), ("probe", probes.join(on, "key", "left_semi")))]
-        rows, level = kept_table(children[0].unionByName(children[1]).distinct(), "line-rests"), level + 1
-        if level == 1 and not rows.isEmpty():
-            by_classes, rows = _by_classes(rows, lines, edits, many)
-            found.append(by_classes)
+        x, y = sides(rows.where(F.col("l") <= SHORT))
+        found.append(kept_table(_met(_short_keys(x), _short_keys(y), edits), "line-candidates"))
+        x, y = sides(rows.where(F.col("l") > SHORT))
+        keys, probes = _halves(x, "index"), _halves(y, "probe")
+        common = _hot_keys(keys, hot)
+        told = keys.drop("rem").join(common.withColumn("hot", F.lit(True)), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        flags = told.where("hot and kind > 1").groupBy("g", "id").agg(F.max(F.col("kind") == 2).alias("head"), F.max(F.col("kind") == 3).alias("tail"))
+        # of the halves with one edit each, the one without common keys serves; else the head
+        kept = told.join(flags, ["g", "id"], "left").where("kind < 2 or (kind = 2 and not (coalesce(head, false) and not coalesce(tail, false))) or (kind = 3 and coalesce(head, false) and not coalesce(tail, false))")
+        kept = kept_table(kept.drop("head", "tail"), "line-halves")
+        found.append(kept_table(_met(kept.where("not hot"), probes, edits), "line-candidates"))
+        on = _small(kept.where("hot").select("key").distinct())
+        rest = F.expr("substring(rem, at, size)").alias("rem")
+        ours = kept.where("hot").join(x.select("id", "g", "rem"), ["id", "g"])
+        children = [df.select(F.lit(s).alias("side"), "id", "sig", F.col("key").alias("g"), "l", "b", rest) for s, df in (("index", ours), ("probe", probes.join(on, "key", "left_semi")))]
+        rows = kept_table(children[0].unionByName(children[1]).distinct(), "line-rests")
     return found
 
 
@@ -309,9 +298,10 @@ def candidate_pairs(docs: DataFrame, edits: int = EDITS, per: int = PER, hot: in
     met = kept_table(_key_rows(lines, "probe", edits, per).join(targets, "key").where("other is null or id != other").select("id", "other"), "line-candidates")
     found = [met.where("other is not null")]
     asking = _only(texts.select("line", F.xxhash64("line").alias("id")), met.where("other is null").select("id").distinct())
-    asking = cut(asking.withColumn("n", F.length("line")))
-    sides = [_first_rows(asking, s, edits, per).join(common.withColumnRenamed("key", "g"), "g", "left_semi").select(F.lit(s).alias("side"), "id", "g", "l", "b", "rem") for s in ("index", "probe")]
-    found += _within_hot_keys(kept_table(sides[0].unionByName(sides[1]).distinct(), "line-rests"), asking, edits, hot, many)
+    asking = cut(asking.withColumns({"n": F.length("line"), "sig": _signature()}))
+    sides = [_first_rows(asking, s, edits, per).join(common.withColumnRenamed("key", "g"), "g", "left_semi").select(F.lit(s).alias("side"), "id", "sig", "g", "l", "b", "rem") for s in ("index", "probe")]
+    by_classes, rows = _by_classes(sides[0].unionByName(sides[1]), asking, edits, many)
+    found += [by_classes, *_by_halves(rows, edits, hot)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
