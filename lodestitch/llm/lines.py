@@ -149,9 +149,9 @@ def _letter_counts() -> Column:
 
 
 def _signature() -> Column:
-    """Each letter's count modulo 4 as two bits of which one changes with each step: lines within k edits differ in 2 * k bits at most."""
+    """The counts of 32 digits and letters modulo 4, as two bits of which one changes with each step: lines within k edits differ in 2 * k bits at most."""
     steps = "get(array(0L, 1L, 3L, 2L), (length(line) - length(replace(line, c, ''))) % 4)"
-    return F.expr(f"aggregate(split('abcdefghijklmnopqrstuvwxyz', ''), 0L, (s, c) -> shiftleft(s, 2) | {steps})")
+    return F.expr(f"aggregate(split('0123456789abcdefghilmnoprstuvwyz', ''), 0L, (s, c) -> shiftleft(s, 2) | {steps})")
 
 
 def _alike(x: str, y: str, edits: int) -> str:
