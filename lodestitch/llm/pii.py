@@ -419,7 +419,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, spans: int = SPANS, made: int =
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.moves.tobytes()], pa.binary())], names=["weights", "moves"])
 
     cued = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    picked = cued.orderBy("h", "text").limit(sample).select("text").mapInArrow(collect, "kind string, span string").where(F.length("span") <= 80).distinct()
+    # hashes are picked first, so that no task reads texts of all others
+    least = cued.select("h").orderBy("h").limit(sample).distinct()
+    picked = cued.join(F.broadcast(least), "h", "left_semi").select("text").mapInArrow(collect, "kind string, span string").where(F.length("span") <= 80).distinct()
     ranked = picked.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("span"), "span"))).where(F.col("nth") <= spans)
     fitted = ranked.select("kind", "span").coalesce(1).mapInArrow(run, "weights binary, moves binary").collect()
     model = SemiCRF()
