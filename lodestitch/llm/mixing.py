@@ -96,8 +96,8 @@ def rake(cells: DataFrame, alpha: float = ALPHA, keep: float = KEEP, tolerance:
     for sweep in range(1, most + 1):
         for m in MARGINS:
             out = out.withColumn("now", now(m)).withColumn("weight", F.when(F.col("now") > 0, F.least(F.col("weight") * F.col(f"target_{m}") / F.col("now"), F.col("tokens") * BEYOND)).otherwise(F.col("weight")))
+        out = cut(out.drop("now"))  # after each sweep: plans of many sweeps fill the driver
         if sweep % CHECK == 0 or sweep == most:
-            out = cut(out.drop("now"))
             offs = [out.groupBy(m).agg(F.abs(F.sum(F.least("tokens", "weight")) - F.first(f"target_{m}")).alias("off")).select("off") for m in MARGINS]
             residual = _number(offs[0].unionByName(offs[1]).unionByName(offs[2]), F.max("off")) / kept if kept else 0.0
             if residual <= tolerance:
