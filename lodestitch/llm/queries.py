@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licences, lines, media, mixing, pii, quality, simhash, urls
+from . import align, decontaminate, embeddings, language, licences, lines, media, middle, mixing, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
     "op10_language": language.op10_language,
+    "op11_align": align.op11_align,
+    "op12_middle": middle.op12_middle,
+    "op13_embeddings": embeddings.op13_embeddings,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op3_licences": licences.OP3_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op12_middle": middle.OP12_SQL,
+    "op13_embeddings": embeddings.OP13_SQL,
 }
