@@ -41,7 +41,13 @@ def land_files(rows: DataFrame, key: str, value: Column, where: str, suffix: str
     _moved(rows.sparkSession, written, where, suffix)
 
 
-def land_csv(rows: DataFrame, where: str) -> None:
+def land_list(rows: DataFrame, where: str) -> None:
+    """All rows (value) as the items of one list in one file, after a null."""
+    line = lambda x: rows.sparkSession.createDataFrame([(x,)], "value string").coalesce(1)
+    land_lines(line("[null").unionByName(rows.select(F.concat(F.lit(","), "value").alias("value"))).unionByName(line("]")).coalesce(1), where, ".json")
+
+
+def land_csv(rows: DataFrame, where: str, **options: str | bool) -> None:
     written = scratch(rows.sparkSession, "written")
-    rows.write.options(header=True).csv(written)
+    rows.write.options(header=True, **options).csv(written)
     _moved(rows.sparkSession, written, where, ".csv")

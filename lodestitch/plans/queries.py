@@ -501,6 +501,26 @@ def json_drop(spark, sf_dir):
     return _dropped(spark, "flatfile", {"drop_dir": where})
 
 
+@query("SELECT doc_id, nullif(source, '') AS source, sha256(nullif(text, '')) AS text_sha256 FROM documents")
+def csv_quoted_drop(spark, sf_dir):
+    """Documents as CSV files, whose texts hold commas, doubled quotes and line breaks; an empty text is null in CSV."""
+    where = drops.folder(spark, "quoted")
+    drops.land_csv(fx.table(spark, sf_dir, "documents").select("doc_id", "text", "source"), where, quoteAll=True, escape='"')
+    rows = readers.read_source(spark, {"id": "s", "adapter": "flatfile", "config": {"drop_dir": where}})
+    at = lambda k: F.get_json_object("payload", f"$.row.{k}")
+    return rows.select(at("doc_id").cast("bigint").alias("doc_id"), at("source").alias("source"), F.sha2(at("text"), 256).alias("text_sha256"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem")
+def json_large_drop(spark, sf_dir):
+    """One file with one list of all lines (over 8 MB from sf0.01 on), cut by many tasks."""
+    where = drops.folder(spark, "large")
+    drops.land_list(fx.table(spark, sf_dir, "lineitem").select(F.to_json(F.struct("*")).alias("value")), where)
+    rows = readers.read_source(spark, {"id": "s", "adapter": "flatfile", "config": {"drop_dir": where}})
+    at = lambda k, kind: F.get_json_object("payload", f"$.row.{k}").cast(kind).alias(k)
+    return rows.where(F.get_json_object("payload", "$.row").isNotNull()).select(at("l_orderkey", "bigint"), at("l_partkey", "bigint"), at("l_linenumber", "int"), at("l_quantity", "double"))
+
+
 @query(_drop_sql("application/x-ndjson"))
 def ndjson_drop(spark, sf_dir):
     """NDJSON files with blank lines and lines that do not parse."""
@@ -547,13 +567,13 @@ def mixed_drop(spark, sf_dir):
     return told.select("kind", F.when(pdf, F.col("file_path")).otherwise(F.col("s_suppkey")).alias("key"), F.when(pdf, F.sha2(F.get_json_object("payload", "$.text"), 256)).otherwise(F.col("s_name")).alias("name"))
 
 
-@query("SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset_id, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset_id, l_orderkey, l_linenumber FROM lineitem")
 def dataset_rows(spark, sf_dir):
     """Landed pages of two datasets; the third has none."""
     where = drops.folder(spark, "datasets")
-    rows = fx.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    rows = fx.table(spark, sf_dir, "lineitem")
     for name, rest in (("even", 0), ("odd", 1)):
-        pages = rows.where(f"l_linenumber % 2 = {rest}").groupBy((F.col("l_orderkey") % 97).alias("page")).agg(F.to_json(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("v"))
+        pages = rows.where(f"l_linenumber % 2 = {rest}").groupBy(F.floor(F.col("l_orderkey") / 4_000).alias("page")).agg(F.to_json(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("v"))
         drops.land_files(pages, "page", F.col("v"), f"{where}/{name}", ".json")
     found = readers.read_source(spark, {"id": "s", "adapter": "socrata", "config": {"path": where, "dataset_ids": "even, odd, none"}})
     at = lambda k, kind: F.get_json_object("payload", f"$.row.{k}").cast(kind).alias(k)

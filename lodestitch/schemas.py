@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RAW_ENVELOPE = "content_type string, payload string, file_path string, checksum string, source_id string, batch_id string, metadata string"
+RAW_ENVELOPE = "content_type string, payload string, file_path string, checksum string, source_id string, batch_id string, metadata string, position bigint"
 
 TABLES = {
     "data_sources": "id string, name string, category string, adapter string, access_mode string, schedule string, availability_window string, enabled boolean, last_run_at timestamp, last_error string, config string",

@@ -8,6 +8,10 @@ from lodestitch.operators import staging
 from lodestitch.sources import readers
 
 
+def one(adapter, **config):
+    return [{"id": "s", "adapter": adapter, "config": config}]
+
+
 def payloads(df):
     return sorted((json.loads(r.payload) for r in df.collect()), key=str)
 
@@ -15,7 +19,7 @@ def payloads(df):
 def test_csv_stays_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text("badge,name\n007,NA\n,x\n")
     (tmp_path / "b.txt").write_text("skip")
-    got = payloads(readers.flat_files(spark, {"path": str(tmp_path)}))
+    got = payloads(readers.read_source(spark, {"id": "s", "adapter": "flatfile", "config": {"path": str(tmp_path)}}))
     assert got == sorted([{"row": {"badge": "007", "name": "NA"}}, {"row": {"badge": None, "name": "x"}}], key=str)
 
 
@@ -24,7 +28,7 @@ def test_csv_headers_patterns_and_folders(spark, tmp_path):
     (tmp_path / "b.CSV").write_text("y,x\n3,4\n")
     (tmp_path / "below").mkdir()
     (tmp_path / "below" / "c.csv").write_text("x,y\n5,6\n")
-    rows = lambda **c: payloads(readers.flat_files(spark, {"drop_dir": str(tmp_path), **c}))
+    rows = lambda **c: payloads(readers.read_source(spark, {"id": "s", "adapter": "flatfile", "config": {"drop_dir": str(tmp_path), **c}}))
     assert rows() == sorted([{"row": {"x": "1", "y": "2"}}, {"row": {"y": "3", "x": "4"}}], key=str)
     assert rows(filename_pattern="a*") == [{"row": {"x": "1", "y": "2"}}]
     assert rows(filename_pattern="*.json") == []
@@ -35,20 +39,20 @@ def test_json_ndjson_and_missing_folder(spark, tmp_path):
     (tmp_path / "o.json").write_text('{"b":1}')
     (tmp_path / "bad.json").write_text("{")
     (tmp_path / "n.ndjson").write_text('{"c":1}\n\n  \n{"c":2}\n')
-    got = readers.flat_files(spark, {"path": str(tmp_path)})
+    got = readers.read_source(spark, {"id": "s", "adapter": "flatfile", "config": {"path": str(tmp_path)}})
     assert payloads(got) == sorted([{"row": {"a": 1}}, {"row": {"a": 2}}, {"row": {"b": 1}}, {"row": {"c": 1}}, {"row": {"c": 2}}], key=str)
     assert {json.loads(r.metadata)["file"] for r in got.collect()} == {"l.json", "o.json", "n.ndjson"}
     bad = readers.rejected(spark, {"id": "s", "adapter": "flatfile", "config": {"drop_dir": str(tmp_path)}}).collect()
     assert [(r.file.rsplit("/", 1)[-1], r.error) for r in bad] == [("bad.json", "not valid JSON")]
     assert {r.content_type for r in got.collect()} == {"application/json", "application/x-ndjson"}
-    assert readers.flat_files(spark, {"path": str(tmp_path / "none")}).count() == 0
-    assert readers.json_items(spark, {}).count() == 0
+    assert readers.read_source(spark, {"id": "s", "adapter": "flatfile", "config": {"path": str(tmp_path / "none")}}).count() == 0
+    assert readers.read_source(spark, {"id": "s", "adapter": "json", "config": {}}).count() == 0
 
 
 def test_feature_pages(spark, tmp_path):
     (tmp_path / "1.json").write_text('{"features":[{"attributes":{"x":1},"geometry":null},{"attributes":{"x":2},"geometry":null}]}')
     (tmp_path / "2.json").write_text('{"error":{"code":400}}')
-    assert payloads(readers.feature_pages(spark, {"path": str(tmp_path)})) == [{"attributes": {"x": 1}, "geometry": None}, {"attributes": {"x": 2}, "geometry": None}]
+    assert payloads(readers.read_source(spark, {"id": "s", "adapter": "arcgis", "config": {"path": str(tmp_path)}})) == [{"attributes": {"x": 1}, "geometry": None}, {"attributes": {"x": 2}, "geometry": None}]
     assert readers.rejected(spark, {"id": "s", "adapter": "arcgis", "config": {"path": str(tmp_path)}}).first().error == '{"code":400}'
 
 
@@ -56,28 +60,28 @@ def test_datasets_results_and_generic(spark, tmp_path):
     for d in ("d1", "d2"):
         (tmp_path / d).mkdir()
         (tmp_path / d / "p.json").write_text(f'[{{"v":"{d}"}}]')
-    got = readers.dataset_rows(spark, {"path": str(tmp_path), "dataset_ids": ["d1", "d2", "none"]})
+    got = readers.read_source(spark, {"id": "s", "adapter": "socrata", "config": {"path": str(tmp_path), "dataset_ids": ["d1", "d2", "none"]}})
     assert payloads(got) == [{"dataset_id": "d1", "row": {"v": "d1"}}, {"dataset_id": "d2", "row": {"v": "d2"}}]
     (tmp_path / "r").mkdir()
     (tmp_path / "r" / "r.json").write_text('{"results":[{"docket_number":"1"}]}')
     (tmp_path / "r" / "e.json").write_text('{"detail":"x"}')
-    assert payloads(readers.dockets(spark, {"path": str(tmp_path / "r")})) == [{"docket": {"docket_number": "1"}}]
-    assert payloads(readers.records_requests(spark, {"path": str(tmp_path / "r")})) == [{"foia": {"docket_number": "1"}}]
+    assert payloads(readers.read_source(spark, {"id": "s", "adapter": "courtlistener", "config": {"path": str(tmp_path / "r")}})) == [{"docket": {"docket_number": "1"}}]
+    assert payloads(readers.read_source(spark, {"id": "s", "adapter": "muckrock", "config": {"path": str(tmp_path / "r")}})) == [{"foia": {"docket_number": "1"}}]
     (tmp_path / "g").mkdir()
     for n, body in enumerate(('[{"a":1}]', '{"data":[{"a":2},{"a":3}]}', '{"a":4}', '{"data":{"a":5}}')):
         (tmp_path / "g" / f"{n}.json").write_text(body)
-    assert payloads(readers.generic_json(spark, {"path": str(tmp_path / "g")})) == [{"row": {"a": n}} for n in range(1, 6)]
+    assert payloads(readers.read_source(spark, {"id": "s", "adapter": "generic_rest", "config": {"path": str(tmp_path / "g")}})) == [{"row": {"a": n}} for n in range(1, 6)]
 
 
 def test_feeds_audio_and_tables(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<rss><channel><title>c</title><item><title>T</title><link>L</link><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate><description>D</description></item></channel></rss>")
     (tmp_path / "e.xml").write_text("<rss><channel></channel></rss>")
-    (entry,) = payloads(readers.feed_items(spark, {"path": str(tmp_path)}))
+    (entry,) = payloads(readers.read_source(spark, {"id": "s", "adapter": "news_rss", "config": {"path": str(tmp_path)}}))
     assert entry["entry"] == {"title": "T", "link": "L", "published": "Tue, 02 Jan 2024 03:04:05 GMT", "summary": "D"}
     (tmp_path / "a.mp3").write_bytes(b"12345")
-    assert payloads(readers.audio_files(spark, {"path": str(tmp_path)})) == [{"file_name": "a.mp3", "size_bytes": 5, "duration_seconds": None}]
+    assert payloads(readers.read_source(spark, {"id": "s", "adapter": "audio", "config": {"path": str(tmp_path)}})) == [{"file_name": "a.mp3", "size_bytes": 5, "duration_seconds": None}]
     spark.createDataFrame([(1, "x"), (2, "y")], "n int, s string").write.parquet(str(tmp_path / "t"))
-    assert payloads(readers.table_rows(spark, {"path": str(tmp_path / "t"), "where": "n > 1", "out_fields": "s"})) == [{"row": {"s": "y"}}]
+    assert payloads(readers.read_source(spark, {"id": "s", "adapter": "opd", "config": {"path": str(tmp_path / "t"), "where": "n > 1", "out_fields": "s"}})) == [{"row": {"s": "y"}}]
 
 
 def test_pages_and_documents(spark, tmp_path):
