@@ -1,4 +1,11 @@
-"""Parquet sinks: appended tables, and a status log in the place of updates."""
+"""Parquet sinks: batches that can be written again, appended tables, and a status log in the place of updates.
+
+A batch has a folder of its own in its table. Writing it again overwrites that
+folder, and Spark's _SUCCESS file, which comes last, is what makes it be read: a
+batch that broke off half way is not there until it is written again. A table is
+written either by batches or by append. A frame that was read before a batch was
+written again has to be read again.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +15,8 @@ from pyspark.sql import functions as F
 from ..schemas import TABLES, conform, empty
 from ..sources.readers import exists
 
+#: The column that names a batch's folder.
+BATCH = "batch_id"
 PARTITIONS = {"raw_records": ["source_id", "batch_id"], "staging_records": ["source_id"], "entity_links": ["source_entity"]}
 
 
@@ -25,12 +34,37 @@ def append(df: DataFrame, root: str, name: str) -> None:
     (writer.partitionBy(*keys) if keys else writer).parquet(f"{root}/{name}")
 
 
+def write_batch(df: DataFrame, root: str, name: str, batch: str) -> None:
+    """Writes the rows of one batch in the table's columns, in the place of those of an earlier run of the batch."""
+    keys = [k for k in PARTITIONS.get(name, []) if k != "batch_id"]
+    out = conform(df, name).drop("batch_id")
+    if keys:
+        out = out.hint("rebalance", *keys)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*keys) if keys else writer).parquet(f"{root}/{name}/{BATCH}={batch}")
+
+
+def written_batches(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Folders of the batches that were written whole."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{BATCH}=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table, empty if nothing was written yet."""
     path = f"{root}/{name}"
     if not exists(spark, path):
         return empty(spark, name)
-    return conform(spark.read.schema(empty(spark, name).schema).parquet(path), name)
+    schema = empty(spark, name).schema
+    if not exists(spark, f"{path}/{BATCH}=*"):
+        return conform(spark.read.schema(schema).parquet(path), name)
+    batches = written_batches(spark, root, name)
+    if not batches:
+        return empty(spark, name)
+    if "batch_id" not in schema.names:
+        schema = schema.add("batch_id", "string")
+    return conform(spark.read.schema(schema).option("basePath", path).parquet(*batches), name)
 
 
 def append_status(outcome: DataFrame, run_id: int, root: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
@@ -13,17 +13,45 @@ def with_checksum(raw: DataFrame) -> DataFrame:
     return raw.withColumn("checksum", jsonx.content_hash("payload", F.col("checksum")))
 
 
-def raw_records(raw: DataFrame, batch_id: str, ingested_at: str | None = None, place: Column | None = None) -> DataFrame:
+#: Bits of an id that tell a row's place in its slot; the others number slots in the order of arrival.
+SLOT_BITS = 37
+#: Files of so many are broadcast to their rows; beyond that they are joined by a shuffle.
+BROADCAST_FILES = 200_000
+
+
+def numbered_files(files: DataFrame, after: int = 0) -> DataFrame:
+    """source_id, file_path and slot of landed files (source_id, file, length, changed), in the order of their time and name, after the slots that are taken.
+
+    A file takes a slot for each 2 ** 37 bytes. The running sum is over one row a
+    file, which the driver's own list of files holds too.
+    """
+    order = Window.orderBy("changed", "file", "source_id").rowsBetween(Window.unboundedPreceding, -1)
+    takes = F.shiftright("length", SLOT_BITS) + 1
+    return files.select("source_id", F.col("file").alias("file_path"), (F.lit(after) + 1 + F.coalesce(F.sum(takes).over(order), F.lit(0))).cast("bigint").alias("slot"))
+
+
+def last_slot(raw: DataFrame) -> int:
+    """The last slot that the stored raw records have taken; the next batch's files come after it."""
+    return raw.agg(F.coalesce(F.max(F.shiftright("id", SLOT_BITS)), F.lit(0)).alias("n")).first().n
+
+
+def raw_records(raw: DataFrame, batch_id: str, ingested_at: str | None = None, place: Column | None = None, files: DataFrame | None = None) -> DataFrame:
     """Envelope rows as raw records of one batch: one for each source row, repeated rows too.
 
-    Ids hash source, checksum, file, batch and the row's place in the scan, which
-    costs no shuffle. A place is that of one reading: append the records to their
-    table before they are used twice, as other plans may scan in another order.
-    `place` takes its part where rows have one of their own, or in a stream.
+    `files` (numbered_files) gives ids in the order of arrival: slot of the file,
+    then place in it. They are the same however a scan is split. Rows without a
+    place in a numbered file, or without `files`, get a hash of source, checksum,
+    file, batch and `place` (by default the row's place in this reading: append
+    such records to their table before they are used twice). Where there are files
+    hashes are negative, so that they never meet a number.
     """
     told = with_checksum(raw.withColumns({"batch_id": F.lit(batch_id), "__place": F.monotonically_increasing_id() if place is None else place}))
     at = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()
     key = F.xxhash64("source_id", "checksum", F.coalesce("file_path", F.lit("")), "batch_id", "__place")
+    if files is not None:
+        own = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
+        told = told.join(own, ["source_id", "file_path"], "left")
+        key = F.coalesce(F.shiftleft("slot", SLOT_BITS) + F.col("position"), -F.shiftrightunsigned(key, 1) - 1)
     return told.select(key.alias("id"), "source_id", "batch_id", "content_type", jsonx.wrap_list("payload").alias("raw_data"), "file_path", "checksum", at.alias("ingested_at"))
 
 

@@ -135,16 +135,19 @@ class Files:
 
     def told(self, rows: DataFrame, payload: Column, content_type: str) -> DataFrame:
         """Told envelope rows of rows with file, position and error: one for each source that a file belongs to. `payload` may use `extra`, what a source adds to the metadata."""
+        metadata = F.to_json(F.map_concat(F.create_map(F.lit("adapter"), F.col("adapter"), F.lit("file"), text.file_name(F.col("file"))), "extra"))
+        return _told(self.owned(rows), F.when(F.col("error").isNull(), payload), content_type, F.col("file"), F.col("position"), metadata)
+
+    def owned(self, rows: DataFrame) -> DataFrame:
+        """Rows (with `file`) with source_id, adapter and extra of each source that the file belongs to."""
         known = [(s["id"], s["adapter"], {k: str(v) for k, v in s.get("extra", {}).items()}) for s in self.sources]
         if self.folders is None:
             (source, adapter, extra), = known
             pairs = [F.lit(x) for kv in extra.items() for x in kv]
-            rows = rows.withColumns({"source_id": F.lit(source), "adapter": F.lit(adapter), "extra": (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")})
-        else:
-            places = self.spark.createDataFrame([(f, *k) for f, k in zip(self.folders, known)], "folder string, source_id string, adapter string, extra map<string,string>")
-            rows = rows.withColumn("folder", _same(F.regexp_replace("file", r"/[^/]*$", ""))).join(F.broadcast(places.withColumn("folder", _same(F.col("folder")))), "folder")
-        metadata = F.to_json(F.map_concat(F.create_map(F.lit("adapter"), F.col("adapter"), F.lit("file"), text.file_name(F.col("file"))), "extra"))
-        return _told(rows, F.when(F.col("error").isNull(), payload), content_type, F.col("file"), F.col("position"), metadata)
+            return rows.withColumns({"source_id": F.lit(source), "adapter": F.lit(adapter), "extra": (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")})
+        places = self.spark.createDataFrame([(f, *k) for f, k in zip(self.folders, known)], "folder string, source_id string, adapter string, extra map<string,string>")
+        rows = rows.withColumn("folder", _same(F.regexp_replace("file", r"/[^/]*$", "")))
+        return rows.join(F.broadcast(places.withColumn("folder", _same(F.col("folder")))), "folder").drop("folder")
 
     def csv(self) -> DataFrame:
         """file, position, payload and error of each record."""
@@ -271,14 +274,17 @@ def filtered(table: DataFrame, config: dict) -> DataFrame:
     return table.where(F.expr(config.get("where") or "1=1")).select(*names)
 
 
+def _datasets(source: dict) -> list[dict]:
+    """A source of its own for each dataset of a source."""
+    named = source["config"].get("dataset_ids") or []
+    names = [d.strip() for d in (named.split(",") if isinstance(named, str) else named)]
+    return [{**source, "config": {**source["config"], "path": f"{place(source['config'])}/{d}"}, "extra": {"dataset": d}} for d in names]
+
+
 @register("socrata")
 def dataset_rows(spark: SparkSession, sources: list[dict]) -> DataFrame:
     """Landed arrays under path/<dataset id>/: {"dataset_id", "row"} each; all datasets of all sources in one scan."""
-    own = []
-    for source in sources:
-        named = source["config"].get("dataset_ids") or []
-        for dataset in named.split(",") if isinstance(named, str) else named:
-            own.append({**source, "config": {**source["config"], "path": f"{place(source['config'])}/{dataset.strip()}"}, "extra": {"dataset": dataset.strip()}})
+    own = [d for source in sources for d in _datasets(source)]
     row = F.to_json(F.struct(F.col("extra")["dataset"].alias("dataset_id"), F.col("item").alias("row")))
     return _union(spark, [f.told(f.json(), row, JSON) for f in _scans(spark, own, ".json")])
 
@@ -413,6 +419,30 @@ def catalog_sources(catalog: DataFrame) -> list[dict]:
     return [{"id": r.id, "adapter": r.adapter or "manual", "enabled": r.enabled is not False, "entity_type": r.entity_type, "config": r.config or {}} for r in rows]
 
 
+#: Suffixes of the files of each adapter; the others read tables.
+SUFFIXES = {"csv": (".csv",), "json": (".json",), "ndjson": (".ndjson", ".jsonl"), "flatfile": (".csv", ".json", ".ndjson", ".jsonl"), "public_records": (".csv", ".json"), "arcgis": (".json",), "socrata": (".json",), "generic_rest": (".json",), "courtlistener": (".json",), "muckrock": (".json",), "news_rss": (".xml",), "audio": (".mp3",)}
+
+
+def landed_files(spark: SparkSession, sources: list[dict] | DataFrame) -> DataFrame:
+    """source_id, file, length and changed of the files that enabled sources read (of a table, its Parquet files); no content is read."""
+    out = spark.createDataFrame([], "source_id string, file string, length bigint, changed timestamp")
+    by: dict[str, list[dict]] = {}
+    for source in catalog_sources(sources) if isinstance(sources, DataFrame) else sources:
+        source = {"id": source.get("id"), "adapter": source["adapter"], "config": source.get("config") or {}, "enabled": source.get("enabled", True)}
+        if not source["enabled"]:
+            continue
+        for suffix in SUFFIXES.get(source["adapter"], ()):
+            by.setdefault(suffix, []).extend(_datasets(source) if source["adapter"] == "socrata" else [source])
+        if source["adapter"] == "opd" and exists(spark, place(source["config"])):
+            meta = F.col("_metadata")
+            table = spark.read.parquet(place(source["config"])).select(F.lit(source["id"]).alias("source_id"), meta.file_path.alias("file"), meta.file_size.alias("length"), meta.file_modification_time.alias("changed"))
+            out = out.unionByName(table.distinct())
+    for suffix, own in sorted(by.items()):
+        for f in _scans(spark, own, suffix):
+            out = out.unionByName(f.owned(blocks.listing(spark, f.paths, f.options)).select("source_id", "file", "length", "changed"))
+    return out.distinct()
+
+
 def skip_reason(spark: SparkSession, source: dict) -> str | None:
     """Why a source gives no rows, without being an error; None if it has something to read."""
     config = source.get("config") or {}
