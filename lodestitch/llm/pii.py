@@ -1,7 +1,8 @@
 """Operator 8, personal data: base patterns, and a semi-Markov conditional random field that adds spans.
 
 The field works on regions: whitespace-separated chunks that hold a digit, an @
-or a spelled-out at in brackets, with their like neighbours. A region is cut
+or a spelled-out at in brackets, with their like neighbours (at most 40 characters
+without a cue stand between two cues of a region that a blank parts). A region is cut
 into atoms (runs of 16 and more letters and digits, digits, ASCII letters, or one other
 character). A segmentation gives each atom to one segment: a single outside
 atom or an entity of at most MAX_ATOMS atoms. Features look at a whole segment
@@ -43,6 +44,8 @@ SAMPLE = 600
 SPANS = 200
 MADE = 900
 MAX_ATOMS = 20
+#: Starts of segments that are worked on together.
+WINDOW = 512
 #: Letters and digits from which on a run is one atom.
 MIXED = 16
 BITS = 14
@@ -55,6 +58,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CUE = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.IGNORECASE)
 _ATOM = re.compile(r"[0-9A-Za-z]{16,}|[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
+#: Signs that stand within personal data of any kind, beside blanks.
+_INSIDE = frozenset("+()[]{}._%-@/#*~")
+_MASK = {ord(c): "9" for c in "0123456789"}
 _MARK = re.compile(r"\b(at|dot)\b", re.IGNORECASE)
 #: The word before a span, over a sign or two.
 _BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z0-9]{0,5}$")
@@ -148,8 +154,8 @@ def _side(c: str) -> str:
     return "end" if not c else "digit" if c.isdigit() else "letter" if c.isalpha() else "blank" if c.isspace() else c
 
 
-def _features(text: str, atoms: list[tuple[int, int]], i: int, j: int) -> list[str]:
-    """Of the segment of atoms i to j - 1, the whole span at once."""
+def _shape_features(text: str, atoms: list[tuple[int, int]], i: int, j: int) -> list[str]:
+    """Of the segment of atoms i to j - 1, the whole span at once: what does not hang on which digits it has."""
     a, b = atoms[i][0], atoms[j - 1][1]
     s = text[a:b]
     digits = _digits(s)
@@ -159,27 +165,74 @@ def _features(text: str, atoms: list[tuple[int, int]], i: int, j: int) -> list[s
     groups = re.findall(r"[0-9]+", s)
     gaps = set(re.split(r"[0-9A-Za-z]+", s)[1:-1])
     out += [f"groups={'-'.join(str(min(5, len(g))) for g in groups[:5])},{len(groups) > 5}", f"gaps={'|'.join(sorted(gaps)[:4])}", f"kinds={any(c.isalpha() for c in s)},{'@' in s},{len(groups) > 0},{len(gaps)}"]
-    before = _BEFORE.search(text, max(0, a - 24), a)
-    out.append(f"before={before.group(1).lower() if before else ''}")
-    if 12 <= len(digits) <= 19:
-        out.append(f"luhn={luhn(digits)},{len(digits)},{len(set(signs))}")
-    parts = re.split(r"[^0-9]+", s)
-    if len(parts) == 4 and all(parts) and len(digits) <= 12:
-        out.append(f"octets={all(map(_small, parts))},{signs}")
     if "@" in s:
         head, _, tail = s.partition("@")
         out.append(f"at={bool(head)},{'.' in tail},{'@' in tail},{' ' in s}")
     marks = [m.lower() for m in _MARK.findall(s)]
     if marks:
         out.append(f"marks={marks.count('at')},{marks.count('dot')},{s[0].isalnum()},{s[-1].isalnum()}")
+    return out
+
+
+def _digit_features(s: str) -> list[str]:
+    """What hangs on which digits the span has."""
+    out = []
+    digits = _digits(s)
+    if 12 <= len(digits) <= 19:
+        out.append(f"luhn={luhn(digits)},{len(digits)},{len({c for c in s if not c.isalnum()})}")
+    parts = re.split(r"[^0-9]+", s)
+    if len(parts) == 4 and all(parts) and len(digits) <= 12:
+        out.append(f"octets={all(map(_small, parts))},{''.join(sorted({c for c in s if not c.isalnum()}))}")
     if len(s) >= MIXED and s.isalnum():
         out += [f"mixed={any(c.isdigit() for c in s)},{any(c.isalpha() for c in s)},{all(c in '0123456789abcdefABCDEF' for c in s)}", f"long={min(8, len(s) // 8)}", f"many={len(set(s)) * 2 > min(16, len(s))}"]
     return out
 
 
-def _possible(text: str, atoms: list[tuple[int, int]], i: int, j: int) -> bool:
-    first, last = text[atoms[i][0]], text[atoms[j - 1][0]]
-    return (first.isalnum() or first in "+(._%-") and last.isalnum() and _CUE.search(text, atoms[i][0], atoms[j - 1][1]) is not None
+def _hashed(features: list[str]) -> list[int]:
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for f in features]
+
+
+class Features:
+    """Hashed features of segments; those of equal shapes are computed once."""
+
+    def __init__(self, most: int = 20_000):
+        self.most, self.shapes = most, {}
+
+    def of(self, text: str, atoms: list[tuple[int, int]], i: int, j: int, before: list[int], masked: str | None = None) -> list[int]:
+        """`before`: the hashed feature of the word before atom i; `masked`: the span with 9 for each digit."""
+        a, b = atoms[i][0], atoms[j - 1][1]
+        key = masked or text[a:b].translate(_MASK), _side(text[a - 1 : a]), _side(text[b : b + 1])
+        known = self.shapes.get(key)
+        if known is None:
+            if len(self.shapes) >= self.most:
+                self.shapes.clear()
+            s = text[a:b]
+            n = sum(map(len, re.findall(r"[0-9]+", s)))
+            own = 12 <= n <= 19 or (n <= 12 and len(parts := re.split(r"[^0-9]+", s)) == 4 and all(parts)) or (len(s) >= MIXED and s.isalnum())
+            known = self.shapes[key] = _hashed(_shape_features(text, atoms, i, j)), own
+        shape, own = known
+        return shape + before + _hashed(_digit_features(text[a:b])) if own else shape + before
+
+
+def _before(text: str, a: int) -> list[int]:
+    before = _BEFORE.search(text, max(0, a - 24), a)
+    return _hashed([f"before={before.group(1).lower() if before else ''}"])
+
+
+def possible_ends(text: str, atoms: list[tuple[int, int]], i: int) -> Iterator[int]:
+    """Where an entity that begins at atom i can end: it begins and ends with a letter or digit (or begins with one of a few signs), holds a cue, and no sign that no kind is written with."""
+    a = atoms[i][0]
+    if not (text[a].isalnum() or text[a] in "+(._%-"):
+        return
+    cue = False
+    for j in range(i, min(len(atoms), i + MAX_ATOMS)):
+        p, q = atoms[j]
+        if text[p].isalnum():
+            cue = cue or _CUE.search(text, a, q) is not None
+            if cue:
+                yield j + 1
+        elif text[p] not in _INSIDE and not text[p].isspace():
+            return
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -204,53 +257,90 @@ class SemiCRF:
         return not self.weights.any()
 
     @staticmethod
-    def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
-        """Atoms of a region, its possible entities (first atom, atom beyond) and their hashed features, -1 where there are fewer."""
-        atoms = [m.span() for m in _ATOM.finditer(text, start, end)]
-        found = [(i, j) for i in range(len(atoms)) for j in range(i + 1, min(len(atoms), i + MAX_ATOMS) + 1) if _possible(text, atoms, i, j)]
-        hashed = [[zlib.crc32(f.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for f in _features(text, atoms, i, j)] for i, j in found]
+    def segments(text: str, atoms: list[tuple[int, int]], first: int, beyond: int, features: Features) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """The possible entities (first atom, atom beyond) that begin at the atoms from first to beyond - 1, and their hashed features, -1 where there are fewer."""
+        found, hashed = [], []
+        if first < beyond:
+            zero = atoms[first][0]
+            masked = text[zero : atoms[min(len(atoms), beyond + MAX_ATOMS) - 1][1]].translate(_MASK)
+        for i in range(first, beyond):
+            before, a = None, atoms[i][0]
+            for j in possible_ends(text, atoms, i):
+                before = before or _before(text, a)
+                found.append((i, j))
+                hashed.append(features.of(text, atoms, i, j, before, masked[a - zero : atoms[j - 1][1] - zero]))
         width = max(map(len, hashed), default=0)
-        return atoms, found, np.array([h + [-1] * (width - len(h)) for h in hashed], np.int64).reshape(len(found), width)
+        return found, np.array([h + [-1] * (width - len(h)) for h in hashed], np.int64).reshape(len(found), width)
 
     def scores(self, hashed: np.ndarray) -> np.ndarray:
         return (self.weights[hashed] * (hashed >= 0)[:, :, None]).sum(1) if hashed.size else np.zeros((len(hashed), len(ALL_KINDS)))
 
-    def best(self, text: str, start: int, end: int) -> list[Span]:
-        """Viterbi over bounded segments: boundaries and kinds together."""
+    def best(self, text: str, start: int, end: int, window: int = WINDOW) -> list[Span]:
+        """Viterbi over bounded segments: boundaries and kinds together.
+
+        Segments are made and scored a window of starts at a time. Where no segment
+        that could win covers a place, all paths pass outside there, so the best one
+        up to it is settled and nothing of it is kept: memory is that of a window,
+        but for as long as such segments chain. Windows do not change the result.
+        """
         if self.empty:
             return []
-        atoms, found, hashed = self.segments(text, start, end)
-        scores = self.scores(hashed)
-        gain = float(self.moves.max() - min(0.0, self.moves.min())) * 2
-        out = len(ALL_KINDS)
-        ending: dict[int, list] = {}
-        for n in np.flatnonzero(scores.max(1, initial=-1.0) + gain > 0).tolist():
-            ending.setdefault(found[n][1], []).append((found[n][0], scores[n]))
-        if not ending:
-            return []
-        value = np.full((len(atoms) + 1, out + 1), -np.inf)
-        value[0, out] = 0.0
-        back: list[list] = [[None] * (out + 1) for _ in range(len(atoms) + 1)]
-        for j in range(1, len(atoms) + 1):
-            reach = value[j - 1] + self.moves[:, out]
-            value[j, out], back[j][out] = reach.max(), (j - 1, int(reach.argmax()))
-            for i, s in ending.get(j, ()):
-                reach = value[i][:, None] + self.moves[:, :out]
-                for k in np.flatnonzero(reach.max(0) + s > value[j, :out]).tolist():
-                    value[j, k], back[j][k] = reach[:, k].max() + s[k], (i, int(reach[:, k].argmax()))
-        spans, j, k = [], len(atoms), int(value[-1].argmax())
-        while j:
-            i, before = back[j][k]
-            if k != out:
-                spans.append((atoms[i][0], atoms[j - 1][1], ALL_KINDS[k]))
-            j, k = i, before
-        return spans[::-1]
+        out, features = len(ALL_KINDS), Features()
+        # the most that an entity of each kind can win over outside atoms by what stands before and after it
+        gain = (self.moves[:, :out] - self.moves[:, out:]).max(0) + np.maximum(0.0, (self.moves[:out] - self.moves[out:]).max(1))
+        spans: list[Span] = []
+        atoms: list[tuple[int, int]] = []
+        more = _ATOM.finditer(text, start, end)
+        fresh = np.full(out + 1, -np.inf)
+        fresh[out] = 0.0
+        value, back, covered, settled, ended = {0: fresh}, {}, 0, 0, False
+        i = 0
+        while True:
+            while not ended and len(atoms) < i + window + MAX_ATOMS:
+                atom = next(more, None)
+                ended = atom is None
+                if not ended:
+                    atoms.append(atom.span())
+            beyond = len(atoms) if ended else i + window
+            found, hashed = self.segments(text, atoms, i, beyond, features)
+            scores = self.scores(hashed)
+            length = np.array([b - a for a, b in found], np.int64)
+            scores[scores + gain < (length - 1)[:, None] * self.moves[out, out]] = -np.inf
+            starting: dict[int, list] = {}
+            for n in np.flatnonzero(scores.max(1, initial=-np.inf) > -np.inf).tolist():
+                starting.setdefault(found[n][0], []).append((found[n][1], scores[n]))
+            for i in range(i, beyond):
+                if i >= covered and i:  # all paths pass outside here
+                    spans += _traced(atoms, back, i, out)
+                    value, back, settled = {i: value[i]}, {}, i
+                now = value.pop(i)
+                step = now + self.moves[:, out]
+                there = value.setdefault(i + 1, np.full(out + 1, -np.inf))
+                there[out] = step.max()
+                back[i + 1, out] = i, int(step.argmax())
+                for j, s in starting.get(i, ()):
+                    covered = max(covered, j + 1)
+                    there = value.setdefault(j, np.full(out + 1, -np.inf))
+                    reach = now[:, None] + self.moves[:, :out]
+                    most = reach.max(0) + s
+                    for k in np.flatnonzero(most > there[:out]).tolist():
+                        there[k], back[j, k] = most[k], (i, int(reach[:, k].argmax()))
+            i = beyond
+            if ended:
+                break
+            if settled:
+                atoms, i, covered = atoms[settled:], i - settled, covered - settled
+                value = {j - settled: x for j, x in value.items()}
+                back = {(j - settled, k): (b - settled, x) for (j, k), (b, x) in back.items()}
+                settled = 0
+        return spans + _traced(atoms, back, len(atoms), int(value[len(atoms)].argmax())) if atoms else spans
 
     def fit(self, regions_: list[tuple[str, int, int, list[Span]]], epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-4) -> None:
         """regions_: texts with a region each and its true spans. The gradient of the conditional likelihood, by sums over all segmentations forwards and backwards."""
-        made = []
+        made, features = [], Features()
         for text, start, end, spans in regions_:
-            atoms, found, hashed = self.segments(text, start, end)
+            atoms = [m.span() for m in _ATOM.finditer(text, start, end)]
+            found, hashed = self.segments(text, atoms, 0, len(atoms), features)
             first, last = {a: n for n, (a, _) in enumerate(atoms)}, {b: n + 1 for n, (_, b) in enumerate(atoms)}
             gold = {(first[a], last[b]): ALL_KINDS.index(k) for a, b, k in spans if a in first and b in last}
             made.append((len(atoms), found, hashed, gold))
@@ -304,6 +394,17 @@ class SemiCRF:
         self.moves += step * 0.1 * (true - expected)
 
 
+def _traced(atoms: list[tuple[int, int]], back: dict[tuple[int, int], tuple[int, int]], j: int, k: int) -> list[Span]:
+    """Entities of the path that ends at atom j with kind k, in order, as far back as it is known."""
+    spans, out = [], len(ALL_KINDS)
+    while (j, k) in back:
+        i, before = back[j, k]
+        if k != out:
+            spans.append((atoms[i][0], atoms[j - 1][1], ALL_KINDS[k]))
+        j, k = i, before
+    return spans[::-1]
+
+
 def all_spans(text: str, model: SemiCRF) -> tuple[list[Span], list[Span]]:
     """Base spans, and these with the method's."""
     base = base_spans(text)
@@ -402,7 +503,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, spans: int = SPANS, made: int =
     Documented bounds: true spans of the corpus are the base spans of at most
     `sample` rows that hold a digit or an @, those with the least hash of doc_id
     and text, and of these at most `spans` different ones of a kind, those with
-    the least hash; they are written plainly and noisily into `made` lines.
+    the least hash and at most 80 characters; they are written plainly and
+    noisily into `made` lines, where other spans are drawn. A corpus without base
+    spans has drawn ones alone.
     """
     small_batches(docs.sparkSession)
 
@@ -413,9 +516,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, spans: int = SPANS, made: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(k, s) for rows in batches for k, s in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())]
-        if found:
+        if found:  # one row at least, in one of the partitions
             model = SemiCRF()
-            model.fit(examples(found, made))
+            model.fit(examples([x for x in found if x[0]], made))
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.moves.tobytes()], pa.binary())], names=["weights", "moves"])
 
     cued = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id", "text").alias("h"))
@@ -423,7 +526,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, spans: int = SPANS, made: int =
     least = cued.select("h").orderBy("h").limit(sample).distinct()
     picked = cued.join(F.broadcast(least), "h", "left_semi").select("text").mapInArrow(collect, "kind string, span string").where(F.length("span") <= 80).distinct()
     ranked = picked.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("span"), "span"))).where(F.col("nth") <= spans)
-    fitted = ranked.select("kind", "span").coalesce(1).mapInArrow(run, "weights binary, moves binary").collect()
+    none = docs.sparkSession.createDataFrame([(None, None)], "kind string, span string")  # a corpus without spans has a field, too
+    fitted = ranked.select("kind", "span").unionByName(none).coalesce(1).mapInArrow(run, "weights binary, moves binary").collect()
     model = SemiCRF()
     if fitted:
         model.weights = np.frombuffer(fitted[0].weights, np.float32).reshape(model.weights.shape).astype(np.float64)

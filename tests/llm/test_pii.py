@@ -111,7 +111,8 @@ def test_the_best_segmentation_and_the_gradient_by_brute_force():
     model = pii.SemiCRF()
     model.weights, model.moves = rng.normal(size=model.weights.shape), rng.normal(size=model.moves.shape)
     text = "a1 b@c"
-    atoms, found, hashed = model.segments(text, 0, len(text))
+    atoms = [m.span() for m in pii._ATOM.finditer(text)]
+    found, hashed = model.segments(text, atoms, 0, len(atoms), pii.Features())
     scores, out = model.scores(hashed), len(pii.ALL_KINDS)
 
     def every(i, before):
@@ -151,4 +152,46 @@ def test_redaction_and_edges(spark):
     got = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
     assert got == {0: None, 1: "", 2: "mail <email> now"}
     empty = spark.createDataFrame([], DOCS)
-    assert pii.train(empty).empty and pii.find_spans(empty, model).count() == 0
+    assert not pii.train(empty).empty and pii.find_spans(empty, model).count() == 0
+
+
+def test_a_corpus_without_base_spans_has_a_field(spark):
+    docs = documents(spark, ["write to jane.roe [at] corp [dot] org today", "nothing here", None, "plain 12"])
+    assert not any(pii.base_spans(r.text or "") for r in docs.collect())
+    model = pii.train(docs)
+    assert "email" in {k for _, _, k in pii.all_spans("write to jane.roe [at] corp [dot] org today", model)[1]}
+
+
+def test_windows_do_not_change_the_result():
+    rng = random.Random(4)
+    model = pii.SemiCRF()
+    numbers = np.random.default_rng(9)
+    signs = ["1", "22", "4111", ".", "-", " ", ",", "@", "ab", "[at]", "+49", "a1b2c3d4e5f6a7b8c9"]
+    for n in range(25):
+        model.weights, model.moves = numbers.normal(size=model.weights.shape) - rng.choice([0.0, 0.3, 1.0]), numbers.normal(size=model.moves.shape)
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 150)))
+        whole = model.best(text, 0, len(text), 10_000)
+        assert model.best(text, 0, len(text), 1) == model.best(text, 0, len(text), 7) == model.best(text, 0, len(text), 64) == whole
+
+
+def test_features_are_the_same_with_and_without_what_is_kept():
+    rng = random.Random(6)
+    kept = pii.Features()
+    for _ in range(300):
+        text = "".join(rng.choice(["1", "23", "4111 ", ".", "-", " ", "at", "(at)", "@", "x"]) for _ in range(30))
+        atoms = [m.span() for m in pii._ATOM.finditer(text)]
+        for i in range(len(atoms)):
+            for j in pii.possible_ends(text, atoms, i):
+                before = pii._before(text, atoms[i][0])
+                assert kept.of(text, atoms, i, j, before) == pii.Features().of(text, atoms, i, j, before) == pii._hashed(pii._shape_features(text, atoms, i, j)) + before + pii._hashed(pii._digit_features(text[atoms[i][0] : atoms[j - 1][1]]))
+
+
+def test_a_region_of_two_million_characters(spark):
+    import resource
+    import time
+
+    model = pii.train(_people(spark)[0])
+    for text in ("".join(f"{k}," for k in range(320_000)), "".join(f"{k % 977}." for k in range(60_000))):  # the second has ten times the candidates
+        before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+        pii.all_spans(text, model)
+        assert time.process_time() - began < 90 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000, (time.process_time() - began, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
