@@ -13,25 +13,26 @@ with their cell's probability, weight / tokens.
 Topics come from a column that the caller names, or else from the shape of a
 text: the shares of capitals, signs, digits and line breaks in it.
 
-Skew: only cells are raked, a table of partial sums that is never collected: a
-window holds one source's (language's, topic's) cells, which has a row for each
-pair of the other two margins, whatever the number of documents. Grand totals and
-residuals come to the driver as one number each. Fitted cells are broadcast to
-the documents where they have at most BROADCAST_ROWS rows, else joined by a
-shuffle.
+Skew: only cells are raked, a table of partial sums that is never collected. A
+margin's tokens are summed by a grouping, so that the cells of a common topic are
+pre-aggregated where they lie, and the sums are joined back to the cells. Sums,
+like fitted cells to the documents, are broadcast where they have at most
+BROADCAST_ROWS rows, else joined by a shuffle, which adaptive execution splits.
+Grand totals and residuals come to the driver as one number each.
 
 Rows: a null source, lang or topic counts as an empty one; a null text has no
-tokens and its cell's probability; cells without tokens get probability 1. The
-draw hashes doc_id, so equal ids are drawn alike (a null id as an empty one).
-Any other columns, whatever their names, are left alone.
+tokens and its cell's probability; cells without tokens get probability 1. Each
+row has a draw of its own: it hashes doc_id (a null one as an empty one) and text,
+and, for rows of which there are others of the same id and text, the row's place
+in the scan, too. Any other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import cut, packed, table
+from .tables import kept_table, packed, table
 
 ALPHA = 0.5
 KEEP = 0.6
@@ -58,10 +59,13 @@ def topic_of(text: Column) -> Column:
 
 
 def described(docs: DataFrame, topic: str | None = None) -> DataFrame:
-    """row, doc_id, source, lang, topic and n_tokens of every row."""
+    """row, doc_id, source, lang, topic, n_tokens, digest (of id and text) and place of every row."""
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
     return packed(
         docs,
         doc_id=F.col("doc_id"),
+        digest=F.sha2(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text), 256),
+        place=F.monotonically_increasing_id(),
         source=F.coalesce("source", F.lit("")),
         lang=F.coalesce("lang", F.lit("")),
         topic=topic_of(F.col("text")) if topic is None else F.coalesce(F.col(topic).cast("string"), F.lit("")),
@@ -74,29 +78,35 @@ def _number(df: DataFrame, value: Column) -> float:
     return df.agg(F.coalesce(value, F.lit(0.0)).cast("double").alias("x")).first().x
 
 
-def _targets(cells: DataFrame, margin: str, alpha: float, kept: float) -> DataFrame:
-    """margin and target_<margin>: tokens that it should give, no more than it has."""
-    own = cut(cells.groupBy(margin).agg(F.sum("tokens").alias("has")))
+def _targets(cells: DataFrame, alpha: float, kept: float) -> tuple[dict[str, DataFrame], dict[str, bool]]:
+    """By margin: its values with target_<margin>, tokens that each should give and no more than it has; and whether they are few enough to be broadcast."""
+    of = lambda m: cells.groupBy(F.col(m).alias("value")).agg(F.sum("tokens").alias("has")).withColumn("margin", F.lit(m))
+    own = kept_table(of(MARGINS[0]).unionByName(of(MARGINS[1])).unionByName(of(MARGINS[2])), "margins")
     target = F.pow("has", F.lit(alpha))
     for _ in range(ROUNDS):
-        total = _number(own, F.sum(target))
-        target = F.least("has", target * kept / total) if total else F.lit(0.0)
-    return own.select(margin, target.alias(f"target_{margin}"))
+        totals = {r.margin: r.total for r in own.groupBy("margin").agg(F.sum(target).alias("total")).collect()}
+        share = F.element_at(F.create_map(*(F.lit(x) for m in MARGINS for x in (m, kept / totals[m] if totals.get(m) else 0.0))), F.col("margin"))
+        target = F.least("has", target * share)
+    counts = {r.margin: r.n for r in own.groupBy("margin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = {m: counts.get(m, 0) <= BROADCAST_ROWS for m in MARGINS}
+    return {m: own.where(F.col("margin") == m).select(F.col("value").alias(m), target.alias(f"target_{m}")) for m in MARGINS}, few
 
 
 def rake(cells: DataFrame, alpha: float = ALPHA, keep: float = KEEP, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
     """cells (source, lang, topic, tokens) with probability and residual: expected tokens meet the targets of all three margins to the residual."""
-    cells = cut(cells.withColumn("tokens", F.col("tokens").cast("double")))
+    cells = kept_table(cells.withColumn("tokens", F.col("tokens").cast("double")), "cells")
     kept = _number(cells, F.sum("tokens")) * keep
     out = cells.withColumn("weight", F.col("tokens") * keep)
+    targets, few = _targets(cells, alpha, kept)
     for m in MARGINS:
-        out = out.join(_targets(cells, m, alpha, kept), m)
-    out, residual = cut(out), 0.0
-    now = lambda m: F.sum(F.least("tokens", "weight")).over(Window.partitionBy(m))
+        out = out.join(F.broadcast(targets[m]) if few[m] else targets[m], m)
+    out, residual = kept_table(out, "cells"), 0.0
     for sweep in range(1, most + 1):
         for m in MARGINS:
-            out = out.withColumn("now", now(m)).withColumn("weight", F.when(F.col("now") > 0, F.least(F.col("weight") * F.col(f"target_{m}") / F.col("now"), F.col("tokens") * BEYOND)).otherwise(F.col("weight")))
-        out = cut(out.drop("now"))  # after each sweep: plans of many sweeps fill the driver
+            sums = out.groupBy(m).agg(F.sum(F.least("tokens", "weight")).alias("now"))
+            out = out.join(F.broadcast(sums) if few[m] else sums, m)
+            out = out.withColumn("weight", F.when(F.col("now") > 0, F.least(F.col("weight") * F.col(f"target_{m}") / F.col("now"), F.col("tokens") * BEYOND)).otherwise(F.col("weight"))).drop("now")
+        out = kept_table(out, "sweep")  # after each sweep: plans of many sweeps fill the driver
         if sweep % CHECK == 0 or sweep == most:
             offs = [out.groupBy(m).agg(F.abs(F.sum(F.least("tokens", "weight")) - F.first(f"target_{m}")).alias("off")).select("off") for m in MARGINS]
             residual = _number(offs[0].unionByName(offs[1]).unionByName(offs[2]), F.max("off")) / kept if kept else 0.0
@@ -106,19 +116,22 @@ def rake(cells: DataFrame, alpha: float = ALPHA, keep: float = KEEP, tolerance:
     return out.select(*MARGINS, F.col("tokens").cast("bigint").alias("tokens"), probability.alias("probability"), F.lit(residual).alias("residual"))
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) from the id alone: 52 bits of its sha256."""
-    digest = F.sha2(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
+def draw(digest: Column) -> Column:
+    """A number in [0, 1): 52 bits of a sha256."""
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mixture(docs: DataFrame, alpha: float = ALPHA, keep: float = KEEP, topic: str | None = None, tolerance: float = TOLERANCE, most: int = MOST) -> DataFrame:
-    """row (the input row), doc_id, source, lang, topic, n_tokens, probability, residual and sampled of every row."""
+def mixture(docs: DataFrame, alpha: float = ALPHA, keep: float = KEEP, topic: str | None = None, tolerance: float = TOLERANCE, most: int = MOST, rows: bool = True) -> DataFrame:
+    """row (the input row; without `rows` it is left out), doc_id, source, lang, topic, n_tokens, probability, residual and sampled of every row."""
     told = described(docs, topic)
-    cells = cut(told.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    fitted = cut(rake(cells, alpha, keep, tolerance, most).drop("tokens"))
-    joined = told.join(F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted, list(MARGINS))
-    return joined.withColumn("sampled", draw(F.col("doc_id")) < F.col("probability"))
+    narrow = kept_table(told.drop("row"), "described")
+    cells = narrow.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    fitted = rake(cells, alpha, keep, tolerance, most).drop("tokens")
+    repeated = kept_table(narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.lit(True).alias("repeated")), "repeated")
+    checked = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    joined = (told if rows else narrow).join(checked(fitted), list(MARGINS)).join(checked(repeated), "digest", "left")
+    own = F.when(F.col("repeated"), F.sha2(F.concat("digest", F.lit(":"), F.col("place").cast("string")), 256)).otherwise(F.col("digest"))
+    return joined.withColumn("sampled", draw(own) < F.col("probability")).drop("digest", "place", "repeated")
 
 
 def sample_documents(docs: DataFrame, alpha: float = ALPHA, keep: float = KEEP, topic: str | None = None, probability: str | None = None) -> DataFrame:
@@ -130,14 +143,14 @@ def sample_documents(docs: DataFrame, alpha: float = ALPHA, keep: float = KEEP,
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixture(table(spark, sf_dir, "documents"))
+    found = mixture(table(spark, sf_dir, "documents"), rows=False)
     return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled", F.round("residual", 4).alias("residual"))
 
 
 def _sql() -> str:
     topic = "CASE " + " ".join(f"WHEN len(regexp_extract_all(text, '{pattern}')) * {each} > length(text) THEN '{t}'" for pattern, t, each in SHAPES) + " ELSE 'prose' END"
     out = [
-        f"d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens FROM documents)",
+        f"d AS (SELECT doc_id, sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || sha256(coalesce(text, ''))) AS digest, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens FROM documents)",
         f"c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) AS DOUBLE) * {KEEP} AS weight, sum(CAST(sum(n_tokens) AS DOUBLE)) OVER () * {KEEP} AS kept FROM d GROUP BY source, lang, topic)",
     ]
     for m in MARGINS:
@@ -160,7 +173,7 @@ def _sql() -> str:
     p = "CASE WHEN tokens > 0 THEN least(1.0::DOUBLE, weight / tokens) ELSE 1.0 END"
     return (
         "WITH " + ",\n".join(out) + f"\nSELECT doc_id, d.source, d.lang, d.topic, n_tokens, round({p}, 6) AS probability,\n"
-        f"  CAST(('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / {float(1 << 52)} < {p} AS sampled, round(residual, 4) AS residual\n"
+        f"  CAST(('0x' || substr(digest, 1, 13)) AS BIGINT) / {float(1 << 52)} < {p} AS sampled, round(residual, 4) AS residual\n"
         f"FROM d JOIN r{n} USING (source, lang, topic)"
     )
 

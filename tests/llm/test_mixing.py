@@ -66,3 +66,15 @@ def test_edges(spark):
     assert mixing.mixture(spark.createDataFrame([], DOCS)).count() == 0
     silent = spark.createDataFrame([(1, "", "en", "s", 0)], DOCS)
     assert mixing.mixture(silent).first().probability == 1.0
+
+
+def test_rows_without_an_id_or_with_the_same_one_have_draws_of_their_own(spark):
+    texts = [f"word{k} " * 5 for k in range(1_500)]
+    groups = {"null": [(None, t) for t in texts], "same": [(7, t) for t in texts], "copies": [(None, "the same text " * 2)] * 1_500, "unique": list(enumerate(texts, 100))}
+    for name, pairs in groups.items():
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in pairs], DOCS).repartition(3)
+        rows = mixing.mixture(docs, keep=0.5, most=1).collect()
+        p = rows[0].probability
+        assert len(rows) == 1_500 and abs(p - 0.5) < 0.01
+        share = sum(r.sampled for r in rows) / len(rows)
+        assert abs(share - p) < 4 * (p * (1 - p) / len(rows)) ** 0.5, (name, share)
