@@ -11,11 +11,25 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Text that Python's datetime.fromisoformat takes, once basic forms are rewritten; week dates are left out.
-ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:\d{2})?)?$"
+#: Rewrites, in this order, of ISO 8601 text into the form that ISO matches: basic dates, any sign before the time, basic times, missing minutes and seconds, comma fractions and their digits beyond six, basic offsets.
+_ISO_STEPS = (
+    (r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3"),
+    (r"(?s)^(\d{4}-\d{2}-\d{2})\D(?=\d{2})", "$1T"),
+    (r"^(.{11})(\d{2})(\d{2})(\d{2})(?=[.,Z+-]|$)", "$1$2:$3:$4"),
+    (r"^(.{11})(\d{2})(\d{2})(?=[Z+-]|$)", "$1$2:$3"),
+    (r"^(.{10}T\d{2})(?=[Z+-]|$)", "$1:00"),
+    (r"^(.{10}T\d{2}:\d{2})(?=[Z+-]|$)", "$1:00"),
+    (r"^(.{19})[.,](\d{1,6})\d*", "$1.$2"),
+    (r"^(.{19})[.,](?=[Z+-])", "$1"),
+    (r"^(.{13,}[+-]\d{2})(\d{2})$", "$1:$2"),
+    (r"^(.{13,}[+-]\d{2})$", "$1:00"),
+)
+ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:\d{2}(:\d{2})?)?)?$"
+_WEEK = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?:$|\D)"
 #: Name of the column of opened fields.
 OPENED = "opened"
-_BASIC = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2}))?$"
+#: JSON text of values that count as nothing.
+_FALSY = r'^(null|false|""|\{\}|\[\]|-?0(\.0*)?([eE][+-]?\d+)?)$'
 
 
 def _col(c: str | Column) -> Column:
@@ -55,15 +69,7 @@ def text(value: Column) -> Column:
 
 def truthy_text(value: Column) -> Column:
     """The text of a truthy value, else NULL: null, "", 0, false, {} and [] are falsy, "0" is not."""
-    shape, own = kind(value), text(value)
-    falsy = (
-        F.when(shape == "STRING", own == "")
-        .when(shape == "BOOLEAN", own == "false")
-        .when(shape.startswith("OBJECT"), own == "{}")
-        .when(shape.startswith("ARRAY"), own == "[]")
-        .otherwise(own.try_cast("double") == 0)
-    )
-    return F.when(~F.coalesce(falsy, F.lit(True)), own)
+    return F.when(~F.to_json(value).rlike(_FALSY), text(value))
 
 
 def first_truthy(obj: str | Column, *keys: str) -> Column:
@@ -87,17 +93,43 @@ def pick(doc: str | Column, *keys: str) -> Column:
     return F.coalesce(*(field(doc, k) for k in keys), F.parse_json(F.lit("{}")))
 
 
+def _week_date(value: Column) -> Column:
+    """The text with a calendar date in the place of a week date that it begins with; NULL where there is none."""
+    part = lambda n: F.regexp_extract(value, _WEEK, n)
+    year, week, day = part(1).try_cast("int"), part(2).try_cast("int"), F.coalesce(part(3).try_cast("int"), F.lit(1))
+    fourth = F.make_date(year, F.lit(1), F.lit(4))
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    there = (year >= 1) & (week >= 1) & (F.date_add(monday, (week - 1) * 7) < F.date_sub(F.make_date(year + 1, F.lit(1), F.lit(4)), F.weekday(F.make_date(year + 1, F.lit(1), F.lit(4)))))
+    date = F.date_format(F.date_add(monday, (week - 1) * 7 + day - 1), "yyyy-MM-dd")
+    return F.when(there, F.concat(date, F.regexp_replace(value, r"^\d{4}-?W\d{2}(-?[1-7])?", "")))
+
+
+def _extended(value: Column) -> Column:
+    for pattern, by in _ISO_STEPS:
+        value = F.regexp_replace(value, pattern, by)
+    return F.regexp_extract(value, ISO, 0).try_cast("timestamp")
+
+
 def iso_timestamp(value: Column) -> Column:
-    """A timestamp from ISO text (UTC where it has no offset), NULL for anything else."""
-    extended = F.when(value.rlike(_BASIC), F.regexp_replace(F.regexp_replace(value, _BASIC, "$1-$2-$3T$4:$5:$6"), "T::$", "")).otherwise(value)
-    return F.when(extended.rlike(ISO), extended.try_cast("timestamp"))
+    """A timestamp from ISO text (UTC where it has no offset), NULL for anything else: dates of calendar and week, extended and basic forms."""
+    return F.coalesce(_extended(value), F.when(value.rlike(_WEEK), _extended(_week_date(value))))
+
+
+#: The zones that feeds name, and their offsets.
+ZONES = {"UT": "+0000", "GMT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+_FEED = r"^\s*(?:[A-Za-z]+,?\s+)?(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{2,4})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([+-]\d{4}|[A-Za-z]+))?)?\s*$"
 
 
 def feed_timestamp(value: Column) -> Column:
-    """A timestamp from RFC 822 text, such as "Tue, 02 Jan 2024 03:04:05 GMT", or from ISO text."""
-    bare = F.regexp_replace(value, r"^\s*[A-Za-z]{3},\s*", "")
-    forms = [F.try_to_timestamp(bare, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss")]
-    return F.coalesce(*forms, iso_timestamp(value))
+    """A timestamp from RFC 822 text, such as "Tue, 02 Jan 2024 03:04:05 GMT" (years of two digits, times without seconds or zone, named zones), or from ISO text."""
+    part = lambda n: F.regexp_extract(value, _FEED, n)
+    year = part(3).try_cast("int")
+    year = F.when(F.length(part(3)) > 2, year).when(year < 69, year + 2000).otherwise(year + 1900)
+    time = F.concat(F.lpad(F.coalesce(F.nullif(part(4), F.lit("")), F.lit("0")), 2, "0"), F.lit(":"), F.coalesce(F.nullif(part(5), F.lit("")), F.lit("00")), F.lit(":"), F.coalesce(F.nullif(part(6), F.lit("")), F.lit("00")))
+    zones = F.create_map(*(F.lit(x) for kv in ZONES.items() for x in kv))
+    zone = F.when(part(7).rlike("^[+-]"), part(7)).otherwise(F.coalesce(F.try_element_at(zones, F.upper(part(7))), F.lit("+0000")))
+    written = F.concat_ws(" ", F.lpad(part(1), 2, "0"), F.initcap(part(2)), F.lpad(year.cast("string"), 4, "0"), time, zone)
+    return F.coalesce(F.try_to_timestamp(F.when(value.rlike(_FEED), written), F.lit("dd MMM yyyy HH:mm:ss xx")), iso_timestamp(value))
 
 
 def canonical(payload: str | Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,26 +12,32 @@ MAX_CHARS = 5_000
 
 #: What goes from HTML, in this order, and what stands for it.
 _REMOVED = ((r"(?is)<script\b.*?</script\s*>", " "), (r"(?is)<style\b.*?</style\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]*>", " "))
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 _BLANKS = r"[ \t\r\n]+"
 
 
+def unescaped(c: Column) -> Column:
+    """Text with all named and numeric entities of HTML 5 replaced, once each."""
+
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+    return F.pandas_udf(run, "string")(c)
+
+
 def _plain(c: Column) -> Column:
-    for entity, char in _ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(c, _BLANKS, " "))
+    return F.trim(F.regexp_replace(unescaped(c), _BLANKS, " "))
 
 
-def html_text(html: Column, most: int = MAX_CHARS) -> Column:
+def html_text(page: Column, most: int = MAX_CHARS) -> Column:
     """Visible text, blanks collapsed, cut to `most` characters."""
     for pattern, by in _REMOVED:
-        html = F.regexp_replace(html, pattern, by)
-    return F.substring(_plain(html), 1, most)
+        page = F.regexp_replace(page, pattern, by)
+    return F.substring(_plain(page), 1, most)
 
 
-def html_title(html: Column, url: Column) -> Column:
+def html_title(page: Column, url: Column) -> Column:
     """The first title, or the url."""
-    return F.coalesce(F.nullif(_plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)), F.lit("")), url)
+    return F.coalesce(F.nullif(_plain(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)), F.lit("")), url)
 
 
 def blank_to_null(c: Column) -> Column:

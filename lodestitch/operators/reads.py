@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import mappers
+
 #: Greatest limit of each read.
 MOST = {"incidents": 500, "officers": 500, "links": 1_000, "suspended": 1_000}
 
@@ -22,6 +24,13 @@ def latest_incidents(incidents: DataFrame, limit: int = 50, offset: int = 0) ->
     return incidents.orderBy(F.desc_nulls_first("occurred_at"), "id").offset(offset).limit(limit)
 
 
+def latest_of_staging(staging: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """latest_incidents of the incidents that staging records give: only ids and times are mapped of all records, and whole entities of those of the page."""
+    page = latest_incidents(mappers.map_incidents(staging).where("status = 'ready'").select("id", "occurred_at"), limit, offset)
+    rows = mappers.entities(mappers.map_incidents(staging.join(F.broadcast(page.select("id")), "id", "left_semi")))
+    return latest_incidents(rows, limit)
+
+
 def officer_page(officers: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     _bounded(limit, offset, MOST["officers"])
     return officers.orderBy("id").offset(offset).limit(limit)

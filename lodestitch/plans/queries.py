@@ -354,8 +354,7 @@ def status_current(spark, sf_dir):
 
 @query(f"SELECT id, occurred_at FROM ({_INCIDENT}) WHERE status = 'ready' ORDER BY occurred_at DESC NULLS FIRST, id LIMIT 50 OFFSET 5000")
 def latest_incidents(spark, sf_dir):
-    rows = mappers.entities(mappers.map_incidents(fx.incident_staging(spark, sf_dir)))
-    return reads.latest_incidents(rows, 50, 5_000).select("id", _stamp("occurred_at"))
+    return reads.latest_of_staging(fx.incident_staging(spark, sf_dir), 50, 5_000).select("id", _stamp("occurred_at"))
 
 
 @query("SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS first_name FROM supplier ORDER BY s_suppkey LIMIT 30 OFFSET 20")
@@ -382,7 +381,7 @@ _BLANKS = "[ \\t\\r\\n]+"
 
 
 def _plain_sql(c: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):  # those that the pages have
         c = f"replace({c}, '{entity}', '{char}')"
     return f"trim(regexp_replace({c}, '{_BLANKS}', ' ', 'g'))"
 

@@ -85,6 +85,8 @@ def test_feeds_audio_and_tables(spark, tmp_path):
 
 
 def test_pages_and_documents(spark, tmp_path):
+    entities = spark.createDataFrame([("<p>a&nbsp;b &#8217;&#x27; &mdash;&eacute; &amp;lt; &copy 5 &nosuch; &#0; x</p>",), ("none",), (None,)], "html string")
+    assert [r[0] for r in entities.select(text.html_text(F.col("html"))).collect()] == ["a\xa0b ’' —é &lt; © 5 &nosuch; \ufffd x", "none", None]
     html = "<html><title> A &amp; B </title><script>x()</script><p>one</p><!-- no --><p>two &lt;3</p></html>"
     pages = spark.createDataFrame([("u", html), ("v", "<p>" + "z" * 6000), ("w", None)], "url string, html string")
     rows = pages.select(text.html_title(F.col("html"), F.col("url")).alias("t"), text.html_text(F.col("html")).alias("x")).collect()
