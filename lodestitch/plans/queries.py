@@ -754,5 +754,5 @@ def release_stream(spark, sf_dir):
         if more is not None:
             more.write.mode("append").parquet(f"{where}/a")
         found = streams.release_stream(read("w", waiting), read("a", arrivals))
-        found.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        streams.start_release(found, f"{where}/out", f"{where}/state").awaitTermination()
     return spark.read.parquet(f"{where}/out").select("staging_id", "status")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions import jsonx
 from ..operators import staging
@@ -46,46 +46,120 @@ def releases(waiting: DataFrame, arrivals: DataFrame, give_up: int = GIVE_UP_MIN
     return joined.select("staging_id", *KEYS, "asked_at", status.alias("status"))
 
 
-def release_stream(waiting: DataFrame, arrivals: DataFrame, give_up: int = GIVE_UP_MINUTES, lateness: str = "15 minutes", salts: int = 8) -> DataFrame:
+class Release(StatefulProcessor):
+    """Of one part of a key: `first`, its first arrival; `waiting`, a state row for each record that waits; `due`, when the next of them expires.
+
+    Rows of a batch touch their own records only. All that wait are looked at when
+    the first arrival changes, or once in a batch when the earliest of them is due.
+    """
+
+    def __init__(self, wait: int, remember: int | None):
+        self.wait, self.remember = wait, remember
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "at bigint")
+        self.due = handle.getValueState("due", "at bigint")
+        self.waiting = handle.getMapState("waiting", "staging_id bigint", "at bigint")
+
+    def _told(self, key: tuple, done: list[tuple[int, str]]) -> pd.DataFrame:
+        texts = {**{k: [v] * len(done) for k, v in zip(KEYS, key)}, "status": [d[1] for d in done]}
+        return pd.DataFrame({"staging_id": pd.Series([d[0] for d in done], dtype="int64"), **{k: pd.Series(v, dtype=object) for k, v in texts.items()}})
+
+    def _settle(self, first: int | None, now: int) -> list[tuple[int, str]]:
+        """Records that can be told now leave the state; a timer is set for the earliest of the rest."""
+        done, least = [], None
+        for (staging_id,), (at,) in list(self.waiting.iterator()):
+            if first is not None and first <= at + self.wait:
+                done.append((staging_id, "released"))
+            elif at + self.wait < now:
+                done.append((staging_id, "expired"))
+            else:
+                least = at if least is None else min(least, at)
+                continue
+            self.waiting.removeKey((staging_id,))
+        self._due(least, now)
+        return done
+
+    def _due(self, least: int | None, now: int) -> None:
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+            self.due.clear()
+        if least is not None:
+            at = max(now // 1000 + 1, (least + self.wait) // 1000 + 1)
+            self.due.update((at,))
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now = max(0, timerValues.getCurrentWatermarkInMs()) * 1000
+        before = first = self.first.get()[0] if self.first.exists() else None
+        asked: list[tuple[int, int]] = []
+        for frame in rows:
+            own = frame["staging_id"].isna()
+            if own.any():
+                least = int(frame["micros"][own].min())
+                first = least if first is None else min(first, least)
+            asked += zip(frame["staging_id"][~own].astype("int64").tolist(), frame["micros"][~own].astype("int64").tolist())
+        done, kept = [], []
+        for staging_id, at in asked:
+            if first is not None and first <= at + self.wait:
+                done.append((staging_id, "released"))
+            elif at + self.wait < now:
+                done.append((staging_id, "expired"))
+            else:
+                kept.append((staging_id, at))
+        if first != before:
+            self.first.update((first,))
+            if self.remember is not None:
+                self.handle.registerTimer(max(now // 1000 + 1, (first + self.remember) // 1000 + 1))
+            done += self._settle(first, now)
+        for staging_id, at in kept:
+            self.waiting.updateValue((staging_id,), (at,))
+        if kept:
+            due = (min(at for _, at in kept) + self.wait) // 1000 + 1
+            if not self.due.exists() or due < self.due.get()[0]:
+                self._due(min(at for _, at in kept), now)
+        yield self._told(key, done)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        first = self.first.get()[0] if self.first.exists() else None
+        done = []
+        if self.due.exists() and self.due.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.due.clear()
+            done = self._settle(first, now)
+        if self.remember is not None and first is not None and first + self.remember < now:
+            self.first.clear()
+        yield self._told(key, done)
+
+
+def release_stream(waiting: DataFrame, arrivals: DataFrame, give_up: int = GIVE_UP_MINUTES, lateness: str = "15 minutes", salts: int = 8, remember: int | None = None) -> DataFrame:
     """The stream form of releases: staging_id, KEYS and status, once for each waiting record.
 
-    State of a key is one number, its first arrival, and the records that still
-    wait, which leave it at their release or, give_up minutes of event time
-    later, at their expiry. Waiting records are dealt to `salts` parts of a key,
-    so that a common one is not a single group; an arrival goes to each part.
-    Rows later than `lateness` are dropped.
+    Each record that waits is a state row of its own, which leaves at its release
+    or, give_up minutes of event time later, at its expiry. Waiting records are
+    dealt to `salts` parts of a key, so that a common one is not a single group; an
+    arrival goes to each part. First arrivals are kept, as a record may ask for a
+    key long after it came; with `remember`, they go so many minutes of event time
+    later, and whoever asks after that is left to the batch resolver (here it
+    expires). Rows later than `lateness` are dropped. Needs the RocksDB state store
+    (see start_release).
     """
     part = F.pmod(F.xxhash64("staging_id"), F.lit(salts)).cast("int")
     asked = waiting.select(*KEYS, part.alias("part"), F.col("staging_id").cast("bigint").alias("staging_id"), F.col("asked_at").alias("at"))
     seen = arrivals.where("required_value != 'UNKNOWN'").select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"), F.lit(None).cast("bigint").alias("staging_id"), F.col("seen_at").alias("at"))
     both = asked.unionByName(seen).withWatermark("at", lateness).withColumn("micros", F.unix_micros("at"))
-    wait = give_up * 60_000_000
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, ids, since = state.get if state.exists else (None, [], [])
-        held = list(zip(ids, since))
-        for rows in frames:
-            for staging_id, at in zip(rows["staging_id"], rows["micros"]):
-                if pd.isna(staging_id):
-                    first = int(at) if first is None else min(first, int(at))
-                else:
-                    held.append((int(staging_id), int(at)))
-        now = state.getCurrentWatermarkMs() * 1000
-        done, rest = [], []
-        for staging_id, at in held:
-            if first is not None and first <= at + wait:
-                done.append((staging_id, "released"))
-            elif at + wait < now:
-                done.append((staging_id, "expired"))
-            else:
-                rest.append((staging_id, at))
-        if first is None and not rest:
-            state.remove()
-        else:
-            state.update((first, [r[0] for r in rest], [r[1] for r in rest]))
-            if rest:
-                state.setTimeoutTimestamp(max(now // 1000 + 1, (min(r[1] for r in rest) + wait) // 1000 + 1))
-        yield pd.DataFrame({"staging_id": [d[0] for d in done], **{k: [v] * len(done) for k, v in zip(KEYS, key)}, "status": [d[1] for d in done]})
-
     out = "staging_id bigint, required_entity_type string, required_key string, required_value string, status string"
-    return both.groupBy(*KEYS, "part").applyInPandasWithState(step, out, "first bigint, ids array<bigint>, since array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    minute = 60_000_000
+    return both.groupBy(*KEYS, "part").transformWithStateInPandas(Release(give_up * minute, None if remember is None else remember * minute), out, "append", "EventTime")
+
+
+def start_release(found: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Starts a release stream into Parquet files, for what is there now; the session's own state store setting is as before afterwards."""
+    conf, name = found.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)

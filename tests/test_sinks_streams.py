@@ -78,7 +78,27 @@ def test_release_stream_equals_batch(spark, tmp_path):
         arrivals.where(F.col("seen_at").between(t(since), t(cut - 0.001))).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
         read = lambda n, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / n))
         found = streams.release_stream(read("w", waiting), read("a", arrivals))
-        q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
+        streams.start_release(found, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = sorted((r.staging_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == want
+
+
+def test_many_records_on_one_key_leave_the_state(spark, tmp_path):
+    keys = "required_entity_type string, required_key string, required_value string"
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    one = lambda v: [F.lit("o").alias("required_entity_type"), F.lit("b").alias("required_key"), F.lit(v).alias("required_value")]
+    n = 20_000
+    waiting = spark.range(n).select(F.col("id").alias("staging_id"), *one("A"), F.lit(t(0)).alias("asked_at")).unionByName(spark.range(n, n + 500).select(F.col("id").alias("staging_id"), *one("never"), F.lit(t(1)).alias("asked_at")))
+    last, progress = t(0), []
+    for minute, value in ((1, "x"), (100, "A"), (400, "y"), (2_000, "z"), (2_001, "z")):
+        if minute == 1:
+            waiting.coalesce(2).write.parquet(str(tmp_path / "w"))
+        spark.createDataFrame([("o", "b", value, t(minute))], f"{keys}, seen_at timestamp").write.mode("append").parquet(str(tmp_path / "a"))
+        read = lambda name, schema: spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        found = streams.release_stream(read("w", waiting.schema), read("a", f"{keys}, seen_at timestamp"), remember=300)
+        query = streams.start_release(found, str(tmp_path / "out"), str(tmp_path / "c"))
+        query.awaitTermination()
+        progress.append([p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1])
+    got = {r.status: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("status").count().collect()}
+    assert got == {"released": n, "expired": 500} and last == t(0)
+    assert progress[0] >= n + 500 and progress[1] < 2_000 and progress[-1] <= 8 * 3 * 2, progress
