@@ -756,3 +756,72 @@ def release_stream(spark, sf_dir):
         found = streams.release_stream(read("w", waiting), read("a", arrivals))
         streams.start_release(found, f"{where}/out", f"{where}/state").awaitTermination()
     return spark.read.parquet(f"{where}/out").select("staging_id", "status")
+
+
+_PASSES, _PATIENCE = 5, 2
+_PASS_DEPS = "(SELECT event_id AS staging_record_id, user_id, 1 + event_id % 4 AS came FROM events WHERE event_type IN ('error', 'purchase'))"
+_PASS_KEYS = "(SELECT user_id, min(1 + event_id % 5) AS there FROM events WHERE event_type = 'signup' AND user_id % 3 <> 0 GROUP BY user_id)"
+
+
+@query(
+    f"""SELECT staging_record_id, CASE WHEN there IS NOT NULL AND greatest(there, came) <= came + {_PATIENCE} THEN 'resolved' WHEN {_PASSES} - came + 1 > {_PATIENCE} THEN 'expired' ELSE 'waiting' END AS status,
+ CAST(CASE WHEN there IS NOT NULL AND greatest(there, came) <= came + {_PATIENCE} THEN greatest(there, came) - came ELSE least({_PASSES} - came + 1, {_PATIENCE} + 1) END AS INTEGER) AS attempts
+ FROM {_PASS_DEPS} d LEFT JOIN {_PASS_KEYS} k USING (user_id)"""
+)
+def resolver_incremental(spark, sf_dir):
+    """Five passes of the incremental resolver, each with what came since the one before; the third is run twice."""
+    e = fx.table(spark, sf_dir, "events")
+    keys = [F.lit("officer").alias("required_entity_type"), F.lit("badge_number").alias("required_key"), F.col("user_id").cast("string").alias("required_value")]
+    deps = e.where(F.col("event_type").isin("error", "purchase")).select(F.col("event_id").alias("staging_record_id"), *keys, (1 + F.col("event_id") % 4).alias("came"))
+    there = e.where("event_type = 'signup' AND user_id % 3 <> 0").select(*keys, (1 + F.col("event_id") % 5).alias("came"))
+    run = resolver.Incremental(spark, drops.folder(spark, "passes"), _PATIENCE)
+    for n in (1, 2, 3, 3, 4, 5):
+        run.run_pass(n, deps.where(F.col("came") == n), there.where(F.col("came") == n))
+    return run.state(_PASSES).select("staging_record_id", "status", "attempts")
+
+
+@query("SELECT user_id AS staging_id, max(event_id % 20) AS run_id, 'run ' || max(event_id % 20) AS reason FROM events GROUP BY user_id")
+def status_compacted(spark, sf_dir):
+    """Twenty runs of a status log, with snapshots after the eighth and the fifteenth, after which what they stand for is deleted."""
+    root = drops.folder(spark, "status")
+    e = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 20).alias("run")).distinct()
+    for n in range(20):
+        sinks.append_status(e.where(F.col("run") == n).select("id", F.lit("ready").alias("status"), F.lit(f"run {n}").alias("reason")), n, root)
+        if n in (8, 15):
+            sinks.compact_status(spark, root, n)
+            sinks.retire_status(spark, root)
+    return sinks.stored_status(spark, root).select("staging_id", "run_id", "reason")
+
+
+@query("SELECT event_id, event_type AS kind, CAST(event_id // 2 AS BIGINT) AS line, 's' || (event_id % 2) AS source_id FROM events")
+def arrival_ids(spark, sf_dir):
+    """Ids of events that landed in two files in their order: a slot for each file, and in it the line."""
+    where = drops.folder(spark, "order")
+    rows = fx.table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    for n in (0, 1):
+        drops.land_lines(rows.where(F.col("event_id") % 2 == n).orderBy("event_id").coalesce(1), f"{where}/{n}", ".ndjson")
+    sources = [{"id": f"s{n}", "adapter": "ndjson", "config": {"path": f"{where}/{n}"}} for n in (0, 1)]
+    raw = staging.raw_records(readers.ingest(spark, sources), "b1", files=staging.numbered_files(readers.landed_files(spark, sources)))
+    found = _got(raw.withColumnRenamed("raw_data", "payload"), "event_id", "event_type")
+    line = F.col("id") - F.shiftleft(F.shiftright("id", staging.SLOT_BITS), staging.SLOT_BITS)
+    return found.select(F.col("event_id").cast("bigint").alias("event_id"), F.col("event_type").alias("kind"), line.alias("line"), "source_id")
+
+
+@query("SELECT 'b' || (event_id % 2) AS batch_id, event_type AS kind, count(*) AS n_rows, count(*) AS n_ids, 1 AS n_times FROM events GROUP BY ALL")
+def batches_rewritten(spark, sf_dir):
+    """Raw records of two batches, the first of which is written twice: batch ids, one time of ingest for each, and no row twice."""
+    root = drops.folder(spark, "batches")
+    for n in (0, 1, 0):
+        rows = fx.table(spark, sf_dir, "events").where(F.col("event_id") % 2 == n).select(F.to_json(F.struct("event_id")).alias("payload"), F.col("event_type").alias("source_id"))
+        raw = readers.envelope(rows, F.col("payload"))
+        sinks.write_batch(staging.raw_records(raw, f"b{n}"), root, "raw_records", f"b{n}")
+    return sinks.read(spark, root, "raw_records").groupBy("batch_id", F.col("source_id").alias("kind")).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.countDistinct("ingested_at").cast("int").alias("n_times"))
+
+
+@query("SELECT event_id AS staging_record_id, CASE WHEN event_id % 3 = 0 AND user_id IN (SELECT s_suppkey FROM supplier) THEN 'resolved' ELSE 'waiting' END AS status FROM events")
+def resolver_unknown_kinds(spark, sf_dir):
+    """Dependencies on a kind or a key that no table has wait, whatever their value."""
+    nth = (F.col("event_id") % 3 + 1).cast("int")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), nth)
+    deps = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("staging_record_id"), pick("officer", "vehicle", "officer").alias("required_entity_type"), pick("badge_number", "badge_number", "plate").alias("required_key"), F.col("user_id").cast("string").alias("required_value"), F.lit("waiting").alias("status"), F.lit(0).alias("attempts"))
+    return resolver.resolve(deps, resolver.available(fx.stored_officers(spark, sf_dir))).select("staging_record_id", "status")

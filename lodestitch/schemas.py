@@ -27,6 +27,10 @@ TABLES = {
     "monitor_reports": "id bigint, agency_id bigint, period string, report_date timestamp, compliance_data string, document_id bigint",
     "entity_links": "source_entity string, source_id bigint, target_entity string, target_id bigint, relation_type string, confidence double, join_key string, link_metadata string",
     "synthesis_runs": "run_id bigint, started_at timestamp, completed_at timestamp, status string, processed bigint, suspended bigint, failed bigint",
+    "waiting_deps": "staging_record_id bigint, required_entity_type string, required_key string, required_value string, batch_id string",
+    "arrived_keys": "required_entity_type string, required_key string, required_value string, batch_id string",
+    "decided_deps": "staging_record_id bigint, required_entity_type string, required_key string, required_value string, batch_id string",
+    "status_snapshot": "staging_id bigint, run_id bigint, status string, reason string",
     "status_log": "staging_id bigint, run_id bigint, status string, reason string",
 }
 

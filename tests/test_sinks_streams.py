@@ -102,3 +102,63 @@ def test_many_records_on_one_key_leave_the_state(spark, tmp_path):
     got = {r.status: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("status").count().collect()}
     assert got == {"released": n, "expired": 500} and last == t(0)
     assert progress[0] >= n + 500 and progress[1] < 2_000 and progress[-1] <= 8 * 3 * 2, progress
+
+
+def test_snapshots_change_no_status(spark, tmp_path):
+    root = str(tmp_path)
+    df = lambda *rows: spark.createDataFrame(list(rows), "id bigint, status string, reason string")
+    want = {}
+    for run in range(20):
+        rows = [(n, "suspended" if run % 2 else "ready", f"r{run}") for n in range(40) if (n * 7 + run) % 5 == 0]
+        sinks.append_status(df(*rows), run, root)
+        want |= {r[0]: (r[1], r[2], run) for r in rows}
+        if run % 6 == 5:
+            before = {r.staging_id: tuple(r)[1:] for r in sinks.stored_status(spark, root).collect()}
+            sinks.compact_status(spark, root, run - 1)
+            assert {r.staging_id: tuple(r)[1:] for r in sinks.stored_status(spark, root).collect()} == before == want
+            sinks.compact_status(spark, root, run)
+            sinks.retire_status(spark, root)
+            assert sinks.written_batches(spark, root, "status_log") == [] and len(sinks.written_batches(spark, root, "status_snapshot")) == 1
+        if run == 13:
+            sinks.append_status(df(*rows), run, root)  # again
+    (tmp_path / "status_snapshot" / "batch_id=99").mkdir()  # one that broke off
+    assert {r.staging_id: tuple(r)[1:] for r in sinks.stored_status(spark, root).collect()} == want
+    assert sinks.stored_status(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_incremental_passes_equal_full_ones(spark, tmp_path):
+    import random
+
+    from lodestitch.operators import resolver
+
+    rng = random.Random(3)
+    columns = "staging_record_id bigint, required_entity_type string, required_key string, required_value string, status string, attempts int"
+    run = resolver.Incremental(spark, str(tmp_path), 3)
+    full, keys = spark.createDataFrame([], columns), set()
+    for n in range(1, 11):
+        deps = [(n * 100 + k, "officer", "badge_number", rng.choice(["UNKNOWN", *map(str, range(30))]), "waiting", 0) for k in range(12)]
+        new = {("officer", "badge_number", str(rng.randint(0, 29))) for _ in range(3)} | {("officer", "badge_number", "UNKNOWN")}
+        keys |= new
+        deps_frame, keys_frame = spark.createDataFrame(deps, columns), spark.createDataFrame(sorted(new), columns.split(", ", 1)[1].rsplit(", ", 2)[0])
+        before = full.unionByName(deps_frame)
+        full = spark.createDataFrame(resolver.resolve(before, spark.createDataFrame(sorted(keys), keys_frame.schema), 3).collect(), columns)
+        told = run.run_pass(n, deps_frame, keys_frame)
+        if n == 4:
+            told = run.run_pass(n, deps_frame, keys_frame)
+        rows = lambda df: sorted(map(tuple, df.select(*columns.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", ")).collect()))
+        assert rows(run.state(n)) == rows(full), n
+        was = {r[0]: r.status for r in before.collect()}
+        assert {r[0] for r in told.collect()} == {r[0] for r in full.collect() if r.status == "resolved" and was[r[0]] == "waiting"}
+        assert {r[0] for r in run.expired(n).collect()} == {r[0] for r in full.collect() if r.status == "expired" and was[r[0]] == "waiting"}
+
+
+def test_a_pass_reads_what_is_new(spark, tmp_path):
+    from lodestitch.operators import resolver
+
+    run = resolver.Incremental(spark, str(tmp_path), 2)
+    frame = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("staging_record_id"), F.lit("o").alias("required_entity_type"), F.lit("k").alias("required_key"), F.col("id").cast("string").alias("required_value"))
+    for n in range(1, 9):
+        run.run_pass(n, frame(n * 1000, n * 1000 + 50), frame(n * 1000 - 25, n * 1000 + 25), looked_up=True)
+    files = {b.rsplit("=", 1)[1] for b in run._read("waiting_deps", 6, 8).inputFiles() for b in [b.rsplit("/", 1)[0]]}
+    assert files == {"6", "7", "8"}, "older dependencies are not read"
+    assert run.state(8).where("status = 'resolved'").count() == 8 * 25
