@@ -6,7 +6,9 @@ header that is wrapped over lines) and, of licence files (LICENSE, LICENCE,
 COPYING, NOTICE), the whole text; nothing is chosen by keywords. A unit's words
 are weighted by term frequency and inverse document frequency over the templates
 (a word of no template weighs as one of a single template) and compared with each
-template by cosine, as sparse products in the tasks that read the texts. A file has
+template by cosine, as sparse products in the tasks that read the texts. Versions of
+a licence are templates of their own, and one counts only where a unit holds its
+numbers, so that a version without a template is not taken for another. A file has
 the licence of its best unit of at least `least` cosine (ties: the first template by
 name). A directory has the licence of its best licence file (ties: by name); a file
 without one inherits from the nearest ancestor directory that has one. Inheritance
@@ -46,10 +48,14 @@ _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTOR
 _APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 _APACHE_TERMS = """Apache License Version 2.0, January 2004 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License. "Legal Entity" shall mean the union of the acting entity and all other entities that control, are controlled by, or are under common control with that entity. "Work" shall mean the work of authorship, whether in Source or Object form, made available under the License. "Derivative Works" shall mean any work, whether in Source or Object form, that is based on (or derived from) the Work. "Contribution" shall mean any work of authorship that is intentionally submitted to Licensor for inclusion in the Work. "Contributor" shall mean Licensor and any individual or Legal Entity on behalf of whom a Contribution has been received by Licensor. 2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form. 3. Grant of Patent License. 4. Redistribution. You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the conditions of this License. 5. Submission of Contributions. 6. Trademarks. 7. Disclaimer of Warranty. 8. Limitation of Liability. 9. Accepting Warranty or Additional Liability."""
 _GNU = """{this} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. {this} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You should have received a copy of the GNU {kind}General Public License along with this program. If not, see https://www.gnu.org/licenses/."""
+_GNU_2 = """{this} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. {this} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You should have received a copy of the GNU {kind}General Public License along with {that}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
 
 #: Notices and texts of licences. A licence with several has a name and, after a blank, which form it is.
 TEMPLATES = {
     "AGPL-3.0 (header)": _GNU.format(this="This program", kind="Affero "),
+    "Apache-1.1": "Licensed under the Apache Software License, Version 1.1.",
+    "Apache-1.1 (title)": "Apache License, Version 1.1",
+    "Apache-2.0 (title)": "Apache License, Version 2.0",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     "Apache-2.0 (header)": _APACHE_HEADER,
     "Apache-2.0 (short)": "Licensed under the Apache License, Version 2.0.",
@@ -60,9 +66,17 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "Released to the public domain under CC0 1.0 Universal.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0 (header)": _GNU_2.format(this="This program", that="this program", kind="", version="2"),
+    "GPL-2.0 (title)": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0 (title)": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0 (header)": _GNU.format(this="This program", kind=""),
     "ISC (text)": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1 (header)": _GNU_2.format(this="This library", that="this library", kind="Lesser ", version="2.1"),
+    "LGPL-2.1 (title)": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0 (title)": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "LGPL-3.0 (header)": _GNU.format(this="This library", kind="Lesser "),
     "MIT": "Released under the MIT License.",
@@ -70,9 +84,13 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "MPL-2.0 (header)": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Proprietary": "All rights reserved.",
-    **{f"{x} (spdx)": f"SPDX-License-Identifier: {x}" for x in ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0")},
+    **{f"{x} (spdx)": f"SPDX-License-Identifier: {x}" for x in ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")},
+    **{f"{x} (spdx {form})": f"SPDX-License-Identifier: {x}-{form}" for x in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for form in ("only", "or-later")},
 }
 
+#: Licences of several versions; a unit has one of these only if it holds the numbers of its version (a last 0 may be left out).
+VERSIONED = ("AGPL", "Apache", "CC-BY", "CC-BY-NC", "CC0", "GPL", "LGPL", "MPL")
+
 #: The template that counts only where no other is close enough: its words stand in other licences' copyright lines.
 RESERVED = "Proprietary"
 LICENCE_FILE = r"(?i)(^|/)(LICEN[CS]E|COPYING|NOTICE)[^/]*$"
@@ -96,6 +114,15 @@ def template_weights(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[
     return rows, idf, math.log(1 + len(templates))
 
 
+def needed_words(templates: dict[str, str] = TEMPLATES) -> dict[str, list[str]]:
+    """Of each template the numbers of its licence's version, which a unit must hold: 2 of GPL-2.0, 2 and 1 of LGPL-2.1."""
+    out = {}
+    for name in sorted(templates):
+        family, _, version = name.split(" ")[0].rpartition("-")
+        out[name] = sorted(set(version.removesuffix(".0").split("."))) if family in VERSIONED else []
+    return out
+
+
 class Scorer:
     """Cosines of the units of texts to the templates, as sparse products."""
 
@@ -108,6 +135,8 @@ class Scorer:
         at_word, at_name = {w: n for n, w in enumerate(self.vocabulary)}, {n: k for k, n in enumerate(self.names)}
         for name, word, weight in rows:
             self.matrix[at_word[word], at_name[name]] = weight
+        needs = needed_words(templates)
+        self.needed = [np.array([at_word[w] for w in needs[n] if w in at_word], np.int64) for n in self.names]
         self.known = pa.array([w.encode() for w in self.vocabulary], pa.binary())
 
     def cosines(self, word: np.ndarray, unit: np.ndarray, n: int, number: np.ndarray) -> np.ndarray:
@@ -125,9 +154,9 @@ class Scorer:
             own = slice(edges[u], edges[u + 1])
             if own.start < own.stop:
                 dots = np.round(weight[own] @ self.matrix[place[own]] / norm[u], 6)
-                near = np.flatnonzero(dots >= self.least)
-                if near.size:
-                    best = min(near.tolist(), key=lambda k: (k == self.reserved, -dots[k], k))
+                near = [k for k in np.flatnonzero(dots >= self.least).tolist() if np.isin(self.needed[k], place[own]).all()]
+                if near:
+                    best = min(near, key=lambda k: (k == self.reserved, -dots[k], k))
                     out[u] = dots[best], best
         return out
 
@@ -248,9 +277,10 @@ def _sql() -> str:
     known = ", ".join(f"('{n}', '{w}', {x!r}::DOUBLE)" for n, w, x in weights)
     scale = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in sorted(idf.items()))
     blanks = " || ".join(f"chr({n})" for n in (32, 9, 11, 12, 13))
+    need = ", ".join(f"('{n}', '{w}')" for n, words in needed_words().items() for w in words)
     comment = " OR ".join(f"starts_with(ltrim(line, {blanks}), '{sign}')" for sign in COMMENT)
     return f"""
-WITH known(licence, word, weight) AS (VALUES {known}), scale(word, idf) AS (VALUES {scale}),
+WITH known(licence, word, weight) AS (VALUES {known}), scale(word, idf) AS (VALUES {scale}), need(licence, word) AS (VALUES {need}),
 f AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN concat(source, '/LICENSE-', doc_id)
   WHEN doc_id % 10 = 5 THEN concat(source, '/', doc_id // 1000, '/LICENSE-', doc_id)
   ELSE concat(source, '/', doc_id // 1000, '/', doc_id // 100, '/', doc_id, '.txt') END AS path FROM documents),
@@ -263,7 +293,8 @@ w AS (SELECT header, word, count(*) AS tf FROM (SELECT header, unnest(regexp_ext
 x AS (SELECT header, word, tf * coalesce(idf, {other!r}::DOUBLE) AS w FROM w LEFT JOIN scale USING (word)),
 n AS (SELECT header, sqrt(sum(w * w)) AS norm FROM x GROUP BY header),
 c AS (SELECT header, licence, round(sum(w * weight) / any_value(norm), 6) AS cosine FROM x JOIN known USING (word) JOIN n USING (header) GROUP BY header, licence),
-own AS (SELECT doc_id, split_part(licence, ' ', 1) AS licence, cosine FROM h JOIN c USING (header) WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c.licence = '{RESERVED}', cosine DESC, c.licence) = 1),
+lacks AS (SELECT c.header, licence FROM c JOIN need USING (licence) LEFT JOIN w ON w.header = c.header AND w.word = need.word WHERE w.word IS NULL GROUP BY ALL),
+own AS (SELECT doc_id, split_part(licence, ' ', 1) AS licence, cosine FROM h JOIN (SELECT * FROM c ANTI JOIN lacks USING (header, licence)) c USING (header) WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c.licence = '{RESERVED}', cosine DESC, c.licence) = 1),
 t AS (SELECT f.doc_id, path, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS dir, licence, cosine FROM f LEFT JOIN own USING (doc_id)),
 l AS (SELECT dir AS above, licence AS dir_licence FROM t WHERE licence IS NOT NULL AND regexp_matches(path, '{LICENCE_FILE}') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path, licence) = 1),
 near AS (SELECT d.dir, above, dir_licence FROM (SELECT DISTINCT dir FROM t) d JOIN l ON starts_with(d.dir, above) QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(above) DESC) = 1)

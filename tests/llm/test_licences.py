@@ -86,3 +86,40 @@ def test_query_equals_its_sql(spark, tmp_path):
 
 def test_empty(spark):
     assert scan(spark) == {}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (licences._GNU_2.format(this="This program", that="this program", kind="", version="2"), "GPL-2.0"),
+        (licences._GNU_2.format(this="My library", that="my library", kind="Lesser ", version="2.1"), "LGPL-2.1"),
+        (licences._GNU.format(this="This program", kind=""), "GPL-3.0"),
+        (licences._GNU.format(this="This file", kind="Lesser "), "LGPL-3.0"),
+        (licences._GNU.format(this="This program", kind="Affero "), "AGPL-3.0"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+        ("SPDX-License-Identifier: GPL-2.0", "GPL-2.0"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("Apache License, Version 1.1", "Apache-1.1"),
+        ("Apache License, Version 2.0", "Apache-2.0"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Licensed under the Apache License, Version 4.5.", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 7.", None),
+        ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GPL-2.0"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Licensed under CC BY-NC 3.0.", None),
+    ],
+)
+def test_versions_are_told_apart(text, want):
+    import numpy as np
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = licences.Scorer().best(data, np.array([0, data.size]), np.array([False]))[0]
+    assert (found and found[0].split(" ")[0]) == want
+
+
+def test_long_texts_and_repeated_rows(spark):
+    long = "word " * 300_000 + "\n# Licensed under CC BY-NC 4.0.\n" + "x " * 300_000
+    got = licences.scan_licences(spark.createDataFrame([(n, "a/b.txt", long, "x", "y") for n in (1, 2)], FILES)).collect()
+    assert [(r.licence, r.how) for r in got] == [("CC-BY-NC-4.0", "header")] * 2
