@@ -112,3 +112,77 @@ def test_more_than_64_languages(spark):
     assert len(model.languages) == 70 and len(model.words) == 2
     got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
     assert got == {r[0]: r[2] for r in rows}
+
+
+def test_ftrl_by_brute_force():
+    """Each coordinate's update in plain Python, as McMahan and others (2013) write it."""
+    rng = random.Random(3)
+    bits, rows = 6, []
+    texts = [" ".join(rng.choice(GOOD + BAD) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    labels = [rng.randint(0, 1) for _ in texts]
+    z, n = [0.0] * (2**bits + 1), [0.0] * (2**bits + 1)
+    m = quality.FTRL(bits)
+
+    def weight(i):
+        if abs(z[i]) <= m.l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * m.l1) / ((m.beta + n[i] ** 0.5) / m.alpha + m.l2)
+
+    for text in texts:
+        own, _ = quality.features(*at.text_bytes(pa.array([text])), bits)
+        counts = {b: own.tolist().count(b) for b in own.tolist()}
+        rows.append({b: c / len(own) ** 0.5 for b, c in counts.items()} | {2**bits: 1.0})
+    for _ in range(3):
+        for x, y in zip(rows, labels):
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / m.alpha * w[i]
+                n[i] += g * g
+    want = np.array([weight(i) for i in range(2**bits + 1)])
+    got = quality.fit(pa.array(texts), labels, bits)
+    assert np.allclose(got, want, atol=1e-6) and (np.abs(want) > 0.01).sum() > 20
+
+
+def _grams(text):
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    return [int.from_bytes(bytes([k]) + raw[i : i + k], "big") for k in language.LENGTHS for i in range(len(raw) - k + 1)]
+
+
+def test_language_profiles_and_decisions_by_brute_force(spark):
+    """Profiles from plain counts of all n-grams, decisions from sets in the place of filters."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    signs = {"aa": "abcde ", "bb": "defgh ", "cc": "ghé日 "}
+    rows = [(k, "".join(rng.choice(signs[lang]) for _ in range(rng.randint(5, 80))), lang, "s", 0) for k, lang in enumerate(rng.choice(sorted(signs)) for _ in range(150))]
+    rows += [(900, None, "aa", "s", 0), (901, "", None, "s", 0), (902, "12 34", "bb", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    counts = {}
+    for doc_id, text, lang, _, _ in rows:
+        if lang and zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(_grams(text))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    mean = {g: sum(r.get(g, 0) for r in rate.values()) / len(rate) for r in rate.values() for g in r}
+    signed = lambda g: g - (1 << 64) if g >= 1 << 63 else g
+    profiles = {lang: sorted((g for g in r if r[g] > mean[g] * (1 + 1e-12)), key=lambda g: (-r[g], signed(g)))[:200] for lang, r in rate.items()}
+    model = language.train(docs, profile=200)
+    want = language.LanguageFilter({lang: np.array(p, np.uint64) for lang, p in profiles.items()})
+    assert model.languages == want.languages
+    same = sum(int((a == b).sum()) for a, b in zip(model.words, want.words)) / sum(w.size for w in want.words)
+    assert same > 0.99999, "but for ties of rates that differ in their last bits"
+    sets = {lang: set(p) for lang, p in profiles.items()}
+    agree = total = 0
+    for r in language.predict(docs, model).collect():
+        text = next(x[1] for x in rows if x[0] == r.doc_id)
+        if not text or not any(c.isalpha() for c in text):
+            assert r.lang_pred == "und"
+            continue
+        grams = _grams(text)
+        shares = {lang: sum(g in s for g in grams) / len(grams) for lang, s in sets.items()}
+        best = max(shares.values())
+        total += 1
+        agree += shares[r.lang_pred] >= best - 0.02
+        assert abs(r.score - shares[r.lang_pred] / max(sum(shares.values()), 1e-12)) < 0.05
+    assert agree == total > 100
