@@ -55,6 +55,12 @@ def raw_records(raw: DataFrame, batch_id: str, ingested_at: str | None = None, p
     return told.select(key.alias("id"), "source_id", "batch_id", "content_type", jsonx.wrap_list("payload").alias("raw_data"), "file_path", "checksum", at.alias("ingested_at"))
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """A scan's rows, dealt to all cores where it has fewer tasks than these: a file of one row group is one task, and mapping a payload costs far more than moving it. For scans alone, as other plans would run to be asked for their tasks."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def stage(raw: DataFrame, catalog: DataFrame) -> DataFrame:
     """Raw records as pending staging records; the catalog (a row per source) gives the entity type, "unknown" by default."""
     types = catalog.select(F.col("id").alias("source_id"), F.col("entity_type").alias("__type"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import staging
+
 #: Stands for a JSON null in a payload; a SQL NULL leaves the key out.
 NULL = "@null"
 
@@ -21,7 +23,7 @@ def payload(under: str | None, **fields: Column) -> Column:
 
 def staged(df: DataFrame, key: str, source: str, entity_type: Column | str, json: Column) -> DataFrame:
     kind = F.lit(entity_type) if isinstance(entity_type, str) else entity_type
-    return df.select(
+    return staging.dealt(df).select(
         F.col(key).cast("bigint").alias("id"),
         F.col(key).cast("bigint").alias("raw_record_id"),
         F.lit(source).alias("source_id"),
