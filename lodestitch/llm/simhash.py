@@ -38,8 +38,9 @@ from .tables import cut, kept_table, packed, small_batches, table, text_key
 
 SHINGLE = 3
 DISTANCE = 3
-#: Bits that may differ where documents are dropped: near copies of 0.8 by five-word shingles mostly differ in 9 or fewer.
-WIDE = 9
+#: Bits that may differ where documents are dropped, in either of two fingerprints: nearly all near copies of 0.8 by
+#: five-word shingles differ in so few, and thresholds of 2 in each of four partitions need no more keys than less.
+WIDE = 11
 #: Similarity of word shingles from which on a document is a near copy of one that stays: ALIKE[0] / ALIKE[1] by shingles of WORDS words.
 ALIKE = (4, 5)
 WORDS = 5
@@ -89,6 +90,12 @@ def _majority(hashes: bytes, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def _second_majority(hashes: bytes, count: np.ndarray) -> np.ndarray:
+    """Majority bits of the same shingles under hashes that are independent of the first."""
+    again = at.mixed(np.frombuffer(hashes, "<u8") * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return _majority(again.tobytes(), count)
+
+
 def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """Majority bits of each text's shingles, as unsigned 64-bit numbers."""
     return _majority(*_shingle_hashes(_joined_words(data, offsets), shingle))
@@ -338,7 +345,7 @@ def dedup_documents(docs: DataFrame, shingle: int = SHINGLE, distance: int = WID
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, t1, t2, key (128 bits of the words), n_words and fp of every row."""
+    """doc_id, t1, t2, key (128 bits of the words), n_words and two fingerprints, fp and fp2, of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,12 +353,13 @@ def _described(docs: DataFrame) -> DataFrame:
             raw, starts, ends, firsts = words = _joined_words(data, offsets)
             n = np.diff(firsts)
             keys = [xxhash.xxh3_128_digest(raw[starts[f] : ends[f + k - 1]] if k else b"") for f, k in zip(firsts[:-1].tolist(), n.tolist())]
-            prints = _majority(*_shingle_hashes(words, SHINGLE))
+            hashes = _shingle_hashes(words, SHINGLE)
+            prints = [pa.array(p(*hashes).view(np.int64)) for p in (_majority, _second_majority)]
             kept = [rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "t1", "t2")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "t1", "t2", "key", "n_words", "fp"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.binary()), pa.array(n, pa.int64()), *prints], names=["doc_id", "t1", "t2", "key", "n_words", "fp", "fp2"])
 
     narrow = docs.select("doc_id", "text", *text_key())
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, t1 bigint, t2 bigint, key binary, n_words bigint, fp bigint")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, t1 bigint, t2 bigint, key binary, n_words bigint, fp bigint, fp2 bigint")
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
@@ -378,21 +386,39 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(mine, "key").join(theirs, "leader").where(both * (least + of) >= (F.size("a") + F.size("b")) * least)
 
 
+def _candidate_groups(texts: DataFrame, distance: int) -> DataFrame:
+    """fp and root: texts (fp, fp2) with links of either fingerprint between them have the same root.
+
+    The second fingerprints' numbers are hashed, so that they are other nodes
+    than the first ones'; should two of them be equal, groups that are only
+    searched together become one. A text ties its two fingerprints where its
+    second one has a link or is that of other texts.
+    """
+    other = lambda c: F.xxhash64(F.lit("second"), c)
+    first = fingerprint_links(texts.select("fp").distinct(), distance)
+    second = cut(fingerprint_links(texts.select(F.col("fp2").alias("fp")).distinct(), distance))
+    shared = texts.groupBy("fp2").agg((F.min("fp") != F.max("fp")).alias("several")).where("several").select("fp2")
+    tied = second.select(F.col("u").alias("fp2")).unionByName(second.select(F.col("v").alias("fp2"))).unionByName(shared).distinct()
+    ties = texts.join(tied, "fp2", "left_semi").select(F.col("fp").alias("u"), other("fp2").alias("v"))
+    return components(first.unionByName(second.select(other("u").alias("u"), other("v").alias("v"))).unionByName(ties)).withColumnRenamed("node", "fp")
+
+
 def near_copies(docs: DataFrame, distance: int = WIDE) -> DataFrame:
     """doc_id, t1 and t2 of the rows that go: the words of a row of a lesser doc_id, or a near copy of a row that stays.
 
-    Fingerprints within `distance` bits are candidates only. In the order of
-    doc_id (null last), a text stays unless it is alike with one that stays:
-    so each that goes has a near copy that stays, and no two candidates that
-    stay are alike. Components bound where candidates are looked for.
+    Texts of which either of two independent fingerprints is within `distance`
+    bits are candidates only: with one fingerprint a pair at the similarity's
+    bound is beyond them about once in twelve. In the order of doc_id (null
+    last), a text stays unless it is alike with one that stays: so each that
+    goes has a near copy that stays, and no two candidates that stay are alike.
+    Components bound where candidates are looked for.
     """
     spark = docs.sparkSession
     rows = kept_table(_described(docs), "near-copies").where("n_words > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    nodes = cut(rows.groupBy("key").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n")))
+    nodes = cut(rows.groupBy("key").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n")))
     long = nodes.where(F.col("n_words") >= WORDS)
-    roots = components(fingerprint_links(long.select("fp").distinct(), distance))
-    grouped = long.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"), F.struct("first", "key").alias("place"))
+    grouped = long.join(_candidate_groups(long.select("fp", "fp2"), distance), "fp", "left").select("key", "fp", "fp2", F.coalesce("root", "fp").alias("root"), F.struct("first", "key").alias("place"))
     several = lambda pool: cut(pool.join(pool.groupBy("root").count().where("count > 1").select("root"), "root", "left_semi"))
     pool, gone, leaders = several(grouped), [], LEADERS
     if not pool.isEmpty():
@@ -404,8 +430,8 @@ def near_copies(docs: DataFrame, distance: int = WIDE) -> DataFrame:
         near = pool.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64)))
         near = near.withColumn("nth", F.row_number().over(Window.partitionBy("root", "part").orderBy("place"))).where(F.col("nth") <= leaders)
         first = near.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy("place"))).where(F.col("nth") <= leaders)
-        first = cut(first.select("root", F.col("key").alias("leader"), F.col("fp").alias("leader_fp"), F.col("place").alias("leader_place"), "nth"))
-        close = F.bit_count(F.col("fp").bitwiseXOR(F.col("leader_fp"))) <= distance
+        first = cut(first.select("root", F.col("key").alias("leader"), F.col("fp").alias("leader_fp"), F.col("fp2").alias("leader_fp2"), F.col("place").alias("leader_place"), "nth"))
+        close = F.least(*(F.bit_count(F.col(c).bitwiseXOR(F.col(f"leader_{c}"))) for c in ("fp", "fp2"))) <= distance
         pairs = pool.join(first, "root").where((F.col("leader_place") < F.col("place")) & close).select("root", "key", "leader", "nth")
         alike = cut(_alike(pairs, sets).select("root", "key", "leader", "nth"))
         # leaders in their order: one stays unless it is alike with one that stays
