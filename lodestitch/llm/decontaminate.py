@@ -5,12 +5,16 @@ shard's words are numbered by an exact dictionary of their bytes, and a suffix
 array over all its words is built by prefix doubling. The shards are stored
 once in the folder that all executors share: dictionary, word numbers, suffix
 array and the rows' keys. Every suffix of every benchmark item is then looked up
-in every shard: its words by the dictionary, its window by binary search, which
-gives all places where the window stands. Places along one diagonal are one
-longest verbatim match, with its location in the document and in the item.
-
-Benchmark items are searched in blocks of at most `block_bytes` of text (the
-driver holds two at a time). Hits of all blocks, be it one or many, are merged
+in every shard: a window is absent where one of its runs of GRAM words is not in
+the bit table of the shard's runs (codes of words do not depend on a shard, so
+the benchmark's are computed once). The others' words are found by the
+dictionary, their windows by binary search, which gives all places where the
+window stands. Places along one diagonal are one longest verbatim match, with
+its location in the document and in the item.
+
+Benchmark items are searched in blocks of at most `block_bytes` of text (or of
+one item), BLOCKS of them in one reading of the shards; the driver holds two
+blocks at a time, a worker BLOCKS. Hits of all blocks, be it one or many, are merged
 per row by the shard and the row's place in it, so that every input row gives one
 row, whatever ids repeat or are missing.
 
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,11 @@ from .tables import cut, kept_table, packed, small_batches, table, text_key
 
 WINDOW = 10
 #: Text of a shard; what is stored of it takes about twice that.
-SHARD_BYTES = 512 << 10
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
+#: Blocks that are searched in one reading of the shards, and the words of the runs that rule windows out.
+BLOCKS = 4
+GRAM = 3
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -60,6 +68,33 @@ def _tokens(numbers: np.ndarray, firsts: np.ndarray, vocabulary: int) -> np.ndar
     return out
 
 
+def _gram_codes(codes: np.ndarray) -> np.ndarray:
+    """A code of the GRAM words that begin at each place, but for the last ones."""
+    n = max(0, codes.size - GRAM + 1)
+    out = codes[:n]
+    for k in range(1, GRAM):
+        out = at.mixed(out * np.uint64(0x9E3779B97F4A7C15) + codes[k : n + k])
+    return out
+
+
+def _word_codes(words: pa.Array) -> np.ndarray:
+    data, offsets = at.text_bytes(words)
+    return at.span_codes(data, offsets[:-1], offsets[1:])
+
+
+class Grams:
+    """A bit table of a shard's runs of GRAM words, of at most 16 MB: what is not in it does not stand in the shard."""
+
+    def __init__(self, words: pa.Array, tokens: np.ndarray):
+        codes = np.concatenate([_word_codes(words), np.zeros(1, np.uint64)])  # all ends have the last code
+        self.shift = np.uint64(64 - min(24, max(16, int(8 * tokens.size).bit_length())))
+        self.there = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.there[_gram_codes(codes[np.minimum(tokens, len(words))]) >> self.shift] = True
+
+    def absent(self, grams: np.ndarray) -> np.ndarray:
+        return ~self.there[grams >> self.shift]
+
+
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
     """The places of all suffixes in their order, by prefix doubling: places whose order is settled are not sorted again."""
     n = tokens.size
@@ -122,23 +157,30 @@ class Suffixes:
         data, offsets = at.text_bytes(pa.array(texts, pa.string()))
         words, firsts = _words(data, offsets)
         coded = words.dictionary_encode()
-        self.words, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.words, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int32)
         n = np.diff(firsts)
         width = np.repeat(np.minimum(n, window), n)
         keep = np.arange(self.codes.size) + width <= np.repeat(firsts[1:], n)
-        self.at, self.width = np.flatnonzero(keep), width[keep]
-        self.item = np.repeat(np.arange(len(ids)), n)[keep]
-        self.first = np.repeat(firsts[:-1], n)[keep]
+        self.at, self.width = np.flatnonzero(keep).astype(np.int32), width[keep].astype(np.int32)
+        self.item = np.repeat(np.arange(len(ids), dtype=np.int32), n)[keep]
+        self.first = np.repeat(firsts[:-1].astype(np.int32), n)[keep]
+        self.grams = _gram_codes(_word_codes(self.words)[self.codes])
         self.ids = np.array(["" if x is None else str(x) for x in ids], dtype=object)
 
-    def occurrences(self, words: pa.Array, tokens: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def occurrences(self, words: pa.Array, tokens: np.ndarray, order: np.ndarray, grams: Grams | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Every place where a window's words stand in the shard: token place and window."""
         none = np.zeros(0, np.int64)
         if not tokens.size or not self.at.size:
             return none, none
+        # windows of which no run of words is ruled out; those shorter than a run hold none
+        absent = np.zeros(self.codes.size + 1, np.int32)
+        np.cumsum((grams or Grams(words, tokens)).absent(self.grams), out=absent[1 : self.grams.size + 1])
+        open_ = np.flatnonzero(absent[self.at + np.maximum(self.width - GRAM + 1, 0)] == absent[self.at])
+        if not open_.size:
+            return none, none
         number = pc.fill_null(pc.index_in(self.words, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)[self.codes]
         missing = np.concatenate([[0], np.cumsum(number < 0)])
-        asked = np.flatnonzero(missing[self.at + self.width] == missing[self.at])
+        asked = open_[missing[self.at[open_] + self.width[open_]] == missing[self.at[open_]]]
         low, high = self._range(tokens, order, number, asked)
         n = high - low
         window = np.repeat(asked, n)
@@ -186,19 +228,20 @@ _RANGE = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 _MATCH = pa.list_(pa.struct([("n_words", pa.int64()), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64())]))
 
 
-def _hits(sent):
-    """mapInArrow over shards: the rows that a block of the benchmark hits."""
+def _hits(sent: list):
+    """mapInArrow over shards: the rows that blocks of the benchmark hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
         for batch in batches:
             for n in range(batch.num_rows):
                 cell = lambda name: batch.column(batch.schema.get_field_index(name))[n].as_buffer()  # noqa: E731, B023
                 ends, raw = np.frombuffer(cell("word_ends"), np.int32), cell("words")
                 words = pa.Array.from_buffers(pa.binary(), ends.size - 1, [None, pa.py_buffer(ends), raw])
                 tokens, order = (np.frombuffer(cell(c), np.int32).astype(np.int64) for c in ("tokens", "suffixes"))
-                place, found = block.occurrences(words, tokens, order)
-                yield _merged(batch.column(0)[n].as_py(), tokens >= len(words), place, found, block)
+                grams = Grams(words, tokens)
+                for block in (b.value for b in sent):
+                    place, found = block.occurrences(words, tokens, order, grams)
+                    yield _merged(batch.column(0)[n].as_py(), tokens >= len(words), place, found, block)
 
     return run
 
@@ -233,9 +276,8 @@ def _merged(shard: str, is_end: np.ndarray, place: np.ndarray, found: np.ndarray
 
 def search(stored: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """shard, doc (the row's place in it), hit_words, item_ids and matches of the rows that are hit: a row for each block that hits."""
-    out = None
-    for ids, texts in _benchmark_blocks(benchmark, item_id, item_text, block_bytes):
-        sent = stored.sparkSession.sparkContext.broadcast(Suffixes(ids, texts, window))
+    out, blocks = None, _benchmark_blocks(benchmark, item_id, item_text, block_bytes)
+    while sent := [stored.sparkSession.sparkContext.broadcast(Suffixes(*block, window)) for block in islice(blocks, BLOCKS)]:
         found = stored.select("shard", "words", "word_ends", "tokens", "suffixes").mapInArrow(_hits(sent), _HITS)
         out = found if out is None else out.unionByName(found)
     return out

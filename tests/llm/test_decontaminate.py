@@ -119,3 +119,26 @@ def test_edges(spark):
     assert d.contamination(docs, nameless).first().item_ids == [""]
     with pytest.raises(ValueError):
         d.Suffixes([1], ["a"], 0)
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 4, 10])
+def test_runs_rule_out_only_what_is_absent(window):
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.choice([0, 1, 2, 3, 40, 90]))) for _ in range(30)]
+    items = [" ".join(rng.choice("abcde") for _ in range(rng.choice([0, 1, 2, 3, 9, 30]))) for _ in range(40)] + [texts[k][:41] for k in range(9)]
+    data, offsets = at.text_bytes(pa.array(texts))
+    coded, firsts = d._words(data, offsets)
+    coded = coded.dictionary_encode()
+    tokens = d._tokens(coded.indices.to_numpy().astype(np.int64), firsts, len(coded.dictionary))
+    block = d.Suffixes(list(range(len(items))), items, window)
+    place, found = block.occurrences(coded.dictionary, tokens, d.suffix_array(tokens))
+    got = sorted((int(p - firsts[t] - t), int(t), int(block.item[f]), int(block.at[f] - block.first[f])) for p, f, t in zip(place, found, np.searchsorted(firsts[1:] + np.arange(len(texts)), place)))
+    want = []
+    for t, w in enumerate(words(x) for x in texts):
+        for i, x in enumerate(words(y) for y in items):
+            n = min(window, len(x))
+            want += [(p, t, i, k) for k in range(len(x) - n + 1) for p in range(len(w) - n + 1) if n and w[p : p + n] == x[k : k + n]]
+    assert got == sorted(want) and want
+    table = d.Grams(coded.dictionary, tokens)
+    there = d._gram_codes(np.concatenate([d._word_codes(coded.dictionary), np.zeros(1, np.uint64)])[np.minimum(tokens, len(coded.dictionary))])
+    assert not table.absent(there).any() and table.absent(d._word_codes(pa.array([f"word {k}" for k in range(500)]))).mean() > 0.9
