@@ -55,6 +55,24 @@ def raw_records(raw: DataFrame, batch_id: str, ingested_at: str | None = None, p
     return told.select(key.alias("id"), "source_id", "batch_id", "content_type", jsonx.wrap_list("payload").alias("raw_data"), "file_path", "checksum", at.alias("ingested_at"))
 
 
+#: Bits of an id below which ranked() orders rows within a task; the parts above are counted.
+RANK_BITS = 20
+
+
+def ranked(raw: DataFrame) -> DataFrame:
+    """Raw records of numbered files with `rank`, their number in their file, from 0, in the order of their ids (which number rows of small files, and first bytes of large ones).
+
+    Ids are cut into parts of 2 ** RANK_BITS, so a sort holds a part at most, and
+    a running sum over one row a part tells how many rows come before it.
+    """
+    part = F.shiftright("id", RANK_BITS)
+    before = Window.partitionBy(F.shiftright("__part", SLOT_BITS - RANK_BITS)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = raw.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = counted.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = raw.withColumn("__part", part).withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy("id")) - 1)
+    return own.join(starts, "__part").withColumn("rank", F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
+
+
 def dealt(scan: DataFrame) -> DataFrame:
     """A scan's rows, dealt to all cores where it has fewer tasks than these: a file of one row group is one task, and mapping a payload costs far more than moving it. For scans alone, as other plans would run to be asked for their tasks."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
