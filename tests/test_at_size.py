@@ -22,3 +22,9 @@ def test_lines_of_large_files_have_numbers(spark, monkeypatch):
     rows = __spark_entry__.queries()["arrival_ids"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/events.parquet").count()
     assert all((r.line, r.source_id) == (r.event_id // 2, f"s{r.event_id % 2}") for r in rows)
+
+
+def test_entities_that_are_cut_off_stay(spark):
+    page = spark.createDataFrame([("<title>a&amp</title>b &amp; c&amp;lt; &#39;&notit; &lt",)], "html string")
+    row = page.select(text.html_title(F.col("html"), F.lit("u"), closed=True), text.html_text(F.col("html"), closed=True), text.html_title(F.col("html"), F.lit("u"))).first()
+    assert tuple(row) == ("a&amp", "a&amp b & c&lt; '&notit; &lt", "a&")
