@@ -73,7 +73,9 @@ def _shaped(staging: DataFrame, mapper: str, under: tuple[str, ...], *keys: str)
     else:
         parsed = parsed.withColumns({"top": jsonx.opened("doc"), "obj": F.col("doc")})
     shaped = parsed.withColumn(jsonx.OPENED, jsonx.opened("obj", *keys))
-    return shaped.withColumn("fine", F.col("top").isNotNull() & F.col(jsonx.OPENED).isNotNull())
+    shaped = shaped.withColumn("fine", F.col("top").isNotNull() & F.col(jsonx.OPENED).isNotNull())
+    # a generator of one row: a filter on an outcome is not pushed below it, where each mention of a field would parse the payload again
+    return shaped.select(*staging.columns, F.inline_outer(F.array(F.struct("doc", "top", "obj", jsonx.OPENED, "fine"))))
 
 
 def _mapped(df: DataFrame, mapper: str, join_key: Column, suspends: list[tuple[Column, Column | str, str, str, Column | str]], fails: list[tuple[Column, str]], **fields: Column) -> DataFrame:

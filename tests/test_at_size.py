@@ -28,3 +28,11 @@ def test_entities_that_are_cut_off_stay(spark):
     page = spark.createDataFrame([("<title>a&amp</title>b &amp; c&amp;lt; &#39;&notit; &lt",)], "html string")
     row = page.select(text.html_title(F.col("html"), F.lit("u"), closed=True), text.html_text(F.col("html"), closed=True), text.html_title(F.col("html"), F.lit("u"))).first()
     assert tuple(row) == ("a&amp", "a&amp b & c&lt; '&notit; &lt", "a&")
+
+
+@needs_tables
+@pytest.mark.parametrize("columns", [["id", "external_ids"], ["id", "occurred_at"]])
+def test_a_filter_on_the_outcome_parses_a_payload_once(spark, columns):
+    rows = mappers.entities(mappers.map_incidents(fixtures.incident_staging(spark, SF))).select(*columns)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
