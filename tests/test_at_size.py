@@ -53,7 +53,7 @@ def _files(rows):
     return len([f for f in rows.inputFiles() if f.endswith(".json")])
 
 
-@pytest.mark.parametrize("name, files", [("mixed_drop", 80)])
+@pytest.mark.parametrize("name, files", [("mixed_drop", 80), ("json_drop", 150)])
 def test_files_of_a_drop_are_bounded(spark, wide, name, files):
     suppliers = [r.s_suppkey for r in spark.read.parquet(f"{wide}/supplier.parquet").collect()]
     want = [s for s in suppliers if s % 3 < 2] + [0] if name == "mixed_drop" else [*suppliers, *(s for s in suppliers if s % 5 == 0)]
