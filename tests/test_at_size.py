@@ -59,3 +59,8 @@ def test_files_of_a_drop_are_bounded(spark, wide, name, files):
     want = [s for s in suppliers if s % 3 < 2] + [0] if name == "mixed_drop" else [*suppliers, *(s for s in suppliers if s % 5 == 0)]
     rows = __spark_entry__.queries()[name](spark, wide)
     assert rows.count() == len(want) and 20 < _files(rows) <= files
+
+
+def test_pages_of_datasets_hold_many_rows(spark, wide):
+    rows = __spark_entry__.queries()["dataset_rows"](spark, wide)
+    assert rows.distinct().count() == 25_000 and _files(rows) == 2 * 20
