@@ -53,10 +53,14 @@ def land_files(rows: DataFrame, key: str, value: Column, where: str, suffix: str
     _moved(rows.sparkSession, written, where, suffix)
 
 
-def land_list(rows: DataFrame, where: str) -> None:
-    """All rows (value) as the items of one list in one file, after a null."""
-    line = lambda x: rows.sparkSession.createDataFrame([(x,)], "value string").coalesce(1)
-    land_lines(line("[null").unionByName(rows.select(F.concat(F.lit(","), "value").alias("value"))).unionByName(line("]")).coalesce(1), where, ".json")
+def land_lists(rows: DataFrame, where: str) -> None:
+    """Rows (part, value) as the items of a list for each part, after a null; each is a file, written by one task."""
+    items = rows.select("part", F.lit(1).alias("at"), F.concat(F.lit(","), "value").alias("value"))
+    end = lambda n, x: rows.select("part").distinct().select("part", F.lit(n).alias("at"), F.lit(x).alias("value"))
+    written = scratch(rows.sparkSession, "written")
+    ordered = items.unionByName(end(0, "[null")).unionByName(end(2, "]")).repartition("part").sortWithinPartitions("part", "at")
+    ordered.select("part", "value").write.partitionBy("part").text(written)
+    _moved(rows.sparkSession, written, where, ".json")
 
 
 def land_csv(rows: DataFrame, where: str, **options: str | bool) -> None:

@@ -166,11 +166,12 @@ def stitched(found: DataFrame) -> DataFrame:
 def large_elements(spark: SparkSession, paths: list[str], options: dict, larger: int, key: str | None = None, error: str | None = None) -> tuple[DataFrame, DataFrame]:
     """h, position, doc (Variant) and shape (list, named or single) of all elements of the files of more than `larger` bytes; and h and error of the files that give none.
 
-    Two scans come first: one for the states, one for elements that cross blocks
-    and bad elements. Both leave a few rows a block.
+    Two scans come first: one for the states, and one that cuts the elements and
+    stores them, so that those that cross blocks and bad ones are known before any
+    is given.
     """
     state = bl.settled(states(bl.blocks(spark, paths, options, SEPARATOR, larger), key, error))
-    parts = parts_of(spark, paths, options, larger, state)
+    parts = kept_table(parts_of(spark, paths, options, larger, state), "parts")
     filled = F.col("text").rlike(r"\S")
     odd = kept_table(parts.where((F.col("kind") != WHOLE) | (filled & jsonx.parse("text").isNull())), "odd")
     joined = kept_table(stitched(odd).where(filled), "stitched")

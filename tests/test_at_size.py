@@ -1,5 +1,6 @@
 """What showed only on larger tables."""
 
+import json
 from pathlib import Path
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lodestitch.functions import text
 from lodestitch.operators import mappers, staging
-from lodestitch.plans import fixtures
+from lodestitch.plans import drops, fixtures
 from lodestitch.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,14 @@ def test_files_of_a_drop_are_bounded(spark, wide, name, files):
 def test_pages_of_datasets_hold_many_rows(spark, wide):
     rows = __spark_entry__.queries()["dataset_rows"](spark, wide)
     assert rows.distinct().count() == 25_000 and _files(rows) == 2 * 20
+
+
+def test_lists_are_landed_by_several_tasks(spark, wide, monkeypatch):
+    monkeypatch.setattr(readers, "WHOLE", 100_000)
+    rows = __spark_entry__.queries()["json_large_drop"](spark, wide)
+    assert rows.distinct().count() == rows.count() == 25_000
+    where = fixtures.table(spark, wide, "lineitem").select((F.col("l_orderkey") / 200_000).cast("int").alias("part"), F.to_json(F.struct("l_orderkey")).alias("value"))
+    root = drops.folder(spark, "lists")
+    drops.land_lists(where, root)
+    texts = [r.value for r in spark.read.text(root, wholetext=True).collect()]
+    assert len(texts) == 3 and sorted(len(json.loads(t)) for t in texts) == [5_001, 10_001, 10_001]
