@@ -64,6 +64,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(odd)}
 
 
+class Strings:
+    """Numbered byte strings, laid end to end so that many are joined at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.length = np.array([len(x) for x in strings], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.length[ids]
+        before = np.cumsum(size) - size
+        return self.flat[np.repeat(self.start[ids] - before, size) + np.arange(size.sum())]
+
+
 class Tokenizers:
     """Both tokenizers, the bytes of their tokens, and texts to ids."""
 
@@ -82,11 +96,11 @@ class Tokenizers:
             self.a_bytes[n] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(n) for n in range(self.n_b)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(pieces)]
-        self.a_length, self.b_length = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        self.a_joined, self.b_joined = Strings(self.a_bytes), Strings(self.b_bytes)
         #: No piece goes on over a blank, so that texts can be cut before one.
         self.divisible = not any("▁" in p.lstrip("▁") for p in pieces)
         # decimal ids with what follows them: "," within a side, "|" after A's last, ";" after B's last of a group
-        self.written = [f"{n},".encode() for n in range(self.n_a)] + [f"{n}|".encode() for n in range(self.n_a)] + [f"{n},".encode() for n in range(self.n_b)] + [f"{n};".encode() for n in range(self.n_b)]
+        self.written = Strings([f"{n},".encode() for n in range(self.n_a)] + [f"{n}|".encode() for n in range(self.n_a)] + [f"{n},".encode() for n in range(self.n_b)] + [f"{n};".encode() for n in range(self.n_b)])
 
     def chunks(self, text: str, size: int = CHUNK) -> list[str]:
         """The text without the blank before each chunk but the first; a blank goes before every chunk when it is read."""
@@ -96,12 +110,15 @@ class Tokenizers:
             start = place.end()
         return [*out, text[start:]]
 
-    def ids(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+    def ids(self, chunks: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
         """Ids by A and by B of each chunk, and whether both give the chunk's bytes back."""
         with_blank = [f" {c}" for c in chunks]
-        a = [x.ids for x in self.a.encode_batch_fast(with_blank, add_special_tokens=False)]
-        b = self.b.encode(chunks, num_threads=1)
-        same = [(raw := w.encode()) == b"".join(map(self.a_bytes.__getitem__, x)) and raw == b"".join(map(self.b_bytes.__getitem__, y)) for w, x, y in zip(with_blank, a, b)]
+        a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(with_blank, add_special_tokens=False)]
+        b = [np.array(x, np.int64) for x in self.b.encode(chunks, num_threads=1)]
+        same = []
+        for w, x, y in zip(with_blank, a, b):
+            raw = np.frombuffer(w.encode(), np.uint8)
+            same.append(all(own.length[ids].sum() == raw.size and np.array_equal(own.joined(ids), raw) for own, ids in ((self.a_joined, x), (self.b_joined, y))))
         return a, b, same
 
 
@@ -134,8 +151,8 @@ def overlaps(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
 
 
-def grouped_ids(t: Tokenizers, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[bytes]:
-    """Written ids in the order of groups, A's tokens of a group before B's; ends_a and ends_b are the groups' last tokens."""
+def grouped_ids(t: Tokenizers, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Numbers of the written ids in the order of groups, A's tokens of a group before B's; ends_a and ends_b are the groups' last tokens."""
     group_a, group_b = np.searchsorted(ends_a, np.arange(a.size)), np.searchsorted(ends_b, np.arange(b.size))
     before = np.concatenate([[0], ends_b + 1])[group_a]
     codes = np.empty(a.size + b.size, np.int64)
@@ -143,7 +160,7 @@ def grouped_ids(t: Tokenizers, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray,
     last_a[ends_a], last_b[ends_b] = t.n_a, t.n_b
     codes[np.arange(a.size) + before] = a + last_a
     codes[np.arange(b.size) + ends_a[group_b] + 1] = b + last_b + 2 * t.n_a
-    return list(map(t.written.__getitem__, codes.tolist()))
+    return codes
 
 
 @dataclass
@@ -181,18 +198,19 @@ def align_slab(t: Tokenizers, slab: list[tuple[Aligned, str]], piece: int = PIEC
     if not kept:
         return
     n_a, n_b = (np.array([len(x[k]) for x in kept]) for k in (1, 2))
-    a, b = (np.fromiter((n for x in kept for n in x[k]), np.int64) for k in (1, 2))
+    a, b = (np.concatenate([x[k] for x in kept]) for k in (1, 2))
     firsts_a, firsts_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
-    over_a, over_b, common_a, common_b = overlaps(np.cumsum(t.a_length[a]), np.cumsum(t.b_length[b]), piece)
+    over_a, over_b, common_a, common_b = overlaps(np.cumsum(t.a_joined.length[a]), np.cumsum(t.b_joined.length[b]), piece)
     written = grouped_ids(t, a, b, common_a, common_b)
     chunk = np.searchsorted(firsts_a, over_a, "right") - 1
     n_links, n_groups = np.bincount(chunk, minlength=len(kept)), np.diff(np.searchsorted(common_a, firsts_a))
     codes, n = np.unique(chunk * (t.n_a * t.n_b) + a[over_a] * t.n_b + b[over_b], return_counts=True)
     edges = np.searchsorted(codes, np.arange(len(kept) + 1) * (t.n_a * t.n_b))
-    places = firsts_a + firsts_b
+    places = np.append(0, np.cumsum(t.written.length[written]))[firsts_a + firsts_b]
+    groups = t.written.joined(written).tobytes()
     for k, (text, _, _) in enumerate(kept):
         own = slice(edges[k], edges[k + 1])
-        text.add(np.array([n_a[k], n_b[k], n_groups[k], n_links[k]]), b"".join(written[places[k] : places[k + 1]]), codes[own] - k * (t.n_a * t.n_b), n[own])
+        text.add(np.array([n_a[k], n_b[k], n_groups[k], n_links[k]]), groups[places[k] : places[k + 1]], codes[own] - k * (t.n_a * t.n_b), n[own])
 
 
 def align_texts(t: Tokenizers, texts: list[str | None], chunk: int = CHUNK, slab: int = SLAB, piece: int = PIECE) -> list[Aligned]:
@@ -268,13 +286,12 @@ def align(docs: DataFrame, tokenizers: str = TOKENIZERS, columns: list[str] | No
 
 def group_lists(t: Tokenizers, text: str) -> list[tuple[list[int], list[int]]]:
     """The groups of one text, as ids of A and of B: what groups_sha256 is a digest of."""
-    (ids_a,), (ids_b,), (good,) = t.ids([text]) if text else ([[]], [[]], [False])
+    (ids_a,), (ids_b,), (good,) = t.ids([text]) if text else ([None], [None], [False])
     if not good:
         return []
-    a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-    _, _, common_a, common_b = overlaps(np.cumsum(t.a_length[a]), np.cumsum(t.b_length[b]))
+    _, _, common_a, common_b = overlaps(np.cumsum(t.a_joined.length[ids_a]), np.cumsum(t.b_joined.length[ids_b]))
     edges = pairwise(zip(np.append(0, common_a + 1), np.append(0, common_b + 1)))
-    return [(ids_a[i:k], ids_b[j:l]) for (i, j), (k, l) in edges]
+    return [(ids_a[i:k].tolist(), ids_b[j:l].tolist()) for (i, j), (k, l) in edges]
 
 
 def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,16 @@ def test_rows_with_clashing_columns_nulls_and_a_long_text(spark, tokenizers):
     assert got[1].n_a == got[2].n_a == 2 and got[3].n_links == 0 and got[1].row.text == "a b" and got[2].row.pair is None
     assert got[4].n_links >= 180_000 and got[4].count_sum == sum(x.n for x in got[4].pairs)
     assert align.align(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_strings_are_joined_at_once():
+    strings = [b"", b"a", b"\xc3\xa4 b", b"12,"]
+    own = align.Strings(strings)
+    for ids in ([], [0], [3, 1, 0, 2, 2]):
+        assert own.joined(np.array(ids, np.int64)).tobytes() == b"".join(strings[n] for n in ids)
+
+
+def test_bytes_that_differ_at_the_same_length_are_told(tokenizers):
+    _, _, same = tokenizers.ids(["plain text", "ﬁ", "a b", "ends in blanks  "])
+    whole = [slow_alignment(tokenizers, x)[0] != [] for x in ["plain text", "ﬁ", "a b", "ends in blanks  "]]
+    assert same == whole and same[0]
