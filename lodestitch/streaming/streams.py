@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -16,6 +15,7 @@ from ..operators import staging
 #: 11 polls, 15 minutes apart: how long a record waits before it is given up.
 GIVE_UP_MINUTES = 165
 KEYS = ["required_entity_type", "required_key", "required_value"]
+TOLD = Row("staging_id", *KEYS, "status")
 
 
 def landing(spark: SparkSession, path: str, source_id: str) -> DataFrame:
@@ -47,10 +47,12 @@ def releases(waiting: DataFrame, arrivals: DataFrame, give_up: int = GIVE_UP_MIN
 
 
 class Release(StatefulProcessor):
-    """Of one part of a key: `first`, its first arrival; `waiting`, a state row for each record that waits; `due`, when the next of them expires.
+    """Of one part of a key: `told`, its first arrival and when the next record expires; `waiting`, a state row for each record that waits.
 
     Rows of a batch touch their own records only. All that wait are looked at when
     the first arrival changes, or once in a batch when the earliest of them is due.
+    Each call of the state is a message to the JVM, so `told` is read and written
+    once, and nothing is asked of `waiting` where `told` says that none waits.
     """
 
     def __init__(self, wait: int, remember: int | None):
@@ -58,79 +60,80 @@ class Release(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "at bigint")
-        self.due = handle.getValueState("due", "at bigint")
+        self.told = handle.getValueState("told", "first bigint, due bigint")
         self.waiting = handle.getMapState("waiting", "staging_id bigint", "at bigint")
 
-    def _told(self, key: tuple, done: list[tuple[int, str]]) -> pd.DataFrame:
-        texts = {**{k: [v] * len(done) for k, v in zip(KEYS, key)}, "status": [d[1] for d in done]}
-        return pd.DataFrame({"staging_id": pd.Series([d[0] for d in done], dtype="int64"), **{k: pd.Series(v, dtype=object) for k, v in texts.items()}})
-
-    def _settle(self, first: int | None, now: int) -> list[tuple[int, str]]:
-        """Records that can be told now leave the state; a timer is set for the earliest of the rest."""
-        done, least = [], None
-        for (staging_id,), (at,) in list(self.waiting.iterator()):
-            if first is not None and first <= at + self.wait:
-                done.append((staging_id, "released"))
-            elif at + self.wait < now:
-                done.append((staging_id, "expired"))
-            else:
-                least = at if least is None else min(least, at)
-                continue
-            self.waiting.removeKey((staging_id,))
-        self._due(least, now)
-        return done
-
-    def _due(self, least: int | None, now: int) -> None:
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-            self.due.clear()
-        if least is not None:
-            at = max(now // 1000 + 1, (least + self.wait) // 1000 + 1)
-            self.due.update((at,))
-            self.handle.registerTimer(at)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        now = max(0, timerValues.getCurrentWatermarkInMs()) * 1000
-        before = first = self.first.get()[0] if self.first.exists() else None
-        asked: list[tuple[int, int]] = []
-        for frame in rows:
-            own = frame["staging_id"].isna()
-            if own.any():
-                least = int(frame["micros"][own].min())
-                first = least if first is None else min(first, least)
-            asked += zip(frame["staging_id"][~own].astype("int64").tolist(), frame["micros"][~own].astype("int64").tolist())
+    def _split(self, records: list[tuple[int, int]], first: int | None, now: int) -> tuple[list[tuple[int, str]], list[tuple[int, int]]]:
+        """Records (staging_id, asked at) that can be told now, with their status, and those that wait."""
         done, kept = [], []
-        for staging_id, at in asked:
+        for staging_id, at in records:
             if first is not None and first <= at + self.wait:
                 done.append((staging_id, "released"))
             elif at + self.wait < now:
                 done.append((staging_id, "expired"))
             else:
                 kept.append((staging_id, at))
-        if first != before:
-            self.first.update((first,))
+        return done, kept
+
+    def _settle(self, first: int | None, now: int) -> tuple[list[tuple[int, str]], list[tuple[int, int]]]:
+        """_split of all that wait; what can be told leaves the state."""
+        done, kept = self._split([(staging_id, at) for (staging_id,), (at,) in self.waiting.iterator()], first, now)
+        if not kept:
+            self.waiting.clear()
+        else:
+            for staging_id, _ in done:
+                self.waiting.removeKey((staging_id,))
+        return done, kept
+
+    def _due(self, kept: list[tuple[int, int]], now: int) -> int | None:
+        return max(now // 1000 + 1, (min(at for _, at in kept) + self.wait) // 1000 + 1) if kept else None
+
+    def _store(self, before: tuple[int | None, int | None], first: int | None, due: int | None) -> None:
+        if due != before[1]:
+            # a timer that has to go may be one that forgets the first arrival too; then it comes and finds nothing due
+            if before[1] is not None and self.remember is None:
+                self.handle.deleteTimer(before[1])
+            if due is not None:
+                self.handle.registerTimer(due)
+        if first is None and due is None:
+            if before != (None, None):
+                self.told.clear()
+        elif (first, due) != before:
+            self.told.update((first, due))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        now = max(0, timerValues.getCurrentWatermarkInMs()) * 1000
+        before = first, due = tuple(self.told.get() or (None, None))
+        asked: list[tuple[int, int]] = []
+        for row in rows:
+            if row.staging_id is not None:
+                asked.append((row.staging_id, row.micros))
+            elif first is None or row.micros < first:
+                first = row.micros
+        done, kept = self._split(asked, first, now)
+        if first != before[0]:
             if self.remember is not None:
                 self.handle.registerTimer(max(now // 1000 + 1, (first + self.remember) // 1000 + 1))
-            done += self._settle(first, now)
+            if due is not None:
+                told, still = self._settle(first, now)
+                done += told
+                due = self._due(still, now)
         for staging_id, at in kept:
             self.waiting.updateValue((staging_id,), (at,))
-        if kept:
-            due = (min(at for _, at in kept) + self.wait) // 1000 + 1
-            if not self.due.exists() or due < self.due.get()[0]:
-                self._due(min(at for _, at in kept), now)
-        yield self._told(key, done)
+        self._store(before, first, min((x for x in (due, self._due(kept, now)) if x is not None), default=None))
+        return (TOLD(staging_id, *key[:3], status) for staging_id, status in done)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        first = self.first.get()[0] if self.first.exists() else None
+        before = first, due = tuple(self.told.get() or (None, None))
         done = []
-        if self.due.exists() and self.due.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.due.clear()
-            done = self._settle(first, now)
+        if due is not None and due <= expiredTimerInfo.getExpiryTimeInMs():
+            done, kept = self._settle(first, now)
+            due = self._due(kept, now)
         if self.remember is not None and first is not None and first + self.remember < now:
-            self.first.clear()
-        yield self._told(key, done)
+            first = None
+        self._store(before, first, due)
+        return (TOLD(staging_id, *key[:3], status) for staging_id, status in done)
 
 
 def release_stream(waiting: DataFrame, arrivals: DataFrame, give_up: int = GIVE_UP_MINUTES, lateness: str = "15 minutes", salts: int = 8, remember: int | None = None) -> DataFrame:
@@ -151,7 +154,7 @@ def release_stream(waiting: DataFrame, arrivals: DataFrame, give_up: int = GIVE_
     both = asked.unionByName(seen).withWatermark("at", lateness).withColumn("micros", F.unix_micros("at"))
     out = "staging_id bigint, required_entity_type string, required_key string, required_value string, status string"
     minute = 60_000_000
-    return both.groupBy(*KEYS, "part").transformWithStateInPandas(Release(give_up * minute, None if remember is None else remember * minute), out, "append", "EventTime")
+    return both.groupBy(*KEYS, "part").transformWithState(Release(give_up * minute, None if remember is None else remember * minute), out, "append", "EventTime")
 
 
 def start_release(found: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

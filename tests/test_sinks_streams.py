@@ -1,4 +1,5 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,48 @@ def test_a_pass_reads_what_is_new(spark, tmp_path):
     files = {b.rsplit("=", 1)[1] for b in run._read("waiting_deps", 6, 8).inputFiles() for b in [b.rsplit("/", 1)[0]]}
     assert files == {"6", "7", "8"}, "older dependencies are not read"
     assert run.state(8).where("status = 'resolved'").count() == 8 * 25
+
+
+def test_release_asks_the_state_little():
+    class Handle:
+        """A state of dicts that counts its calls."""
+
+        def __init__(self):
+            self.calls, self.value, self.map, self.timers = [], {}, {}, set()
+
+        def getValueState(self, name, schema):
+            return SimpleNamespace(get=lambda: self.note("get") or self.value.get(name), update=lambda v: self.note("update") or self.value.update({name: v}), clear=lambda: self.note("clear") or self.value.pop(name, None))
+
+        def getMapState(self, name, key_schema, schema):
+            return SimpleNamespace(
+                updateValue=lambda k, v: self.note("put") or self.map.update({k: v}), iterator=lambda: self.note("iterator") or iter(list(self.map.items())), removeKey=lambda k: self.note("remove") or self.map.pop(k), clear=lambda: self.note("clear map") or self.map.clear()
+            )
+
+        def registerTimer(self, at):
+            self.note("timer")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.note("no timer")
+            self.timers.discard(at)
+
+        def note(self, call):
+            self.calls.append(call)
+
+    row = lambda staging_id, micros: SimpleNamespace(staging_id=staging_id, micros=micros)
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    handle, release = Handle(), streams.Release(60_000_000, None)
+    release.init(handle)
+    key = ("o", "b", "A", 0)
+    told = lambda rows: [(r.staging_id, r.status) for r in rows]
+    # an arrival alone, and what asks after it: nothing waits, so nothing is asked of what waits
+    assert told(release.handleInputRows(key, iter([row(None, 5), row(1, 10), row(2, 11)]), clock(0))) == [(1, "released"), (2, "released")]
+    assert handle.calls == ["get", "update"]
+    handle, release = Handle(), streams.Release(60_000_000, None)
+    release.init(handle)
+    assert told(release.handleInputRows(key, iter([row(n, n) for n in range(100)]), clock(0))) == []
+    assert handle.calls == ["get", *["put"] * 100, "timer", "update"] and handle.timers == {60_001}
+    handle.calls.clear()
+    expired = SimpleNamespace(getExpiryTimeInMs=lambda: 60_001)
+    assert told(release.handleExpiredTimer(key, clock(70_000), expired)) == [(n, "expired") for n in range(100)]
+    assert handle.calls[:3] == ["get", "iterator", "clear map"] and len(handle.calls) <= 5 and not handle.map and not handle.value
