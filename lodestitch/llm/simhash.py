@@ -50,6 +50,8 @@ PARTS = 4
 #: Different fingerprints that one bucket compares with each other.
 BUCKET = 4_096
 FEW = 12
+#: Keys of large buckets that may be broadcast, some 32 MB; beyond, a shuffled join takes their place.
+BROADCAST_ROWS = 1_000_000
 PIECE_BYTES = 1 << 20
 _HASH = xxhash.xxh64_digest
 
@@ -200,8 +202,9 @@ def plan_partitions(nodes: DataFrame, distance: int = DISTANCE, parts: int = PAR
 
 
 def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """key, used (mask of the bits in the key) and fp: one row for each partition, and each neighbour within its radius."""
-    rows = []
+    """key, used (mask of the bits in the key) and fp: one row for each partition, and each neighbour within its radius; all of them in one reading of the nodes."""
+    key_of = lambda i, used: lambda flip: F.struct(F.xxhash64(F.lit(i), F.col(f"value_{i}").bitwiseXOR(flip)).alias("key"), used.alias("used"))
+    values, keys = {}, []
     for i, (bits, most) in enumerate(plan):
         if most < 0:
             continue
@@ -210,14 +213,10 @@ def _keys(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
         for _ in range(radius):
             flips = sorted({f ^ (1 << k) for f in flips for k in range(len(bits))} | set(flips))
         used = used - (1 << 64) if used >> 63 else used
-        valued = nodes.select(_value(bits).alias("value"), "fp")
-        values = F.explode(F.array(*[F.col("value").bitwiseXOR(F.lit(f).cast("bigint")) for f in flips])).alias("value")
         # a neighbour's key fixes no bit of the record itself
-        rows.append(valued.select(values, "fp").select(F.xxhash64(F.lit(i), "value").alias("key"), F.lit(used if radius == 0 else 0).cast("bigint").alias("used"), "fp"))
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+        values[f"value_{i}"] = _value(bits)
+        keys.append(F.transform(F.array(*[F.lit(f).cast("bigint") for f in flips]), key_of(i, F.lit(used if radius == 0 else 0).cast("bigint"))))
+    return nodes.withColumns(values).select(F.explode(F.concat(*keys)).alias("x"), "fp").select("x.key", "x.used", "fp")
 
 
 def _refined(rows: DataFrame, distance: int) -> DataFrame:
@@ -299,9 +298,11 @@ def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, parts: int = P
     while True:
         sizes = rows.groupBy("key").count().where(F.col("count") > bucket)
         sizes = cut(sizes) if free > FEW else None
-        if sizes is None or sizes.isEmpty():
+        large = sizes.count() if sizes is not None else 0
+        if not large:
             found = _bucket_links(rows, distance)
             return found if out is None else out.unionByName(found)
+        sizes = F.broadcast(sizes) if large <= BROADCAST_ROWS else sizes
         found = _bucket_links(rows.join(sizes, "key", "left_anti"), distance)
         out = found if out is None else out.unionByName(found)
         if distance >= parts:
@@ -395,8 +396,9 @@ def _candidate_groups(texts: DataFrame, distance: int) -> DataFrame:
     second one has a link or is that of other texts.
     """
     other = lambda c: F.xxhash64(F.lit("second"), c)
-    first = fingerprint_links(texts.select("fp").distinct(), distance)
-    second = cut(fingerprint_links(texts.select(F.col("fp2").alias("fp")).distinct(), distance))
+    # each step has a small plan of its own: the driver holds, and tells anew with each stage, the whole plan of a job
+    first = cut(fingerprint_links(cut(texts.select("fp").distinct()), distance))
+    second = cut(fingerprint_links(cut(texts.select(F.col("fp2").alias("fp")).distinct()), distance))
     shared = texts.groupBy("fp2").agg((F.min("fp") != F.max("fp")).alias("several")).where("several").select("fp2")
     tied = second.select(F.col("u").alias("fp2")).unionByName(second.select(F.col("v").alias("fp2"))).unionByName(shared).distinct()
     ties = texts.join(tied, "fp2", "left_semi").select(F.col("fp").alias("u"), other("fp2").alias("v"))

@@ -181,3 +181,19 @@ def test_our_own_names_do_not_clash(spark):
     docs = spark.createDataFrame([(1, text, 4, 5, 6), (2, text, 7, 8, 9)], "doc_id bigint, text string, __id int, row int, gone int")
     assert [tuple(r) for r in simhash.dedup_near_copies(docs).collect()] == [(1, text, 4, 5, 6)]
     assert [tuple(r) for r in simhash.dedup_documents(docs).collect()] == [(1, text, 4, 5, 6)]
+
+
+def test_keys_are_made_in_one_reading_of_the_fingerprints(spark):
+    prints = [0, 5, 2**63 - 1, 256 - 2**63]
+    nodes = spark.createDataFrame([(f,) for f in prints], "fp bigint")
+    plan = [(list(range(16 * i, 16 * i + 16)), t) for i, t in enumerate((2, 1, 0, -1))]
+    keys = simhash._keys(nodes, plan)
+    assert "Union" not in keys._jdf.queryExecution().toString()
+    got = keys.collect()
+    assert len(got) == len({(r.key, r.fp) for r in got}) == len(prints) * (17 + 17 + 1)
+    assert {r.used for r in got} == {0, 0xFFFF << 32}
+    # a key is that of a part's value, and each row has those of all neighbours
+    by = {}
+    for r in got:
+        by.setdefault(r.key, set()).add(r.fp)
+    assert {frozenset(v) for v in by.values() if len(v) > 1} >= {frozenset({0, 5})}
