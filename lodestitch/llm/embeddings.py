@@ -22,10 +22,13 @@ PARTS looked-up numbers. It can be off by the code's own error, so what is beyon
 r plus that error is no link, and the rest is ranked again by exact cosine. No
 link is lost by codes; recall against brute force is 1 (a test).
 
-Skew: lists of many vectors are dealt to blocks of MEMBERS vectors, their probes
-to blocks of QUERIES, and each task takes one block of both: memory is bounded,
-whatever a list holds. A task emits counts and a spanning forest of its links,
-never all pairs; components come from alternating stars.
+Blocks: vectors in the order of their lists are dealt to blocks of bounded size (a
+list of many vectors to several), and each task takes one pair of blocks of which
+one probes a list of the other: a vector is sent once for each such pair, not once
+for each list that it probes. In a task, queries and members are compared a bounded
+number of pairs at a time, so memory does not grow with the lists, their number or
+the links. A task emits counts and a spanning forest of its links, never all pairs;
+components come from alternating stars.
 
 Rows: vectors that are null, empty or zero, or hold null, NaN or infinite
 components link with nothing; vectors of other lengths than most of the sample
@@ -51,7 +54,9 @@ SAMPLE = 16_384
 #: Centroids of a coarse list each so many classes, between the least and the most number of lists.
 PER_LIST, LEAST_LISTS, MOST_LISTS = 1_024, 8, 1_024
 PARTS, CODES, ROUNDS = 8, 256, 8
-MEMBERS, QUERIES = 2_048, 2_048
+#: A block holds MEMBERS vectors at least, else 1 / BLOCKS of all, of COMPONENTS numbers in all at most; QUERIES are compared at a time, with as many members as give PAIRS.
+MEMBERS, BLOCKS, COMPONENTS = 1_024, 16, 1 << 20
+QUERIES, PAIRS = 2_048, 1 << 19
 #: More than the rounding of float tables, of squared distances between unit vectors.
 SLACK = 1e-4
 
@@ -110,10 +115,14 @@ class Index:
 
     def near(self, x: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (member, query) of a list that can be within the radius, by table look-up."""
-        total = np.zeros((len(codes), len(x)), np.float32)
-        for k, own in enumerate(self.tables(x, at)):
-            total += own[codes[:, k]]
-        return np.nonzero(total <= ((radius + error) ** 2 + SLACK).astype(np.float32)[:, None])
+        return looked_up(self.tables(x, at), codes, error, radius)
+
+
+def looked_up(tables: list[np.ndarray], codes: np.ndarray, error: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    total = np.zeros((len(codes), tables[0].shape[1]), np.float32)
+    for k, own in enumerate(tables):
+        total += own[codes[:, k]]
+    return np.nonzero(total <= ((radius + error) ** 2 + SLACK).astype(np.float32)[:, None])
 
 
 def unit_vectors(column: pa.Array, length: int) -> np.ndarray:
@@ -125,7 +134,8 @@ def unit_vectors(column: pa.Array, length: int) -> np.ndarray:
 
 def classes(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """key, h1, h2, vector, length, id (the least) and n of each different vector that can link, stored."""
-    x = F.col(vector).cast("array<double>")
+    floats = vectors.schema[vector].dataType.simpleString() == "array<float>"
+    x = F.col(vector) if floats else F.col(vector).cast("array<double>")
     usable = F.exists(x, lambda v: v != 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     told = vectors.select(F.col(vec_id).alias("id"), x.alias("vector")).where(F.coalesce(usable, F.lit(False))).select("id", "vector", *_hashes("vector"))
     one = told.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
@@ -134,7 +144,8 @@ def classes(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id
 
 def _hashes(vector: str) -> list:
     """128 bits that stand for a vector."""
-    return [F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit("vector"), vector).alias("h2")]
+    x = F.col(vector).cast("array<double>")
+    return [F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("vector"), x).alias("h2")]
 
 
 def fit(nodes: DataFrame, length: int, n: int, sample: int = SAMPLE) -> Index:
@@ -144,91 +155,113 @@ def fit(nodes: DataFrame, length: int, n: int, sample: int = SAMPLE) -> Index:
     return Index(unit_vectors(rows.column(0).combine_chunks(), length), lists)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of pairs that connect all that the pairs connect."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = up = parent[up]
-            x = up
-        return x
-
-    kept = []
-    for k, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
-        if (u := root(u)) != (v := root(v)):
-            parent[u] = v
-            kept.append(k)
-    return kept
+class Forest:
+    """Joins nodes 0 to n - 1 by links, some at a time."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Positions of links that connect all that the links connect, of which no root was connected before."""
+        kept, at = [np.zeros(0, np.int64)], np.arange(len(u))
+        while True:
+            a, b = self.root[u[at]], self.root[v[at]]
+            open_ = a != b
+            if not open_.any():
+                return np.concatenate(kept)
+            at, a, b = at[open_], a[open_], b[open_]
+            # each root but the least of its neighbours is hung below its least neighbour
+            pairs, first = np.unique(np.maximum(a, b) * len(self.root) + np.minimum(a, b), return_index=True)
+            high, least = np.unique(pairs // len(self.root), return_index=True)
+            kept.append(at[first[least]])
+            up = np.arange(len(self.root))
+            up[high] = pairs[least] % len(self.root)
+            while (up[up] != up).any():
+                up = up[up]
+            self.root = up[self.root]
+
+
+def compare(rows: pa.Table, index: Index, length: int, cosine: float, radius: float) -> pa.Table:
+    """u, v and n (see _links_of_length) of the rows of a pair of blocks."""
+    x = unit_vectors(rows.column("vector").combine_chunks(), length)
+    key, n, home, error, block = (rows.column(c).to_numpy() for c in ("key", "n", "home", "error", "block"))
+    codes, bits = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(len(x), -1) for c in ("code", "bits"))
+    probes = np.unpackbits(bits, 1, len(index.centres)).view(bool)
+    low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+    found, forest, kept = np.zeros(len(x), np.int64), Forest(len(x)), []
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Members and the queries that can be near."""
+        for ours, theirs in {(low, high), (high, low)}:
+            for at in np.unique(home[block == ours]).tolist():
+                members, queries = np.flatnonzero((block == ours) & (home == at)), np.flatnonzero((block == theirs) & probes[:, at])
+                for q in (queries[k : k + QUERIES] for k in range(0, len(queries), QUERIES)):
+                    tables, step = index.tables(x[q], at), max(1, PAIRS // len(q))
+                    for m in (members[k : k + step] for k in range(0, len(members), step)):
+                        j, i = looked_up(tables, codes[m], error[m], radius)
+                        yield m[j], q[i]
+
+    step = max(1, COMPONENTS // length)
+    for j, i in ((j[k : k + step], i[k : k + step]) for j, i in pairs() for k in range(0, len(j), step)):
+        near = (j != i) & ((x[i] * x[j]).sum(1) >= cosine)
+        j, i = j[near], i[near]
+        np.add.at(found, i, n[j])
+        # a member that probes the query's home counts the link there
+        own = probes[j, home[i]]
+        np.add.at(found, j[~own], n[i[~own]])
+        some = forest.add(i, j)
+        kept.append((key[i[some]], key[j[some]]))
+    u, v = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*kept) if kept else ((), ())))
+    some = found > 0
+    counted = [key[some], np.full(some.sum(), -1), found[some]]
+    u, v, n = (np.concatenate(c).astype(np.int64) for c in zip(counted, (u, v, np.zeros(len(u), np.int64))))
+    return pa.table({"u": u, "v": pa.array(v, mask=v < 0), "n": n})
 
 
 def _links_of_length(nodes: DataFrame, length: int, n: int, cosine: float, reach: float) -> DataFrame:
     """u, v and n of classes of one length: n copies of others that u links to (v null), or a link of a spanning forest (n 0)."""
     spark = nodes.sparkSession
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    sent = spark.sparkContext.broadcast(fit(nodes, length, n))
-    most = reach * radius / 2 + SLACK
+    index = fit(nodes, length, n)
+    sent = spark.sparkContext.broadcast(index)
+    n_lists, most = len(index.centres), reach * radius / 2 + SLACK
+    vector = nodes.schema["vector"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        index, step = sent.value, max(1, PAIRS // n_lists)
+        for batch in (batch.slice(k, step) for batch in batches for k in range(0, batch.num_rows, step)):
             x = unit_vectors(batch.column(1), length)
             home, gap = index.to_planes(x)
             codes, error = index.code(x, home)
             probes = gap <= most
             probes[np.arange(len(x)), home] = True
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(probes.sum(1))), pa.int32()), pa.array(np.nonzero(probes)[1], pa.int32()))
-            told = [batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), lists]
-            yield pa.RecordBatch.from_arrays(told, names=["key", "vector", "n", "home", "code", "error", "probes"])
-
-    coded = kept_table(nodes.select("key", "vector", "n").mapInArrow(place, "key bigint, vector array<double>, n bigint, home int, code binary, error double, probes array<int>"), "codes")
-    # a row for each list, some MOST_LISTS of them
-    held = coded.groupBy("home").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("home", "list")
-    asked = coded.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("queries"))
-    blocks = held.join(asked, "list").select("list", F.ceil(F.col("members") / MEMBERS).cast("int").alias("m"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("q"))
-    blocks = F.broadcast(kept_table(blocks, "blocks"))
-
-    def dealt(own: str, other: str):
-        """A row's block of its own kind by its key, with each block of the other kind."""
-        return F.pmod(F.xxhash64("key"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-
-    mine, every = dealt("m", "q")
-    members = coded.withColumn("list", F.col("home")).join(blocks, "list").select("key", "vector", "n", "home", "code", "error", "list", mine.alias("mb"), every.alias("qb"))
-    mine, every = dealt("q", "m")
-    null = F.lit(None)
-    queries = coded.withColumn("list", F.explode("probes")).join(blocks, "list").select("key", "vector", "n", "home", null.cast("binary").alias("code"), null.cast("double").alias("error"), "list", every.alias("mb"), mine.alias("qb"))
-
-    def compare(rows: pa.Table) -> pa.Table:
-        index, at = sent.value, rows.column("list")[0].as_py()
-        member = rows.column("code").is_valid()
-        ours, theirs = rows.filter(member).combine_chunks(), rows.filter(pa.compute.invert(member)).combine_chunks()
-        out_u, out_v, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if ours.num_rows and theirs.num_rows:
-            x, y = (unit_vectors(t.column("vector").combine_chunks(), length) for t in (theirs, ours))
-            key_x, key_y = (t.column("key").to_numpy() for t in (theirs, ours))
-            n_x, n_y = (t.column("n").to_numpy() for t in (theirs, ours))
-            home_x = theirs.column("home").to_numpy()
-            codes = np.frombuffer(b"".join(ours.column("code").to_pylist()), np.uint8).reshape(ours.num_rows, -1)
-            j, i = index.near(x, at, codes, ours.column("error").to_numpy(), radius)
-            apart = key_y[j] != key_x[i]
-            j, i = j[apart], i[apart]
-            linked = np.concatenate([(x[i[k : k + 65_536]] * y[j[k : k + 65_536]]).sum(1) >= cosine for k in range(0, len(i), 65_536)] or [np.zeros(0, bool)])
-            j, i = j[linked], i[linked]
-            # a member that probes the query's home itself counts the link there
-            back = np.take_along_axis(index.to_planes(y)[1][j], home_x[i][:, None], 1)[:, 0] <= most if len(j) else np.zeros(0, bool)
-            own = back | (home_x[i] == at)
-            found_x = np.bincount(i, n_y[j], len(x)).astype(np.int64)
-            found_y = np.bincount(j[~own], n_x[i[~own]], len(y)).astype(np.int64)
-            forest = _forest(key_x[i], key_y[j])
-            out_u += [key_x[found_x > 0], key_y[found_y > 0], key_x[i[forest]]]
-            out_v += [np.full((found_x > 0).sum() + (found_y > 0).sum(), -1), key_y[j[forest]]]
-            out_n += [found_x[found_x > 0], found_y[found_y > 0], np.zeros(len(forest), np.int64)]
-        u, v, n = (np.concatenate(c).astype(np.int64) for c in (out_u, out_v, out_n))
-        return pa.table({"u": u, "v": pa.array(v, mask=v < 0), "n": n})
-
-    return members.unionByName(queries).groupBy("list", "mb", "qb").applyInArrow(compare, "u bigint, v bigint, n bigint")
+            bits, codes = (pa.array([c.tobytes() for c in a], pa.binary()) for a in (np.packbits(probes, 1), codes))
+            told = [batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int32()), codes, pa.array(error), bits, lists]
+            yield pa.RecordBatch.from_arrays(told, names=["key", "vector", "n", "home", "code", "error", "bits", "probes"])
+
+    coded = kept_table(nodes.select("key", "vector", "n").mapInArrow(place, f"key bigint, vector {vector}, n bigint, home int, code binary, error double, bits binary, probes array<int>"), "codes")
+    dealt = _in_blocks(coded, n_lists, max(MEMBERS, min(n // BLOCKS, COMPONENTS // length)))
+
+    return dealt.groupBy("low", "high").applyInArrow(lambda rows: compare(rows, sent.value, length, cosine, radius), "u bigint, v bigint, n bigint")
+
+
+def _in_blocks(coded: DataFrame, n_lists: int, size: int) -> DataFrame:
+    """The rows with their block of some `size` rows, once for each pair (low, high) of it and a block that it probes or that probes its list."""
+    held = dict(map(tuple, coded.groupBy("home").count().collect()))  # a row for each list, MOST_LISTS at most
+    counts = [held.get(k, 0) for k in range(n_lists)]
+    starts = np.cumsum([0, *counts])[:-1].tolist()
+    # a row's place in its list by its hash, of so many places
+    grain = 1 << 20
+    lasts = [(s * grain + c * (grain - 1)) // (size * grain) for s, c in zip(starts, counts)]
+    spans = coded.sparkSession.createDataFrame([(counts, starts, [s // size for s in starts], lasts)], "counts array<bigint>, starts array<bigint>, firsts array<bigint>, lasts array<bigint>")
+    at = F.get("starts", F.col("home")) * grain + F.get("counts", F.col("home")) * F.pmod(F.xxhash64("key"), F.lit(grain))
+    placed = coded.crossJoin(F.broadcast(spans)).withColumn("at", at).withColumn("block", F.expr(f"at div {size * grain}"))
+    asked = placed.select("block", F.explode("probes").alias("home")).groupBy("home").agg(F.collect_set("block").alias("askers"))
+    probed = F.flatten(F.transform("probes", lambda k: F.when(F.get("counts", k) > 0, F.sequence(F.get("firsts", k), F.get("lasts", k))).otherwise(F.array().cast("array<bigint>"))))
+    other = F.explode(F.array_union(probed, "askers")).alias("other")
+    met = placed.join(F.broadcast(kept_table(asked, "askers")), "home").select("key", "vector", "n", "home", "code", "error", "bits", "block", other)
+    return met.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).drop("other")
 
 
 def linked(nodes: DataFrame, cosine: float = COSINE, reach: float = 1.0) -> DataFrame:

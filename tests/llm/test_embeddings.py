@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestitch.llm import embeddings as em
@@ -111,3 +113,38 @@ def test_recall(spark, reach, monkeypatch):
     want = sum(r[1] for r in slow(rows))
     got = sum(r.n_links for r in em.near_vectors(spark.createDataFrame(rows, ROWS), reach=reach).collect())
     assert got == want if reach == 1 else 0.9 * want <= got <= want
+
+
+def test_many_links_in_many_lists_take_bounded_memory():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 16))
+    index = em.Index(x / np.linalg.norm(x, axis=1)[:, None], 200)
+    hot = x[0] + rng.normal(size=(2_000, 16)) * 0.05
+    unit = hot / np.linalg.norm(hot, axis=1)[:, None]
+    home, gap = index.to_planes(unit)
+    codes, error = index.code(unit, home)
+    radius = np.sqrt(2 - 2 * em.COSINE)
+    probes = (gap <= radius / 2 + em.SLACK) | (np.arange(200) == home[:, None])
+    n = len(hot)
+    rows = {"key": np.arange(n), "vector": hot.tolist(), "n": np.ones(n, np.int64), "home": home, "error": error, "code": [c.tobytes() for c in codes], "bits": [b.tobytes() for b in np.packbits(probes, 1)], "block": np.zeros(n, np.int64), "low": np.zeros(n, np.int64), "high": np.zeros(n, np.int64)}
+    rows = pa.table(rows)
+    tracemalloc.start()
+    got = em.compare(rows, index, 16, em.COSINE, radius)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = (unit @ unit.T >= em.COSINE).sum(1) - 1
+    assert want.sum() > 3_000_000 and peak < 100e6, "a number for each link and list were over 4 GB"
+    found = dict(zip(got["u"].to_pylist(), got["n"].to_pylist())) | {u: m for u, v, m in zip(*(got[c].to_pylist() for c in "uvn")) if v is None}
+    assert [found.get(k, 0) for k in range(n)] == want.tolist() and sum(v is not None for v in got["v"].to_pylist()) == n - 1
+
+
+def test_a_vector_is_sent_once_for_each_pair_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(em, "PER_LIST", 10)
+    sent = []
+    blocks = em._in_blocks
+    monkeypatch.setattr(em, "_in_blocks", lambda coded, lists, size: sent.append((coded.selectExpr("sum(size(probes))").first()[0], blocks(coded, lists, 80).cache())) or sent[-1][1])
+    rows = [(k, np.float32(v).tolist(), 0) for k, v in enumerate(np.random.default_rng(4).normal(size=(640, 32)))]
+    em.near_vectors(spark.createDataFrame(rows, ROWS), cosine=0.6).count()
+    (probes, dealt), = sent
+    assert dealt.count() == dealt.select("key", "low", "high").distinct().count() <= 640 * 9 < probes
+    assert dealt.groupBy("low", "high").count().agg({"count": "max"}).first()[0] < 250
