@@ -39,12 +39,20 @@ def listing(spark: SparkSession, paths: list[str], options: dict) -> DataFrame:
     return files.select(meta.file_path.alias("file"), file_key(meta.file_path).alias("h"), meta.file_size.alias("length"), meta.file_modification_time.alias("changed"))
 
 
-def blocks(spark: SparkSession, paths: list[str], options: dict, separator: str, larger: int, size: int | None = None) -> DataFrame:
-    """h, start, seq and raw of all files of more than `larger` bytes; the separator after a block's last piece is left out."""
+def blocks(spark: SparkSession, paths: list[str], options: dict, separator: str, larger: int, size: int | None = None, longest: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """h, start, seq and raw of all files of more than `larger` bytes; the separator after a block's last piece is left out.
+
+    longest: pieces of so many bytes and more are missing or cut, so that a file
+    with one has fewer bytes in blocks than in all. only: the files' h.
+    """
     size = size or BLOCK
     meta, sep = F.col("_metadata"), pa.scalar(separator.encode(), pa.binary())
+    if longest:
+        options = {**options, "mapreduce.input.linerecordreader.line.maxlength": str(longest)}
     pieces = spark.read.options(**options).text(paths, lineSep=separator).where(meta.file_size > larger)
     pieces = pieces.select(file_key(meta.file_path).alias("h"), meta.file_block_start.alias("start"), F.col("value").cast("binary").alias("value"))
+    if only is not None:
+        pieces = pieces.join(F.broadcast(only), "h", "left_semi")  # no shuffle: pieces stay in order
 
     def gather(batches: Batches) -> Batches:
         key, seq, held, n = None, 0, [], 0

@@ -146,7 +146,7 @@ class Files:
             pairs = [F.lit(x) for kv in extra.items() for x in kv]
             return rows.withColumns({"source_id": F.lit(source), "adapter": F.lit(adapter), "extra": (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")})
         places = self.spark.createDataFrame([(f, *k) for f, k in zip(self.folders, known)], "folder string, source_id string, adapter string, extra map<string,string>")
-        rows = rows.withColumn("folder", _same(F.regexp_replace("file", r"/[^/]*$", "")))
+        rows = rows if "folder" in rows.columns else rows.withColumn("folder", _folder(F.col("file")))
         return rows.join(F.broadcast(places.withColumn("folder", _same(F.col("folder")))), "folder").drop("folder")
 
     def csv(self) -> DataFrame:
@@ -166,22 +166,22 @@ class Files:
         return rows.withColumn("error", F.when(F.col("item").isNull(), "not valid JSON")).drop("value")
 
     def json(self, key: str | None = None, error: str | None = None) -> DataFrame:
-        """file, position, item (Variant), shape and error: of each file the items of its list ("list"), or of the list under the key ("named"), or its one value ("single"). A file that is no JSON, or whose `error` key is there, gives none and is told."""
+        """file, folder, position, item (Variant), shape and error: of each file the items of its list ("list"), or of the list under the key ("named"), or its one value ("single"). A file that is no JSON, or whose `error` key is there, gives none and is told."""
         docs = self.whole().withColumn("doc", jsonx.parse("value"))
         null = F.lit(None).cast("string")
         named = jsonx.field("doc", key) if key else null.try_cast("variant")
-        docs = docs.select("file", "doc", named.alias("named"), F.when(F.col("doc").isNull(), "not valid JSON").otherwise(jsonx.text(jsonx.field("doc", error)) if error else null).alias("error"))
+        docs = docs.select("file", _folder(F.col("file")).alias("folder"), "doc", named.alias("named"), F.when(F.col("doc").isNull(), "not valid JSON").otherwise(jsonx.text(jsonx.field("doc", error)) if error else null).alias("error"))
         shape = F.when(jsonx.is_array(F.col("doc")), "list").when(jsonx.is_array(F.col("named")), "named").otherwise("single")
         items = F.when(shape == "list", F.try_variant_get("doc", "$", "array<variant>")).when(shape == "named", F.try_variant_get("named", "$", "array<variant>")).otherwise(F.array("doc"))
         none = F.array(F.parse_json(F.lit("null")))
-        rows = docs.withColumn("shape", shape).select("file", "shape", "error", F.posexplode(F.when(F.col("error").isNull(), items).otherwise(none)).alias("position", "item"))
+        rows = docs.withColumn("shape", shape).select("file", "folder", "shape", "error", F.posexplode(F.when(F.col("error").isNull(), items).otherwise(none)).alias("position", "item"))
         rows, large = rows.withColumn("position", F.col("position").cast("bigint")), self.large()
         if large is None:
             return rows
         found, errors = jsonscan.large_elements(self.spark, self.paths, self.options, WHOLE, key, error)
         bad = errors.select("h", F.lit("single").alias("shape"), "error", F.lit(0).cast("bigint").alias("position"), F.parse_json(F.lit("null")).alias("item"))
         both = found.select("h", "shape", null.alias("error"), "position", F.col("doc").alias("item")).unionByName(bad)
-        return rows.unionByName(both.join(large, "h").drop("h"))
+        return rows.unionByName(both.join(large.withColumn("folder", _folder(F.col("file"))), "h").drop("h"))
 
 
 def _told(rows: DataFrame, payload: Column, content_type: str, file: Column, position: Column, metadata: Column) -> DataFrame:
@@ -189,6 +189,10 @@ def _told(rows: DataFrame, payload: Column, content_type: str, file: Column, pos
     return rows.select(*(known.get(n, F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in TOLD.split(", "))))
 
 
+def _folder(file: Column) -> Column:
+    return _same(F.regexp_replace(file, r"/[^/]*$", ""))
+
+
 def _same(path: Column) -> Column:
     """A folder's path, however its scheme and its end are written."""
     return F.regexp_replace(F.regexp_replace(path, r"^(\w+:)/+", "$1/"), "/+$", "")

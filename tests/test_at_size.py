@@ -76,3 +76,12 @@ def test_lists_are_landed_by_several_tasks(spark, wide, monkeypatch):
     drops.land_lists(where, root)
     texts = [r.value for r in spark.read.text(root, wholetext=True).collect()]
     assert len(texts) == 3 and sorted(len(json.loads(t)) for t in texts) == [5_001, 10_001, 10_001]
+
+
+def test_items_of_large_lists_are_parsed_once(spark, wide, monkeypatch):
+    monkeypatch.setattr(readers, "WHOLE", 100_000)
+    plan = __spark_entry__.queries()["json_large_drop"](spark, wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan
+    large = [x for x in plan.split("Union") if "doc#" in x and "parquet" in x]
+    assert large and not any("parseJson" in x for part in large for x in part.splitlines() if "text#" in x)
+    assert not any("StructsToJson" in x for x in plan.splitlines() if "Filter" in x)

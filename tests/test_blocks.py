@@ -79,6 +79,24 @@ def test_json_elements_equal_json_load(spark, tmp_path, cut):
             assert strict(told(spark, "json", tmp_path)) == strict(want), (block, split)
 
 
+def test_json_is_cut_at_line_feeds_where_lines_are_short(spark, tmp_path, cut, monkeypatch):
+    items = [{"n": n, "t": "a,b]{", "l": [1, {"x": None}]} for n in range(12)]
+    texts = {"lines": "[null\n" + "".join(f",{json.dumps(x)}\n" for x in items) + "]\n", "indented": json.dumps(items, indent=1), "compact": json.dumps(items), "late": "[1,\n2,\n" + json.dumps(items)[1:], "bad": "[1,\n2,\n}\n]", "bad_compact": json.dumps(items)[:-1] + ",{a}]"}
+    for name, x in texts.items():
+        (tmp_path / f"{name}.json").write_text(x)
+    want = {f"{k}.json": [("error", "not valid JSON")] if k.startswith("bad") else [{"row": x} if x is not None else {} for x in json.loads(t)] for k, t in texts.items()}
+    whole = told(spark, "json", tmp_path)
+    monkeypatch.setattr(jsonscan, "LONGEST", 80)
+    for block, split in ((50, 70), (1 << 20, 1 << 27)):
+        cut(block)
+        with splits(spark, split):
+            got = told(spark, "json", tmp_path)
+        assert got == whole and {k: [x if isinstance(x, tuple) else {a: b for a, b in x.items() if b is not None} for x in v] for k, v in got.items()} == want
+    state = jsonscan.all_states(spark, [str(tmp_path)], {"pathGlobFilter": "*.json"}, 0, None, None).select("h", "separator").distinct()
+    files = blocks.listing(spark, [str(tmp_path)], {"pathGlobFilter": "*.json"}).join(state, "h").collect()
+    assert {r.file.rsplit("/", 1)[-1][:-5]: r.separator for r in files} == {"lines": "\n", "indented": "\n", "compact": ",", "late": ",", "bad": "\n", "bad_compact": ","}
+
+
 def test_lists_under_a_key(spark, tmp_path, cut):
     items = [{"attributes": {"x": n, "s": '],"features":[{'}, "features": [n]} for n in range(30)]
     pages = {"a": {"m": {"features": [9, 9]}, "features": items, "after": [1, 2]}, "b": {"features": []}, "c": {"error": {"code": 1}, "features": items}, "d": {"features": {"no": "list"}}, "e": items, "f": {"k": [{"error": 1}], "features": items[:2]}}
