@@ -39,11 +39,12 @@ def listing(spark: SparkSession, paths: list[str], options: dict) -> DataFrame:
     return files.select(meta.file_path.alias("file"), file_key(meta.file_path).alias("h"), meta.file_size.alias("length"), meta.file_modification_time.alias("changed"))
 
 
-def blocks(spark: SparkSession, paths: list[str], options: dict, separator: str, larger: int, size: int | None = None, longest: int | None = None, only: DataFrame | None = None) -> DataFrame:
+def blocks(spark: SparkSession, paths: list[str], options: dict, separator: str, larger: int, size: int | None = None, longest: int | None = None, only: DataFrame | None = None, then: tuple[Callable[[Batches], Batches], str] | None = None) -> DataFrame:
     """h, start, seq and raw of all files of more than `larger` bytes; the separator after a block's last piece is left out.
 
     longest: pieces of so many bytes and more are missing or cut, so that a file
-    with one has fewer bytes in blocks than in all. only: the files' h.
+    with one has fewer bytes in blocks than in all. only: the files' h. then: what
+    is made of the blocks where they are gathered, and its schema.
     """
     size = size or BLOCK
     meta, sep = F.col("_metadata"), pa.scalar(separator.encode(), pa.binary())
@@ -86,6 +87,9 @@ def blocks(spark: SparkSession, paths: list[str], options: dict, separator: str,
         if held:
             yield block()
 
+    if then:
+        made, schema = then
+        return pieces.mapInArrow(lambda batches: made(gather(batches)), schema)
     return pieces.mapInArrow(gather, "h bigint, start bigint, seq bigint, raw binary")
 
 

@@ -107,15 +107,19 @@ _SUMMARY = pa.schema([("h", pa.int64()), ("start", pa.int64()), ("seq", pa.int64
 _SUMMARY_SQL = "h bigint, start bigint, seq bigint, n bigint, first string, odd int, deeper0 bigint, deeper1 bigint, least0 bigint, least1 bigint, hits array<struct<inside: int, rel: bigint, name: string, at: bigint, value: string, end: bigint>>"
 
 
-def states(parts: DataFrame, key: str | None = None, error: str | None = None) -> DataFrame:
-    """Each block's state at its start, and what is known of its file: one row a block.
+def summaries(key: str | None = None, error: str | None = None) -> tuple:
+    """What is made of blocks for their states, and its schema."""
+    return bl.rows(summary(tuple(k for k in (key, error) if k)), _SUMMARY), _SUMMARY_SQL
+
+
+def states(told: DataFrame, key: str | None = None, error: str | None = None) -> DataFrame:
+    """From the summaries: each block's state at its start, and what is known of its file: one row a block.
 
     n (its bytes and its separator), inside, depth and place (bytes before it); root (the file's first sign) and
     good (it ends outside strings and brackets); hit (a named key of the file's
     object in this block) and running (whether the array of one began before and
     goes on); error (the key of errors is there); last (the file's last block).
     """
-    told = parts.mapInArrow(bl.rows(summary(tuple(k for k in (key, error) if k)), _SUMMARY), _SUMMARY_SQL)
     before, all_ = bl.in_order()
     none = F.lit(0).cast("bigint")
     told = told.withColumns({"inside": F.coalesce(F.sum("odd").over(before), none) % 2, "place": F.coalesce(F.sum("n").over(before), none)})
@@ -170,8 +174,8 @@ def all_states(spark: SparkSession, paths: list[str], options: dict, larger: int
     """states() of all files of more than `larger` bytes, stored, and `separator`, at which a file is cut."""
     with_separator = lambda rows, x: rows.withColumn("separator", F.lit(x))
     if key or error:
-        return with_separator(bl.settled(states(bl.blocks(spark, paths, options, SEPARATOR, larger), key, error)), SEPARATOR)
-    by_line = kept_table(states(bl.blocks(spark, paths, options, LINE, larger, longest=LONGEST)), "by-line")
+        return with_separator(bl.settled(states(bl.blocks(spark, paths, options, SEPARATOR, larger, then=summaries(key, error)), key, error)), SEPARATOR)
+    by_line = kept_table(states(bl.blocks(spark, paths, options, LINE, larger, longest=LONGEST, then=summaries())), "by-line")
     files = bl.listing(spark, paths, options).where(F.col("length") > larger)
     # a last piece may have no separator
     fits = files.join(by_line.groupBy("h").agg(F.sum("n").alias("n")), "h", "left").select("h", F.coalesce(F.col("n") >= F.col("length"), F.lit(False)).alias("fits"))
@@ -179,7 +183,7 @@ def all_states(spark: SparkSession, paths: list[str], options: dict, larger: int
     out, rest = with_separator(by_line.join(fits.where("fits"), "h", "left_semi"), LINE), fits.where("not fits").select("h")
     if rest.isEmpty():
         return bl.settled(out)
-    by_comma = states(bl.blocks(spark, paths, options, SEPARATOR, larger, only=rest))
+    by_comma = states(bl.blocks(spark, paths, options, SEPARATOR, larger, only=rest, then=summaries()))
     return bl.settled(out.unionByName(with_separator(by_comma, SEPARATOR)))
 
 
